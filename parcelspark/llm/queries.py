@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality, sharding
+from . import decontamination, licenses, mixing, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op5_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_diagonal_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -39,6 +43,7 @@ QUERIES = {
     for f in (
         op3_multinomial_mix,
         op5_best_fit_sharding,
+        op8_diagonal_license_scan,
         op9_winnowing_decontamination,
         op10_quadratic_quality,
     )
