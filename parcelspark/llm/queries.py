@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, mixing, pii, quality, sharding
+from . import decontamination, embeddings, licenses, mixing, pii, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_multinomial_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).taken()
 
 
+def op4_tiled_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"))
     return out.select(
@@ -50,6 +54,7 @@ QUERIES = {
     for f in (
         op2_contextual_pii,
         op3_multinomial_mix,
+        op4_tiled_embedding_dedup,
         op5_best_fit_sharding,
         op8_diagonal_license_scan,
         op9_winnowing_decontamination,
