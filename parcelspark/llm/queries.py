@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, licenses, mixing, passages, pii, quality, sharding
+from . import decontamination, embeddings, licenses, mixing, passages, pii, quality, sharding, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.scan(table(spark, sf_dir, "documents"))
     return out.select(
@@ -57,6 +62,7 @@ def op10_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_suffix_array_dedup,
         op2_contextual_pii,
         op3_multinomial_mix,
         op4_tiled_embedding_dedup,
