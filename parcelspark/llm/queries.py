@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, licenses, mixing, passages, pii, quality, sharding, suffix_dedup
+from . import decontamination, embeddings, licenses, minhash, mixing, passages, pii, quality, sharding, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op5_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_weighted_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_anchored_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = passages.dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -67,6 +71,7 @@ QUERIES = {
         op3_multinomial_mix,
         op4_tiled_embedding_dedup,
         op5_best_fit_sharding,
+        op6_weighted_minhash_dedup,
         op7_anchored_substring_dedup,
         op8_diagonal_license_scan,
         op9_winnowing_decontamination,
