@@ -1,7 +1,57 @@
-"""Corpus pipeline: five operators in a row, each over what the one before kept."""
-STAGES = []
+"""Corpus pipeline: quality, near-duplicates, benchmark passages, mixing, shards.
+
+Each stage takes what the one before kept and returns documents with the same
+columns; the last returns where every document goes. Every stage is a table in
+the shared folder before the next one reads it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from parcelspark.llm import decontamination, minhash, mixing, quality, sharding
+from parcelspark.llm.common import stage
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quadratic discriminant, fitted on the labels, accepts."""
+    return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the least id, of each group of near copies."""
+    return minhash.one_of_each(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without enough words in benchmark passages."""
+    return decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix of sources takes: a row for each document and epoch, with the words taken."""
+    return mixing.mixed_documents(docs)
+
+
+def shard_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) of every row of the mix."""
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("minhash near-dedup", minhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("source mixing", source_mixing),
+    ("sharding", shard_packing),
+]
+
+#: SQL can't express the classifier's Cholesky factors or the sampled signatures.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -156,6 +156,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     )
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated."""
+    dirty = decontaminate(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
+    dirty = stage(dirty, "decontaminate-dirty")
+    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+
+
 def _places(hashes: str, mark: str) -> Column:
     """Places at which ``mark`` stands among ``hashes``, from 0."""
     every = F.transform(F.col(hashes), lambda h, i: F.when(h == F.col(mark), i))

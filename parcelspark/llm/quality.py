@@ -194,19 +194,34 @@ def held_out(id_column: Column, folds: int = 5) -> Column:
     return F.crc32(id_column.cast("string").cast("binary")) % folds == 0
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fit) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document.
+def fitted(docs: DataFrame, labels: DataFrame, rows: DataFrame | None = None, **fit) -> QuadraticDiscriminant:
+    """The model of all labelled documents that aren't held out; labels are joined to statistics, never to texts."""
+    rows = with_statistics(docs) if rows is None else rows
+    labels = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("label")).where(~held_out(F.col("_id")))
+    return QuadraticDiscriminant.fit(rows.join(labels, F.col("id") == F.col("_id")), **fit)
+
 
-    Labels of held-out documents are not used; the others are joined to the
-    statistics, never to the texts.
-    """
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fit) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document. Labels of held-out documents are not used."""
     rows = with_statistics(docs).persist()
-    labels = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("label")).where(~held_out(F.col("_id")))
-    model = QuadraticDiscriminant.fit(rows.join(labels, F.col("id") == F.col("_id")), **fit)
-    scored = model.score(rows)
+    scored = fitted(docs, labels, rows, **fit).score(rows)
     return scored.select(
         F.col("id").alias("doc_id"),
         F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fit) -> DataFrame:
+    """The rows of ``docs``, whole, that the classifier accepts: scored and dropped where they are read."""
+    model = fitted(docs, labels, **fit)
+
+    def run(batches):
+        for batch in batches:
+            pair = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], ["at", "text"])
+            scores = [model.scores(statistics(data, offsets)) for _, data, offsets in text_slices([pair])]
+            if scores:
+                yield batch.filter(pa.array(np.concatenate(scores) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
