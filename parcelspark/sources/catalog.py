@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 
@@ -45,7 +46,7 @@ def country_column(df: DataFrame) -> str:
     raise KeyError("neither 'country' nor 'countries' is a column")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def six_decimals(values: pd.Series) -> pd.Series:
     """The exact binary value to six decimals; halves of shortest decimal forms would round another way."""
     return values.map(lambda v: f"{v:.6f}")
