@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, licenses, minhash, mixing, passages, pii, quality, sharding, suffix_dedup
+from . import decontamination, embeddings, licenses, minhash, mixing, oracles, passages, pii, quality, sharding, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,4 +79,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.SQL
