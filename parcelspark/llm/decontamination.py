@@ -88,13 +88,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     held = (lambda df: F.broadcast(df)) if small else (lambda df: df)
 
     # Fingerprints of whole windows; of a shorter item, its first K-gram or first word.
-    long = spans.where(F.size("span") == window).select(F.explode(fingerprints(grams(F.col("span")), width)).alias("mark")).distinct()
+    whole = lambda span: fingerprints(grams(span), width)
+    long = spans.where(F.size("span") == window).select(F.explode(whole(F.col("span"))).alias("mark")).distinct()
     short = spans.where(F.size("span") < window)
     lengths = [r[0] for r in short.select(F.size("span")).distinct().toLocalIterator()]
-    marks = long.union(short.where(F.size("span") >= K).select(F.get(grams(F.col("span")), F.lit(0)))).distinct()
-    first_words = short.where(F.size("span") < K).select(F.get("span", F.lit(0)).alias("mark")).distinct()
+    # The first pass lower-cases all letters, which is cheap, of both sides alike: that can only add candidates.
+    lower = spans.select(F.transform("span", F.lower).alias("span"))
+    n = F.size("span")
+    marks = lower.select(F.explode(F.when(n == window, whole(F.col("span"))).when(n >= K, F.slice(grams(F.col("span")), 1, 1))).alias("mark")).distinct()
+    first_words = lower.where(n < K).select(F.get("span", F.lit(0)).alias("mark")).distinct()
 
-    # One pass over the texts. Lower-casing all letters can only add candidates.
+    # One pass over the texts.
     tokens = F.split(F.lower(F.coalesce("text", F.lit(""))), GAP)
     edge = lambda i: F.when(F.get("_w", i) == "", 1).otherwise(0)
     n_words = F.size("_w") - edge(F.lit(0)) - F.when(F.size("_w") > 1, edge(F.size("_w") - 1)).otherwise(0)
@@ -102,16 +106,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     if small:
         in_marks = F.coalesce(F.arrays_overlap(grams(F.col("_w")), marks.agg(F.collect_set("mark")).scalar()), F.lit(False))
         if any(m < K for m in lengths):
-            in_marks = in_marks | F.arrays_overlap("_w", first_words.agg(F.collect_set(F.lower("mark"))).scalar())
+            in_marks = in_marks | F.arrays_overlap("_w", first_words.agg(F.collect_set("mark")).scalar())
         seen = seen.withColumn("_near", in_marks)
     else:
         parts = seen.select("doc_id", F.explode(F.array_distinct(grams(F.col("_w")))).alias("mark"))
         near = parts.join(marks, "mark", "left_semi").select("doc_id")
         if any(m < K for m in lengths):
             by_word = seen.select("doc_id", F.explode(F.array_distinct("_w")).alias("mark"))
-            near = near.union(by_word.join(first_words.select(F.lower("mark").alias("mark")), "mark", "left_semi").select("doc_id"))
-        near = near.distinct().withColumn("_near", F.lit(True))
-        seen = seen.join(near, "doc_id", "left").withColumn("_near", F.coalesce("_near", F.lit(False)))
+            near = near.union(by_word.join(first_words, "mark", "left_semi").select("doc_id"))
+        near = near.distinct().select(F.col("doc_id").alias("near_id"), F.lit(True).alias("_near"))
+        seen = seen.join(near, F.col("doc_id").eqNullSafe(F.col("near_id")), "left").withColumn("_near", F.coalesce("_near", F.lit(False)))
     seen = seen.select("doc_id", n_words.cast("long").alias("n_words"), F.when(F.col("_near"), F.col("text")).alias("text"))
     seen = stage(seen, "decontaminate-seen")
 
@@ -143,7 +147,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
         lambda a: a["n"],
     )
     hits = hits.select("doc_id", reach.alias("n_hit"), F.array_sort(F.transform("items", lambda i: i.cast("string"))).alias("items"))
-    out = seen.select("doc_id", "n_words").join(hits, "doc_id", "left")
+    hits = hits.withColumnRenamed("doc_id", "hit_id")
+    out = seen.select("doc_id", "n_words").join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long"))
     out = out.withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return out.select(
@@ -160,7 +165,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFra
     """The rows of ``docs`` that are not contaminated."""
     dirty = decontaminate(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
     dirty = stage(dirty, "decontaminate-dirty")
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["_id"]), "left_anti")
 
 
 def _places(hashes: str, mark: str) -> Column:

@@ -19,8 +19,8 @@ number, about 10 ns a pair.
 
 Defined results: a vector that is null, empty, zero, or has a null or non-finite
 component links with nothing and is its own component; vectors of different
-lengths link with nothing of another length; rows with the same id are one
-vector per different embedding; ids may be any integers. Extra columns are
+lengths link with nothing of another length; rows with the same id and different
+embeddings add up their links; a vector without id links with nothing. Extra columns are
 dropped.
 """
 
@@ -137,6 +137,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, tile: int = TILE)
     v = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.exists(v, lambda x: x != 0)
     fine = fine & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fine = fine & F.col("vec_id").isNotNull()
     every = rows.select("vec_id", F.when(F.coalesce(fine, F.lit(False)), v).alias("v"))
     every = stage(every.withColumn("key", F.md5(F.array_join("v", ",").cast("binary"))), "embeddings")
     # One representative of equal vectors: the least id, with the number of others.
@@ -166,7 +167,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, tile: int = TILE)
         "vec_id",
         F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"),
         component_id.alias("component_id"),
-        (F.col("vec_id") == component_id).alias("kept"),
+        F.coalesce(F.col("vec_id") == component_id, F.lit(True)).alias("kept"),
     )
 
 

@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
         component = connected_components(links.union(more), "minhash-components")
     classes = bags.join(component, F.col("rep") == F.col("node"), "left").select("bag", F.coalesce("component", "rep").alias("_class"))
     out = every.select("id", "bag").join(classes, "bag", "left")
-    class_id = F.coalesce("_class", "id")
+    class_id = F.when(F.col("id").isNotNull(), F.coalesce("_class", "id"))
     return out.select(F.col("id").alias("doc_id"), class_id.alias("class_id"), F.coalesce(F.col("id") == class_id, F.lit(True)).alias("kept"))
 
 
@@ -330,7 +330,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept; of rows with one id and one text, one."""
     kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     kept = stage(kept, "minhash-kept")
-    out = docs.join(kept, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    out = docs.join(kept, docs["doc_id"].cast("long") == kept["_id"], "left_semi")
     repeated = stage(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "minhash-repeated")
     if not repeated.isEmpty():
         again = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])

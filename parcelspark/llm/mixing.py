@@ -75,8 +75,8 @@ class Mix:
         """(doc_id, size, source_size, target, taken) of every document."""
         takes = self.slots.groupBy("src", "block").agg(F.count("*").alias("times"))
         parts = self.segments().join(takes, ["src", "block"])
-        taken = parts.groupBy("doc_id", "src", "start", "size").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-        taken = self.rows.join(taken, ["doc_id", "src", "start", "size"], "left")
+        taken = parts.groupBy("src", "start", "size").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+        taken = self.rows.join(taken, ["src", "start", "size"], "left")
         return taken.join(self.sources, "src").select(
             "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
         )
@@ -170,15 +170,29 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     words of its taken blocks, joined by one space.
     """
     mixed = mix(docs, **options)
-    taken = mixed.segments().join(mixed.slots.select("src", "block", "epoch"), ["src", "block"])
-    taken = taken.groupBy("doc_id", "size", "start", "src", "epoch").agg(
-        F.array_sort(F.collect_list(F.struct("first", "words"))).alias("_parts"), F.sum("words").alias("_taken")
+    parts = mixed.segments().join(mixed.slots.select("src", "block", "epoch"), ["src", "block"])
+    parts = parts.groupBy("doc_id", "size", "start", "src", "epoch").agg(
+        F.array_sort(F.collect_list(F.struct("first", "words"))).alias("parts"), F.sum("words").alias("taken")
     )
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_parts", "_taken")
-    words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), F.lit(0))
-    some = F.flatten(F.transform("_parts", lambda p: F.slice(words, p["first"].cast("int") + 1, p["words"].cast("int"))))
-    out = docs.join(taken, F.col("doc_id") == F.col("_id"))
-    out = out.withColumn("text", F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(F.array_join(some, " ")))
+    # The row as one column: its names can't clash with those of the mix.
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id"))
+    if not rows.groupBy("row.doc_id").count().where("count > 1").isEmpty():
+        # Rows with one id are told apart by size and source; with these alike, either place in the source will do.
+        rows = rows.withColumn("_n", word_count(F.col("row.text")))
+        rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("row.doc_id").orderBy("_n", F.col("row.source").asc_nulls_last())))
+        order = W.partitionBy("doc_id").orderBy("size", "src", "start")
+        places = mixed.rows.withColumn("of", F.row_number().over(order)).select(
+            F.col("src").alias("_src"), F.col("start").alias("_start"), F.col("size").alias("_size"), "of"
+        )
+        at = (F.col("src") == F.col("_src")) & (F.col("start") == F.col("_start")) & (F.col("size") == F.col("_size"))
+        parts = parts.join(places, at)
+        same = same & (F.col("nth") == F.col("of"))
+    words = F.regexp_extract_all(F.col("row.text"), F.lit(f"({WORD})"), F.lit(0))
+    some = F.transform("parts", lambda p: F.slice(words, p["first"].cast("int") + 1, p["words"].cast("int")))
+    text = F.when(F.col("taken") == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.flatten(some), " "))
+    out = rows.join(parts, same).withColumn("new_text", text)
+    new = {"text": F.col("new_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.char_length("new_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
