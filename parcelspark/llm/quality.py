@@ -33,6 +33,9 @@ STATISTICS = (
 D = len(STATISTICS)
 
 _UPPER, _DIGIT, _BAR, _BANG, _SYMBOL, _STOP, _BREAK, _HIGH = range(8)
+#: Usual shares of these kinds of bytes in prose, and how much reading they stand for.
+USUAL_BYTES = {_UPPER: 0.02, _DIGIT: 0.002, _BAR: 0.0005, _BANG: 0.0005, _SYMBOL: 0.001, _STOP: 0.02, _BREAK: 0.006, _HIGH: 0.03}
+PRIOR_WORDS, PRIOR_BYTES, PRIOR_LINES = 20, 120, 1
 _KIND = np.full(256, 8, np.uint8)
 _KIND[ord("A") : ord("Z") + 1] = _UPPER
 _KIND[ord("0") : ord("9") + 1] = _DIGIT
@@ -66,7 +69,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     starts, ends, of = words_of(data, offsets)
     length = ends - starts
     words = np.bincount(of, minlength=n).astype(float)
-    per_word = lambda mask: np.bincount(of[mask], minlength=n) / np.maximum(words, 1)
+    # Shares are drawn to usual values as if PRIOR_WORDS, or PRIOR_BYTES, more had been read: those of a few words say little.
+    per_word = lambda mask, usual: (np.bincount(of[mask], minlength=n) + usual * PRIOR_WORDS) / (words + PRIOR_WORDS)
     hashes = span_hashes(data, starts, ends)
     echo = np.zeros(len(starts), bool)
     echo[1:] = (hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1])
@@ -75,21 +79,21 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     l_starts, l_ends, l_of = words_of(data, offsets, _NOT_BREAK)
     lines = np.bincount(l_of, minlength=n).astype(float)
     other_lines = _distinct(l_of, span_hashes(data, l_starts, l_ends), n)
-    share = lambda x, of: np.log((x + 0.5) / (of + 5))
+    share = lambda k: np.log((kinds[:, k] + USUAL_BYTES[k] * PRIOR_BYTES) / (size + PRIOR_BYTES))
     return np.column_stack(
         [
             np.log1p(size),
             np.log1p(words),
-            np.log1p((size - kinds[:, _BREAK]) / np.maximum(words, 1)),
-            per_word(length <= 3),
-            per_word(length >= 14),
-            *(share(kinds[:, k], size) for k in (_UPPER, _DIGIT, _BAR, _BANG, _SYMBOL, _STOP, _BREAK)),
-            np.sqrt(kinds[:, _HIGH] / np.maximum(size, 1)),
-            np.log((_distinct(of, hashes, n) + 1) / (words + 1)),
-            share(np.bincount(of[echo], minlength=n), words),
-            np.log((other_lines + 1) / (lines + 1)),
-            per_word(plain),
-            np.log1p(size / np.maximum(lines, 1)),
+            np.log1p((size - kinds[:, _BREAK] + 6 * PRIOR_WORDS) / (words + PRIOR_WORDS)),
+            per_word(length <= 3, 0.4),
+            per_word(length >= 14, 0.04),
+            *(share(k) for k in (_UPPER, _DIGIT, _BAR, _BANG, _SYMBOL, _STOP, _BREAK)),
+            np.sqrt((kinds[:, _HIGH] + USUAL_BYTES[_HIGH] * PRIOR_BYTES) / (size + PRIOR_BYTES)),
+            np.log((_distinct(of, hashes, n) + PRIOR_WORDS) / (words + PRIOR_WORDS)),
+            np.log(per_word(echo, 0.01)),
+            np.log((other_lines + 2) / (lines + 2)),
+            per_word(plain, 0.97),
+            np.log1p((size + 150 * PRIOR_LINES) / (lines + PRIOR_LINES)),
         ]
     )
 
