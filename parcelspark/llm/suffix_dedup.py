@@ -8,6 +8,10 @@ deep-shallow sorting; classes of equal strings around the anchor follow from the
 common prefixes of neighbours in the two orders, for each place of the string
 about the anchor. All but the first of a class, by document id and start, go.
 
+A gram that stands more than ``hot`` times is not gathered: the strings around
+its anchors are matched one by one, by their 64-bit hashes, each once a chunk, so
+that no task gets all of them.
+
 Texts move once, and gathered are only suffixes of ``length`` bytes that differ
 within a chunk (see ``chunks``).
 
@@ -28,6 +32,8 @@ from .common import mix64, span_hashes, text_bytes
 from .suffixes import class_depths
 
 K = 24
+#: Places of one gram that are still gathered.
+HOT = 20_000
 _NO_ID = np.iinfo(np.int64).min
 _A = 0x9E3779B97F4A7C15
 
@@ -82,11 +88,11 @@ class _Chunk:
         self.places, self.hashes = anchors(self.data, self.offsets, length)
         order, new = groups_of(self.hashes)
         self.different = self.hashes[order][new]
-        self.more = np.diff(np.append(new, len(order))) > 1
+        self.count = np.minimum(np.diff(np.append(new, len(order))), 65535).astype(np.uint16)
 
-    def gathered(self, repeated: np.ndarray):
-        """Repeated anchors, sorted by gram, the first of each surrounding first; and each one's first."""
-        keep = repeated[np.searchsorted(self.different, self.hashes)] if len(self.hashes) else np.zeros(0, bool)
+    def gathered(self, chosen: np.ndarray):
+        """Anchors of the chosen grams, sorted by gram, the first of each surrounding first; and each one's first."""
+        keep = chosen[np.searchsorted(self.different, self.hashes)] if len(self.hashes) else np.zeros(0, bool)
         place, gram = self.places[keep], self.hashes[keep]
         row = np.searchsorted(self.offsets, place, side="right") - 1
         left = np.minimum(place - self.offsets[row], self.side)
@@ -118,34 +124,54 @@ class _Chunk:
 def _first_turn(n_buckets: int, length: int):
     def run(key, table):
         chunk = _Chunk(table, length)
-        return to_buckets(key[0].as_py(), 1, chunk.different, n_buckets, 5, more=chunk.more.view(np.uint8))
+        return to_buckets(key[0].as_py(), 1, chunk.different, n_buckets, 5, count=chunk.count)
+
+    return run
+
+
+def _meet_grams(hot: int):
+    def run(table: pa.Table) -> pa.Table:
+        keys, edges = read_keys(table.column("keys"), 5)
+        count = read_values(table.column("count"), np.uint16).astype(np.int64)
+        order, new = groups_of(keys)
+        total = np.empty(len(keys), np.int64)
+        total[order] = np.repeat(np.add.reduceat(count[order], new), np.diff(np.append(new, len(keys))))
+        often = table.set_column(1, "turn", pa.array(np.full(table.num_rows, 3, np.int32)))
+        return pa.concat_tables([answer(table, edges, (total > 1) & (total <= hot)), answer(often, edges, total > hot)])
 
     return run
 
 
-def _meet_grams(table: pa.Table) -> pa.Table:
-    keys, edges = read_keys(table.column("keys"), 5)
-    more = read_values(table.column("more"), np.uint8)
-    order, new = groups_of(keys)
-    count = np.diff(np.append(new, len(keys)))
-    twice = (count > 1) | (np.maximum.reduceat(more[order], new) > 0)
-    bits = np.empty(len(keys), bool)
-    bits[order] = np.repeat(twice, count)
-    return answer(table, edges, bits)
+def _strings(chunk: _Chunk, x: dict) -> dict:
+    """All strings around the first anchors of ``x``: anchor, o, hash, id and start, with the different hashes' order."""
+    f, length, side = x["first"], chunk.length, chunk.side
+    o = np.arange(side + 1)[None]
+    i, o = np.nonzero((o <= x["left"][f, None]) & (length - o <= x["right"][f, None]))
+    begin = x["place"][f][i] - o
+    by_place = np.argsort(begin, kind="stable")
+    i, o, begin = i[by_place], o[by_place], begin[by_place]
+    h = span_hashes(chunk.data, begin, begin + length)
+    ids, start = x["id"][f][i], x["start"][f][i] - o
+    order = np.lexsort((start, ids, h))
+    new = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1])) if len(h) else np.zeros(0, np.int64)
+    return {"anchor": i, "o": o, "hash": h[order][new], "id": ids, "start": start, "order": order, "new": new}
 
 
 def _second_turn(n_buckets: int, length: int):
     def run(key, table, answers):
-        if not table.num_rows:
-            empty = np.zeros(0, np.uint8)
-            return to_buckets(0, 2, np.zeros(0, np.uint64), n_buckets, 8, id=empty, start=empty, left=empty, right=empty, around=empty)
+        number = key[0].as_py()
         chunk = _Chunk(table, length)
         x = chunk.gathered(read_answer(answers, 1, chunk.different, n_buckets))
         f = x["first"]
         around = chunk.bytes_around(x["place"][f], x["left"][f], x["right"][f])
-        return to_buckets(
-            key[0].as_py(), 2, x["gram"][f], n_buckets, 8, id=x["id"][f], start=x["start"][f], left=x["left"][f], right=x["right"][f], around=around
+        gathered = to_buckets(
+            number, 2, x["gram"][f], n_buckets, 8, id=x["id"][f], start=x["start"][f], left=x["left"][f], right=x["right"][f], around=around
         )
+        s = _strings(chunk, chunk.gathered(read_answer(answers, 3, chunk.different, n_buckets)))
+        least = s["order"][s["new"]]
+        none = np.zeros((len(least), 0), np.uint8)
+        alone = to_buckets(number, 4, s["hash"], n_buckets, 8, id=s["id"][least], start=s["start"][least], left=none, right=none, around=none)
+        return pa.concat_tables([gathered, alone])
 
     return run
 
@@ -192,15 +218,32 @@ def repeats(gram: np.ndarray, ids: np.ndarray, starts: np.ndarray, left: np.ndar
 def _meet_suffixes(length: int):
     side = length - K
 
-    def run(table: pa.Table) -> pa.Table:
+    def values(table):
         keys, edges = read_keys(table.column("keys"), 8)
-        v = {c: read_values(table.column(c), t) for c, t in (("id", np.int64), ("start", np.int64), ("left", np.uint8), ("right", np.uint8))}
+        return keys, edges, read_values(table.column("id"), np.int64), read_values(table.column("start"), np.int64)
+
+    def gathered(table: pa.Table) -> pa.Table:
+        keys, edges, ids, start = values(table)
+        left, right = (read_values(table.column(c), np.uint8) for c in ("left", "right"))
         around = read_values(table.column("around"), np.uint8).reshape(len(keys), side + length)
-        found = np.packbits(repeats(keys, v["id"], v["start"], v["left"], v["right"], around, length), axis=1)
+        found = np.packbits(repeats(keys, ids, start, left, right, around, length), axis=1)
         blobs = [found[a:b].tobytes() if found[a:b].any() else None for a, b in zip(edges, edges[1:], strict=False)]
         out = pa.table({c: table.column(c) for c in ("chunk", "turn", "bucket")} | {"bits": pa.array(blobs, pa.binary())})
         return out.filter(pa.compute.is_valid(out.column("bits")))
 
+    def alone(table: pa.Table) -> pa.Table:
+        keys, edges, ids, start = values(table)
+        order = np.lexsort((start, ids, keys))
+        new = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+        first = np.repeat(order[new], np.diff(np.append(new, len(keys))))
+        bits = np.empty(len(keys), bool)
+        bits[order] = (ids[order] > ids[first]) | (start[order] > start[first])
+        return answer(table, edges, bits)
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [(pa.compute.equal(table.column("turn"), t), f) for t, f in ((2, gathered), (4, alone))]
+        return pa.concat_tables([f(rows) for mask, f in parts if (rows := table.filter(mask)).num_rows])
+
     return run
 
 
@@ -209,25 +252,39 @@ def _remove(n_buckets: int, length: int):
 
     def run(key, table, answers):
         chunk = _Chunk(table, length)
+        cover = np.zeros(len(chunk.data) + 1, np.int32)
+
+        def removed(x, found):
+            """Cover what the anchors ``x`` remove; ``found``: of the first of each surrounding, by o."""
+            f, of = x["first"], x["of"]
+            for low in range(0, len(of), 1 << 16):
+                part = slice(low, low + (1 << 16))
+                head = f[of[part]]
+                later = (x["id"][part] > x["id"][head]) | (x["start"][part] > x["start"][head])
+                o = np.arange(side + 1)[None]
+                fits = (o <= x["left"][part, None]) & (length - o <= x["right"][part, None])
+                i, o = np.nonzero(np.where(later[:, None], fits, found[of[part]]))
+                begin = x["place"][part][i] - o
+                np.add.at(cover, begin, 1)
+                np.add.at(cover, begin + length, -1)
+
         x = chunk.gathered(read_answer(answers, 1, chunk.different, n_buckets))
-        f, of = x["first"], x["of"]
-        found = np.zeros((len(f), side + 1), bool)
-        edges = bucket_edges(x["gram"][f], n_buckets)
+        found = np.zeros((len(x["first"]), side + 1), bool)
+        edges = bucket_edges(x["gram"][x["first"]], n_buckets)
         for turn, b, bits in zip(*(answers.column(c).to_pylist() for c in ("turn", "bucket", "bits")), strict=True):
             if turn == 2:
                 rows = np.frombuffer(bits, np.uint8).reshape(edges[b + 1] - edges[b], -1)
                 found[edges[b] : edges[b + 1]] = np.unpackbits(rows, axis=1, count=side + 1)
-        cover = np.zeros(len(chunk.data) + 1, np.int32)
-        for low in range(0, len(of), 1 << 16):
-            part = slice(low, low + (1 << 16))
-            head = f[of[part]]
-            later = (x["id"][part] > x["id"][head]) | (x["start"][part] > x["start"][head])
-            o = np.arange(side + 1)[None]
-            fits = (o <= x["left"][part, None]) & (length - o <= x["right"][part, None])
-            i, o = np.nonzero(np.where(later[:, None], fits, found[of[part]]))
-            begin = x["place"][part][i] - o
-            np.add.at(cover, begin, 1)
-            np.add.at(cover, begin + length, -1)
+        removed(x, found)
+        x = chunk.gathered(read_answer(answers, 3, chunk.different, n_buckets))
+        s = _strings(chunk, x)
+        size = np.diff(np.append(s["new"], len(s["order"])))
+        first = np.repeat(s["order"][s["new"]], size)
+        later = np.repeat(read_answer(answers, 4, s["hash"], n_buckets), size)
+        later |= (s["id"][s["order"]] > s["id"][first]) | (s["start"][s["order"]] > s["start"][first])
+        found = np.zeros((len(x["first"]), side + 1), bool)
+        found[s["anchor"][s["order"]], s["o"][s["order"]]] = later
+        removed(x, found)
         gone = np.cumsum(cover)[:-1] > 0
         n, data, offsets = len(chunk.ids), chunk.data, chunk.offsets
         row_edge = np.zeros(len(data) + 1, bool)
@@ -254,13 +311,13 @@ def _remove(n_buckets: int, length: int):
     return run
 
 
-def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept): the bytes left of every document, and the removed runs."""
     texts, n = chunked(docs)
     by_chunk = texts.groupBy("chunk")
     row, back = "chunk int, turn int, bucket int, keys binary", "chunk int, turn int, bucket int, bits binary"
-    first = by_chunk.applyInArrow(_first_turn(n, length), f"{row}, more binary")
-    first = first.groupBy("bucket").applyInArrow(_meet_grams, back)
+    first = by_chunk.applyInArrow(_first_turn(n, length), f"{row}, count binary")
+    first = first.groupBy("bucket").applyInArrow(_meet_grams(hot), back)
     second = by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(
         _second_turn(n, length), f"{row}, id binary, start binary, left binary, right binary, around binary"
     )

@@ -66,7 +66,8 @@ def runs(gone: np.ndarray) -> int:
     return int((gone & ~np.append(False, gone[:-1])).sum())
 
 
-def test_suffix_array_dedup(docs, rows, empty):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 3, 1])
+def test_suffix_array_dedup(docs, rows, empty, hot):
     first = {}
     for i, t, *_ in rows:
         b = (t or "").encode()
@@ -81,7 +82,7 @@ def test_suffix_array_dedup(docs, rows, empty):
             if first[b[s : s + 100]] < (-1 if i is None else i, s):
                 gone[s : s + 100] = True
         want[i, len(b), int(gone.sum()), runs(gone), bytes(np.frombuffer(b, np.uint8)[~gone])] += 1
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup.dedup(docs).collect())
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup.dedup(docs, hot=hot).collect())
     assert got == want
     assert suffix_dedup.dedup(empty).count() == 0
 
@@ -92,6 +93,7 @@ def test_suffix_dedup_across_chunks(docs, monkeypatch):
     monkeypatch.setattr("parcelspark.llm.suffix_dedup.chunked", lambda d: __import__("parcelspark.llm.chunks", fromlist=["x"]).chunked(d, 3000))
     monkeypatch.setattr("parcelspark.llm.passages.chunked", lambda d: __import__("parcelspark.llm.chunks", fromlist=["x"]).chunked(d, 3000))
     assert {(r.doc_id, bytes(r.kept)) for r in suffix_dedup.dedup(docs).collect()} == whole
+    assert {(r.doc_id, bytes(r.kept)) for r in suffix_dedup.dedup(docs, hot=4).collect()} == whole
     assert {(r.doc_id, r.text) for r in passages.dedup(docs).collect()} == words
 
 
