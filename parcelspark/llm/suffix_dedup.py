@@ -32,6 +32,8 @@ from .common import mix64, span_hashes, text_bytes
 from .suffixes import class_depths
 
 K = 24
+#: Bytes of text in one chunk: a task holds some 40 times as much.
+CHUNK_BYTES = 4 << 20
 #: Places of one gram that are still gathered.
 HOT = 20_000
 _NO_ID = np.iinfo(np.int64).min
@@ -51,13 +53,13 @@ def gram_values(data: np.ndarray) -> np.ndarray:
     return mix64(by_size[16][:n] * np.uint64(pow(_A, 8, 1 << 64)) + by_size[8][16 : 16 + n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, step: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Places and gram hashes of the anchors of all strings of ``length`` bytes within rows."""
     width = length - K + 1
     starts = np.zeros(len(data) + 1, np.int32)
     np.add.at(starts, offsets[:-1], 1)
     np.add.at(starts, np.maximum(offsets[1:] - length + 1, offsets[:-1]), -1)
-    inside = np.cumsum(starts)[:-1] > 0  # a string of a row can begin here
+    inside = np.cumsum(starts, dtype=np.int32)[:-1] > 0  # a string of a row can begin here
     places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for low in range(0, len(data), step):
         here = inside[low : low + step]
@@ -256,14 +258,17 @@ def _remove(n_buckets: int, length: int):
 
         def removed(x, found):
             """Cover what the anchors ``x`` remove; ``found``: of the first of each surrounding, by o."""
-            f, of = x["first"], x["of"]
-            for low in range(0, len(of), 1 << 16):
-                part = slice(low, low + (1 << 16))
-                head = f[of[part]]
-                later = (x["id"][part] > x["id"][head]) | (x["start"][part] > x["start"][head])
-                o = np.arange(side + 1)[None]
-                fits = (o <= x["left"][part, None]) & (length - o <= x["right"][part, None])
-                i, o = np.nonzero(np.where(later[:, None], fits, found[of[part]]))
+            head = x["first"][x["of"]]
+            later = (x["id"] > x["id"][head]) | (x["start"] > x["start"][head])
+            # All strings around a later one: from its first byte to the end of the last string.
+            last = np.maximum(length - x["right"].astype(np.int64), 0)
+            whole = np.flatnonzero(later & (x["left"] >= last))
+            np.add.at(cover, x["place"][whole] - x["left"][whole], 1)
+            np.add.at(cover, x["place"][whole] - last[whole] + length, -1)
+            rest = np.flatnonzero(~later & found.any(1)[x["of"]])
+            for low in range(0, len(rest), 1 << 13):
+                part = rest[low : low + (1 << 13)]
+                i, o = np.nonzero(found[x["of"][part]])
                 begin = x["place"][part][i] - o
                 np.add.at(cover, begin, 1)
                 np.add.at(cover, begin + length, -1)
@@ -285,7 +290,7 @@ def _remove(n_buckets: int, length: int):
         found = np.zeros((len(x["first"]), side + 1), bool)
         found[s["anchor"][s["order"]], s["o"][s["order"]]] = later
         removed(x, found)
-        gone = np.cumsum(cover)[:-1] > 0
+        gone = np.cumsum(cover, dtype=np.int32)[:-1] > 0
         n, data, offsets = len(chunk.ids), chunk.data, chunk.offsets
         row_edge = np.zeros(len(data) + 1, bool)
         row_edge[offsets] = True
@@ -313,7 +318,7 @@ def _remove(n_buckets: int, length: int):
 
 def dedup(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept): the bytes left of every document, and the removed runs."""
-    texts, n = chunked(docs)
+    texts, n = chunked(docs, CHUNK_BYTES)
     by_chunk = texts.groupBy("chunk")
     row, back = "chunk int, turn int, bucket int, keys binary", "chunk int, turn int, bucket int, bits binary"
     first = by_chunk.applyInArrow(_first_turn(n, length), f"{row}, count binary")

@@ -90,7 +90,7 @@ def test_suffix_array_dedup(docs, rows, empty, hot):
 def test_suffix_dedup_across_chunks(docs, monkeypatch):
     whole = {(r.doc_id, bytes(r.kept)) for r in suffix_dedup.dedup(docs).collect()}
     words = {(r.doc_id, r.text) for r in passages.dedup(docs).collect()}
-    monkeypatch.setattr("parcelspark.llm.suffix_dedup.chunked", lambda d: __import__("parcelspark.llm.chunks", fromlist=["x"]).chunked(d, 3000))
+    monkeypatch.setattr("parcelspark.llm.suffix_dedup.chunked", lambda d, _: __import__("parcelspark.llm.chunks", fromlist=["x"]).chunked(d, 3000))
     monkeypatch.setattr("parcelspark.llm.passages.chunked", lambda d: __import__("parcelspark.llm.chunks", fromlist=["x"]).chunked(d, 3000))
     assert {(r.doc_id, bytes(r.kept)) for r in suffix_dedup.dedup(docs).collect()} == whole
     assert {(r.doc_id, bytes(r.kept)) for r in suffix_dedup.dedup(docs, hot=4).collect()} == whole
