@@ -34,6 +34,8 @@ BUCKET_ROWS = 5_000
 ROUNDS = 12
 #: Slots in one stretch of the drawn range.
 STRETCH = 4096
+#: Slots that one task makes, about.
+TASK_SLOTS = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -156,6 +158,8 @@ def mix(
     counts = counts.withColumns({"_upto": upto, "_all": drawn_all})
     scaled = lambda x: F.expr(f"({x} * slots) div _all")
     counts = counts.withColumns({"_from": scaled("(_upto - n)"), "_to": scaled("_upto")}).where("_to > _from")
+    # A few rows become all slots: they are dealt out first.
+    counts = counts.repartition(max(1, -(-n_slots // TASK_SLOTS)), "src", "shard")
     slots = counts.select("shard", "src", "blocks", F.explode(F.expr("sequence(_from, _to - 1)")).alias("slot"))
     slots = slots.withColumn("epoch", F.expr("slot div blocks"))
     at = permuted(F.expr("slot % blocks"), F.col("blocks"), F.lit(seed), F.col("src"), F.col("epoch"))
@@ -189,8 +193,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         parts = parts.join(places, at)
         same = same & (F.col("nth") == F.col("of"))
     words = F.regexp_extract_all(F.col("row.text"), F.lit(f"({WORD})"), F.lit(0))
-    some = F.transform("parts", lambda p: F.slice(words, p["first"].cast("int") + 1, p["words"].cast("int")))
-    text = F.when(F.col("taken") == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.flatten(some), " "))
+    # Bound by an outer lambda, the words are found once for a row and not once for each part.
+    some = lambda w: F.flatten(F.transform("parts", lambda p: F.slice(w, p["first"].cast("int") + 1, p["words"].cast("int"))))
+    part = F.array_join(F.get(F.transform(F.array(words), some), F.lit(0)), " ")
+    text = F.when(F.col("taken") == F.col("size"), F.col("row.text")).otherwise(part)
     out = rows.join(parts, same).withColumn("new_text", text)
     new = {"text": F.col("new_text")}
     if "n_chars" in docs.columns:
