@@ -95,7 +95,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if not len(starts):
         return np.zeros(0, np.uint64)
     out = np.empty(len(starts), np.uint64)
-    step, first = 1 << 20, 0
+    step, first = 1 << 18, 0
     while first < len(starts):
         # Spans in one block of bytes at a time, so that the work stays in cache.
         last = max(int(np.searchsorted(starts, starts[first] + step)), first + 1)

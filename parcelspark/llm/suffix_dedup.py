@@ -53,7 +53,7 @@ def gram_values(data: np.ndarray) -> np.ndarray:
     return mix64(by_size[16][:n] * np.uint64(pow(_A, 8, 1 << 64)) + by_size[8][16 : 16 + n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Places and gram hashes of the anchors of all strings of ``length`` bytes within rows."""
     width = length - K + 1
     starts = np.zeros(len(data) + 1, np.int32)
@@ -114,10 +114,10 @@ class _Chunk:
     def bytes_around(self, place, left, right) -> np.ndarray:
         """A row an anchor: ``side`` bytes before it read backwards, then ``length`` from it; zeros beyond the text."""
         out = np.zeros((len(place), self.side + self.length), np.uint8)
-        for low in range(0, len(place), 1 << 15):
-            p, le, ri = (x[low : low + (1 << 15), None].astype(np.int64) for x in (place, left, right))
+        for low in range(0, len(place), 1 << 12):
+            p, le, ri = (x[low : low + (1 << 12), None].astype(np.int64) for x in (place, left, right))
             back, on = np.arange(self.side)[None], np.arange(self.length)[None]
-            part = out[low : low + (1 << 15)]
+            part = out[low : low + (1 << 12)]
             part[:, : self.side] = np.where(back < le, self.data[np.maximum(p - 1 - back, 0)], 0)
             part[:, self.side :] = np.where(on < ri, self.data[np.minimum(p + on, len(self.data) - 1)], 0)
         return out
