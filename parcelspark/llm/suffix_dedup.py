@@ -75,7 +75,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, step: int = 1 <<
         at = (least[: len(here)][here[: len(least)]] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         at = at[np.append(True, at[1:] != at[:-1])]
         places.append(low + at)
-        hashes.append(h[at])
+        hashes.append(mix64(h[at]))  # least hashes are small: scrambled, they fall evenly into buckets
     places, hashes = np.concatenate(places), np.concatenate(hashes)
     new = np.ones(len(places), bool)
     new[1:] = places[1:] != places[:-1]
