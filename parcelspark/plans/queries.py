@@ -76,8 +76,10 @@ def dense_countries(spark, sf_dir):
 
 
 def missing_countries(spark, sf_dir):
-    there = B.patches(spark, sf_dir).where("usable_pair and patch_id % 97 = 0").select("country").distinct()
-    return B.table(spark, sf_dir, "nation").select(F.lower("n_name").alias("country")).join(there, "country", "left_anti")
+    there = records.usable(B.patches(spark, sf_dir)).select("country").distinct()
+    wanted = B.table(spark, sf_dir, "nation").select(F.lower("n_name").alias("country"))
+    wanted = wanted.union(spark.createDataFrame([("nowhere",)], "country string"))
+    return wanted.join(there, "country", "left_anti")
 
 
 def normalize(spark, sf_dir):

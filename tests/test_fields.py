@@ -208,6 +208,17 @@ def test_layout(spark, tmp_path):
     assert catalog.missing_countries(spark, ["belgium"], str(tmp_path / "none")).count() == 1
 
 
+def test_countries_with_usable_patches_are_not_missing(spark, tmp_path):
+    tables = {
+        "nation": ([(0, "A"), (1, "B"), (2, "C")], "n_nationkey int, n_name string"),
+        "customer": ([(1, 0), (2, 1)], "c_custkey long, c_nationkey int"),
+        "orders": ([(1, 1, "O"), (97, 2, "P")], "o_orderkey long, o_custkey long, o_orderstatus string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert sorted(r.country for r in fields.missing_countries(spark, str(tmp_path)).collect()) == ["b", "c", "nowhere"]
+
+
 def test_records(spark):
     patches = spark.createDataFrame(
         [("a", 1, True, "x", "y", "/l"), ("a", 2, None, "x", "y", "l"), ("A", 3, True, "x", "y", "l")],
