@@ -92,14 +92,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     long = spans.where(F.size("span") == window).select(F.explode(whole(F.col("span"))).alias("mark")).distinct()
     short = spans.where(F.size("span") < window)
     lengths = [r[0] for r in short.select(F.size("span")).distinct().toLocalIterator()]
-    # The first pass lower-cases all letters, which is cheap, of both sides alike: that can only add candidates.
-    lower = spans.select(F.transform("span", F.lower).alias("span"))
     n = F.size("span")
-    marks = lower.select(F.explode(F.when(n == window, whole(F.col("span"))).when(n >= K, F.slice(grams(F.col("span")), 1, 1))).alias("mark")).distinct()
-    first_words = lower.where(n < K).select(F.get("span", F.lit(0)).alias("mark")).distinct()
+    marks = spans.select(F.explode(F.when(n == window, whole(F.col("span"))).when(n >= K, F.slice(grams(F.col("span")), 1, 1))).alias("mark")).distinct()
+    first_words = spans.where(n < K).select(F.get("span", F.lit(0)).alias("mark")).distinct()
 
-    # One pass over the texts.
-    tokens = F.split(F.lower(F.coalesce("text", F.lit(""))), GAP)
+    # One pass over the texts. Words are those of words(): lower() of a capital sigma depends on its neighbours.
+    tokens = F.split(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), GAP)
     edge = lambda i: F.when(F.get("_w", i) == "", 1).otherwise(0)
     n_words = F.size("_w") - edge(F.lit(0)) - F.when(F.size("_w") > 1, edge(F.size("_w") - 1)).otherwise(0)
     seen = docs.select("doc_id", "text", tokens.alias("_w"))

@@ -443,6 +443,15 @@ def test_decontamination(spark, docs, rows, empty, monkeypatch, broadcast):
         assert clean.columns == docs.columns and clean.where("doc_id in (3, 18)").count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_decontamination_of_capital_sigmas(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", broadcast)
+    text = ".".join(f"ΟΔΟΣ.AΣ{i}" for i in range(7)) + ".Σ."
+    pairs = spark.createDataFrame([(1, text), (2, "Α.Σ.")], "item_id long, text string")
+    got = decontamination.decontaminate(pairs.withColumnRenamed("item_id", "doc_id"), pairs)
+    assert {r.doc_id: (r.n_words, r.n_hit) for r in got.collect()} == {1: (15, 15), 2: (2, 2)}
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = quality.classify(docs, labels).join(labels, "doc_id").where("held_out").collect()
