@@ -1,7 +1,8 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison.
 
 Vectors are scaled to length 1 and turned to their principal axes, widest first.
-They are dealt to tiles by their first coordinate. Two tiles are compared if
+They are dealt to ranges of their first coordinate, and those with more vectors
+than a tile to several tiles by a hash. Two tiles are compared if
 their ranges of it can hold a pair near enough; then the products of the leading
 coordinates are accumulated, what the others can still add is bounded by the
 norms of the two suffixes, and only pairs that can reach the threshold are
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, stage
@@ -78,15 +79,14 @@ def principal_axes(vectors: DataFrame, size: int) -> np.ndarray:
     return np.linalg.eigh(total)[1][:, ::-1].copy()
 
 
-def compare(a: np.ndarray, b: np.ndarray, axes: np.ndarray, least: float, same: bool):
-    """(i, j) of all pairs of unit vectors with cosine >= ``least``; i < j in one tile.
+def near_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, least: float, same: bool):
+    """(i, j) of the pairs of unit vectors with cosine >= ``least``, by blocks; i < j in one tile.
 
     Coordinates come in blocks of 16: after each, pairs are dropped whose sum so
     far plus the product of the suffixes' norms is too small.
     """
     pa_, pb = a @ axes, b @ axes
     d, step = axes.shape[0], 16
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for row in range(0, len(a), 512):
         x = pa_[row : row + 512]
         dot = x[:, :step] @ pb[:, :step].T
@@ -107,7 +107,12 @@ def compare(a: np.ndarray, b: np.ndarray, axes: np.ndarray, least: float, same:
         for part in range(0, len(i), 1 << 18):
             p, q = i[part : part + (1 << 18)], j[part : part + (1 << 18)]
             near = np.einsum("ij,ij->i", a[row + p], b[q]) >= least
-            out.append((row + p[near], q[near]))
+            yield row + p[near], q[near]
+
+
+def compare(a: np.ndarray, b: np.ndarray, axes: np.ndarray, least: float, same: bool):
+    """All of ``near_pairs`` at once."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *near_pairs(a, b, axes, least, same)]
     return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
@@ -171,6 +176,15 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, tile: int = TILE)
     )
 
 
+def sub_tile(tile: int) -> Column:
+    """The tile of a vector in a range of ``n`` vectors, dealt by a hash into as many tiles as it needs.
+
+    Equal first coordinates fall in one range, however many they are.
+    """
+    parts = F.ceil(F.col("n") / tile)
+    return F.shiftleft(F.col("range"), 32) + F.pmod(F.xxhash64("rep", "v"), parts)
+
+
 def _links(reps: DataFrame, size: int, threshold: float, tile: int) -> DataFrame:
     """Numbers of links (rep, null, links) and forest edges (rep, other, null) of vectors of one length."""
     spark = reps.sparkSession
@@ -188,12 +202,13 @@ def _links(reps: DataFrame, size: int, threshold: float, tile: int) -> DataFrame
     cuts = at.select(F.percentile_approx("at", [i / n_tiles for i in range(1, n_tiles)], 10_000)).first()[0] if n_tiles > 1 else []
     cuts = np.array(sorted(set(cuts)))
 
-    def tiled(batches):
+    def ranged(batches):
         for b in batches:
-            t = np.searchsorted(cuts, np.asarray(b.column("at")), side="right").astype(np.int32)
-            yield b.append_column("tile", pa.array(t))
+            t = np.searchsorted(cuts, np.asarray(b.column("at")), side="right").astype(np.int64)
+            yield b.append_column("range", pa.array(t))
 
-    at = stage(at.mapInArrow(tiled, "rep long, copies long, v array<double>, at double, tile int"), "embedding-tiles")
+    at = stage(at.mapInArrow(ranged, "rep long, copies long, v array<double>, at double, range long"), "embedding-ranges")
+    at = at.join(F.broadcast(at.groupBy("range").agg(F.count("*").alias("n"))), "range").withColumn("tile", sub_tile(tile))
 
     def bundled(table):
         order = np.argsort(np.asarray(table.column("rep")))
@@ -201,13 +216,13 @@ def _links(reps: DataFrame, size: int, threshold: float, tile: int) -> DataFrame
         rep, copies = (np.asarray(table.column(c), np.int64)[order] for c in ("rep", "copies"))
         return pa.table({"tile": table.column("tile").slice(0, 1), "rep": [rep.tobytes()], "copies": [copies.tobytes()], "v": [x.tobytes()]})
 
-    tiles = at.groupBy("tile").applyInArrow(bundled, "tile int, rep binary, copies binary, v binary")
+    tiles = at.select("tile", "rep", "copies", "v").groupBy("tile").applyInArrow(bundled, "tile long, rep binary, copies binary, v binary")
     tiles = stage(tiles, "embedding-bundles")
     # |x - y| <= sqrt(2 - 2 cos), and so are the differences of single coordinates.
     gap = np.sqrt(max(0.0, 2 - 2 * threshold)) + EPS
     ranges = sorted(tuple(r) for r in at.groupBy("tile").agg(F.min("at"), F.max("at")).toLocalIterator())
     pairs = [(s, t) for n, (s, _, high) in enumerate(ranges) for t, low, _ in ranges[n:] if low - high <= gap]
-    pairs = spark.createDataFrame(pairs, "s int, t int").repartition(max(1, min(len(pairs), 4096)), "s", "t")
+    pairs = spark.createDataFrame(pairs, "s long, t long").repartition(max(1, min(len(pairs), 4096)), "s", "t")
 
     def meet(batches):
         for b in batches:
@@ -216,15 +231,19 @@ def _links(reps: DataFrame, size: int, threshold: float, tile: int) -> DataFrame
                 ids, others = np.frombuffer(r["rep"], np.int64), np.frombuffer(r["rep2"], np.int64)
                 m, w = np.frombuffer(r["copies"], np.int64), np.frombuffer(r["copies2"], np.int64)
                 same = r["s"] == r["t"]
-                i, j = compare(unit(a), unit(c), axes, threshold, same)
-                n_a = np.bincount(i, w[j], len(a)).astype(np.int64)
-                n_c = np.bincount(j, m[i], len(c)).astype(np.int64)
-                tree = forest(i, j + (0 if same else len(a)), len(a) + (0 if same else len(c)))
+                n_a, n_c = np.zeros(len(a), np.int64), np.zeros(len(c), np.int64)
+                p = q = np.zeros(0, np.int64)
+                for i, j in near_pairs(unit(a), unit(c), axes, threshold, same):
+                    n_a += np.bincount(i, w[j], len(a)).astype(np.int64)
+                    n_c += np.bincount(j, m[i], len(c)).astype(np.int64)
+                    p, q = np.concatenate([p, i]), np.concatenate([q, j])
+                    tree = forest(p, q + (0 if same else len(a)), len(a) + (0 if same else len(c)))
+                    p, q = p[tree], q[tree]
                 x, y = np.flatnonzero(n_a), np.flatnonzero(n_c)
-                rep = np.concatenate([ids[x], others[y], ids[i[tree]]])
+                rep = np.concatenate([ids[x], others[y], ids[p]])
                 count = len(x) + len(y)
-                other = np.concatenate([np.zeros(count, np.int64), others[j[tree]]])
-                links = np.concatenate([n_a[x], n_c[y], np.zeros(len(tree), np.int64)])
+                other = np.concatenate([np.zeros(count, np.int64), others[q]])
+                links = np.concatenate([n_a[x], n_c[y], np.zeros(len(p), np.int64)])
                 is_edge = np.arange(len(rep)) >= count
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rep), pa.array(other, mask=~is_edge), pa.array(links, mask=is_edge)], ["rep", "other", "links"]

@@ -266,6 +266,27 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_scaled_copies_do_not_fill_one_tile(spark, monkeypatch):
+    most = spark.sparkContext.accumulator(0)
+    near_pairs = embeddings.near_pairs
+
+    def counted(a, b, *more):
+        if max(len(a), len(b)) > 100:
+            most.add(1)
+        return near_pairs(a, b, *more)
+
+    monkeypatch.setattr(embeddings, "near_pairs", counted)
+    rng = np.random.default_rng(3)
+    one = rng.normal(size=4)
+    rows = [(i, (2.0**i * one).tolist()) for i in range(300)] + [(i, rng.normal(size=4).tolist()) for i in range(300, 400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df, tile=64).collect()}
+    units = embeddings.unit(np.array([v for _, v in rows]))
+    near = units @ units.T >= 0.95
+    assert {i: n for i, (n, _) in got.items()} == dict(enumerate((near.sum(1) - 1).tolist()))
+    assert {got[i][1] for i in range(300)} == {0} and most.value == 0
+
+
 def test_tiles_agree_with_brute_force():
     rng = np.random.default_rng(2)
     a, b = embeddings.unit(rng.normal(size=(50, 40))), embeddings.unit(rng.normal(size=(60, 40)))
