@@ -185,9 +185,26 @@ def sub_tile(tile: int) -> Column:
     return F.shiftleft(F.col("range"), 32) + F.pmod(F.xxhash64("rep", "v"), parts)
 
 
+def tile_pairs(ranges: DataFrame, gap: float, least: float) -> DataFrame:
+    """(s, t), once each, of tiles (tile, low, high) whose ranges are ``gap`` apart at most; each meets itself.
+
+    A tile reaches over buckets of the axis, and each other one stands in that of
+    its low end. Buckets are ``least`` wide or more, so that a tile of usual width
+    reaches over few.
+    """
+    width = max(gap, least)
+    bucket = lambda c: F.floor(c / width)
+    reach = F.col("high") + gap
+    left = ranges.select(
+        F.col("tile").alias("s"), F.col("low").alias("from"), reach.alias("to"), F.explode(F.sequence(bucket(F.col("low")), bucket(reach))).alias("bucket")
+    )
+    right = ranges.select(F.col("tile").alias("t"), "low", bucket(F.col("low")).alias("bucket"))
+    later = (F.col("from") < F.col("low")) | ((F.col("from") == F.col("low")) & (F.col("s") <= F.col("t")))
+    return left.join(right, "bucket").where(later & (F.col("low") <= F.col("to"))).select("s", "t")
+
+
 def _links(reps: DataFrame, size: int, threshold: float, tile: int) -> DataFrame:
     """Numbers of links (rep, null, links) and forest edges (rep, other, null) of vectors of one length."""
-    spark = reps.sparkSession
     axes = principal_axes(reps, size)
     first = axes[:, 0]
 
@@ -214,15 +231,19 @@ def _links(reps: DataFrame, size: int, threshold: float, tile: int) -> DataFrame
         order = np.argsort(np.asarray(table.column("rep")))
         x = _matrix(table.column("v"))[order]
         rep, copies = (np.asarray(table.column(c), np.int64)[order] for c in ("rep", "copies"))
-        return pa.table({"tile": table.column("tile").slice(0, 1), "rep": [rep.tobytes()], "copies": [copies.tobytes()], "v": [x.tobytes()]})
+        low, high = ([f(np.asarray(table.column("at")))] for f in (np.min, np.max))
+        return pa.table(
+            {"tile": table.column("tile").slice(0, 1), "low": low, "high": high, "rep": [rep.tobytes()], "copies": [copies.tobytes()], "v": [x.tobytes()]}
+        )
 
-    tiles = at.select("tile", "rep", "copies", "v").groupBy("tile").applyInArrow(bundled, "tile long, rep binary, copies binary, v binary")
+    schema = "tile long, low double, high double, rep binary, copies binary, v binary"
+    tiles = at.select("tile", "at", "rep", "copies", "v").groupBy("tile").applyInArrow(bundled, schema)
     tiles = stage(tiles, "embedding-bundles")
     # |x - y| <= sqrt(2 - 2 cos), and so are the differences of single coordinates.
     gap = np.sqrt(max(0.0, 2 - 2 * threshold)) + EPS
-    ranges = sorted(tuple(r) for r in at.groupBy("tile").agg(F.min("at"), F.max("at")).toLocalIterator())
-    pairs = [(s, t) for n, (s, _, high) in enumerate(ranges) for t, low, _ in ranges[n:] if low - high <= gap]
-    pairs = spark.createDataFrame(pairs, "s long, t long").repartition(max(1, min(len(pairs), 4096)), "s", "t")
+    pairs = stage(tile_pairs(tiles.select("tile", "low", "high"), gap, 2 / n_tiles), "embedding-pairs")
+    pairs = pairs.repartition(max(1, min(pairs.count(), 4096)), "s", "t")
+    tiles = tiles.drop("low", "high")
 
     def meet(batches):
         for b in batches:

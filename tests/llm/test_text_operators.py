@@ -287,6 +287,24 @@ def test_scaled_copies_do_not_fill_one_tile(spark, monkeypatch):
     assert {got[i][1] for i in range(300)} == {0} and most.value == 0
 
 
+@pytest.mark.parametrize("gap", [0.3, 1e-6])
+def test_pairs_of_tiles_are_made_in_spark(spark, monkeypatch, gap):
+    rng = np.random.default_rng(4)
+    low = np.concatenate([rng.uniform(-1, 1, 30), [0.5] * 5])
+    rows = [(i, float(x), float(x + (i % 3) * 0.05)) for i, x in enumerate(low)]
+    df = spark.createDataFrame(rows, "tile long, low double, high double")
+    want = Counter(tuple(sorted((i, j))) for i, a, b in rows for j, c, d in rows if i <= j and max(a, c) - min(b, d) <= gap)
+    got = embeddings.tile_pairs(df, gap, 0.05).collect()
+    assert Counter(tuple(sorted(r)) for r in got) == want
+    # The driver gives rows of its own for nothing but an empty table.
+    vectors = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(50)], "vec_id long, embedding array<double>")
+    make, listed = type(spark).createDataFrame, []
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *more, **named: (listed.append(len(data)), make(self, data, *more, **named))[1])
+    reps = vectors.selectExpr("vec_id as rep", "1L as copies", "embedding as v")
+    embeddings._links(reps, 3, 0.95, 10)
+    assert not any(listed)
+
+
 def test_tiles_agree_with_brute_force():
     rng = np.random.default_rng(2)
     a, b = embeddings.unit(rng.normal(size=(50, 40))), embeddings.unit(rng.normal(size=(60, 40)))
