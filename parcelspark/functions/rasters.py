@@ -95,10 +95,16 @@ def padded(raster: Column, h: Column, w: Column, new_h: Column, new_w: Column, f
     return window(raster, h, w, zero, zero, F.greatest(h, new_h), F.greatest(w, new_w), fill, bands)
 
 
-def centre_crop(raster: Column, h: Column, w: Column, size: int, bands: int = 1) -> Column:
-    """A square of ``size`` from the middle; the raster is as large at least."""
-    top, left = F.floor((h - size) / 2).cast("int"), F.floor((w - size) / 2).cast("int")
-    return window(raster, h, w, top, left, F.lit(size), F.lit(size), None, bands)
+def centre_crop(raster: Column, h: Column, w: Column, size: int, bands: int = 1, fill=0) -> Column:
+    """A square of ``size`` from the middle; a smaller raster is padded below and to the right first."""
+    place = lambda d: F.floor((F.greatest(d, F.lit(size)) - size) / 2).cast("int")
+    return window(raster, h, w, place(h), place(w), F.lit(size), F.lit(size), fill, bands)
+
+
+def random_crop(raster: Column, h: Column, w: Column, size: int, *key, bands: int = 1, fill=0) -> Column:
+    """As ``centre_crop``, from a place by a hash of ``key``: any is as likely, and the same for image and mask."""
+    place = lambda d, name: F.floor(uniform(0, 1, *key, F.lit(name)) * (F.greatest(d, F.lit(size)) - size + 1)).cast("int")
+    return window(raster, h, w, place(h, "top"), place(w, "left"), F.lit(size), F.lit(size), fill, bands)
 
 
 def turned(raster: Column, size: Column, source: Callable) -> Column:

@@ -14,7 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions import rasters as R
 from .kernels import dilated
 
 IGNORE = 3
@@ -194,3 +196,23 @@ def augmented(rasters: DataFrame, epoch: int, seed: int = 7, plan: Plan | None =
             )
 
     return rasters.select(*kept, "image", "mask").mapInArrow(run, f"{schema}, image array<float>, mask array<int>")
+
+
+def stacked(windows: DataFrame, bands: int, epoch: int, seed: int = 7, swap_order: bool = False) -> DataFrame:
+    """``windows`` (patch_id, image_a, image_b of ``bands`` bands, ...) as image, b before a; with ``swap_order``, a before b in one sample of two."""
+    swap = R.uniform(0, 1, F.lit(seed), F.lit(epoch), F.col("patch_id"), F.lit("swap")) < 0.5
+    image = R.stacked(F.col("image_a"), F.col("image_b"), swap if swap_order else None)
+    return windows.withColumns({"image": image, "bands": F.lit(2 * bands)}).drop("image_a", "image_b")
+
+
+def cropped(rasters: DataFrame, size: int, bands: int, epoch: int, seed: int = 7, training: bool = True) -> DataFrame:
+    """``rasters`` (patch_id, h, w, image of ``bands`` bands, mask, ...) padded and cut to ``size``: anywhere for training, else from the middle."""
+    h, w, key = F.col("h"), F.col("w"), (F.lit(seed), F.lit(epoch), F.col("patch_id"))
+
+    def cut(c, n, fill):
+        if training:
+            return R.random_crop(F.col(c), h, w, size, *key, bands=n, fill=fill)
+        return R.centre_crop(F.col(c), h, w, size, n, fill)
+
+    # Sizes are set apart: in one step the cuts would see the new ones.
+    return rasters.withColumns({"image": cut("image", bands, 0), "mask": cut("mask", 1, IGNORE)}).withColumns({"h": F.lit(size), "w": F.lit(size)})

@@ -127,7 +127,7 @@ def pad_mask(spark, sf_dir):
 
 
 def center_crop(spark, sf_dir):
-    df = B.rasters(spark, sf_dir).select("patch_id", R.centre_crop(F.col("gt"), F.col("h"), F.col("w"), 5).alias("mask"))
+    df = B.rasters(spark, sf_dir).select("patch_id", R.centre_crop(F.col("gt"), F.col("h"), F.col("w"), 5, fill=3).alias("mask"))
     return _long(df)
 
 

@@ -74,3 +74,31 @@ def test_one_window_is_dropped():
     plan = A.Plan(scale=1, rotate=0, flip=0, sharpen=0, resized_crop=0, drop_window=1)
     sums = {tuple(A.augment(image, mask, A.Draws(7, 0, str(i)), plan)[0].sum((1, 2))) for i in range(20)}
     assert sums == {(16.0,) * 4 + (0.0,) * 4, (0.0,) * 4 + (16.0,) * 4}
+
+
+def test_crops_are_padded_and_seeded(spark):
+    rows = [(f"p{i}", h, w, [float(v + 1) for v in range(2 * h * w)], [v % 3 for v in range(h * w)]) for i in range(40) for h, w in ((7, 3),)]
+    df = spark.createDataFrame(rows, "patch_id string, h int, w int, image array<float>, mask array<int>")
+    source = np.pad(np.arange(1.0, 43.0).reshape(2, 7, 3), ((0, 0), (0, 0), (0, 2)))
+    labels = np.pad(np.arange(21).reshape(7, 3) % 3, ((0, 0), (0, 2)), constant_values=3)
+
+    def tops(frame):
+        out = {}
+        for r in frame.collect():
+            image, mask = np.array(r.image).reshape(2, 5, 5), np.array(r.mask).reshape(5, 5)
+            (out[r.patch_id],) = [t for t in range(3) if np.array_equal(image, source[:, t : t + 5]) and np.array_equal(mask, labels[t : t + 5])]
+            assert (r.h, r.w) == (5, 5)
+        return out
+
+    assert set(tops(A.cropped(df, 5, 2, 0, training=False)).values()) == {1}
+    one = tops(A.cropped(df.coalesce(1), 5, 2, 0))
+    assert one == tops(A.cropped(df.repartition(5), 5, 2, 0)) != tops(A.cropped(df, 5, 2, 1)) and set(one.values()) == {0, 1, 2}
+
+
+def test_windows_are_swapped_by_seed(spark):
+    df = spark.createDataFrame([(f"p{i}", [1.0], [2.0]) for i in range(60)], "patch_id string, image_a array<double>, image_b array<double>")
+    images = lambda **options: {r.patch_id: tuple(r.image) for r in A.stacked(df, 1, **options).collect()}
+    assert set(images(epoch=0).values()) == {(2.0, 1.0)}
+    swapped = images(epoch=0, swap_order=True)
+    assert swapped == images(epoch=0, swap_order=True) != images(epoch=1, swap_order=True)
+    assert 15 < sum(v == (1.0, 2.0) for v in swapped.values()) < 45
