@@ -38,7 +38,8 @@ _CARD = re.compile(r"[0-9](?<![0-9]{2})(?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Strings that may be identifiers: numbers with separators, and words with an at sign.
 _NUMBER = re.compile(r"\(?[0-9](?<![0-9]{2})(?:[\x20().-]{0,2}[0-9])++")
-_AT = re.compile(r"[^\s@]{1,64}@[^\s@]{1,64}")
+#: Of any length; a match can only begin where a run does, so that the search is linear.
+_AT = re.compile(r"(?<![^\s@])[^\s@]++@[^\s@]++")
 
 
 def luhn(digits: str) -> bool:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -171,6 +172,16 @@ def test_pii_is_linear_in_long_runs():
     assert pii.find("1" * 300_000 + "." * 1000 + "a" * 300_000) == []
 
 
+def test_long_words_with_an_at_sign_are_whole():
+    value = "a" * 80 + "@" + "b" * 70
+    found = pii.candidates(f"login name {value} was used", [])
+    assert [(x["start"], x["end"], x["value"], x["kind"]) for x in found] == [(11, 11 + len(value), value, -1)]
+    assert [x["value"] for x in pii.candidates("a@b@c@d", [])] == ["a@b", "c@d"]
+    start = time.monotonic()
+    assert not pii.candidates("a" * 1_000_000, []) and len(pii.candidates("@" + "a" * 1_000_000 + "@b", [])) == 1
+    assert time.monotonic() - start < 5
+
+
 def test_bootstrap_finds_identifiers_without_pattern(spark):
     seeds = [(i, f"word please call phone number +1 (212) 555-{1000 + i} thanks again {i}") for i in range(30)]
     other = [(100, "so please call phone number 212-555-9876 thanks again"), (101, "in chapter 212-555-9877 of the book")]
