@@ -32,8 +32,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Documents in one bucket of a running total.
 BUCKET_ROWS = 5_000
 ROUNDS = 12
-#: Slots in one stretch of the drawn range.
-STRETCH = 4096
+#: Stretches of the drawn range, at most, and slots in one, at least.
+STRETCHES, STRETCH = 1 << 16, 4096
+#: Most rows of the sources' intervals that are broadcast (some 40 MB).
+BROADCAST_ROWS = 1_000_000
 #: Slots that one task makes, about.
 TASK_SLOTS = 50_000
 
@@ -76,9 +78,10 @@ class Mix:
     def taken(self) -> DataFrame:
         """(doc_id, size, source_size, target, taken) of every document."""
         takes = self.slots.groupBy("src", "block").agg(F.count("*").alias("times"))
-        parts = self.segments().join(takes, ["src", "block"])
+        # Slots come from few rows and look small to the planner, whatever their number.
+        parts = self.segments().join(takes.hint("merge"), ["src", "block"])
         taken = parts.groupBy("src", "start", "size").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-        taken = self.rows.join(taken, ["src", "start", "size"], "left")
+        taken = self.rows.join(taken.hint("merge"), ["src", "start", "size"], "left")
         return taken.join(self.sources, "src").select(
             "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
         )
@@ -134,28 +137,32 @@ def mix(
     rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets)).cast("int"))
     rows = running_total(rows, "src", "_bucket", ["doc_id", "size"], "size", "start").drop("_bucket")
 
-    n_slots = sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    n_slots, n_sources = sources.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.count("*")).first()
     n_shards = max(1, -(-n_slots * block_words // shard_words))
     # Every slot of a shard is one draw; their counts by source are multinomial. A
     # draw finds its source's interval among those that touch the same stretch.
+    stretch = max(STRETCH, -(-n_slots // STRETCHES))
     upto = F.sum("slots").over(W.orderBy("src").rowsBetween(W.unboundedPreceding, 0))
     intervals = sources.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("slots")).where("slots > 0")
-    intervals = intervals.select("src", "_from", "_to", F.explode(F.expr(f"sequence(_from div {STRETCH}, (_to - 1) div {STRETCH})")).alias("_stretch"))
+    intervals = intervals.select("src", "_from", "_to", F.explode(F.expr(f"sequence(_from div {stretch}, (_to - 1) div {stretch})")).alias("_stretch"))
+    # A source reaches into two stretches besides those that it fills.
+    intervals = intervals.hint("broadcast" if STRETCHES + 2 * n_sources <= BROADCAST_ROWS else "merge")
     drawn = spark.range(n_slots).select(
         F.expr(f"id * {n_shards} div {max(n_slots, 1)}").alias("shard"),
         F.pmod(F.xxhash64(F.lit(seed), F.lit("slot"), "id"), F.lit(max(n_slots, 1))).alias("_u"),
     )
-    drawn = drawn.withColumn("_stretch", F.expr(f"_u div {STRETCH}")).join(intervals, "_stretch").where("_u >= _from and _u < _to")
+    drawn = drawn.withColumn("_stretch", F.expr(f"_u div {stretch}")).join(intervals, "_stretch").where("_u >= _from and _u < _to")
     counts = drawn.groupBy("src", "shard").agg(F.count("*").alias("n"))
     wanted = sources.where("slots > 0").select("src", "slots", "blocks")
     own = F.pmod(F.xxhash64(F.lit(seed), "src"), F.lit(n_shards))
     counts = wanted.join(counts, "src", "left").select(
         "src", "slots", "blocks", F.coalesce("shard", own).alias("shard"), F.coalesce("n", F.lit(1)).alias("n")
     )
-    of_source = W.partitionBy("src")
-    upto = F.sum("n").over(of_source.orderBy("shard").rowsBetween(W.unboundedPreceding, 0))
-    drawn_all = F.sum("n").over(of_source)
-    counts = counts.withColumns({"_upto": upto, "_all": drawn_all})
+    counts = stage(counts, "mix-counts")
+    drawn_all = counts.groupBy("src").agg(F.sum("n").alias("_all"))
+    counts = counts.withColumn("_stretch", F.expr(f"shard div {BUCKET_ROWS}"))
+    counts = running_total(counts, "src", "_stretch", ["shard"], "n", "_before").join(drawn_all, "src")
+    counts = counts.withColumn("_upto", F.col("_before") + F.col("n"))
     scaled = lambda x: F.expr(f"({x} * slots) div _all")
     counts = counts.withColumns({"_from": scaled("(_upto - n)"), "_to": scaled("_upto")}).where("_to > _from")
     # A few rows become all slots: they are dealt out first.
@@ -174,7 +181,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     words of its taken blocks, joined by one space.
     """
     mixed = mix(docs, **options)
-    parts = mixed.segments().join(mixed.slots.select("src", "block", "epoch"), ["src", "block"])
+    parts = mixed.segments().join(mixed.slots.select("src", "block", "epoch").hint("merge"), ["src", "block"])
     parts = parts.groupBy("doc_id", "size", "start", "src", "epoch").agg(
         F.array_sort(F.collect_list(F.struct("first", "words"))).alias("parts"), F.sum("words").alias("taken")
     )
@@ -197,7 +204,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     some = lambda w: F.flatten(F.transform("parts", lambda p: F.slice(w, p["first"].cast("int") + 1, p["words"].cast("int"))))
     part = F.array_join(F.get(F.transform(F.array(words), some), F.lit(0)), " ")
     text = F.when(F.col("taken") == F.col("size"), F.col("row.text")).otherwise(part)
-    out = rows.join(parts, same).withColumn("new_text", text)
+    out = rows.join(parts.hint("merge"), same).withColumn("new_text", text)
     new = {"text": F.col("new_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.char_length("new_text").cast(docs.schema["n_chars"].dataType)
