@@ -2,32 +2,47 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: 64-bit odd constants of the splitmix and murmur finishers (fixed values).
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Odd base of the byte polynomial, and its inverse modulo 2**64.
+#: Odd bases of the byte polynomial, modulo 2**64: the usual one, and that of the second half of 128-bit hashes.
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+SECOND_BASE = 0xC2B2AE3D27D4EB4F
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
+#: Tasks, at most, that share the rows of one group.
+SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where it names none (tests), a local one."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``; a local one where all of Spark is one process and names none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir names no folder that all machines of {master} share")
         path = f"file://{tempfile.gettempdir()}/checkpoints"
     return path.rstrip("/")
 
 
+def with_long(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with the id ``column`` as long; ids of other than integer types are refused."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{column} is {kind.simpleString()}: ids are integers here")
+    return df.withColumn(column, F.col(column).cast("long"))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back."""
     spark = df.sparkSession
@@ -63,6 +78,19 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def blobs(column, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a binary column's rows, one after the other, and its n + 1 row offsets in values."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
+    column = column.cast(pa.large_binary())
+    n, (_, offsets, data) = len(column), column.buffers()
+    if not n or data is None:
+        return np.zeros(0, dtype), np.zeros(n + 1, np.int64)
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1]
+    flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    return flat.view(dtype) if flat.ctypes.data % np.dtype(dtype).itemsize == 0 else flat.copy().view(dtype), (offsets - offsets[0]) // np.dtype(dtype).itemsize
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -90,8 +118,9 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: equal bytes give equal hashes wherever they stand."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
+    """64-bit hashes of byte spans: equal bytes give equal hashes wherever they stand; another odd ``base`` gives others."""
+    inverse = pow(base, -1, 1 << 64)
     if not len(starts):
         return np.zeros(0, np.uint64)
     out = np.empty(len(starts), np.uint64)
@@ -102,9 +131,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         low, high = int(starts[first]), int(ends[first:last].max())
         part = data[low:high].astype(np.uint64) + np.uint64(1)
         sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part * _powers(len(part), _BASE), out=sums[1:])
+        np.cumsum(part * _powers(len(part), base), out=sums[1:])
         s, e = starts[first:last] - low, ends[first:last] - low
-        out[first:last] = (sums[e] - sums[s]) * _powers(len(part) + 1, _BASE_INV)[s]
+        out[first:last] = (sums[e] - sums[s]) * _powers(len(part) + 1, inverse)[s]
         first = last
     return mix64(out ^ (ends - starts).astype(np.uint64))
 
@@ -161,19 +190,39 @@ def running_total(df: DataFrame, key: str, bucket: str, order: list, value: str,
     )
 
 
+def salt(spread: str) -> Column:
+    """One of ``SALTS`` numbers, by the column ``spread``."""
+    return F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+
+
+def salts_of(spread: str) -> Column:
+    """Aggregate: the salts of a group's rows, as bits."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt(spread)))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, by: list[str], spread: str) -> DataFrame:
+    """``rows`` with what ``groups`` says of their group ``by``; ``groups`` has the bits of ``salts_of`` as ``salts``.
+
+    Each group's row goes only to those of ``SALTS`` tasks that hold rows of it, so
+    that a group of any size is many tasks' work and a small one costs no more.
+    """
+    each = F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), i -> getbit(salts, i) = 1)")).alias("salt")
+    groups = groups.select(*(c for c in groups.columns if c != "salts"), each)
+    return rows.withColumn("salt", salt(spread)).join(groups.hint("merge"), [*by, "salt"]).drop("salt")
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b); component: its least node.
 
     Alternates large-star and small-star steps: each node's neighbours are hung
     on its least neighbour. A minimum by node, combined before the shuffle, and
-    a join that Spark can split take the place of neighbour lists, so that a
-    node of any degree does no harm. Every round is a table in the shared
-    folder.
+    a salted join take the place of neighbour lists, so that a node of any degree
+    does no harm. Every round is a table in the shared folder.
     """
 
     def hang(pairs: DataFrame) -> DataFrame:
-        least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        return pairs.join(least, "u")
+        least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), salts_of("v").alias("salts"))
+        return join_groups(pairs, least, ["u"], "v")
 
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     pairs = stage(pairs, name)

@@ -16,13 +16,17 @@ edges of all tile pairs.
 
 Any two tiles may have to meet, as without a bound on the angle's spread nothing
 less is exact: the work of unclustered vectors grows with the square of their
-number, about 10 ns a pair.
+number, about 10 ns a pair. A tile holds TILE_BYTES of coordinates at most and no
+less where there are vectors enough, so that what is moved, two tiles a pair, is
+small beside the work on it. Joins of pairs to tiles are salted: a tile that
+meets all others is dealt to many tasks.
 
 Defined results: a vector that is null, empty, zero, or has a null or non-finite
 component links with nothing and is its own component; vectors of different
 lengths link with nothing of another length; rows with the same id and different
-embeddings add up their links; a vector without id links with nothing. Extra columns are
-dropped.
+embeddings add up their links; a vector without id links with nothing. Ids are of
+any integer type and returned as long; others are refused with a TypeError. Extra
+columns are dropped.
 """
 
 from __future__ import annotations
@@ -32,10 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stage
+from .common import connected_components, stage, with_long
 
-#: Vectors in a tile, about.
-TILE = 2048
+#: Bytes of coordinates in a tile, at most; tiles of small inputs are cut finer, for TILES of them.
+TILE_BYTES, TILES, LEAST_TILE = 16 << 20, 24, 512
+#: Ranges of the first coordinate, at most: larger ones are cut by a hash.
+RANGES = 2048
+#: Pairs of tiles that one task compares, about.
+TASK_PAIRS = 8
 #: Slack of bounds against rounding.
 EPS = 1e-6
 
@@ -87,8 +95,9 @@ def near_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, least: float, sam
     """
     pa_, pb = a @ axes, b @ axes
     d, step = axes.shape[0], 16
-    for row in range(0, len(a), 512):
-        x = pa_[row : row + 512]
+    rows = max(16, (1 << 21) // max(len(b), 1))
+    for row in range(0, len(a), rows):
+        x = pa_[row : row + rows]
         dot = x[:, :step] @ pb[:, :step].T
         rest_x = np.sqrt((x[:, step:] ** 2).sum(1))
         rest_y = np.sqrt((pb[:, step:] ** 2).sum(1))
@@ -137,8 +146,9 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
             label = label[label]
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.95, tile: int = TILE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every vector."""
+def near_duplicates(rows: DataFrame, threshold: float = 0.95, tile: int | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every vector; ``tile``: vectors in a tile, if not by TILE_BYTES."""
+    rows = with_long(rows, "vec_id")
     v = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.exists(v, lambda x: x != 0)
     fine = fine & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -192,7 +202,7 @@ def tile_pairs(ranges: DataFrame, gap: float, least: float) -> DataFrame:
     its low end. Buckets are ``least`` wide or more, so that a tile of usual width
     reaches over few.
     """
-    width = max(gap, least)
+    width = max(gap / 32, least)
     bucket = lambda c: F.floor(c / width)
     reach = F.col("high") + gap
     left = ranges.select(
@@ -203,7 +213,7 @@ def tile_pairs(ranges: DataFrame, gap: float, least: float) -> DataFrame:
     return left.join(right, "bucket").where(later & (F.col("low") <= F.col("to"))).select("s", "t")
 
 
-def _links(reps: DataFrame, size: int, threshold: float, tile: int) -> DataFrame:
+def _links(reps: DataFrame, size: int, threshold: float, tile: int | None) -> DataFrame:
     """Numbers of links (rep, null, links) and forest edges (rep, other, null) of vectors of one length."""
     axes = principal_axes(reps, size)
     first = axes[:, 0]
@@ -215,8 +225,10 @@ def _links(reps: DataFrame, size: int, threshold: float, tile: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("copies"), b.column("v"), pa.array(at)], ["rep", "copies", "v", "at"])
 
     at = reps.select("rep", "copies", "v").mapInArrow(placed, "rep long, copies long, v array<double>, at double")
-    n_tiles = max(1, -(-reps.count() // tile))
-    cuts = at.select(F.percentile_approx("at", [i / n_tiles for i in range(1, n_tiles)], 10_000)).first()[0] if n_tiles > 1 else []
+    count = reps.count()
+    tile = tile or min(max(1, TILE_BYTES // (8 * size)), max(LEAST_TILE, -(-count // TILES)))
+    n_ranges = max(1, min(RANGES, -(-count // tile)))
+    cuts = at.select(F.percentile_approx("at", [i / n_ranges for i in range(1, n_ranges)], 10_000)).first()[0] if n_ranges > 1 else []
     cuts = np.array(sorted(set(cuts)))
 
     def ranged(batches):
@@ -241,8 +253,7 @@ def _links(reps: DataFrame, size: int, threshold: float, tile: int) -> DataFrame
     tiles = stage(tiles, "embedding-bundles")
     # |x - y| <= sqrt(2 - 2 cos), and so are the differences of single coordinates.
     gap = np.sqrt(max(0.0, 2 - 2 * threshold)) + EPS
-    pairs = stage(tile_pairs(tiles.select("tile", "low", "high"), gap, 2 / n_tiles), "embedding-pairs")
-    pairs = pairs.repartition(max(1, min(pairs.count(), 4096)), "s", "t")
+    pairs = stage(tile_pairs(tiles.select("tile", "low", "high"), gap, 2 / n_ranges), "embedding-pairs")
     tiles = tiles.drop("low", "high")
 
     def meet(batches):
@@ -270,7 +281,15 @@ def _links(reps: DataFrame, size: int, threshold: float, tile: int) -> DataFrame
                     [pa.array(rep), pa.array(other, mask=~is_edge), pa.array(links, mask=is_edge)], ["rep", "other", "links"]
                 )
 
-    with_s = pairs.join(tiles.withColumnRenamed("tile", "s"), "s")
-    right = tiles.select(F.col("tile").alias("t"), F.col("rep").alias("rep2"), F.col("copies").alias("copies2"), F.col("v").alias("v2"))
-    both = with_s.join(right, "t")
-    return both.mapInArrow(meet, "rep long, other long, links long")
+    n_pairs, n_tiles = pairs.count(), max(1, tiles.count())
+    tasks = max(1, -(-n_pairs // TASK_PAIRS))
+    # The pairs of one tile are dealt to so many tasks, each of which gets the tile once.
+    salts = max(1, -(-n_pairs // (n_tiles * TASK_PAIRS)))
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(salts)).alias("salt")
+    salted = tiles.withColumn("salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
+    left = salted.withColumnRenamed("tile", "s").repartition(tasks, "s", "salt")
+    right = salted.select(F.col("tile").alias("t"), "salt", F.col("rep").alias("rep2"), F.col("copies").alias("copies2"), F.col("v").alias("v2"))
+    with_s = pairs.select("s", "t", salt("t")).repartition(tasks, "s", "salt").join(left.hint("merge"), ["s", "salt"])
+    with_s = with_s.withColumn("salt", salt("s")).repartition(tasks, "t", "salt")
+    both = with_s.join(right.repartition(tasks, "t", "salt").hint("merge"), ["t", "salt"])
+    return both.select("s", "t", "rep", "copies", "v", "rep2", "copies2", "v2").mapInArrow(meet, "rep long, other long, links long")
