@@ -1,45 +1,55 @@
 """MinHash near-dedup by improved consistent weighted sampling over TF-IDF shingles.
 
 A document is the bag of its shingles of five words. A shingle weighs its count
-times its inverse document frequency, the mean of those of its words: 1 + ln of
-documents over documents with the word, at most 1 + ln(RARE). So only words in
-at least one document of RARE need a table, and that has at most RARE times the
-mean number of different words in a document; all frequencies are exact counts
-over all documents.
+times its own inverse document frequency, 1 + ln of documents over documents with
+the shingle, at most 1 + ln(RARE): all shingles in fewer than one document of
+RARE, or in one document, weigh alike. Frequencies are exact counts over all
+documents. Only frequent shingles need a table, which has at most RARE times the
+mean number of different shingles in a document; a shingle can be frequent only
+if its words are, and then its pairs of words, so that two cheaper counts leave
+few shingles to be counted.
 
 Each sample of improved consistent weighted sampling agrees for two documents
 with the probability of their weighted Jaccard similarity. Samples are cut in
 bands; documents that agree in a band are candidates. Candidates are verified by
-their exact weighted Jaccard similarity.
+their weighted Jaccard similarity, worked out from 64-bit hashes of all shingles.
 
 Equal bags are one representative. In a band's bucket every document is first
 compared with its least one only; what then is not in one component is compared
-tile by tile, by products of matrices. So a group of near copies of any size costs one comparison a
-member, no candidate pair between different components is left out, and classes
-are the components of all verified links. At the threshold of 0.8 a pair shares
-a band with a probability of 0.9994 (14 bands of 4), at 0.9 of 0.999999.
+tile by tile, by products of matrices: the rest with the largest component and
+with itself. So a group of near copies of any size costs one comparison a
+member, and one for each document of another component beside it; no candidate
+pair between different components is left out, and classes are the components of
+all verified links. At the threshold of 0.8 a pair shares a band with a
+probability of 0.9994 (14 bands of 4), at 0.9 of 0.999999. Joins on a bucket or
+its least document are salted.
 
 Defined results: a text of fewer words than five, but not none, is one shingle;
 null and empty texts have no shingles, and each is its own class; rows with the
 same id are one class if their texts are alike, and share the row's class id
-otherwise; ids are integers, a null id stays its own class. Extra columns are
-dropped.
+otherwise; ids are of any integer type and returned as long, others are refused
+with a TypeError; a null id stays its own class. Extra columns are dropped.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, gram_hashes, mix64, span_hashes, stage, text_slices, words_of
+from .common import (
+    blobs, connected_components, gram_hashes, join_groups, mix64, salts_of, slices, span_hashes, stage, text_slices, with_long, words_of,
+)
 
 SHINGLE = 5
 BANDS, ROWS = 14, 4
 RARE = 1000
-#: Documents of a bucket in one tile.
-TILE = 128
+#: Documents of a bucket in one tile, about; one of more than LOAD shingles counts as several.
+TILE, LOAD = 128, 2048
+#: Documents that one task compares with one least document of a bucket.
+STAR = 2048
 #: Weights are whole multiples of 1 / UNIT.
 UNIT = 1024
 
@@ -59,61 +69,109 @@ _GAMMA = _gamma_quantiles()
 _R, _INV_R, _LOG_C = _GAMMA.astype(np.float32), (1 / _GAMMA).astype(np.float32), np.log(_GAMMA).astype(np.float32)
 
 
-def word_frequencies(docs: DataFrame) -> DataFrame:
-    """(word, df): hashes of words, and in how many documents each stands; partial counts come from Arrow batches."""
+def frequencies(docs: DataFrame, grams) -> DataFrame:
+    """(gram, df): in how many documents each of ``grams(bytes, offsets) -> (rows, hashes)`` stands; partial counts come from Arrow batches."""
 
     def run(batches):
         for _, data, offsets in text_slices(batches, 32 << 20):
-            starts, ends, of = words_of(data, offsets)
-            if not len(starts):
+            d, h = grams(data, offsets)
+            if not len(h):
                 continue
-            words = span_hashes(data, starts, ends)
-            order = np.lexsort((of, words))
-            w, d = words[order], of[order]
-            new = np.ones(len(w), bool)
-            new[1:] = (w[1:] != w[:-1]) | (d[1:] != d[:-1])
-            w = w[new]
-            first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-            df = np.diff(np.append(first, len(w)))
-            yield pa.RecordBatch.from_arrays([pa.array(w[first].view(np.int64)), pa.array(df)], ["word", "df"])
-
-    parts = docs.select("doc_id", "text").mapInArrow(run, "word long, df long")
-    return parts.groupBy("word").agg(F.sum("df").alias("df"))
-
-
-def common_words(docs: DataFrame, rare: int = RARE) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted hashes and weights of the words in at least one document of ``rare``, and the weight of all others."""
-    n = docs.count()
-    rows = word_frequencies(docs).where(F.col("df") * rare >= n).toPandas()
-    words, df = rows["word"].to_numpy(np.int64).view(np.uint64), rows["df"].to_numpy(float)
-    order = np.argsort(words)
-    weight = np.minimum(1 + np.log((n + 1) / (df + 1)), 1 + np.log(rare)) * UNIT
-    return words[order], np.rint(weight[order]).astype(np.int64), int(round((1 + np.log(rare)) * UNIT))
+            order = np.lexsort((d, h))
+            h, d = h[order], d[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+            h = h[new]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            df = np.diff(np.append(first, len(h)))
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(df)], ["gram", "df"])
 
+    parts = docs.select("doc_id", "text").mapInArrow(run, "gram long, df long")
+    return parts.groupBy("gram").agg(F.sum("df").alias("df"))
 
-def shingles(data: np.ndarray, offsets: np.ndarray, idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, weight of one) of all shingles of all rows, sorted by row and hash."""
-    known, weights, rare = idf
+
+def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are among the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray):
     starts, ends, of = words_of(data, offsets)
-    words = span_hashes(data, starts, ends)
-    place = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
-    idf_of = np.where(known[place] == words, weights[place], rare) if len(known) else np.full(len(words), rare)
-    sums = np.concatenate([[0], np.cumsum(idf_of)])
-    h = gram_hashes(words, SHINGLE)
-    at = np.flatnonzero(of[: len(h)] == of[SHINGLE - 1 :]) if len(h) else np.zeros(0, np.int64)
-    row, h, w = of[at], h[at], (sums[at + SHINGLE] - sums[at]) // SHINGLE
-    # Rows of fewer words are one shingle, of all of them.
-    n = len(offsets) - 1
+    return span_hashes(data, starts, ends), of
+
+
+def _rolling(words: np.ndarray, of: np.ndarray, k: int):
+    """Rows and hashes of all k words in a row, and the places at which they begin."""
+    h = gram_hashes(words, k)
+    at = np.flatnonzero(of[: len(h)] == of[k - 1 :]) if len(h) else np.zeros(0, np.int64)
+    return of[at], h[at], at
+
+
+def _short(words: np.ndarray, of: np.ndarray, n: int):
+    """Rows of fewer words than a shingle, but not none, and the hashes of these words."""
     first = np.searchsorted(of, np.arange(n + 1))
     count = np.diff(first)
     short = np.flatnonzero((count > 0) & (count < SHINGLE))
-    if len(short):
-        total = np.zeros(len(short), np.uint64)
-        for i in range(SHINGLE - 1):
-            some = count[short] > i
-            total[some] = mix64(total[some] + words[first[short][some] + i])
-        row, h = np.concatenate([row, short]), np.concatenate([h, total])
-        w = np.concatenate([w, (sums[first[short + 1]] - sums[first[short]]) // count[short]])
+    total = np.zeros(len(short), np.uint64)
+    for i in range(SHINGLE - 1 if len(short) else 0):
+        some = count[short] > i
+        total[some] = mix64(total[some] + words[first[short][some] + i])
+    return short, total
+
+
+def shingle_weights(docs: DataFrame, rare: int = RARE) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted hashes and weights of the shingles in two documents and one of ``rare`` at least, and the weight of all others."""
+    n = docs.count()
+    least = max(2.0, n / rare)
+
+    def frequent(grams):
+        rows = frequencies(docs, grams).where(F.col("df") >= least).toPandas()
+        h, df = rows["gram"].to_numpy(np.int64).view(np.uint64), rows["df"].to_numpy(float)
+        order = np.argsort(h)
+        return h[order], df[order]
+
+    def words(data, offsets):
+        h, of = _word_hashes(data, offsets)
+        return of, h
+
+    known, _ = frequent(words)
+
+    def pairs(data, offsets):
+        h, of = _word_hashes(data, offsets)
+        fine = _among(known, h)
+        rows, both, at = _rolling(h, of, 2)
+        some = fine[at] & fine[at + 1]
+        return rows[some], both[some]
+
+    known_pairs, _ = frequent(pairs)
+
+    def whole(data, offsets):
+        h, of = _word_hashes(data, offsets)
+        _, both, at = _rolling(h, of, 2)
+        odd = np.ones(len(h) + 1, np.int64)
+        odd[at] = ~_among(known_pairs, both)
+        odd = np.concatenate([[0], np.cumsum(odd)])
+        rows, five, at = _rolling(h, of, SHINGLE)
+        some = odd[at + SHINGLE - 1] == odd[at]
+        short, total = _short(h, of, len(offsets) - 1)
+        return np.concatenate([rows[some], short]), np.concatenate([five[some], total])
+
+    h, df = frequent(whole)
+    weight = lambda df: 1 + np.minimum(np.log((n + 1) / (df + 1)), np.log(rare))
+    return h, np.rint(weight(df) * UNIT).astype(np.int64), int(round(weight(1.0) * UNIT)) if n else UNIT
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, weight of one) of all shingles of all rows, sorted by row and hash."""
+    known, weights, rare = idf
+    words, of = _word_hashes(data, offsets)
+    row, h, _ = _rolling(words, of, SHINGLE)
+    short, total = _short(words, of, len(offsets) - 1)
+    row, h = np.concatenate([row, short]), np.concatenate([h, total])
+    place = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+    w = np.where(known[place] == h, weights[place], rare) if len(known) else np.full(len(h), rare)
     order = np.lexsort((h, row))
     return row[order], h[order], w[order]
 
@@ -177,13 +235,13 @@ def signatures(docs: DataFrame, idf, bands: int = BANDS, rows: int = ROWS) -> Da
                 [ids, pa.array(bag, mask=bare), pa.array(weight, mask=bare), lists], ["id", "bag", "weight", "bands"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(
+    return docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(
         run, "id long, bag long, weight long, bands array<long>"
     )
 
 
 def weighted_sets(docs: DataFrame, idf) -> DataFrame:
-    """(id, elements, weights): sorted 4-byte hashes of each text's shingles and their weights; the j-th of equal shingles is an element of its own.
+    """(id, elements, weights): sorted 8-byte hashes of each text's shingles and their weights; the j-th of equal shingles is an element of its own.
 
     So the weight that two documents share is that of their common elements.
     """
@@ -195,7 +253,7 @@ def weighted_sets(docs: DataFrame, idf) -> DataFrame:
             new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
             first = np.flatnonzero(new)
             nth = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
-            element = (mix64(h + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+            element = mix64(h + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             order = np.lexsort((element, row))
             element, w = element[order], np.minimum(w[order], 65535).astype(np.uint16)
             edges = np.searchsorted(row, np.arange(len(offsets)))
@@ -206,26 +264,41 @@ def weighted_sets(docs: DataFrame, idf) -> DataFrame:
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose weighted Jaccard similarity reaches ``threshold``."""
+    """Those of ``pairs`` (a, b, n) whose weighted Jaccard similarity reaches ``threshold``; ``n``: pairs of ``a``, at most.
+
+    A document ``a`` of many pairs goes to a task for every STAR of them.
+    """
 
     def run(batches):
         for batch in batches:
-            a, b, fits = [], [], []
-            for r in range(batch.num_rows):
-                row = {c: batch.column(c)[r].as_py() for c in ("a", "b", "x", "wx", "y", "wy")}
-                x, y = np.frombuffer(row["x"], np.uint32), np.frombuffer(row["y"], np.uint32)
-                wx, wy = np.frombuffer(row["wx"], np.uint16).astype(np.int64), np.frombuffer(row["wy"], np.uint16).astype(np.int64)
-                place = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                shared = int(wx[y[place] == x].sum())
-                a.append(row["a"])
-                b.append(row["b"])
-                fits.append(shared >= threshold * (int(wx.sum()) + int(wy.sum()) - shared) - 1e-9)
-            keep = np.array(fits, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(v, np.int64)[keep]) for v in (a, b)], ["a", "b"])
-
+            a, b = (np.asarray(batch.column(c), np.int64) for c in ("a", "b"))
+            sizes = np.asarray(pa.compute.binary_length(batch.column("y")), np.int64)
+            for low, high in slices(sizes, 16 << 20):
+                part = batch.slice(low, high - low)
+                y, at = blobs(part.column("y"), np.uint64)
+                wy, _ = blobs(part.column("wy"), np.uint16)
+                wy = wy.astype(np.int64)
+                total = np.concatenate([[0], np.cumsum(wy)])
+                weight, shared = total[at[1:]] - total[at[:-1]], np.zeros(high - low, np.int64)
+                of_a, own = a[low:high], np.zeros(high - low, np.int64)
+                # Rows with one a stand together: its set is read once, and all others are looked up in it.
+                edges = np.append(np.flatnonzero(np.append(True, of_a[1:] != of_a[:-1])), high - low)
+                for i, j in zip(edges, edges[1:], strict=False):
+                    x = np.frombuffer(part.column("x")[i].as_py(), np.uint64)
+                    own[i:j] = np.frombuffer(part.column("wx")[i].as_py(), np.uint16).sum(dtype=np.int64)
+                    hit = _among(x, y[at[i] : at[j]])
+                    sums = np.concatenate([[0], np.cumsum(np.where(hit, wy[at[i] : at[j]], 0))])
+                    shared[i:j] = sums[at[i + 1 : j + 1] - at[i]] - sums[at[i:j] - at[i]]
+                keep = shared >= threshold * (own + weight - shared) - 1e-9
+                yield pa.RecordBatch.from_arrays([pa.array(of_a[keep]), pa.array(b[low:high][keep])], ["a", "b"])
+
+    salts = F.ceil(F.col("n") / STAR).cast("int")
     left = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"), F.col("weights").alias("wy"))
-    right = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"), F.col("weights").alias("wx"))
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "wx", "y", "wy").mapInArrow(run, "a long, b long")
+    right = pairs.groupBy("a").agg(F.max("n").alias("n")).join(sets.withColumnsRenamed({"id": "a", "elements": "x", "weights": "wx"}), "a")
+    right = right.select("a", "x", "wx", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), salts.cast("long")).cast("int").alias("salt"))
+    both = pairs.join(left, "b").join(right.hint("merge"), ["a", "salt"])
+    return both.select("a", "b", "x", "wx", "y", "wy").mapInArrow(run, "a long, b long")
 
 
 def shared_weights(elements: list[np.ndarray], weights: list[np.ndarray], step: int = 4096) -> np.ndarray:
@@ -254,14 +327,21 @@ def shared_weights(elements: list[np.ndarray], weights: list[np.ndarray], step:
 def crossed(placed: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
     """Links (a, b) between different components in one bucket, from its members with their sets.
 
-    A bucket is cut into tiles by a hash, and each two tiles meet in a task of
-    ``2 * tile`` documents at most, whatever the bucket's size. Their shared
-    weights are one product of matrices; only links come out. A pair that also
-    shares an earlier band is left to that band's bucket.
+    A bucket's largest component and the rest are each cut into tiles by a hash.
+    Tiles of the rest meet one another and those of the largest component, which
+    never meet among themselves: a stray document beside a million near copies
+    sends each of them to one task once. Two tiles are a task's work, whatever the
+    bucket's size: their shared weights are one product of matrices, and only links
+    come out. A pair that also shares an earlier band is left to that band's bucket.
     """
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    placed = placed.withColumn("_tile", F.pmod(F.xxhash64("rep"), tiles.cast("long")).cast("int"))
-    placed = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    tiles = lambda load: F.ceil(load / tile).cast("int")
+    is_main = F.col("component") == F.col("main")
+    main, rest = tiles(F.col("main_load")), tiles(F.col("load") - F.col("main_load"))
+    dealt = lambda n: F.pmod(F.xxhash64("rep"), n.cast("long")).cast("int")
+    # Tiles of the largest component are -1, -2, ..., those of the rest 0, 1, ...
+    placed = placed.withColumn("_tile", F.when(is_main, -1 - dealt(main)).otherwise(dealt(rest)))
+    others = F.when(is_main, F.sequence(F.lit(0), rest - 1)).otherwise(F.sequence(-main, rest - 1))
+    placed = placed.withColumn("_other", F.explode(others))
     placed = placed.withColumns({"_first": F.least("_tile", "_other"), "_second": F.greatest("_tile", "_other")})
 
     def run(table):
@@ -277,7 +357,7 @@ def crossed(placed: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
             able &= keys[:, None, earlier] != keys[None, :, earlier]
         i, j = np.nonzero(able)
         if len(i):
-            e = [np.frombuffer(x, np.uint32) for x in table.column("elements").to_pylist()]
+            e = [np.frombuffer(x, np.uint64) for x in table.column("elements").to_pylist()]
             w = [np.frombuffer(x, np.uint16).astype(np.float64) for x in table.column("weights").to_pylist()]
             total = np.array([x.sum() for x in w])
             shared = shared_weights(e, w)[i, j]
@@ -290,22 +370,23 @@ def crossed(placed: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id, kept): each document's class, known by its least id, which is kept."""
-    idf = common_words(docs)
+    docs = with_long(docs, "doc_id")
+    idf = shingle_weights(docs)
     every = stage(signatures(docs, idf, bands, rows), "minhash-signatures")
     bags = every.where("bag is not null and id is not null").groupBy("bag").agg(F.min("id").alias("rep"), F.max("weight").alias("weight"))
     own = every.select("id", "bag", "bands").join(bags, "bag").where("id = rep")
     members = own.select("rep", "weight", F.posexplode("bands").alias("band", "key")).distinct()
-    buckets = members.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = stage(members.join(buckets, ["band", "key"]), "minhash-members")
+    bucket = ["band", "key"]
+    buckets = members.groupBy(*bucket).agg(F.min(F.struct("rep", "weight")).alias("hub"), F.count("*").alias("n"), salts_of("rep").alias("salts"))
+    members = stage(join_groups(members, buckets.where("n > 1"), bucket, "rep"), "minhash-members")
 
     # A similarity is at most the smaller weight over the larger.
-    able = lambda a, b: F.least(a, b) >= F.greatest(a, b) * threshold - 1
-    heavy = members.select(F.col("rep").alias("hub"), F.col("weight").alias("_hub_weight")).distinct()
-    stars = members.where("rep <> hub").select("hub", "rep", "weight").distinct().join(heavy, "hub")
-    stars = stars.where(able(F.col("weight"), F.col("_hub_weight"))).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    able = F.least("weight", "hub.weight") >= F.greatest("weight", "hub.weight") * threshold - 1
+    stars = members.where((F.col("rep") != F.col("hub.rep")) & able)
+    stars = stars.groupBy(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).agg(F.max("n").alias("n"))
     # Candidates grow with the documents: the plan is the same, a merge, at every size.
     wanted = members.select(F.col("rep").alias("_id")).distinct().hint("merge")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, F.col("id") == F.col("_id"), "left_semi")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, F.col("id") == F.col("_id"), "left_semi")
     sets = stage(weighted_sets(texts, idf).dropDuplicates(["id"]), "minhash-sets")
     links = stage(similar(stars, sets, threshold), "minhash-links")
     component = connected_components(links, "minhash-components")
@@ -313,10 +394,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     placed = members.join(component, F.col("rep") == F.col("node"), "left").select(
         "band", "key", "rep", "weight", F.coalesce("component", "rep").alias("component")
     )
-    mixed = placed.groupBy("band", "key").agg(
-        F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("n")
-    ).where("_low < _high").select("band", "key", "n")
-    placed = placed.join(mixed, ["band", "key"]).join(own.select("rep", "bands"), "rep").join(sets, F.col("rep") == F.col("id"))
+    load = 1 + F.expr(f"weight div {UNIT * 8 * LOAD}")
+    parts = placed.groupBy(*bucket, "component").agg(F.sum(load).alias("load"), salts_of("rep").alias("salts"))
+    mixed = parts.groupBy(*bucket).agg(
+        F.max_by("component", F.struct("load", "component")).alias("main"), F.max("load").alias("main_load"),
+        F.sum("load").alias("load"), F.bit_or("salts").alias("salts"),
+    )
+    placed = join_groups(placed, mixed.where("main_load < load"), bucket, "rep")
+    placed = placed.join(own.select("rep", "bands"), "rep").join(sets, F.col("rep") == F.col("id"))
     more = stage(crossed(placed, threshold), "minhash-more-links")
     if not more.isEmpty():
         component = connected_components(links.union(more), "minhash-components")
@@ -330,7 +415,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept; of rows with one id and one text, one."""
     kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     kept = stage(kept, "minhash-kept")
-    out = docs.join(kept, docs["doc_id"].cast("long") == kept["_id"], "left_semi")
+    out = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
     repeated = stage(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "minhash-repeated")
     if not repeated.isEmpty():
         again = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
