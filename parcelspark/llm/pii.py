@@ -1,16 +1,20 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction.
 
 Emails, IP addresses, card and phone numbers are found by fixed patterns. They
-seed the bootstrap: the words around an identifier-like string are its lexical
+seed the bootstrap: what stands around an identifier-like string are its lexical
 patterns, and each pattern is linked to the different strings (instances) that
-stand in it. Round by round, a pattern is worth the mean score of its instances
-for a kind (seeds have 1), damped for few instances, and an instance is worth
-the chance that at least one of its trusted patterns is right. Strings that no
-fixed pattern finds, but that score high, are spans of that kind too.
+stand in it. Patterns are the two words on the left, on the right, or one on each
+side; one word on either side with the string's shape; and a label before it
+("name:", "name =", "name#") with its shape. Round by round, a pattern is worth
+the lower bound (Wilson's, at Z) of the share of its instances that score for a
+kind (seeds have 1; an unknown string counts as UNKNOWN against it, a seed of
+another kind fully), and an instance is worth the chance that at least one of its
+trusted patterns is right. Strings that no fixed pattern finds, but that score
+high, are spans of that kind too.
 
 The pattern-instance graph is a table of Spark; sums are combined before every
 shuffle, and every round cuts the lineage. A pattern needs several different
-seeds to be trusted. Contexts of all texts count.
+seeds to be trusted. Contexts of all texts count, and words of any length.
 
 Defined results: null and empty texts have no spans; positions are code points;
 a row is known by its id and text, so that rows with the same id are scanned
@@ -19,14 +23,20 @@ each on its own and exact repeats get the same result. Extra columns are dropped
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
 
+#: Normal quantile of a pattern's lower bound, and what an unknown instance counts against a pattern.
+Z, UNKNOWN = 1.64, 0.5
+#: Characters of a word that a pattern holds as it is.
+LONG = 64
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -84,28 +94,55 @@ def spans_text(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-def _words(text: str) -> list[str]:
-    return [w for w in (re.sub(r"\W+", "", x).lower() for x in text.split()) if w]
+_WORD = re.compile(r"\w+")
+_LABEL = re.compile(r"\s*[:=#]\s*[\"'(]*")
 
 
-def _context(text: str, start: int, end: int) -> list[str]:
-    left, right = _words(text[max(0, start - 60) : start])[-2:], _words(text[end : end + 40])[:2]
-    out = []
-    if len(left) == 2:
-        out.append("l2 " + " ".join(left))
-    if left and right:
-        out.append(f"lr {left[-1]} {right[0]}")
-    if len(right) == 2:
-        out.append("r2 " + " ".join(right))
-    return out
+def shape(value: str) -> str:
+    """A string's kinds of characters: runs of digits with their length, runs of letters, and all others as they are."""
+    digits = re.sub(r"[0-9]+", lambda m: f"9{len(m[0])}", re.sub(r"[^\W0-9_]+", "a", value))
+    return digits if len(digits) <= LONG else _short(digits)
+
+
+def _short(word: str) -> str:
+    """The word, or what stands for a very long one."""
+    return word if len(word) <= LONG else "#" + hashlib.md5(word.encode()).hexdigest()
+
+
+class Contexts:
+    """The words of a text, and the patterns around a string in it."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.words = [m.span() for m in _WORD.finditer(text)]
+        self.starts = [s for s, _ in self.words]
+
+    def around(self, start: int, end: int) -> list[str]:
+        low, high = bisect.bisect_left(self.starts, start), bisect.bisect_left(self.starts, end)
+        word = lambda i: _short(self.text[slice(*self.words[i])].lower())
+        left = [word(i) for i in range(max(0, low - 2), low)]
+        right = [word(i) for i in range(high, min(high + 2, len(self.words)))]
+        kind = shape(self.text[start:end])
+        out = []
+        if left:
+            out.append(f"l1 {left[-1]} {kind}")
+            if _LABEL.fullmatch(self.text, self.words[low - 1][1], start):
+                out.append(f"label {left[-1]} {kind}")
+        if right:
+            out.append(f"r1 {right[0]} {kind}")
+        if len(left) == 2:
+            out.append("l2 " + " ".join(left))
+        if left and right:
+            out.append(f"lr {left[-1]} {right[0]}")
+        if len(right) == 2:
+            out.append("r2 " + " ".join(right))
+        return out
 
 
 def candidates(text: str, base: list) -> list[dict]:
     """Identifier-like strings with their contexts; a seed has its kind, others -1."""
-    out, taken = [], []
-    for k, s, e in base:
-        out.append({"start": s, "end": e, "kind": k, "value": text[s:e], "patterns": _context(text, s, e)})
-        taken.append((s, e))
+    found = [(s, e, k) for k, s, e in base]
+    taken = [(s, e) for _, s, e in base]
     taken.sort()
     for finder in (_NUMBER, _AT):
         place = 0
@@ -119,8 +156,9 @@ def candidates(text: str, base: list) -> list[dict]:
                 continue
             if (s and text[s - 1].isalnum()) or (e < len(text) and text[e].isalnum()):
                 continue
-            out.append({"start": s, "end": e, "kind": -1, "value": m[0], "patterns": _context(text, s, e)})
-    return out
+            found.append((s, e, -1))
+    contexts = Contexts(text) if found else None
+    return [{"start": s, "end": e, "kind": k, "value": text[s:e], "patterns": contexts.around(s, e)} for s, e, k in found]
 
 
 _ENTITY = "start: int, end: int, kind: int, value: string, patterns: array<string>"
@@ -148,19 +186,34 @@ def entities(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, found array<struct<{_ENTITY}>>")
 
 
+def lower_bound(share: Column, n: Column, z: float = Z) -> Column:
+    """Wilson's lower bound of a share of ``n``."""
+    return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def bootstrap(found: DataFrame, rounds: int = 3, least_seeds: int = 5, trust: float = 0.7, least_score: float = 0.9) -> DataFrame:
-    """(value, kind): strings that trusted patterns discover, from (value, kind, patterns) of all entities."""
+    """(value, kind): strings that trusted patterns discover, from (value, kind, patterns) of all entities.
+
+    A pattern is trusted for a kind from ``least_seeds`` different seeds and a
+    worth of ``trust`` on, and a string found from a score of ``least_score`` on.
+    """
     edges = found.select("value", F.explode("patterns").alias("pattern")).distinct()
     edges = stage(edges, "pii-edges")
     seeds = found.where("kind >= 0").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
-    size = edges.groupBy("pattern").agg(F.count("*").alias("n"))
     scores = seeds = stage(seeds, "pii-seeds")
+    # Patterns without enough seeds of a kind are never trusted: they are left out once and for all.
+    able = edges.join(seeds, "value").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_seeds)
+    able = stage(able, "pii-able")
+    edges = stage(edges.join(able.select("pattern").distinct(), "pattern", "left_semi"), "pii-edges")
+    is_seed = seeds.select("value", F.lit(1).alias("seed")).distinct()
+    size = edges.join(is_seed, "value", "left").groupBy("pattern").agg(F.count("*").alias("n"), F.count("seed").alias("n_seeds"))
+    able = stage(able.join(size, "pattern"), "pii-able")
     for _ in range(rounds):
-        worth = edges.join(scores, "value").groupBy("pattern", "kind").agg(
-            F.sum("score").alias("got"), F.count_if(F.col("score") == 1).alias("seeds")
-        )
-        worth = worth.join(size, "pattern").where(F.col("seeds") >= least_seeds)
-        worth = worth.withColumn("worth", F.col("got") / (F.col("n") + 1)).where(F.col("worth") >= trust)
+        got = edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("got"))
+        worth = got.join(able, ["pattern", "kind"])
+        unknown = F.col("n") - F.col("n_seeds") - (F.col("got") - F.col("seeds"))
+        judged = F.col("n_seeds") + (F.col("got") - F.col("seeds")) + UNKNOWN * unknown
+        worth = worth.withColumn("worth", lower_bound(F.col("got") / judged, judged)).where(F.col("worth") >= trust)
         doubt = edges.join(worth, "pattern").groupBy("value", "kind").agg(F.sum(F.log1p(-F.col("worth"))).alias("doubt"))
         new = doubt.select("value", "kind", F.round(1 - F.exp("doubt"), 9).alias("score"))
         scores = stage(new.union(seeds).groupBy("value", "kind").agg(F.max("score").alias("score")), "pii-scores")
