@@ -7,7 +7,9 @@ diagonal, neighbouring diagonals (a word put in or left out) are merged, and a
 merged span is verified by the share of the template's words that its hits,
 whose words are compared and not only their hashes, cover.
 
-The templates are fixed, a few hundred k-grams; they are the broadcast side.
+Templates are rows of a table (label, text): ``license_texts`` has whole public
+licenses and notices, and ``scan`` takes any other table of TEMPLATE_BYTES of text
+at most. Their k-grams are the broadcast side, and do not grow with the documents.
 
 Defined results: null and empty texts have no words and no labels; a row is
 known by its id and its text, so that rows with the same id are scanned each on
@@ -24,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import gram_hashes, span_hashes, stage, text_slices, words_of
+from .license_texts import TEXTS
 
 K = 3
 
@@ -34,25 +37,8 @@ PHRASES = (
     ("cc-by-nc", "cc by nc"),
 )
 
-# Opening notices of public licenses, and their labels.
-TEMPLATES = (
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "Licensed under the Apache License, Version 2.0."),
-    ("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("gpl-3", "licensed under the GNU General Public License, version 3."),
-    ("gpl-3", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("lgpl-3", "under the terms of the GNU Lesser General Public License, version 3"),
-    ("agpl-3", "under the terms of the GNU Affero General Public License, version 3"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2", "subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-nc", "licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
-    ("cc-by-sa", "licensed under a Creative Commons Attribution ShareAlike 4.0 International License"),
-    ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
-    ("isc", "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-)
+#: Bytes of templates that are sent to tasks, at most.
+TEMPLATE_BYTES = 16 << 20
 
 _GAP = np.ones(256, bool)
 _GAP[ord("0") : ord("9") + 1] = _GAP[ord("a") : ord("z") + 1] = _GAP[ord("A") : ord("Z") + 1] = _GAP[128:] = False
@@ -147,9 +133,19 @@ def places(hits: DataFrame, grams: list) -> DataFrame:
     return whole.where(F.col("count") == F.col("length") - K + 1).drop("count", "length")
 
 
-def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, least_share: float = 0.75) -> DataFrame:
+def license_table(spark: SparkSession) -> DataFrame:
+    """The templates as a table (label, text)."""
+    return spark.createDataFrame(list(TEXTS), "label string, text string")
+
+
+def scan(docs: DataFrame, templates: DataFrame | None = None, phrases=PHRASES, least_share: float = 0.75) -> DataFrame:
     """Per document: words, places of phrases, labels from both, and the best verified share as its score."""
-    base, more = template_grams(phrases), template_grams(templates)
+    templates = license_table(docs.sparkSession) if templates is None else templates
+    templates = templates.where("text is not null").select("label", "text")
+    if (templates.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > TEMPLATE_BYTES:
+        raise ValueError(f"more than {TEMPLATE_BYTES} bytes of templates: scan the documents with a part of them at a time")
+    known = [tuple(r) for r in templates.collect()]
+    base, more = template_grams(phrases), template_grams(known)
     rows = stage(gram_hits(docs, base + more), "license-hits")
     hits = rows.where(F.size("hits") > 0)
     exact = places(hits, base).groupBy("doc_id", "text_hash").agg(
@@ -175,8 +171,3 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, least_share: flo
         joined(F.col("base"), F.col("more")).alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.least(F.coalesce("share", F.lit(0.0)), F.lit(1.0))).alias("score"),
     )
-
-
-def license_table(spark: SparkSession) -> DataFrame:
-    """The templates as a table (label, text)."""
-    return spark.createDataFrame(list(PHRASES + TEMPLATES), "label string, text string")
