@@ -3,7 +3,9 @@
 Documents are dealt to chunks of a few MB by a hash of their id. A chunk's
 different hashes, sorted, are cut into buckets by value, and a bucket gets one
 compact row from every chunk: however often a hash stands in a chunk, it counts
-once, so that no bucket grows with a hot key. A bucket answers each chunk with
+once, so that no bucket grows with a hot key. Buckets without a hash of a chunk
+get no row from it: rows are chunks times buckets while that is less than the
+hashes, and a row a hash beyond that, never more. A bucket answers each chunk with
 one bit for each of its hashes, in the chunk's order. The chunk, worked out anew
 from the same shuffled texts, knows its hashes in that order and reads the bits.
 
@@ -19,21 +21,28 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_long
+
 CHUNK_BYTES = 8 << 20
 ANSWERS = "chunk int, turn int, bucket int, bits binary"
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
     """``docs`` as (chunk, id, text), dealt by chunk, and the number of chunks."""
+    docs = with_long(docs, "doc_id")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // chunk_bytes))
     rows = docs.select(
         F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk"),
-        F.col("doc_id").cast("long").alias("id"),
+        F.col("doc_id").alias("id"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(max(n, partitions), "chunk"), n
+    return by_number(rows, "chunk", n), n
+
+
+def by_number(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """``rows`` dealt by a column of ``n`` numbers, to as many tasks."""
+    return rows.repartition(max(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), column)
 
 
 def bucket_edges(sorted_hashes: np.ndarray, n_buckets: int) -> np.ndarray:

@@ -11,12 +11,14 @@ the maximal exact repeats.
 
 Both look-ups move compact rows between chunks and buckets (see ``chunks``).
 Blocks are matched by 40 bits and the bucket; that can only add candidates.
-Windows are matched by 64-bit hashes of words, scrambled in order.
+Windows are equal if 128-bit hashes of their words, in order, are: two halves of
+different polynomials over all bytes.
 
 Defined results: null and empty texts have no words; a document of fewer words
 than a window keeps all; rows with the same id are one document's, none smaller
-than the other; a null id counts as smaller than all others. Extra columns are
-dropped.
+than the other; ids are of any integer type and returned as long, others are
+refused with a TypeError; a null id counts as smaller than all others. Extra
+columns are dropped.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunks import ANSWERS, answer, chunked, groups_of, read_answer, read_keys, read_values, to_buckets
-from .common import gram_hashes, span_hashes, text_bytes, words_of
+from .chunks import ANSWERS, answer, by_number, chunked, groups_of, read_answer, read_keys, read_values, to_buckets
+from .common import SECOND_BASE, gram_hashes, span_hashes, text_bytes, words_of
 
 _NO_ID = np.iinfo(np.int64).min
 
@@ -65,16 +67,23 @@ class _Words:
         return h[at][order][new], flags | (two.astype(np.uint8) << 1), at, place
 
     def windows(self, hit_words: np.ndarray):
-        """(start, hash) of the windows that hold a hit block."""
+        """(start, hash, second hash) of the windows that hold a hit block."""
         h, whole = self.grams(self.window)
         if not len(h):
-            return np.zeros(0, np.int64), h
+            return np.zeros(0, np.int64), h, h
         hits = np.zeros(len(self.of) + 1, np.int64)
         hits[1 + hit_words] = 1
         hits = np.cumsum(hits)
         inside = self.window - self.block + 1
         start = np.flatnonzero(whole & (hits[np.arange(len(h)) + inside] > hits[: len(h)]))
-        return start, h[start]
+        # The second halves need the words of these windows alone.
+        edge = np.zeros(len(self.of) + 1, np.int64)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + self.window, -1)
+        some = np.cumsum(edge)[:-1] > 0
+        second = np.zeros(len(self.of), np.uint64)
+        second[some] = span_hashes(self.data, self.starts[some], self.ends[some], SECOND_BASE)
+        return start, h[start], gram_hashes(second, self.window)[start]
 
 
 def _first_turn(n_buckets: int, window: int):
@@ -98,32 +107,43 @@ def _meet_blocks(table: pa.Table) -> pa.Table:
     return answer(table, edges, bits)
 
 
+def _pairs_of(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that sorts (key, check), and where each new pair begins in it."""
+    order = np.lexsort((checks, keys))
+    k, c = keys[order], checks[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    return order, np.flatnonzero(new)
+
+
 def _candidates(words: _Words, answers: pa.Table, n_buckets: int):
+    """Starts of the candidate windows, their sorted different hashes (both halves), each one's place there, its id, and the least id of each."""
     h, _, at, place = words.blocks()
     hit = read_answer(answers, 1, h, n_buckets)
-    start, wide = words.windows(at[hit[place]])
-    order, new = groups_of(wide)
+    start, wide, check = words.windows(at[hit[place]])
+    order, new = _pairs_of(wide, check)
     place = np.empty(len(wide), np.int64)
     place[order] = np.cumsum(np.isin(np.arange(len(wide)), new, assume_unique=True)) - 1
     ids = words.ids[words.of[start]]
     least = np.minimum.reduceat(ids[order], new) if len(new) else ids
-    return start, wide[order][new], place, ids, least
+    return start, wide[order][new], check[order][new], place, ids, least
 
 
 def _second_turn(n_buckets: int, window: int):
     def run(key, table, answers):
+        none = np.zeros(0, np.uint64)
         if not table.num_rows:
-            return to_buckets(0, 2, np.zeros(0, np.uint64), n_buckets, 8, ids=np.zeros(0, np.int64))
-        _, wide, _, _, least = _candidates(_Words(table, window), answers, n_buckets)
-        return to_buckets(key[0].as_py(), 2, wide, n_buckets, 8, ids=least)
+            return to_buckets(0, 2, none, n_buckets, 8, check=none, ids=np.zeros(0, np.int64))
+        _, wide, check, _, _, least = _candidates(_Words(table, window), answers, n_buckets)
+        return to_buckets(key[0].as_py(), 2, wide, n_buckets, 8, check=check, ids=least)
 
     return run
 
 
 def _meet_windows(table: pa.Table) -> pa.Table:
     keys, edges = read_keys(table.column("keys"), 8)
-    ids = read_values(table.column("ids"), np.int64)
-    order, new = groups_of(keys)
+    checks, ids = read_values(table.column("check"), np.uint64), read_values(table.column("ids"), np.int64)
+    order, new = _pairs_of(keys, checks)
     least = np.minimum.reduceat(ids[order], new)
     bits = np.empty(len(keys), bool)
     bits[order] = ids[order] > np.repeat(least, np.diff(np.append(new, len(keys))))
@@ -151,7 +171,7 @@ def _joined(words: _Words, kept: np.ndarray) -> pa.Array:
 def _remove(n_buckets: int, window: int):
     def run(key, table, answers):
         words = _Words(table, window)
-        start, wide, place, ids, least = _candidates(words, answers, n_buckets)
+        start, wide, _, place, ids, least = _candidates(words, answers, n_buckets)
         later = read_answer(answers, 2, wide, n_buckets)
         gone = start[later[place] | (ids > least[place])] if len(start) else start
         cover = np.zeros(len(words.of) + 1, np.int64)
@@ -186,9 +206,9 @@ def dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     row = "chunk int, turn int, bucket int, keys binary"
     by_chunk = texts.groupBy("chunk")
     first = by_chunk.applyInArrow(_first_turn(n, window), f"{row}, flags binary")
-    first = first.groupBy("bucket").applyInArrow(_meet_blocks, ANSWERS)
-    second = by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(_second_turn(n, window), f"{row}, ids binary")
-    second = second.groupBy("bucket").applyInArrow(_meet_windows, ANSWERS)
+    first = by_number(first, "bucket", n).groupBy("bucket").applyInArrow(_meet_blocks, ANSWERS)
+    second = by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(_second_turn(n, window), f"{row}, check binary, ids binary")
+    second = by_number(second, "bucket", n).groupBy("bucket").applyInArrow(_meet_windows, ANSWERS)
     answers = first.union(second)
     out = "doc_id long, n_words long, n_removed long, spans array<struct<start: int, end: int>>, text string"
     return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_remove(n, window), out)
