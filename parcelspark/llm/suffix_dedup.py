@@ -9,16 +9,18 @@ common prefixes of neighbours in the two orders, for each place of the string
 about the anchor. All but the first of a class, by document id and start, go.
 
 A gram that stands more than ``hot`` times is not gathered: the strings around
-its anchors are matched one by one, by their 64-bit hashes, each once a chunk, so
-that no task gets all of them.
+its anchors are matched one by one, by 128-bit hashes, each once a chunk, so that
+no task gets all of them.
 
-Texts move once, and gathered are only suffixes of ``length`` bytes that differ
-within a chunk (see ``chunks``).
+Texts move once, and gathered are only suffixes of ``length`` bytes whose
+surroundings differ, byte by byte, within a chunk (see ``chunks``).
 
 Defined results: null and empty texts have no bytes; texts shorter than
 ``length`` keep all; matches never cross documents; rows with the same id are
 one document's, and strings at the same start of it are none before the other;
-a null id counts as smaller than all others. Extra columns are dropped.
+ids are of any integer type and returned as long, others are refused with a
+TypeError; a null id counts as smaller than all others; a ``length`` beyond 24 to
+255 is refused with a ValueError. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -27,15 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunks import answer, bucket_edges, chunked, groups_of, read_answer, read_keys, read_values, to_buckets
-from .common import mix64, span_hashes, text_bytes
+from .chunks import answer, bucket_edges, by_number, chunked, groups_of, read_answer, read_keys, read_values, to_buckets
+from .common import SECOND_BASE, mix64, span_hashes, text_bytes
 from .suffixes import class_depths
 
 K = 24
 #: Bytes of text in one chunk: a task holds some 40 times as much.
 CHUNK_BYTES = 4 << 20
 #: Places of one gram that are still gathered.
-HOT = 20_000
+HOT = 100_000
 _NO_ID = np.iinfo(np.int64).min
 _A = 0x9E3779B97F4A7C15
 
@@ -90,7 +92,7 @@ class _Chunk:
         self.places, self.hashes = anchors(self.data, self.offsets, length)
         order, new = groups_of(self.hashes)
         self.different = self.hashes[order][new]
-        self.count = np.minimum(np.diff(np.append(new, len(order))), 65535).astype(np.uint16)
+        self.count = np.diff(np.append(new, len(order))).astype(np.uint32)
 
     def gathered(self, chosen: np.ndarray):
         """Anchors of the chosen grams, sorted by gram, the first of each surrounding first; and each one's first."""
@@ -101,16 +103,35 @@ class _Chunk:
         right = np.minimum(self.offsets[row + 1] - place, self.length)
         around = span_hashes(self.data, place - left, place + right) + mix64(left * 1000 + right)
         start = place - self.offsets[row]
-        order = np.lexsort((start, self.ids[row], around, gram))
-        place, gram, row, left, right, around, start = (x[order] for x in (place, gram, row, left, right, around, start))
-        new = np.ones(len(place), bool)
-        new[1:] = (gram[1:] != gram[:-1]) | (around[1:] != around[:-1])
-        first = np.flatnonzero(new)
+        while True:
+            order = np.lexsort((start, self.ids[row], around, gram))
+            place, gram, row, left, right, around, start = (x[order] for x in (place, gram, row, left, right, around, start))
+            new = np.ones(len(place), bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (around[1:] != around[:-1])
+            first = np.flatnonzero(new)
+            head = first[np.cumsum(new) - 1]
+            alike = (left == left[head]) & (right == right[head])
+            alike[alike] = self.same_bytes((place - left)[alike], (place - left)[head][alike], (left + right)[alike])
+            if alike.all():
+                break
+            around[~alike] = mix64(around[~alike] + np.uint64(1))  # other bytes of one hash
         return {
             "place": place, "gram": gram, "id": self.ids[row], "start": start, "left": left.astype(np.uint8), "right": right.astype(np.uint8),
             "first": first, "of": np.cumsum(new) - 1,
         }
 
+    def same_bytes(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the ``size`` bytes (8 or more) from ``a`` are those from ``b``, eight at a time."""
+        eight = np.ndarray((max(len(self.data) - 7, 0),), "<u8", np.ascontiguousarray(self.data), strides=(1,))
+        same, open_ = np.ones(len(a), bool), np.flatnonzero(a != b)
+        for at in range(0, int(size.max(initial=0)), 8):
+            open_ = open_[at < size[open_]]
+            low = np.minimum(at, size[open_] - 8)
+            fits = eight[a[open_] + low] == eight[b[open_] + low]
+            same[open_[~fits]] = False
+            open_ = open_[fits]
+        return same
+
     def bytes_around(self, place, left, right) -> np.ndarray:
         """A row an anchor: ``side`` bytes before it read backwards, then ``length`` from it; zeros beyond the text."""
         out = np.zeros((len(place), self.side + self.length), np.uint8)
@@ -134,7 +155,7 @@ def _first_turn(n_buckets: int, length: int):
 def _meet_grams(hot: int):
     def run(table: pa.Table) -> pa.Table:
         keys, edges = read_keys(table.column("keys"), 5)
-        count = read_values(table.column("count"), np.uint16).astype(np.int64)
+        count = read_values(table.column("count"), np.uint32).astype(np.int64)
         order, new = groups_of(keys)
         total = np.empty(len(keys), np.int64)
         total[order] = np.repeat(np.add.reduceat(count[order], new), np.diff(np.append(new, len(keys))))
@@ -145,18 +166,26 @@ def _meet_grams(hot: int):
 
 
 def _strings(chunk: _Chunk, x: dict) -> dict:
-    """All strings around the first anchors of ``x``: anchor, o, hash, id and start, with the different hashes' order."""
+    """All strings around the first anchors of ``x``: anchor, o, hash (both halves), id and start, with the different hashes' order."""
     f, length, side = x["first"], chunk.length, chunk.side
     o = np.arange(side + 1)[None]
     i, o = np.nonzero((o <= x["left"][f, None]) & (length - o <= x["right"][f, None]))
     begin = x["place"][f][i] - o
     by_place = np.argsort(begin, kind="stable")
     i, o, begin = i[by_place], o[by_place], begin[by_place]
-    h = span_hashes(chunk.data, begin, begin + length)
+    h, check = (span_hashes(chunk.data, begin, begin + length, *base) for base in ((), (SECOND_BASE,)))
     ids, start = x["id"][f][i], x["start"][f][i] - o
-    order = np.lexsort((start, ids, h))
-    new = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1])) if len(h) else np.zeros(0, np.int64)
-    return {"anchor": i, "o": o, "hash": h[order][new], "id": ids, "start": start, "order": order, "new": new}
+    order, new = _classes(h, check, ids, start)
+    return {"anchor": i, "o": o, "hash": h[order][new], "check": check[order][new], "id": ids, "start": start, "order": order, "new": new}
+
+
+def _classes(h: np.ndarray, check: np.ndarray, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by hash, the earliest of each first, and where each new hash begins in it."""
+    order = np.lexsort((start, ids, check, h))
+    h, check = h[order], check[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
+    return order, np.flatnonzero(new)
 
 
 def _second_turn(n_buckets: int, length: int):
@@ -172,7 +201,9 @@ def _second_turn(n_buckets: int, length: int):
         s = _strings(chunk, chunk.gathered(read_answer(answers, 3, chunk.different, n_buckets)))
         least = s["order"][s["new"]]
         none = np.zeros((len(least), 0), np.uint8)
-        alone = to_buckets(number, 4, s["hash"], n_buckets, 8, id=s["id"][least], start=s["start"][least], left=none, right=none, around=none)
+        alone = to_buckets(
+            number, 4, s["hash"], n_buckets, 8, id=s["id"][least], start=s["start"][least], left=none, right=none, around=s["check"]
+        )
         return pa.concat_tables([gathered, alone])
 
     return run
@@ -235,8 +266,7 @@ def _meet_suffixes(length: int):
 
     def alone(table: pa.Table) -> pa.Table:
         keys, edges, ids, start = values(table)
-        order = np.lexsort((start, ids, keys))
-        new = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+        order, new = _classes(keys, read_values(table.column("around"), np.uint64), ids, start)
         first = np.repeat(order[new], np.diff(np.append(new, len(keys))))
         bits = np.empty(len(keys), bool)
         bits[order] = (ids[order] > ids[first]) | (start[order] > start[first])
@@ -318,14 +348,16 @@ def _remove(n_buckets: int, length: int):
 
 def dedup(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept): the bytes left of every document, and the removed runs."""
+    if not K <= length <= 255:
+        raise ValueError(f"length is {length}: strings of {K} to 255 bytes can be found")
     texts, n = chunked(docs, CHUNK_BYTES)
     by_chunk = texts.groupBy("chunk")
     row, back = "chunk int, turn int, bucket int, keys binary", "chunk int, turn int, bucket int, bits binary"
     first = by_chunk.applyInArrow(_first_turn(n, length), f"{row}, count binary")
-    first = first.groupBy("bucket").applyInArrow(_meet_grams(hot), back)
+    first = by_number(first, "bucket", n).groupBy("bucket").applyInArrow(_meet_grams(hot), back)
     second = by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(
         _second_turn(n, length), f"{row}, id binary, start binary, left binary, right binary, around binary"
     )
-    second = second.groupBy("bucket").applyInArrow(_meet_suffixes(length), back)
+    second = by_number(second, "bucket", n).groupBy("bucket").applyInArrow(_meet_suffixes(length), back)
     out = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
     return by_chunk.cogroup(first.union(second).groupBy("chunk")).applyInArrow(_remove(n, length), out)

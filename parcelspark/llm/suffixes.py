@@ -69,6 +69,47 @@ def blind_order(texts: list[bytes]) -> list[int]:
     return trie.order()
 
 
+def multikey_quicksort(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the rows of a matrix by their first ``depth`` columns, the places still tied in it, and where each tie begins.
+
+    Ternary partitioning: a segment is split about a pivot, the median of three of
+    its keys; the part of equal keys goes on with the next column, the others with
+    the same. All open segments are split in one step, so that the steps are as
+    many as the deepest recursion.
+    """
+    n = len(words)
+    order, start, column = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    open_ = np.arange(n) if n > 1 and depth else np.zeros(0, np.int64)  # places of segments of two or more
+    while len(open_):
+        segment = start[open_]
+        first = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
+        size = np.diff(np.append(first, len(open_)))
+        key = words[order[open_], column[open_]]
+        a, b, c = key[first], key[first + size // 2], key[first + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), size)
+        base = np.repeat(first, size)
+        to, side = np.empty(len(open_), np.int64), np.empty(len(open_), np.int8)
+        for n_side, mask in enumerate((key < pivot, key == pivot, key > pivot)):
+            before = np.cumsum(mask) - mask
+            rank = before - np.repeat(before[first], size)
+            to[mask], side[mask] = (base + rank)[mask], n_side
+            base = base + np.repeat(np.add.reduceat(mask.astype(np.int64), first), size)
+        moved = np.empty(len(open_), np.int64)
+        moved[to] = order[open_]
+        order[open_] = moved
+        moved[to] = side
+        new = np.append(True, (segment[1:] != segment[:-1]) | (moved[1:] != moved[:-1]))
+        start[open_] = open_[np.maximum.accumulate(np.where(new, np.arange(len(open_)), 0))]
+        column[open_] += moved == 1
+        alone = new & np.append(new[1:], True)
+        open_ = open_[~alone & (column[open_] < depth)]
+    tied = np.append(start[1:] == start[:-1], False)
+    tied[1:] |= tied[:-1]
+    if not depth:
+        tied[:] = n > 1
+    return order, np.flatnonzero(tied), start
+
+
 def sort_suffixes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows of a byte matrix, and each one's common prefix with the one before (0 for the first).
 
@@ -78,21 +119,8 @@ def sort_suffixes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n, width = rows.shape
     padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
     padded[:, :width] = rows
-    words = padded.view(">u8")
-    order, group = np.arange(n), np.zeros(n, np.int64)
-    open_ = np.arange(n)  # places in the order that are still tied
-    for level in range(min(SHALLOW // 8, words.shape[1])):
-        if not len(open_):
-            break
-        key = words[order[open_], level].astype(np.uint64)
-        inner = np.lexsort((key, group[open_]))
-        order[open_] = order[open_][inner]
-        key, tied = key[inner], group[open_]
-        new = np.ones(len(open_), bool)
-        new[1:] = (tied[1:] != tied[:-1]) | (key[1:] != key[:-1])
-        group[open_] = open_[np.maximum.accumulate(np.where(new, np.arange(len(open_)), 0))]
-        alone = new & np.append(new[1:], True)
-        open_ = open_[~alone]
+    words = padded.view(">u8").astype(np.uint64)
+    order, open_, group = multikey_quicksort(words, min(SHALLOW // 8, words.shape[1]))
     if len(open_):
         tied = group[open_]
         edges = np.append(np.flatnonzero(np.append(True, tied[1:] != tied[:-1])), len(open_))
