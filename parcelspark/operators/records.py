@@ -5,9 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.catalog import SPLIT_NAMES
+SPLIT_NAMES = ("train", "val", "test")
+#: Stretches of a shuffled order.
+STRETCHES = 1024
 
 
 def named(countries: str | list[str]) -> list[str]:
@@ -24,11 +27,12 @@ def usable(patches: DataFrame) -> DataFrame:
     return patches.where("usable_pair")
 
 
-def split_records(patches: DataFrame, chips: DataFrame, countries, split: str, usable_only: bool = True) -> DataFrame:
+def split_records(patches: DataFrame, chips: DataFrame, countries, split: str, usable_only: bool = True, may_be_empty: bool = False) -> DataFrame:
     """Patches of a split: the index joined to its chips by country and patch.
 
     Filters come before the join and reach the scans; the join is left to Spark,
-    which broadcasts the chips while they are small.
+    which broadcasts the chips while they are small. A split without any record is
+    a ValueError here and now, unless it may be empty.
     """
     if split not in SPLIT_NAMES:
         raise ValueError(f"split is one of {SPLIT_NAMES}, not {split!r}")
@@ -36,7 +40,10 @@ def split_records(patches: DataFrame, chips: DataFrame, countries, split: str, u
     patches = usable(patches) if usable_only else patches
     patches = patches.withColumn("patch_id", F.col("patch_id").cast("string"))
     chips = of_countries(chips, countries).where(F.col("split") == split)
-    return patches.join(chips.select("country", F.col("aoi_id").cast("string").alias("patch_id")), ["country", "patch_id"])
+    records = patches.join(chips.select("country", F.col("aoi_id").cast("string").alias("patch_id")), ["country", "patch_id"])
+    if not may_be_empty and records.isEmpty():
+        raise ValueError(f"no patch of {', '.join(named(countries))} is in {split}")
+    return records
 
 
 def split_union(patches: DataFrame, chips: DataFrame, countries: list[str], split: str, usable_only: bool = True) -> DataFrame:
@@ -47,6 +54,41 @@ def split_union(patches: DataFrame, chips: DataFrame, countries: list[str], spli
     return reduce(DataFrame.unionByName, parts)
 
 
+def nth(records: DataFrame, place: int) -> DataFrame:
+    """The record at a place, from 0, in the order of country and patch; a place beyond the last is an IndexError."""
+    one = records.orderBy("country", "patch_id").offset(max(place, 0)).limit(1)
+    if place < 0 or one.isEmpty():
+        raise IndexError(f"no record {place}")
+    return one
+
+
+def batches(samples: DataFrame, size: int, epoch: int = 0, seed: int = 7, training: bool = False) -> DataFrame:
+    """``samples`` with ``batch`` and ``place`` in it: ``size`` rows a batch, the last may have fewer.
+
+    In training the order is a shuffle by a hash of seed, epoch and sample, else
+    that of country and patch. Rows are ranked within stretches of the order and
+    stretches by their counts, so that no task sorts them all.
+    """
+    if training:
+        at = F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), "country", "patch_id"), F.lit(STRETCHES)).cast("int")
+        order = [F.xxhash64("patch_id", F.lit(epoch), F.lit(seed)), F.col("country"), F.col("patch_id")]
+        samples = samples.withColumn("_stretch", at.cast("string"))
+    else:
+        order = [F.col("country"), F.col("patch_id")]
+        samples = samples.withColumn("_stretch", F.concat_ws("/", "country", F.substring("patch_id", 1, 3)))
+    counts = samples.groupBy("_stretch").agg(F.count("*").alias("_n"))
+    before = W.orderBy(F.col("_stretch").cast("int") if training else F.col("_stretch")).rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    ranked = samples.withColumn("_rank", F.row_number().over(W.partitionBy("_stretch").orderBy(*order)) - 1)
+    ranked = ranked.join(counts, "_stretch").withColumn("_rank", F.col("_rank") + F.col("_before"))
+    return ranked.withColumns({"batch": F.expr(f"_rank div {size}"), "place": (F.col("_rank") % size).cast("int")}).drop("_stretch", "_n", "_before", "_rank")
+
+
+def absent(wanted: DataFrame, there: DataFrame, on: str = "country") -> DataFrame:
+    """Names that are wanted and not there."""
+    return wanted.select(on).join(there.select(on).distinct(), on, "left_anti")
+
+
 def joined_path(root: str, path: Column) -> Column:
     """An absolute path stands for itself."""
     return F.when(path.startswith("/"), path).otherwise(F.concat_ws("/", F.lit(root.rstrip("/")), path))

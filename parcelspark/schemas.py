@@ -5,6 +5,7 @@ CHIPS = "country string, aoi_id string, split string"
 #: Rasters are flat, row by row, band by band.
 RASTERS = "country string, patch_id string, h int, w int, gt array<int>, pred array<int>"
 
+# The columns of a metrics file, by name and in order.
 METRICS = (
     "pixel_level_iou", "pixel_level_precision", "pixel_level_recall",
     "object_pix_precision", "object_pix_recall", "object_pix_f1", "object_ws_precision", "object_ws_recall", "object_ws_f1",
