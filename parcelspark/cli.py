@@ -1,4 +1,4 @@
-"""Commands: check the layout, score rasters by country, report macro averages."""
+"""Commands: check the layout, evaluate a scorer on images, score finished rasters, report macro averages."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from . import regions, report
-from .operators import metrics
+from .operators import metrics, scorers
 from .schemas import METRICS
 from .sources import catalog
 
@@ -23,9 +23,18 @@ def parser() -> argparse.ArgumentParser:
     score.add_argument("--out", default="metrics")
     score.add_argument("--no-watershed", dest="watershed", action="store_false")
     score.add_argument("--metres", type=float, default=3.0, help="ground size of a pixel")
+    evaluate = sub.add_parser("eval", help="metrics of every country from images, with a scorer")
+    evaluate.add_argument("--scorer", required=True, help="module:function that makes a scorer")
+    evaluate.add_argument("--data", default="data", help="folder of the tables of samples")
+    evaluate.add_argument("--source", choices=sorted(scorers.SCALES), default="3m")
+    evaluate.add_argument("--out", default="metrics")
+    evaluate.add_argument("--no-tta", dest="tta", action="store_false", help="score an image once, not under eight symmetries")
+    evaluate.add_argument("--no-watershed", dest="watershed", action="store_false")
+    evaluate.add_argument("--h-min", dest="h", type=float, default=2.0, help="least height of a watershed seed")
+    evaluate.add_argument("--min-pad", dest="least", type=int, default=512, help="least side of a scored image")
     show = sub.add_parser("report", help="macro averages of a metrics file")
     show.add_argument("--metrics", required=True)
-    for command in (check, score, show):
+    for command in (check, score, evaluate, show):
         command.add_argument("--split", choices=sorted(regions.SPLITS), default="dense10")
     return p
 
@@ -38,14 +47,17 @@ def main(argv: list[str] | None = None) -> int:
         missing = sorted(r.country for r in catalog.missing_countries(spark, countries, args.root).collect())
         print(f"missing: {', '.join(missing)}" if missing else f"all {len(countries)} countries are there")
         return int(bool(missing))
+    path = args.metrics if args.command == "report" else args.out
     if args.command == "score":
         rows = metrics.country_metrics(catalog.rasters(spark, args.rasters, list(countries)), args.watershed, args.metres, args.rasters)
-        catalog.write_metrics(rows.select("checkpoint", "country", "n_patches", *METRICS), args.out)
-        path = args.out
-    else:
-        path = args.metrics
-    rows = catalog.metrics(spark, path)
-    means = metrics.macro_average(rows, countries, list(METRICS), catalog.country_column(rows))
+        catalog.write_metrics(rows, path)
+    elif args.command == "eval":
+        samples = catalog.samples(spark, args.data, args.source, list(countries))
+        make = scorers.named_factory(args.scorer)
+        rows = scorers.evaluated(samples, make, args.source, args.tta, args.watershed, args.scorer, args.least, args.h)
+        catalog.write_metrics(rows, path)
+    rows = catalog.by_country(catalog.metrics(spark, path))
+    means = metrics.macro_average(rows, countries, list(METRICS))
     n = means.first()
     print(f"macro average over {n.n_countries}/{n.n_expected} {args.split} countries")
     print("\n".join(report.lines(report.summary(means, args.split).collect())))

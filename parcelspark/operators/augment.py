@@ -8,12 +8,14 @@ gates are apart, in ``augmented``.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rasters as R
@@ -124,6 +126,12 @@ class Plan:
     jitter: float = 0.0
     jitter_pixels: int = 2
 
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Plan:
+        """The plan in a JSON file; a name that it does not know is a TypeError."""
+        text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+        return cls(**json.loads(text))
+
 
 def augment(image: np.ndarray, mask: np.ndarray, draws: Draws, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """One sample: image (bands, h, w) and mask (h, w). A gate is drawn for each change."""
@@ -171,8 +179,18 @@ def augment(image: np.ndarray, mask: np.ndarray, draws: Draws, plan: Plan) -> tu
     return x, mask
 
 
-def augmented(rasters: DataFrame, epoch: int, seed: int = 7, plan: Plan | None = None, training: bool = True) -> DataFrame:
-    """``rasters`` (patch_id, h, w, bands, image, mask, ...) changed for training; else only scaled."""
+#: A change of one's own: image (bands, h, w), mask (h, w) and the sample's draws to both.
+Change = Callable[[np.ndarray, np.ndarray, Draws], tuple[np.ndarray, np.ndarray]]
+
+
+def augmented(
+    rasters: DataFrame, epoch: int, seed: int = 7, plan: Plan | None = None, training: bool = True, changes: Sequence[Change] = ()
+) -> DataFrame:
+    """``rasters`` (patch_id, h, w, bands, image, mask, ...) changed for training; else only scaled.
+
+    ``changes`` come after those of the plan, in their order, in training; they
+    keep the sizes of image and mask.
+    """
     plan = plan or Plan()
     kept = [c for c in rasters.columns if c not in ("image", "mask")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rasters.select(*kept).schema)
@@ -185,7 +203,10 @@ def augmented(rasters: DataFrame, epoch: int, seed: int = 7, plan: Plan | None =
                 image = np.asarray(batch.column("image")[r].values, float).reshape(bands, h, w)
                 mask = np.asarray(batch.column("mask")[r].values, np.int32).reshape(h, w)
                 if training:
-                    image, mask = augment(image, mask, Draws(seed, epoch, str(batch.column("patch_id")[r].as_py())), plan)
+                    draws = Draws(seed, epoch, str(batch.column("patch_id")[r].as_py()))
+                    image, mask = augment(image, mask, draws, plan)
+                    for change in changes:
+                        image, mask = change(image, mask, draws)
                 else:
                     image = image / plan.scale
                 images.append(image.ravel().astype(np.float32))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import THRESHOLDS
-from .scoring import matched
+from ..functions.rasters import eval_relabelled
+from ..schemas import METRICS, THRESHOLDS
+from .scoring import matched, objects
 
 
 def ratio(n: Column, d: Column) -> Column:
@@ -103,29 +104,60 @@ def boundary_error(scored: DataFrame, metres: float = 3.0) -> DataFrame:
     )
 
 
-def country_metrics(rasters: DataFrame, watershed: bool = True, metres: float = 3.0, checkpoint: str = "") -> DataFrame:
-    """The whole metrics row of every country. Without watershed its columns are null."""
-    from ..functions.rasters import eval_relabelled
+def object_metrics(scored: DataFrame, metres: float = 3.0) -> DataFrame:
+    """All object metrics of every country from one pass over ``scored`` (with chamfer).
 
-    plain = objects_of(rasters, False)
-    scored = objects_of(rasters, True) if watershed else plain
+    A patch gives one row of counts and a row for each matched pair's boundary
+    distance; one aggregation takes both. Without such a pair its error is NaN.
+    """
+    pairs = matched(F.col("pairs"), 0.5)
+    tp = lambda t: F.size(matched(F.col("pairs"), t / 100)).cast("long")
+    quality = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["iou"].cast("double"))
+    none = F.lit(None)
+    counts = F.struct(
+        F.col("n_gt").cast("long").alias("n_gt"), F.col("n_pred").cast("long").alias("n_pred"), F.array(*(tp(t) for t in THRESHOLDS)).alias("tp"),
+        quality.alias("iou"), none.cast("double").alias("d"),
+    )
+    far = F.transform(
+        pairs,
+        lambda p: F.struct(
+            none.cast("long").alias("n_gt"), none.cast("long").alias("n_pred"), none.cast("array<bigint>").alias("tp"),
+            none.cast("double").alias("iou"), (p["chamfer"] * metres).alias("d"),
+        ),
+    )
+    each = scored.select("country", F.explode(F.concat(F.array(counts), far)).alias("x")).select("country", "x.*")
+    delta = F.abs(F.col("n_pred") - F.col("n_gt"))
+    nan = lambda c: F.coalesce(c, F.lit(float("nan")))
+    out = each.groupBy("country").agg(
+        F.count("n_gt").alias("n_patches"), F.sum("n_gt").alias("n_gt"), F.sum("n_pred").alias("n_pred"), F.sum("iou").alias("iou"),
+        *(F.sum(F.col("tp")[i]).alias(f"tp_{t}") for i, t in enumerate(THRESHOLDS)),
+        F.avg(delta).alias("polygon_count_delta_mean"), F.median(delta).cast("double").alias("polygon_count_delta_median"),
+        nan(F.avg("d")).alias("boundary_error_m_mean"), nan(F.percentile("d", F.lit(0.95))).alias("boundary_error_m_p95"),
+    )
+    counts_at = lambda t: (F.col(f"tp_{t}"), F.col("n_pred") - F.col(f"tp_{t}"), F.col("n_gt") - F.col(f"tp_{t}"))
+    hit, spare, missed = counts_at(THRESHOLDS[0])
+    out = out.withColumns(
+        {
+            "precision": ratio(hit, hit + spare), "recall": ratio(hit, hit + missed), "f1": f1(hit, spare, missed), "pq_sq": ratio(F.col("iou"), hit),
+            "pq_rq": f1(hit, spare, missed), "ap_5_95": sum((f1(*counts_at(t)) for t in THRESHOLDS), F.lit(0.0)) / len(THRESHOLDS),
+        }
+    )
+    return out.withColumn("pq", F.col("pq_sq") * F.col("pq_rq")).drop("iou", "n_gt", "n_pred", *(f"tp_{t}" for t in THRESHOLDS))
+
+
+def country_metrics(rasters: DataFrame, watershed: bool = True, metres: float = 3.0, checkpoint: str = "", h: float = 2.0) -> DataFrame:
+    """The whole metrics row of every country. Without watershed its columns are null."""
+    scored = object_metrics(objects(rasters, watershed, True, h), metres)
     pixels = pixel_confusion(rasters.withColumn("gt", eval_relabelled(F.col("gt"))), ["country"])
-    pixels = pixels.select("country", *(F.col(c).alias(f"pixel_level_{c}") for c in ("iou", "precision", "recall")))
-    by_pixel = with_ratios(match_counts(plain)).select("country", *(F.col(c).alias(f"object_pix_{c}") for c in ("precision", "recall", "f1")))
-    by_flood = with_ratios(match_counts(scored)).select(
-        "country", *((F.col(c) if watershed else F.lit(None).cast("double")).alias(f"object_ws_{c}") for c in ("precision", "recall", "f1"))
-    )
-    quality = panoptic(scored).select("country", "n_patches", F.col("sq").alias("pq_sq"), F.col("rq").alias("pq_rq"), "pq")
-    out = quality
-    for part in (pixels, by_pixel, by_flood, f1_grid(scored), count_delta(scored), boundary_error(scored, metres)):
-        out = out.join(part, "country", "left")
-    return out.withColumn("checkpoint", F.lit(checkpoint))
-
-
-def objects_of(rasters: DataFrame, watershed: bool) -> DataFrame:
-    from .scoring import objects
-
-    return objects(rasters, watershed=watershed, chamfer=True).persist()
+    out = scored.join(pixels.select("country", *(F.col(c).alias(f"pixel_level_{c}") for c in ("iou", "precision", "recall"))), "country", "left")
+    names = ("precision", "recall", "f1")
+    if watershed:
+        plain = with_ratios(match_counts(objects(rasters))).select("country", *(F.col(c).alias(f"object_pix_{c}") for c in names))
+        out = out.join(plain, "country", "left").withColumnsRenamed({c: f"object_ws_{c}" for c in names})
+    else:
+        out = out.withColumnsRenamed({c: f"object_pix_{c}" for c in names})
+        out = out.withColumns({f"object_ws_{c}": F.lit(None).cast("double") for c in names})
+    return out.select(F.lit(checkpoint).alias("checkpoint"), "country", "n_patches", *METRICS)
 
 
 def macro_average(rows: DataFrame, countries, metrics: list[str], country: str = "country") -> DataFrame:
@@ -133,3 +165,19 @@ def macro_average(rows: DataFrame, countries, metrics: list[str], country: str =
     rows = rows.where(F.col(country).isin(list(countries)))
     means = [F.avg(F.nanvl(F.col(m), F.lit(None).cast("double"))).alias(m) for m in metrics if m in rows.columns]
     return rows.agg(*means, F.count("*").alias("n_countries")).withColumn("n_expected", F.lit(len(list(countries))).cast("long"))
+
+
+def epoch_means(log: DataFrame, names: list[str]) -> DataFrame:
+    """(epoch, ...): means over the steps of every epoch of a training log, such as of the learning rate."""
+    return log.groupBy("epoch").agg(*(F.avg(n).alias(n) for n in names))
+
+
+def best_and_last(log: DataFrame, loss: str = "loss") -> DataFrame:
+    """(kind, epoch, loss) of the epochs whose models are kept: that of the least loss, the first of equals, and the last."""
+    real = F.nanvl(F.col(loss), F.lit(None).cast("double"))
+    row = F.struct("epoch", F.col(loss).alias("loss"))
+    picked = log.agg(
+        F.min_by(row, F.when(real.isNotNull(), F.struct(real, F.col("epoch")))).alias("best"), F.max_by(row, F.col("epoch")).alias("last")
+    )
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("row")) for k in ("best", "last")))
+    return picked.select(F.explode(each).alias("x")).where("x.row is not null").select("x.kind", "x.row.*")

@@ -25,24 +25,39 @@ def _patches(batch):
         yield r, grid
 
 
+#: Rows of one batch that leave a task, about.
+BATCH_ROWS = 1 << 16
+
+
 def _rows(rasters: DataFrame, rows, schema: str) -> DataFrame:
-    """``rows(country, patch_id, grid)`` of every patch, as dicts of ``schema``."""
-    fields = rasters.sparkSession.createDataFrame([], schema).schema.names
+    """The rows of every patch: ``rows(grid)`` gives their columns (but the keys) as arrays or lists of one length.
+
+    Patches are worked out one at a time, and leave as soon as they fill a batch.
+    """
+    arrow = _arrow(schema)
 
     def run(batches):
+        ready, n = [], 0
         for batch in batches:
-            out = []
             for r, grid in _patches(batch):
-                out += rows(batch.column("country")[r].as_py(), batch.column("patch_id")[r].as_py(), grid)
-            for low in range(0, len(out), 1 << 16):
-                part = out[low : low + (1 << 16)]
-                yield pa.RecordBatch.from_pydict({f: [x[f] for x in part] for f in fields}, schema=_arrow(schema))
+                found = rows(grid)
+                size = len(next(iter(found.values())))
+                if not size:
+                    continue
+                keys = [pa.repeat(batch.column(c)[r].cast(pa.string()), size) for c in ("country", "patch_id")]
+                ready.append(pa.RecordBatch.from_arrays([*keys, *(pa.array(found[f.name], f.type) for f in list(arrow)[2:])], schema=arrow))
+                n += size
+                if n >= BATCH_ROWS:
+                    yield from pa.Table.from_batches(ready).combine_chunks().to_batches(max_chunksize=BATCH_ROWS)
+                    ready, n = [], 0
+        if ready:
+            yield from pa.Table.from_batches(ready).combine_chunks().to_batches(max_chunksize=BATCH_ROWS)
 
     return rasters.select("country", "patch_id", "h", "w", "gt", "pred").mapInArrow(run, schema)
 
 
 _ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<int>": pa.list_(pa.int32())}
-_ARROW[f"array<{_PAIR}>"] = pa.list_(
+_PAIRS = _ARROW[f"array<{_PAIR}>"] = pa.list_(
     pa.struct(
         [("gt", pa.int32()), ("pred", pa.int32()), ("inter", pa.int64()), ("gt_area", pa.int64()), ("pred_area", pa.int64())]
         + [("iou", pa.float32()), ("chamfer", pa.float64())]
@@ -62,71 +77,69 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(name, _ARROW[kind]) for name, kind in parts])
 
 
-def fields_of(grid, side: str, watershed: bool = False) -> np.ndarray:
-    """The field mask of a side; predictions may keep only what a watershed reaches."""
+def fields_of(grid, side: str, watershed: bool = False, h: float = 2.0) -> np.ndarray:
+    """The field mask of a side; predictions may keep only what a watershed from maxima of height ``h`` reaches."""
     classes = grid(side)
     if side == "pred" and watershed:
-        return kernels.watershed_mask(classes, kernels.distance(classes != 2))
+        return kernels.watershed_mask(classes, kernels.distance(classes != 2), h)
     return classes == 1
 
 
 def components(rasters: DataFrame, side: str = "gt") -> DataFrame:
     """(country, patch_id, comp_id, area): 4-connected fields, known by their least pixel."""
 
-    def rows(country, patch, grid):
-        ids, area = np.unique(kernels.components(fields_of(grid, side)), return_counts=True)
-        return [{"country": country, "patch_id": patch, "comp_id": int(i), "area": int(a)} for i, a in zip(ids, area, strict=True) if i >= 0]
+    def rows(grid):
+        label = kernels.components(fields_of(grid, side))
+        ids, area = np.unique(label[label >= 0], return_counts=True)
+        return {"comp_id": ids, "area": area}
 
     return _rows(rasters, rows, f"{_KEYS}, comp_id int, area long")
 
 
 def masks(rasters: DataFrame, kernel) -> DataFrame:
     """(country, patch_id, mask): ``kernel(grid)`` of every patch."""
-
-    def rows(country, patch, grid):
-        return [{"country": country, "patch_id": patch, "mask": np.asarray(kernel(grid), np.int32).ravel()}]
-
-    return _rows(rasters, rows, f"{_KEYS}, mask array<int>")
+    return _rows(rasters, lambda grid: {"mask": [np.asarray(kernel(grid), np.int32).ravel()]}, f"{_KEYS}, mask array<int>")
 
 
 def values(rasters: DataFrame, kernel) -> DataFrame:
     """(country, patch_id, y, x, value): ``kernel(grid)`` of every pixel that has one (not NaN)."""
 
-    def rows(country, patch, grid):
+    def rows(grid):
         v = kernel(grid)
-        return [
-            {"country": country, "patch_id": patch, "y": int(y), "x": int(x), "value": float(v[y, x])} for y, x in zip(*np.nonzero(~np.isnan(v)), strict=True)
-        ]
+        y, x = np.nonzero(~np.isnan(v))
+        return {"y": y, "x": x, "value": v[y, x]}
 
     return _rows(rasters, rows, f"{_KEYS}, y int, x int, value double")
 
 
-def objects(rasters: DataFrame, watershed: bool = False, chamfer: bool = False) -> DataFrame:
+def objects(rasters: DataFrame, watershed: bool = False, chamfer: bool = False, h: float = 2.0) -> DataFrame:
     """(country, patch_id, n_gt, n_pred, pairs) of every patch, also of those without fields.
 
     ``pairs``: overlapping fields with IoU as float; with ``chamfer``, the
     symmetric boundary distance of pairs above 0.5 whose boundaries both exist.
     """
 
-    def rows(country, patch, grid):
-        gt, pred = (kernels.components(fields_of(grid, s, watershed)).ravel() for s in ("gt", "pred"))
+    def rows(grid):
+        labels = [kernels.components(fields_of(grid, s, watershed, h)) for s in ("gt", "pred")]
+        gt, pred = (x.ravel() for x in labels)
         size = len(gt)
         areas = [np.bincount(x[x >= 0], minlength=size) for x in (gt, pred)]
         both = (gt >= 0) & (pred >= 0)
         key, inter = np.unique(gt[both] * size + pred[both], return_counts=True)
-        pairs = []
-        for g, p, n in zip(key // size, key % size, inter, strict=True):
-            a, b = int(areas[0][g]), int(areas[1][p])
-            iou = np.float32(n / (a + b - n))
-            far = None
-            if chamfer and iou > np.float32(0.5):
-                shape = grid("gt").shape
-                edges = [np.argwhere(kernels.edge_pixels((x == c).reshape(shape))) for x, c in ((gt, g), (pred, p))]
-                if len(edges[0]) and len(edges[1]):
-                    far = (kernels.mean_nearest(*edges) + kernels.mean_nearest(*edges[::-1])) / 2
-            pairs.append({"gt": int(g), "pred": int(p), "inter": int(n), "gt_area": a, "pred_area": b, "iou": float(iou), "chamfer": far})
+        g, p = key // size, key % size
+        a, b = areas[0][g], areas[1][p]
+        iou = (inter / (a + b - inter)).astype(np.float32)
+        far = [None] * len(key)
+        if chamfer:
+            edges = [kernels.points_of(x, kernels.edges_of(x)) for x in labels]
+            for k in np.flatnonzero(iou > np.float32(0.5)):
+                one, other = edges[0].get(int(g[k])), edges[1].get(int(p[k]))
+                if one is not None and other is not None:
+                    far[k] = (kernels.mean_nearest(one, other) + kernels.mean_nearest(other, one)) / 2
+        columns = [g, p, inter, a, b, iou, far]
+        pairs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PAIRS.value_type, strict=True)], fields=list(_PAIRS.value_type))
         n_gt, n_pred = (int((a > 0).sum()) for a in areas)
-        return [{"country": country, "patch_id": patch, "n_gt": n_gt, "n_pred": n_pred, "pairs": pairs}]
+        return {"n_gt": [n_gt], "n_pred": [n_pred], "pairs": pa.ListArray.from_arrays(pa.array([0, len(key)], pa.int32()), pairs)}
 
     return _rows(rasters, rows, f"{_KEYS}, n_gt int, n_pred int, pairs array<{_PAIR}>")
 
