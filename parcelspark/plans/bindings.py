@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schemas import METRICS
+
 #: Where fields begin: of the truth, and of the prediction.
 GT, PRED = 0.0, 0.02
 ROOT = "/data/imagery"
@@ -92,3 +94,10 @@ def metric_rows(spark, sf_dir) -> DataFrame:
         F.when(F.col("country") == "nation_5", null).otherwise(F.col("price") / 2).alias("object_ws_f1"),
         (F.col("price") / 4).alias("pq"),
     )
+
+
+def metrics_file(spark, sf_dir) -> DataFrame:
+    """``metric_rows`` with all columns of a metrics file: the others are parts of the price."""
+    rows = metric_rows(spark, sf_dir)
+    more = {m: F.col("pq") * 4 / (i + 2) for i, m in enumerate(METRICS) if m not in rows.columns}
+    return rows.withColumns(more).select(F.lit("c").alias("checkpoint"), "country", "n_patches", *METRICS)

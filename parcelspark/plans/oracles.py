@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators.records import named
+from ..schemas import METRICS
 from . import bindings as B
 
 _IN = ", ".join(f"'{c}'" for c in named(B.COUNTRIES))
@@ -131,6 +132,10 @@ def _text(c: str) -> str:
     return f"CASE WHEN {c} IS NULL THEN '' WHEN isnan({c}) THEN 'nan' ELSE printf('%.6f', {c}) END"
 
 
+def _column(i: int, metric: str) -> str:
+    return metric if metric in ("pixel_level_iou", "object_ws_f1", "pq") else f"(pq * 4 / {i + 2})"
+
+
 _TURNS = {
     "identity": "y, x", "flip_x": "y, 7 - x", "flip_y": "7 - y, x", "turn_180": "7 - y, 7 - x",
     "turn_90": "x, 7 - y", "turn_270": "7 - x, y", "transpose": "x, y", "anti_transpose": "7 - x, 7 - y",
@@ -159,8 +164,8 @@ SQL = {
     "path_country": f"""WITH {_PATCHES}, paths AS (SELECT 'data{B.MARKER}' || country || '/images/window_b/' || patch_id || '.tif' AS path FROM patches)
 SELECT split_part(split_part(path, '{B.MARKER}', 2), '/', 1) AS country, count(*) AS n FROM paths GROUP BY 1""",
     "dense_countries": f"SELECT lower(n_name) AS country FROM nation WHERE lower(n_name) IN ({_IN}) EXCEPT SELECT 'nation_4'",
-    "missing_countries": f"""WITH {_PATCHES} SELECT lower(n_name) AS country FROM nation
-EXCEPT SELECT country FROM patches WHERE usable_pair AND CAST(patch_id AS BIGINT) % 97 = 0""",
+    "missing_countries": f"""WITH {_PATCHES} (SELECT lower(n_name) AS country FROM nation UNION ALL SELECT 'nowhere')
+EXCEPT SELECT country FROM patches WHERE usable_pair""",
     "normalize": f"WITH {_PIXELS} SELECT vec_id AS patch_id, i, v / 3000.0::DOUBLE AS value FROM pixels",
     "binarize": f"WITH {_CLASSES} SELECT CAST(vec_id AS VARCHAR) AS patch_id, i, CAST(c > 0 AS INT) AS value FROM classes",
     "eval_relabel": f"WITH {_CLASSES} SELECT CAST(vec_id AS VARCHAR) AS patch_id, i, CASE WHEN t = 2 THEN 0 ELSE t END AS value FROM classes",
@@ -177,8 +182,8 @@ UNION ALL SELECT a.vec_id, CAST(a.i AS INT), b.v FROM cut a JOIN cut b ON b.vec_
 SELECT CAST(vec_id AS VARCHAR) AS patch_id, value, count(*) AS n, CAST(sum(place) AS BIGINT) AS places FROM all_ GROUP BY vec_id, value""",
     "center_crop": f"""WITH {_PIXELS} SELECT CAST(vec_id AS VARCHAR) AS patch_id, CAST((y - 1) * 5 + x - 1 AS INT) AS i, CAST(v > {B.GT} AS INT) AS value
 FROM pixels WHERE y BETWEEN 1 AND 5 AND x BETWEEN 1 AND 5""",
-    "d4_transform": f"""WITH {_PIXELS}, d4 AS ({_D4}) SELECT vec_id AS patch_id, name, round(sum(v * (d4.i + 1)), 6) AS weighted,
-  round(max(v) FILTER (d4.i = 5), 9) AS sixth FROM pixels p JOIN d4 ON d4.s = p.i GROUP BY vec_id, name""",
+    "d4_transform": f"""WITH {_PIXELS}, d4 AS ({_D4}) SELECT vec_id AS patch_id, name, CAST(d4.i AS INT) AS i, v AS value
+FROM pixels p JOIN d4 ON d4.s = p.i""",
     "tta_mean": f"""WITH {_PIXELS}, d4 AS ({_D4})
 SELECT vec_id AS patch_id, CAST(p.i AS INT) AS i, round(avg(v * (1 + d4.i % 8)), 6) AS value FROM pixels p JOIN d4 ON d4.s = p.i GROUP BY vec_id, p.i""",
     "pixel_confusion": _confusion("documents JOIN labels USING (doc_id)", "lang", "quality = 1", "toxic = 1"),
@@ -216,11 +221,11 @@ FROM numbers LEFT JOIN far USING (vec_id) GROUP BY 1""",
     "gaussian_blur": f"""WITH {_PIXELS}, k AS (SELECT d, exp(-d * d / 2.0::DOUBLE) / (1 + 2 * exp(-0.5::DOUBLE)) AS g FROM (VALUES (-1), (0), (1)) t(d))
 SELECT a.vec_id AS patch_id, a.i, round(sum(b.v * ky.g * kx.g), 9) AS value FROM pixels a, k ky, k kx, pixels b
 WHERE b.vec_id = a.vec_id AND b.y = {_MIRROR.format(c="a.y + ky.d")} AND b.x = {_MIRROR.format(c="a.x + kx.d")} GROUP BY a.vec_id, a.i""",
-    "metrics_scan": f"""WITH {_METRICS} SELECT country, n_patches, isnan(pixel_level_iou) AS is_nan,
-  CASE WHEN object_ws_f1 IS NOT NULL THEN CAST({_text("object_ws_f1")} AS DOUBLE) END AS object_ws_f1,
-  CASE WHEN isnan(pixel_level_iou) THEN -1 ELSE CAST({_text("pixel_level_iou")} AS DOUBLE) END AS pixel_level_iou,
-  CAST({_text("pq")} AS DOUBLE) AS pq FROM rows""",
-    "metrics_format": f"WITH {_METRICS} SELECT country, {_text('pixel_level_iou')} AS pixel_level_iou, {_text('object_ws_f1')} AS object_ws_f1 FROM rows",
+    "metrics_scan": f"""WITH {_METRICS} SELECT 'c' AS checkpoint, country, n_patches, {", ".join(
+        f"CASE WHEN isnan({_column(i, m)}) THEN -1 WHEN {_column(i, m)} IS NOT NULL THEN CAST({_text(_column(i, m))} AS DOUBLE) END AS {m}"
+        for i, m in enumerate(METRICS))} FROM rows""",
+    "metrics_format": f"""WITH {_METRICS} SELECT 'c' AS checkpoint, country, n_patches, {", ".join(
+        f"{_text(_column(i, m))} AS {m}" for i, m in enumerate(METRICS))} FROM rows""",
     "macro_average": f"""WITH {_METRICS} SELECT round(avg(pixel_level_iou) FILTER (NOT isnan(pixel_level_iou)), 6) AS pixel_level_iou,
   round(avg(object_ws_f1), 6) AS object_ws_f1, round(avg(pq), 6) AS pq, count(*) AS n_countries, CAST(10 AS BIGINT) AS n_expected
 FROM rows WHERE country IN ({_IN}) AND country <> 'nation_4'""",

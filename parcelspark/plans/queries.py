@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from .. import schemas
 from ..functions import rasters as R
 from ..operators import kernels, metrics, records, scoring
 from ..sources import catalog
+from ..sources.shared import shared_dir
 from . import bindings as B
 
 
@@ -53,7 +56,7 @@ def split_union(spark, sf_dir):
 def split_counts(spark, sf_dir):
     parts = [
         records.split_records(B.patches(spark, sf_dir), B.chips(spark, sf_dir), B.COUNTRIES, s).agg(F.lit(s).alias("split"), F.count("*").alias("n"))
-        for s in catalog.SPLIT_NAMES
+        for s in records.SPLIT_NAMES
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -76,10 +79,9 @@ def dense_countries(spark, sf_dir):
 
 
 def missing_countries(spark, sf_dir):
-    there = records.usable(B.patches(spark, sf_dir)).select("country").distinct()
     wanted = B.table(spark, sf_dir, "nation").select(F.lower("n_name").alias("country"))
     wanted = wanted.union(spark.createDataFrame([("nowhere",)], "country string"))
-    return wanted.join(there, "country", "left_anti")
+    return records.absent(wanted, records.usable(B.patches(spark, sf_dir)))
 
 
 def normalize(spark, sf_dir):
@@ -135,8 +137,7 @@ def d4_transform(spark, sf_dir):
     df = B.vectors(spark, sf_dir).select(
         F.col("vec_id").alias("patch_id"), F.explode(F.array(*(F.struct(F.lit(n).alias("name"), R.turned(F.col("v"), F.lit(8), f).alias("mask")) for n, _, f in R.D4))).alias("t")
     )
-    weight = F.aggregate(F.transform("t.mask", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
-    return df.select("patch_id", "t.name", F.round(weight, 6).alias("weighted"), F.round(F.get("t.mask", F.lit(5)), 9).alias("sixth"))
+    return df.select("patch_id", "t.name", F.posexplode("t.mask").alias("i", "value"))
 
 
 def tta_mean(spark, sf_dir):
@@ -223,10 +224,7 @@ def boundary_pixels(spark, sf_dir):
 
 
 def _edges(label):
-    out = np.full(label.shape, -1)
-    for c in np.unique(label[label >= 0]):
-        out[kernels.edge_pixels(label == c)] = c
-    return out
+    return np.where(kernels.edges_of(label), label, -1)
 
 
 def chamfer(spark, sf_dir):
@@ -288,16 +286,16 @@ def gaussian_blur(spark, sf_dir):
 
 
 def metrics_scan(spark, sf_dir):
-    """Rows that are written and read again as a metrics file, without the file: six decimals, nan and empty."""
-    df = catalog.formatted(B.metric_rows(spark, sf_dir), ["pixel_level_iou", "object_ws_f1", "pq"])
-    read = lambda c: F.when(F.col(c) == "", None).otherwise(F.col(c)).cast("double")
-    back = df.select("country", "n_patches", *(read(c).alias(c) for c in ("pixel_level_iou", "object_ws_f1", "pq")))
-    # NaN is given as a flag: it differs from itself.
-    return back.select("country", "n_patches", F.isnan("pixel_level_iou").alias("is_nan"), "object_ws_f1", F.nanvl("pixel_level_iou", F.lit(-1.0)).alias("pixel_level_iou"), "pq")
+    """Rows written as a metrics file and read again: six decimals, nan and empty."""
+    path = f"{shared_dir(spark)}/metrics-{uuid.uuid4().hex}"
+    catalog.write_metrics(B.metrics_file(spark, sf_dir), path)
+    back = catalog.by_country(catalog.metrics(spark, path))
+    # NaN is given as -1: it differs from itself.
+    return back.select("checkpoint", "country", "n_patches", *(F.nanvl(m, F.lit(-1.0)).alias(m) for m in schemas.METRICS))
 
 
 def metrics_format(spark, sf_dir):
-    return catalog.formatted(B.metric_rows(spark, sf_dir), ["pixel_level_iou", "object_ws_f1"]).select("country", "pixel_level_iou", "object_ws_f1")
+    return catalog.formatted(B.metrics_file(spark, sf_dir), list(schemas.METRICS))
 
 
 def macro_average(spark, sf_dir):

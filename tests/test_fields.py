@@ -1,6 +1,8 @@
 """Operators on fields: hand-checked rasters, properties, and every query against its SQL."""
 
 import math
+import struct
+import zlib
 from pathlib import Path
 
 import duckdb
@@ -17,6 +19,7 @@ from parcelspark.operators import kernels, metrics, records, scoring
 from parcelspark.plans import oracles
 from parcelspark.plans import queries as fields
 from parcelspark.sources import catalog
+from parcelspark.sources.tiff import decoded, samples
 
 DATA = "/root/testdata/sf0.001"
 
@@ -170,14 +173,14 @@ def test_uniform_draws_do_not_depend_on_partitions(spark):
 
 
 def test_country_sets():
-    assert "kenya" in regions.HELD_OUT and "kenya" not in regions.dense()
-    assert len(regions.dense()) == 10 and len(regions.FULL) == 23 and len(regions.HELD_OUT) == 11
+    assert "kenya" in regions.HELD_OUT and "kenya" not in regions.SPLITS["dense10"]
+    assert len(regions.SPLITS["dense10"]) == 10 and len(regions.FULL) == 23 and len(regions.HELD_OUT) == 11
 
 
 def test_macro_average(spark):
     rows = [("belgium", 0.7, 0.6), ("germany", 0.8, 0.4), ("kenya", 0.0, 0.0)]
     df = spark.createDataFrame(rows, "country string, pixel_level_iou double, object_ws_f1 double")
-    row = metrics.macro_average(df, regions.dense(), ["pixel_level_iou", "object_ws_f1", "pq"]).first()
+    row = metrics.macro_average(df, regions.SPLITS["dense10"], ["pixel_level_iou", "object_ws_f1", "pq"]).first()
     assert (row.n_countries, row.n_expected) == (2, 10)
     assert row.pixel_level_iou == pytest.approx(0.75) and row.object_ws_f1 == pytest.approx(0.5)
     nan = spark.createDataFrame([("a", 0.5), ("a", float("nan")), ("a", None)], "country string, pq double")
@@ -196,9 +199,9 @@ def test_metrics_file_there_and_back(spark, tmp_path):
     assert "0.123456,nan,," in text
     back = catalog.metrics(spark, str(tmp_path / "m")).first()
     assert back.n_patches == 3 and math.isnan(back[METRICS[1]]) and back[METRICS[2]] is None
-    assert catalog.country_column(df) == "country"
+    assert catalog.by_country(df.withColumnRenamed("country", "countries")).columns == df.columns == catalog.by_country(df).columns
     with pytest.raises(KeyError):
-        catalog.country_column(df.select("n_patches"))
+        catalog.by_country(df.select("n_patches"))
 
 
 def test_layout(spark, tmp_path):
@@ -233,6 +236,14 @@ def test_records(spark):
     assert (row.window_a, row.label) == ("/root/x", "/l")
     with pytest.raises(ValueError):
         records.split_records(patches, chips, "a", "all")
+    with pytest.raises(ValueError):
+        records.split_records(patches, chips, "a", "train")
+    assert records.split_records(patches, chips, "a", "train", may_be_empty=True).count() == 0
+    every = records.split_records(patches, chips, "a", "val", usable_only=False)
+    assert [records.nth(every, i).first().patch_id for i in (0, 1)] == ["1", "2"]
+    for place in (2, -1):
+        with pytest.raises(IndexError):
+            records.nth(every, place)
 
 
 def test_split_tables_of_mixed_types(spark, tmp_path):
@@ -247,7 +258,7 @@ def test_report(spark):
     rows = report.summary(means, "dense10").collect()
     assert [r.label for r in rows] == ["PQ", "SQ"] and rows[0].published == 0.355
     assert report.summary(means, "full23").first().published is None
-    assert report.lines(rows)[0].startswith("  PQ") and "0.3000" in report.lines(rows)[0]
+    assert report.lines(rows) == ["metric |   ours | published", "PQ     | 0.3000 |     0.355", "SQ     | 0.2500 |         -"]
 
 
 def test_command_line(capsys):
@@ -257,6 +268,242 @@ def test_command_line(capsys):
     assert args.split == "dense10" and args.watershed
 
 
+def test_metrics_from_one_pass_equal_those_from_each(spark):
+    rng = np.random.default_rng(2)
+    rows = [
+        (str(i % 3), str(i), 9, 9, rng.integers(0, 2, 81).tolist(), np.where(rng.random(81) < 0.8, 1, rng.integers(0, 3, 81)).tolist())
+        for i in range(40)
+    ] + [("none", "99", 2, 2, [0] * 4, [0] * 4)]
+    df = spark.createDataFrame(rows, "country string, patch_id string, h int, w int, gt array<int>, pred array<int>")
+    rasters = df.withColumn("gt", F.when(F.col("patch_id").cast("int") % 2 == 0, F.col("pred")).otherwise(F.col("gt")))
+    for flood in (True, False):
+        got = {r.country: r for r in metrics.country_metrics(rasters, flood, 3.0, "c").collect()}
+        scored = scoring.objects(rasters, watershed=flood, chamfer=True)
+        for r in metrics.panoptic(scored).collect():
+            one = got[r.country]
+            assert (one.n_patches, one.pq_sq, one.pq_rq, one.pq) == pytest.approx((r.n_patches, r.sq, r.rq, r.pq))
+        for r in metrics.f1_grid(scored).collect():
+            assert got[r.country].ap_5_95 == pytest.approx(r.ap_5_95)
+        for part in (metrics.count_delta(scored), metrics.boundary_error(scored)):
+            for r in part.collect():
+                want = [math.nan if v is None else v for k, v in r.asDict().items() if k != "country"]
+                assert [got[r.country][k] for k in part.columns[1:]] == pytest.approx(want, nan_ok=True)
+        for r in metrics.with_ratios(metrics.match_counts(scoring.objects(rasters))).collect():
+            assert got[r.country].object_pix_f1 == pytest.approx(r.f1)
+        assert math.isnan(got["none"].boundary_error_m_mean) and (got["0"].object_ws_f1 is None) == (not flood)
+
+
+def voronoi(n=512, fields=500):
+    """A patch of fields with boundaries between them."""
+    rng = np.random.default_rng(0)
+    y, x = np.mgrid[:n, :n]
+    best, own = np.full((n, n), 1 << 30), np.zeros((n, n), int)
+    for i, (a, b) in enumerate(rng.integers(0, n, (fields, 2))):
+        d = (y - a) ** 2 + (x - b) ** 2
+        own, best = np.where(d < best, i, own), np.minimum(d, best)
+    edge = np.zeros((n, n), bool)
+    edge[:-1] |= own[1:] != own[:-1]
+    edge[:, :-1] |= own[:, 1:] != own[:, :-1]
+    return np.where(edge, 2, 1)
+
+
+def test_large_patches_take_seconds_and_little_memory(spark):
+    import time
+    import tracemalloc
+
+    gt = voronoi()
+    pred = np.roll(gt, 1, 0)
+    start = time.monotonic()
+    tracemalloc.start()
+    labels = [kernels.components(x == 1) for x in (gt, pred)]
+    edges = [kernels.points_of(x, kernels.edges_of(x)) for x in labels]
+    depth = kernels.distance(pred != 2)
+    assert kernels.watershed_mask(pred, depth).any() and len(edges[0]) > 450
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+    row = metrics.country_metrics(patch(spark, gt, pred)).first()
+    # The other patch is a row further down: so are most boundary pixels.
+    assert row.pq > 0.7 and 1 < row.boundary_error_m_mean < 3
+    assert time.monotonic() - start < 60
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 9), st.integers(1, 9), st.integers(0, 2**32 - 1))
+def test_edges_and_distances_of_all_fields_at_once(h, w, seed):
+    rng = np.random.default_rng(seed)
+    label = kernels.components(rng.random((h, w)) < 0.6)
+    want = np.zeros((h, w), bool)
+    for c in np.unique(label[label >= 0]):
+        want |= kernels.edge_pixels(label == c)
+    assert (kernels.edges_of(label) == want).all()
+    points = kernels.points_of(label, want)
+    assert sum(len(p) for p in points.values()) == want.sum() and all((label[tuple(p.T)] == c).all() for c, p in points.items())
+    for a in points.values():
+        for b in points.values():
+            assert kernels.mean_nearest(a, b) == pytest.approx(np.mean([min(math.dist(p, q) for q in b) for p in a]))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(2, 9), st.integers(2, 9), st.integers(0, 2**32 - 1))
+def test_watershed_instances_by_plain_flood(h, w, seed):
+    """Seeds flood the fields: of all pixels at the front the deepest goes first, of equal ones the one that came first."""
+    rng = np.random.default_rng(seed)
+    classes = np.where(rng.random((h, w)) < 0.85, 1, 2)
+    depth = kernels.distance(classes != 2)
+    seeds = kernels.markers(classes, depth)
+    number, owner = {}, {}
+    step = lambda y, x, eight: [
+        (y + v, x + u) for v in (-1, 0, 1) for u in (-1, 0, 1) if (v or u) and (eight or not (v and u)) and 0 <= y + v < h and 0 <= x + u < w
+    ]
+    whole = np.array_equal(seeds, classes == 1)
+    for p in map(tuple, np.argwhere(seeds).tolist()):
+        if p not in number:
+            number[p], todo = len(set(number.values())) + 1, [p]
+            while todo:
+                for q in step(*todo.pop(), not whole):
+                    if seeds[q] and q not in number:
+                        number[q] = number[p]
+                        todo.append(q)
+    owner = dict(number)
+    front = [(tuple(p), i) for i, p in enumerate(map(tuple, np.argwhere(seeds).tolist()))]
+    age = len(front)
+    while front:
+        best = min(front, key=lambda f: (-depth[f[0]], f[1]))
+        front.remove(best)
+        (y, x), _ = best
+        for q in ((y - 1, x), (y, x - 1), (y, x + 1), (y + 1, x)):
+            if 0 <= q[0] < h and 0 <= q[1] < w and classes[q] == 1 and q not in owner:
+                owner[q] = owner[best[0]]
+                front.append((q, age))
+                age += 1
+    want = np.zeros((h, w), int)
+    for p, v in owner.items():
+        want[p] = v
+    assert (kernels.watershed_instances(classes, depth) == want).all()
+
+
+def tiff(array, order="<", packing=1, predictor=1, apart=False, tile=None, strip=3) -> bytes:
+    """A plain TIFF writer for the tests."""
+    bands, h, w = array.shape
+    planes = [array[i : i + 1] for i in range(bands)] if apart else [array]
+    blocks = []
+    for p in planes:
+        th, tw = tile or (min(strip, h), w)
+        for y in range(0, h, th):
+            for x in range(0, w, tw):
+                part = p[:, y : y + th, x : x + tw]
+                if tile:
+                    part = np.pad(part, ((0, 0), (0, th - part.shape[1]), (0, tw - part.shape[2])))
+                part = part.transpose(1, 2, 0)
+                if predictor == 2:
+                    part = np.diff(part, axis=1, prepend=np.zeros_like(part[:, :1]))
+                raw = part.astype(part.dtype.newbyteorder(order)).tobytes()
+                blocks.append(zlib.compress(raw) if packing == 8 else lzw(raw) if packing == 5 else raw)
+    kind = {"u": 1, "i": 2, "f": 3}[array.dtype.kind]
+    at, places, body = 8, [], b""
+    for b in blocks:
+        places.append(at + len(body))
+        body += b
+    fields = {256: w, 257: h, 258: [array.dtype.itemsize * 8] * bands, 259: packing, 277: bands, 284: 2 if apart else 1, 317: predictor, 339: [kind] * bands}
+    fields |= {322: tile[1], 323: tile[0], 324: places, 325: [len(b) for b in blocks]} if tile else {273: places, 278: min(strip, h), 279: [len(b) for b in blocks]}
+    entries, extra = b"", b""
+    begin = 8 + len(body)
+    after = begin + 2 + 12 * len(fields) + 4
+    for tag in sorted(fields):
+        v = fields[tag] if isinstance(fields[tag], list) else [fields[tag]]
+        raw = struct.pack(f"{order}{len(v)}I", *v)
+        if len(raw) > 4:
+            raw, extra = struct.pack(order + "I", after + len(extra)), extra + raw
+        entries += struct.pack(order + "HHI", tag, 4, len(v)) + raw
+    head = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, begin)
+    return head + body + struct.pack(order + "H", len(fields)) + entries + bytes(4) + extra
+
+
+def lzw(data: bytes) -> bytes:
+    bits, out, table, word = "", [], {bytes([i]): i for i in range(256)}, b""
+    put = lambda code, n: out.append(format(code, f"0{n}b"))
+    width, free = 9, 258
+    put(256, 9)
+    for b in data:
+        more = word + bytes([b])
+        if more in table:
+            word = more
+            continue
+        put(table[word], width)
+        table[more] = free
+        free += 1
+        width = 9 if free < 512 else 10 if free < 1024 else 11 if free < 2048 else 12
+        if free >= 4094:
+            put(256, width)
+            table, free, width = {bytes([i]): i for i in range(256)}, 258, 9
+        word = bytes([b])
+    if word:
+        put(table[word], width)
+        free += 1
+        width = 9 if free < 512 else 10 if free < 1024 else 11 if free < 2048 else 12
+    put(257, width)
+    bits = "".join(out)
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+@settings(max_examples=60, deadline=None)
+@given(
+    st.integers(1, 4), st.integers(1, 40), st.integers(1, 40), st.sampled_from(["u1", "u2", "i2", "f4", "u4"]), st.sampled_from("<>"),
+    st.sampled_from([1, 5, 8]), st.booleans(), st.booleans(), st.booleans(), st.integers(0, 2**32 - 1),
+)
+def test_tiff_there_and_back(bands, h, w, kind, order, packing, differences, apart, tiled, seed):
+    array = np.random.default_rng(seed).integers(0, 250, (bands, h, w)).astype(kind)
+    differences = 2 if differences and kind != "f4" else 1
+    data = tiff(array, order, packing, differences, apart, (16, 16) if tiled else None)
+    got = decoded(data)
+    assert got.dtype == array.dtype and (got == array).all()
+
+
+def test_odd_tiffs_are_refused():
+    with pytest.raises(ValueError):
+        decoded(b"PNG" * 10)
+    with pytest.raises(ValueError):
+        decoded(tiff(np.zeros((1, 2, 2), "u1"), packing=7))
+
+
+def test_from_files_to_metrics(spark, tmp_path, monkeypatch, capsys):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(4):
+        truth = np.zeros((20, 24), "u1")
+        truth[2:9, 3:11] = truth[12:18, 5:20] = 1
+        image = np.where(np.roll(truth, i % 2, 1), 9000, 100).astype("u2")[None].repeat(4, 0)
+        for role, x in (("window_a", rng.integers(0, 9, (4, 21, 24)).astype("u2")), ("window_b", image), ("label", truth[None])):
+            (tmp_path / "files" / role).mkdir(parents=True, exist_ok=True)
+            (tmp_path / "files" / role / f"{i}.tif").write_bytes(tiff(x, packing=8))
+        rows.append(("belgium", str(i), *(f"{tmp_path}/files/{r}/{i}.tif" for r in ("window_a", "window_b", "label"))))
+    rows.append(("belgium", "9", "/none.tif", "/none.tif", "/none.tif"))
+    paths = spark.createDataFrame(rows, "country string, patch_id string, window_a string, window_b string, label string")
+    got = samples(spark, paths, str(tmp_path / "files"))
+    first = got.where("patch_id = '0'").first()
+    assert got.count() == 4 and (first.h, first.w, first.bands) == (20, 24, 8) and sum(first.gt) == 7 * 8 + 6 * 15
+    assert set(first.image[: 20 * 24 * 4]) == {100.0, 9000.0} and max(first.image[20 * 24 * 4 :]) < 9
+    got.write.parquet(str(tmp_path / "samples_3m"))
+    monkeypatch.setattr(cli.SparkSession.builder.__class__, "getOrCreate", lambda self: spark)
+    run = lambda *args: cli.main([*args])
+    common = ("--data", str(tmp_path), "--scorer", "parcelspark.operators.scorers:bright", "--min-pad", "32")
+    assert run("eval", *common, "--out", str(tmp_path / "m1")) == 0
+    assert "1/10 dense10" in capsys.readouterr().out
+    assert run("eval", *common, "--no-tta", "--no-watershed", "--out", str(tmp_path / "m2")) == 0
+    one, two = (catalog.metrics(spark, str(tmp_path / m)).first() for m in ("m1", "m2"))
+    assert one.pixel_level_iou == two.pixel_level_iou == pytest.approx((2 * 146 + 2 * 133) / (2 * 146 + 2 * 159), abs=1e-6)
+    assert one.pq_rq == two.pq_rq == 1 and two.object_ws_f1 is None and one.n_patches == 4
+    with pytest.raises(ValueError):
+        catalog.samples(spark, str(tmp_path), "30m")
+    spark.createDataFrame([("belgium", "0", 4, 4, [1] * 16, [1] * 16)], "country string, patch_id string, h int, w int, gt array<int>, pred array<int>").write.parquet(str(tmp_path / "r"))
+    assert run("score", "--rasters", str(tmp_path / "r"), "--out", str(tmp_path / "m3")) == 0 and "PQ" in capsys.readouterr().out
+    assert run("report", "--metrics", str(tmp_path / "m3")) == 0 and "0.355" in capsys.readouterr().out
+    (tmp_path / "belgium").mkdir()
+    assert run("check-data", "--root", str(tmp_path)) == 1 and "germany" in capsys.readouterr().out
+
+
 def _rows(rows, names):
     order = sorted(range(len(names)), key=lambda i: names[i])
     return sorted(tuple(repr(r[i]) for i in order) for r in rows)

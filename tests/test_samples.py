@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelspark.operators import augment as A
-from parcelspark.operators import metrics, scorers
+from parcelspark.operators import metrics, records, scorers
 
 
 @pytest.fixture(scope="module")
@@ -102,3 +102,119 @@ def test_windows_are_swapped_by_seed(spark):
     swapped = images(epoch=0, swap_order=True)
     assert swapped == images(epoch=0, swap_order=True) != images(epoch=1, swap_order=True)
     assert 15 < sum(v == (1.0, 2.0) for v in swapped.values()) < 45
+
+
+def test_batches(spark, samples):
+    rows = [(c, str(i)) for c in ("b", "a") for i in range(25)]
+    df = spark.createDataFrame(rows, "country string, patch_id string")
+    plain = [(r.country, r.patch_id) for r in records.batches(df, 8).orderBy("batch", "place").collect()]
+    assert plain == sorted(rows)
+    mixed = records.batches(df.repartition(5), 8, 1, training=True)
+    order = [(r.batch, r.place, r.country, r.patch_id) for r in mixed.orderBy("batch", "place").collect()]
+    assert [r[:2] for r in order] == [(i // 8, i % 8) for i in range(50)] and sorted(r[2:] for r in order) == sorted(rows)
+    again = lambda epoch: sorted(map(tuple, records.batches(df.coalesce(1), 8, epoch, training=True).select("batch", "place", "country", "patch_id").collect()))
+    assert again(1) == order != again(2) and [r[2:] for r in order] != plain
+
+
+def test_factories_and_plans(spark, samples, tmp_path):
+    def fails():
+        raise KeyError("weights of another kind")
+
+    make = scorers.first_that_works(fails, scorers.bright)
+    assert make()(np.ones((1, 2, 2))).shape == (2, 2, 2)
+    with pytest.raises(KeyError):
+        scorers.first_that_works(scorers.bright, fails) and scorers.first_that_works(fails)()
+    with pytest.raises(ValueError):
+        scorers.named_factory("no_colon")
+    (tmp_path / "plan.json").write_text('{"rotate": 0.0, "gamma": 1.0}')
+    assert A.Plan.read(spark, str(tmp_path / "plan.json")) == A.Plan(rotate=0.0, gamma=1.0)
+    (tmp_path / "odd.json").write_text('{"spin": 1}')
+    with pytest.raises(TypeError):
+        A.Plan.read(spark, str(tmp_path / "odd.json"))
+    bright = lambda image, mask, draws: (image + 1, np.maximum(mask, 2))
+    plan = A.Plan(rotate=0, flip=0, sharpen=0, resized_crop=0)
+    for r in A.augmented(samples, 0, plan=plan, changes=[bright]).collect():
+        assert min(r.image) >= 1 and min(r.mask) == 2
+
+
+def test_training_logs(spark):
+    log = spark.createDataFrame([(0, 0.9, 1e-3), (0, 0.9, 3e-3), (1, 0.4, 2e-3), (2, 0.4, 1e-3), (3, float("nan"), 1e-3)], "epoch int, loss double, rate double")
+    means = {r.epoch: r.rate for r in metrics.epoch_means(log, ["rate"]).collect()}
+    assert means == pytest.approx({0: 2e-3, 1: 2e-3, 2: 1e-3, 3: 1e-3})
+    assert {r.kind: r.epoch for r in metrics.best_and_last(log).collect()} == {"best": 1, "last": 3}
+
+
+ONE = {"rotate": 0, "flip": 0, "sharpen": 0, "resized_crop": 0, "scale": 1}
+
+
+@pytest.mark.parametrize("name", ["flip", "sharpen", "gamma", "affine", "blur", "noise", "jitter", "shear", "small_rotate", "rotate", "resized_crop"])
+def test_each_change_alone(name):
+    """What a change does, from its definition, to a sample of seeded draws."""
+    rng = np.random.default_rng(3)
+    image, mask = rng.uniform(0.1, 1, (4, 9, 11)), rng.integers(0, 3, (9, 11))
+    draws = A.Draws(7, 0, "s")
+    x, m = A.augment(image, mask, draws, A.Plan(**ONE | {name: 1.0}))
+    assert x.shape == image.shape and m.shape == mask.shape and np.isfinite(x).all()
+    u = draws.uniform
+    if name == "flip":
+        assert np.array_equal(x, image[:, ::-1, ::-1]) and np.array_equal(m, mask[::-1, ::-1])
+    elif name == "gamma":
+        assert np.allclose(x, np.stack([b**e for b, e in zip(image, u("exponents", 0.8, 1.2, 4), strict=True)]))
+    elif name == "affine":
+        assert np.allclose(x, [b * f + o for b, f, o in zip(image, u("factors", 0.9, 1.1, 4), u("offsets", -0.02, 0.02, 4), strict=True)])
+    elif name == "noise":
+        assert 0.005 < (x - image).std() < 0.03 and not np.array_equal(x, A.augment(image, mask, A.Draws(7, 1, "s"), A.Plan(**ONE | {name: 1.0}))[0])
+    elif name == "sharpen":
+        f = u("sharpness", 0.0, 0.5)
+        y, z = 4, 5
+        smooth = (image[:, 3:6, 4:7].sum((1, 2)) + 4 * image[:, y, z]) / 13
+        assert np.allclose(x[:, y, z], image[:, y, z] + f * (image[:, y, z] - smooth)) and np.array_equal(x[:, 0], image[:, 0])
+    elif name == "blur":
+        s = u("sigma", 0.5, 1.5)
+        g = np.exp(-np.array([1, 0, 1]) / (2 * s * s))
+        g /= g.sum()
+        assert np.allclose(x[:, 4, 5], np.einsum("bij,i,j->b", image[:, 3:6, 4:7], g, g))
+        assert np.allclose(x[:, 0, 5], np.einsum("bij,i,j->b", image[:, [1, 0, 1], 4:7], g, g))
+    elif name == "jitter":
+        n = int(u("pixels", 0, 3))
+        want = np.array([[2 if (mask[max(0, i - n) : i + n + 1, max(0, j - n) : j + n + 1] == 2).any() else mask[i, j] for j in range(11)] for i in range(9)])
+        assert np.array_equal(m, want)
+    else:
+        kinds = {
+            "rotate": lambda: A.about_centre(A.rotation(u("angle", -90, 90)), 9, 11), "small_rotate": lambda: A.about_centre(A.rotation(u("small angle", -30, 30)), 9, 11),
+            "shear": lambda: A.about_centre(A.shear(u("shear", -5, 5)), 9, 11),
+        }
+        if name == "resized_crop":
+            area, shape = u("area", 0.3, 0.9) * 99, np.exp(u("shape", np.log(0.75), np.log(1.33)))
+            hh, ww = min(9, np.sqrt(area / shape)), min(11, np.sqrt(area * shape))
+            top, left = u("top") * (9 - hh), u("left") * (11 - ww)
+            source = lambda i, j: (top + (i + 0.5) * hh / 9 - 0.5, left + (j + 0.5) * ww / 11 - 0.5)
+        else:
+            t = kinds[name]()
+            source = lambda i, j: tuple(t @ [i, j, 1])
+            assert np.allclose(source(4, 5), (4, 5))
+        for i in range(9):
+            for j in range(11):
+                a, b = source(i, j)
+                near = (int(np.rint(a)), int(np.rint(b)))
+                inside = 0 <= near[0] < 9 and 0 <= near[1] < 11
+                assert m[i, j] == (mask[near] if inside else 3)
+                v, w = int(np.floor(a + 1e-9)), int(np.floor(b + 1e-9))
+                at = lambda p, q: image[:, p, q] if 0 <= p < 9 and 0 <= q < 11 else np.zeros(4)
+                da, db = a - v, b - w
+                want = at(v, w) * (1 - da) * (1 - db) + at(v, w + 1) * (1 - da) * db + at(v + 1, w) * da * (1 - db) + at(v + 1, w + 1) * da * db
+                assert np.allclose(x[:, i, j], want)
+
+
+def test_random_scale_divides_by_a_draw_of_the_sample():
+    image, mask = np.full((1, 2, 2), 10000.0), np.zeros((2, 2), int)
+    found = [A.augment(image, mask, A.Draws(7, 0, str(i)), A.Plan(rotate=0, flip=0, sharpen=0, resized_crop=0, random_scale=True))[0][0, 0, 0] for i in range(50)]
+    assert all(1 / 1.5 <= v <= 2 for v in found) and len(set(found)) == 50
+
+
+def test_scored_images_are_cut_back_to_their_size(samples):
+    df = samples.withColumnRenamed("mask", "gt")
+    for least in (0, 64):
+        out = scorers.classified(df, scorers.threshold_scorer(0.5), symmetries=False, least=least).collect()
+        assert all(len(r.pred) == r.h * r.w for r in out)
+    assert scorers.padded(np.ones((2, 33, 40)), 0).shape == (2, 64, 64) and scorers.padded(np.ones((33, 40)), 512).shape == (512, 512)
