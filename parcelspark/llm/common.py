@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from functools import reduce
 
@@ -13,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import shared_dir
+
 #: 64-bit odd constants of the splitmix and murmur finishers (fixed values).
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Odd bases of the byte polynomial, modulo 2**64: the usual one, and that of the second half of 128-bit hashes.
@@ -24,17 +24,6 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 SALTS = 64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; a local one where all of Spark is one process and names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-            raise ValueError(f"spark.checkpoint.dir names no folder that all machines of {master} share")
-        path = f"file://{tempfile.gettempdir()}/checkpoints"
-    return path.rstrip("/")
-
-
 def with_long(df: DataFrame, column: str) -> DataFrame:
     """``df`` with the id ``column`` as long; ids of other than integer types are refused."""
     kind = df.schema[column].dataType
@@ -168,6 +157,15 @@ def text_slices(batches, limit: int = 2 << 20):
             yield batch.column(0).slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
+#: Rows of one bucket of a running total, at most, and buckets of a small table.
+BUCKET_ROWS, BUCKETS = 5_000, 512
+
+
+def buckets_for(n: int) -> int:
+    """Number of buckets for ``n`` rows: of BUCKET_ROWS at most, and of fewer where that gives less than BUCKETS."""
+    return max(1, -(-n // BUCKET_ROWS), min(BUCKETS, -(-n // 64)))
+
+
 def running_total(df: DataFrame, key: str, bucket: str, order: list, value: str, out: str) -> DataFrame:
     """Add the sum of ``value`` over the rows before, in each key (not null), as ``out``.
 

@@ -5,9 +5,9 @@ times its own inverse document frequency, 1 + ln of documents over documents wit
 the shingle, at most 1 + ln(RARE): all shingles in fewer than one document of
 RARE, or in one document, weigh alike. Frequencies are exact counts over all
 documents. Only frequent shingles need a table, which has at most RARE times the
-mean number of different shingles in a document; a shingle can be frequent only
-if its words are, and then its pairs of words, so that two cheaper counts leave
-few shingles to be counted.
+mean number of different shingles in a document. A first pass counts shingles by
+a few bits of their hashes; only those in cells with enough of them can be
+frequent, and the second pass counts these few exactly.
 
 Each sample of improved consistent weighted sampling agrees for two documents
 with the probability of their weighted Jaccard similarity. Samples are cut in
@@ -48,6 +48,8 @@ BANDS, ROWS = 14, 4
 RARE = 1000
 #: Documents of a bucket in one tile, about; one of more than LOAD shingles counts as several.
 TILE, LOAD = 128, 2048
+#: Cells of the first count: so many times the frequent shingles that there can be, and bounds.
+CELLS, LEAST_CELLS, MOST_CELLS, BLOCKS = 4, 1 << 16, 1 << 24, 64
 #: Documents that one task compares with one least document of a bucket.
 STAR = 2048
 #: Weights are whole multiples of 1 / UNIT.
@@ -103,10 +105,10 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray):
 
 
 def _rolling(words: np.ndarray, of: np.ndarray, k: int):
-    """Rows and hashes of all k words in a row, and the places at which they begin."""
+    """Rows and hashes of all k words in a row."""
     h = gram_hashes(words, k)
     at = np.flatnonzero(of[: len(h)] == of[k - 1 :]) if len(h) else np.zeros(0, np.int64)
-    return of[at], h[at], at
+    return of[at], h[at]
 
 
 def _short(words: np.ndarray, of: np.ndarray, n: int):
@@ -121,55 +123,68 @@ def _short(words: np.ndarray, of: np.ndarray, n: int):
     return short, total
 
 
+def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and hashes of all shingles."""
+    words, of = _word_hashes(data, offsets)
+    row, h = _rolling(words, of, SHINGLE)
+    short, total = _short(words, of, len(offsets) - 1)
+    return np.concatenate([row, short]), np.concatenate([h, total])
+
+
+def full_cells(docs: DataFrame, cells: int, least: float) -> np.ndarray:
+    """Which cells, by the low bits of their hashes, have at least ``least`` shingles: a flag a cell.
+
+    Tasks add up tables of their own, and BLOCKS groups those of all tasks; the
+    driver gets a bit a cell.
+    """
+    width = cells // BLOCKS
+
+    def run(batches):
+        counts = np.zeros(cells, np.uint32)
+        for _, data, offsets in text_slices(batches, 8 << 20):
+            _, h = _hashes(data, offsets)
+            counts += np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
+        if counts.any():
+            parts = [counts[i : i + width].tobytes() for i in range(0, cells, width)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(parts, pa.binary())], ["block", "counts"])
+
+    def added(table):
+        total = np.zeros(width, np.uint64)
+        for part in table.column("counts").to_pylist():
+            total += np.frombuffer(part, np.uint32)
+        return pa.table({"block": table.column("block").slice(0, 1), "full": pa.array([np.packbits(total >= least).tobytes()], pa.binary())})
+
+    parts = docs.select("doc_id", "text").mapInArrow(run, "block int, counts binary")
+    out = np.zeros(cells, bool)
+    for r in parts.groupBy("block").applyInArrow(added, "block int, full binary").toLocalIterator():
+        out[r.block * width : (r.block + 1) * width] = np.unpackbits(np.frombuffer(r.full, np.uint8))
+    return out
+
+
 def shingle_weights(docs: DataFrame, rare: int = RARE) -> tuple[np.ndarray, np.ndarray, int]:
     """Sorted hashes and weights of the shingles in two documents and one of ``rare`` at least, and the weight of all others."""
-    n = docs.count()
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     least = max(2.0, n / rare)
-
-    def frequent(grams):
-        rows = frequencies(docs, grams).where(F.col("df") >= least).toPandas()
-        h, df = rows["gram"].to_numpy(np.int64).view(np.uint64), rows["df"].to_numpy(float)
-        order = np.argsort(h)
-        return h[order], df[order]
-
-    def words(data, offsets):
-        h, of = _word_hashes(data, offsets)
-        return of, h
-
-    known, _ = frequent(words)
-
-    def pairs(data, offsets):
-        h, of = _word_hashes(data, offsets)
-        fine = _among(known, h)
-        rows, both, at = _rolling(h, of, 2)
-        some = fine[at] & fine[at + 1]
-        return rows[some], both[some]
-
-    known_pairs, _ = frequent(pairs)
-
-    def whole(data, offsets):
-        h, of = _word_hashes(data, offsets)
-        _, both, at = _rolling(h, of, 2)
-        odd = np.ones(len(h) + 1, np.int64)
-        odd[at] = ~_among(known_pairs, both)
-        odd = np.concatenate([[0], np.cumsum(odd)])
-        rows, five, at = _rolling(h, of, SHINGLE)
-        some = odd[at + SHINGLE - 1] == odd[at]
-        short, total = _short(h, of, len(offsets) - 1)
-        return np.concatenate([rows[some], short]), np.concatenate([five[some], total])
-
-    h, df = frequent(whole)
+    # Words of six bytes, about: a wrong guess costs time only.
+    wanted = int(CELLS * min(rare * size / 6 / max(n, 1), size / 6)) + 1
+    full = full_cells(docs, min(MOST_CELLS, max(LEAST_CELLS, 1 << wanted.bit_length())), least)
+
+    def able(data, offsets):
+        row, h = _hashes(data, offsets)
+        some = full[(h & np.uint64(len(full) - 1)).astype(np.int64)]
+        return row[some], h[some]
+
+    rows = frequencies(docs, able).where(F.col("df") >= least).toPandas()
+    h, df = rows["gram"].to_numpy(np.int64).view(np.uint64), rows["df"].to_numpy(float)
+    order = np.argsort(h)
     weight = lambda df: 1 + np.minimum(np.log((n + 1) / (df + 1)), np.log(rare))
-    return h, np.rint(weight(df) * UNIT).astype(np.int64), int(round(weight(1.0) * UNIT)) if n else UNIT
+    return h[order], np.rint(weight(df[order]) * UNIT).astype(np.int64), int(round(weight(1.0) * UNIT)) if n else UNIT
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, hash, weight of one) of all shingles of all rows, sorted by row and hash."""
     known, weights, rare = idf
-    words, of = _word_hashes(data, offsets)
-    row, h, _ = _rolling(words, of, SHINGLE)
-    short, total = _short(words, of, len(offsets) - 1)
-    row, h = np.concatenate([row, short]), np.concatenate([h, total])
+    row, h = _hashes(data, offsets)
     place = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
     w = np.where(known[place] == h, weights[place], rare) if len(known) else np.full(len(h), rare)
     order = np.lexsort((h, row))
@@ -185,20 +200,39 @@ def samples(h: np.ndarray, log_weight: np.ndarray, first: np.ndarray, n: int) ->
     log c - r (t - b + 1) is the sample, with its t.
     """
     out = np.empty((len(first), n), np.uint32)
-    low = h & np.uint64(0xFFFFFFFF)
+    # Buffers are made once: most of the work of an operator is here.
+    z, shifted = np.empty((2, len(h)), np.uint64)
+    parts = z.view(np.uint16).reshape(-1, 4)  # independent 16-bit numbers: b, c and r
+    t, a, b, r_of = np.empty((4, len(h)), np.float32)
+    tag, key = np.empty(len(h), np.int32), np.empty(len(h), np.int64)
+    halves = key.view(np.int32).reshape(-1, 2)
+    low = h.astype(np.uint32).view(np.int32)
     for k in range(n):
-        z = (h ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
-        z ^= z >> np.uint64(32)
+        np.bitwise_xor(h, np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)), out=z)
+        z *= np.uint64(0xD6E8FEB86659FD93)
+        np.right_shift(z, np.uint64(32), out=shifted)
+        z ^= shifted
         z *= np.uint64(0xBF58476D1CE4E5B9)
-        r = (z >> np.uint64(48)).astype(np.int64)
-        c = ((z >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.int64)
-        b = ((z >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.float32) * np.float32(1 / _LEVELS)
-        t = np.floor(log_weight * _INV_R[r] + b)
-        a = _LOG_C[c] - _R[r] * (t - b + np.float32(1))
-        bits = a.view(np.int32).astype(np.int64)
-        bits = np.where(bits < 0, ~bits & 0xFFFFFFFF, bits | 0x80000000).astype(np.uint64)
-        tag = (low + t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)
-        out[:, k] = np.minimum.reduceat((bits << np.uint64(32)) | tag, first) & np.uint64(0xFFFFFFFF)
+        r, c = parts[:, 3].astype(np.intp), parts[:, 2].astype(np.intp)
+        np.multiply(parts[:, 1], np.float32(1 / _LEVELS), out=b)
+        np.take(_INV_R, r, out=t, mode="clip")
+        t *= log_weight
+        t += b
+        np.floor(t, out=t)
+        np.copyto(tag, t, casting="unsafe")
+        b -= t
+        b -= np.float32(1)
+        np.take(_R, r, out=r_of, mode="clip")
+        b *= r_of
+        np.take(_LOG_C, c, out=a, mode="clip")
+        a += b
+        # Bits of floats, with those of negative ones turned about, are in their order.
+        bits = a.view(np.int32)
+        bits ^= (bits >> 31) & 0x7FFFFFFF
+        tag *= np.int32(0x1E3779B1)
+        tag += low
+        halves[:, 1], halves[:, 0] = bits, tag
+        out[:, k] = np.minimum.reduceat(key, first).astype(np.uint32)
     return out
 
 
@@ -338,9 +372,10 @@ def crossed(placed: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
     is_main = F.col("component") == F.col("main")
     main, rest = tiles(F.col("main_load")), tiles(F.col("load") - F.col("main_load"))
     dealt = lambda n: F.pmod(F.xxhash64("rep"), n.cast("long")).cast("int")
-    # Tiles of the largest component are -1, -2, ..., those of the rest 0, 1, ...
-    placed = placed.withColumn("_tile", F.when(is_main, -1 - dealt(main)).otherwise(dealt(rest)))
-    others = F.when(is_main, F.sequence(F.lit(0), rest - 1)).otherwise(F.sequence(-main, rest - 1))
+    # Tiles of the largest component are -1, -2, ..., those of the rest 0, 1, ...; a small bucket is one tile.
+    small = F.col("load") <= tile
+    placed = placed.withColumn("_tile", F.when(small, 0).when(is_main, -1 - dealt(main)).otherwise(dealt(rest)))
+    others = F.when(small, F.array(F.lit(0))).when(is_main, F.sequence(F.lit(0), rest - 1)).otherwise(F.sequence(-main, rest - 1))
     placed = placed.withColumn("_other", F.explode(others))
     placed = placed.withColumns({"_first": F.least("_tile", "_other"), "_second": F.greatest("_tile", "_other")})
 
