@@ -7,8 +7,9 @@ whose k-grams is a benchmark fingerprint are done after one pass; the
 fingerprints of the others are joined to the benchmark's, and each hit is
 extended: the windows around it are compared word for word with the item's.
 
-The benchmark is the small side. Its fingerprints and windows are counted
-before they are broadcast; above ``BROADCAST_ROWS`` the same joins shuffle.
+The benchmark is the small side. Its windows are counted, with the bytes of
+their words and item ids, before they are broadcast; above ``BROADCAST_ROWS`` or
+``BROADCAST_BYTES`` the same joins shuffle.
 
 Defined results: null and empty texts have no words, no hits and are not
 contaminated; a null or empty item has no windows; an item of fewer words than
@@ -29,8 +30,8 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a k-gram.
 K = 4
-#: Most rows of the benchmark's side that are broadcast (some 40 MB).
-BROADCAST_ROWS = 200_000
+#: Most rows, and bytes of windows and ids, of the benchmark's side that are broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -83,8 +84,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     spans = items.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s + 1, n))).alias("span"))
     spans = spans.groupBy("span").agg(F.collect_set("item_id").alias("item_ids"))
     spans = stage(spans, "decontaminate-spans")
-    n_spans = spans.count()
-    small = n_spans <= BROADCAST_ROWS
+    bytes_ = F.sum(F.octet_length(F.array_join("span", " ")) + 16 * F.size("span") + 16 * F.size("item_ids"))
+    n_spans, n_bytes = spans.agg(F.count("*"), F.coalesce(bytes_, F.lit(0))).first()
+    small = n_spans <= BROADCAST_ROWS and n_bytes <= BROADCAST_BYTES
     held = (lambda df: F.broadcast(df)) if small else (lambda df: df)
 
     # Fingerprints of whole windows; of a shorter item, its first K-gram or first word.
@@ -100,7 +102,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     tokens = F.split(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), GAP)
     edge = lambda i: F.when(F.get("_w", i) == "", 1).otherwise(0)
     n_words = F.size("_w") - edge(F.lit(0)) - F.when(F.size("_w") > 1, edge(F.size("_w") - 1)).otherwise(0)
-    seen = docs.select("doc_id", "text", tokens.alias("_w"))
+    seen = docs.select("doc_id", "text", tokens.alias("_w")).withColumn("n_words", n_words.cast("long"))
     if small:
         in_marks = F.coalesce(F.arrays_overlap(grams(F.col("_w")), marks.agg(F.collect_set("mark")).scalar()), F.lit(False))
         if any(m < K for m in lengths):
@@ -113,27 +115,40 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
             by_word = seen.select("doc_id", F.explode(F.array_distinct("_w")).alias("mark"))
             near = near.union(by_word.join(first_words, "mark", "left_semi").select("doc_id"))
         near = near.distinct().select(F.col("doc_id").alias("near_id"), F.lit(True).alias("_near"))
-        seen = seen.join(near, F.col("doc_id").eqNullSafe(F.col("near_id")), "left").withColumn("_near", F.coalesce("_near", F.lit(False)))
-    seen = seen.select("doc_id", n_words.cast("long").alias("n_words"), F.when(F.col("_near"), F.col("text")).alias("text"))
+        seen = seen.drop("_w").join(near, F.col("doc_id").eqNullSafe(F.col("near_id")), "left").withColumn("_near", F.coalesce("_near", F.lit(False)))
+    seen = seen.select("doc_id", "n_words", F.when(F.col("_near"), F.col("text")).alias("text"))
     seen = stage(seen, "decontaminate-seen")
 
-    near = seen.where("text is not null").select("doc_id", words(F.col("text")).alias("w"))
-    near = near.withColumn("h", grams(F.col("w")))
-    # Windows that hold a K-gram with a fingerprint that document and item share.
-    marked = near.select("doc_id", "w", "h", F.explode(fingerprints(F.col("h"), width)).alias("mark"))
-    marked = marked.join(held(long), "mark").select("doc_id", "w", F.explode(_places("h", "mark")).alias("at"))
-    around = F.sequence(F.greatest(F.col("at") - (window - K), F.lit(0)), F.least(F.col("at"), F.size("w") - window))
-    around = F.when(F.size("w") >= window, around)
-    found = marked.select("doc_id", F.explode(F.transform(around, lambda s: F.struct(s.alias("s"), F.slice("w", s + 1, window).alias("span")))).alias("x"))
-    hits = found.select("doc_id", "x.s", "x.span").distinct().join(held(spans), "span").select("doc_id", "s", F.lit(window).alias("n"), "item_ids")
+    # Equal texts are extended once, and known by a digest: what is exploded never carries a text's words.
+    near = seen.where("text is not null").select(F.md5(F.col("text").cast("binary")).alias("key"), "text").dropDuplicates(["key"])
+    near = stage(near.select("key", words(F.col("text")).alias("w")), "decontaminate-near")
+
+    def beside(places: DataFrame, value: str) -> DataFrame:
+        """``near`` with the sorted places (s, value) of each text."""
+        places = places.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("s", value))).alias("places"))
+        return near.join(places.hint("merge"), "key")
+
+    # Windows that hold a K-gram with a fingerprint that text and item share.
+    hashes = grams(F.col("w"))
+    shared = near.select("key", F.explode(fingerprints(hashes, width)).alias("mark")).join(held(long), "mark").distinct()
+    at = near.select("key", F.posexplode(hashes).alias("s", "mark")).join(shared.hint("merge"), ["key", "mark"])
+    around = lambda p: F.sequence(F.greatest(p["s"] - (window - K), F.lit(0)), F.least(p["s"], F.size("w") - window))
+    starts = F.array_distinct(F.flatten(F.transform("places", around)))
+    found = beside(at, "mark").where(F.size("w") >= window)
+    found = found.select("key", F.explode(F.transform(starts, lambda s: F.struct(s.alias("s"), F.slice("w", s + 1, window).alias("span")))).alias("x"))
+    hits = found.select("key", "x.s", "x.span").join(held(spans), "span").select("key", "s", F.lit(window).alias("n"), "item_ids")
     if lengths:
-        # Shorter items are few: their first word is looked up at every word.
+        # Shorter items: their first word is looked up at every word, and the words from there are compared.
         heads = short.select(F.get("span", F.lit(0)).alias("head"), "span", "item_ids")
-        each = near.select("doc_id", "w", F.posexplode("w").alias("s", "head"))
-        each = each.join(held(heads), "head").where(F.slice("w", F.col("s") + 1, F.size("span")) == F.col("span"))
-        hits = hits.union(each.select("doc_id", "s", F.size("span").alias("n"), "item_ids"))
-    hits = hits.groupBy("doc_id").agg(
-        F.array_sort(F.collect_set(F.struct("s", "n"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("items")
+        at = near.select("key", F.posexplode("w").alias("s", "head")).join(held(heads.select("head").distinct()), "head", "left_semi")
+        each = beside(at, "head").select("key", F.explode(F.transform("places", lambda p: F.struct(p["s"], p["head"], F.slice("w", p["s"] + 1, max(lengths)).alias("next")))).alias("x"))
+        each = each.select("key", "x.*").join(held(heads), "head").where(F.slice("next", F.lit(1), F.size("span")) == F.col("span"))
+        hits = hits.union(each.select("key", "s", F.size("span").alias("n"), "item_ids"))
+    texts = seen.where("text is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("key")).distinct()
+    hits = hits.groupBy("key").agg(F.collect_set(F.struct("s", "n")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("items"))
+    # Rows with one id are judged together.
+    hits = texts.join(hits.hint("merge"), "key").groupBy("doc_id").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
     )
     reach = F.aggregate(
         "spans",
@@ -164,9 +179,3 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFra
     dirty = decontaminate(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
     dirty = stage(dirty, "decontaminate-dirty")
     return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["_id"]), "left_anti")
-
-
-def _places(hashes: str, mark: str) -> Column:
-    """Places at which ``mark`` stands among ``hashes``, from 0."""
-    every = F.transform(F.col(hashes), lambda h, i: F.when(h == F.col(mark), i))
-    return F.filter(every, lambda i: i.isNotNull())
