@@ -10,7 +10,8 @@ them, a run of items of one size at a time, and Spark deals the items of each
 size to the bins by their rank. The driver holds the table of sizes alone: up to
 2**16 every size has its own row, and above, sizes are rounded up to 16
 significant bits, so that it has at most 65,536 + 32,768 * 48 rows, whatever the
-input. It never holds items.
+input, and the runs, which are no more than sizes and bins together. It never
+holds items.
 
 A group larger than a bin can't stay whole: it is dealt, by a hash of its
 document ids, to pieces of about ``split_share`` of the capacity. All other
@@ -28,10 +29,10 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_total, stage
+from .common import buckets_for, running_total, stage
 
-#: Documents in one bucket of a rank: what one window task sorts.
-BUCKET_ROWS = 5_000
+#: Ranks of one size whose bins are looked up together.
+STRETCH = 256
 
 
 class CapacityTree:
@@ -165,21 +166,18 @@ def pack(items: DataFrame, capacity: int, bins: int | None = None) -> DataFrame:
     """``items`` (key, bytes) with the bin of each; keys are distinct."""
     spark = items.sparkSession
     items = items.withColumn("_size", _rounded(F.col("bytes")))
-    n_buckets = max(1, -(-items.count() // BUCKET_ROWS))
+    n_buckets = buckets_for(items.count())
     items = items.withColumn("_bucket", F.pmod(F.xxhash64("key"), F.lit(n_buckets)).cast("int")).withColumn("_one", F.lit(1))
     ranked = running_total(items, "_size", "_bucket", ["key"], "_one", "_rank")
     sizes = {r["_size"]: r["n"] for r in items.groupBy("_size").agg(F.count("*").alias("n")).toLocalIterator()}
     runs = best_fit_decreasing(sizes, capacity, bins)
-    # A size's runs are found by its rank's place among their starts: an array a size.
-    by_size = defaultdict(lambda: ([], []))
-    for size, first, _, b in runs:
-        by_size[size][0].append(first)
-        by_size[size][1].append(b)
-    plan = spark.createDataFrame(
-        [(s, f, b) for s, (f, b) in by_size.items()], "_size long, _first array<long>, _bins array<int>"
-    )
-    place = F.size(F.filter("_first", lambda f: f <= F.col("_rank")))
-    return ranked.join(plan, "_size").select("key", F.element_at("_bins", place).alias("bin"))
+    plan = spark.createDataFrame(runs, "_size long, _from long, _to long, _bin int")
+    # A rank finds its run among those of its stretch: STRETCH at most, however many bins a size is dealt to.
+    plan = plan.withColumn("_stretch", F.explode(F.expr(f"sequence(_from div {STRETCH}, (_to - 1) div {STRETCH})")))
+    plan = plan.groupBy("_size", "_stretch").agg(F.array_sort(F.collect_list(F.struct("_from", "_bin"))).alias("_runs"))
+    ranked = ranked.withColumn("_stretch", F.expr(f"_rank div {STRETCH}")).join(plan.hint("merge"), ["_size", "_stretch"])
+    place = F.size(F.filter("_runs", lambda r: r["_from"] <= F.col("_rank")))
+    return ranked.select("key", F.element_at("_runs", place)["_bin"].alias("bin"))
 
 
 def shard(docs: DataFrame, shards: int = 40, split_share: float = 0.125, overhead: int = 16) -> DataFrame:
@@ -203,7 +201,7 @@ def shard(docs: DataFrame, shards: int = 40, split_share: float = 0.125, overhea
     )
     items = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
     placed = rows.join(pack(items, capacity, shards), "key").select("doc_id", "size", "text_crc32", F.col("bin").alias("shard"))
-    buckets = max(1, -(-count // BUCKET_ROWS))
+    buckets = buckets_for(count)
     placed = placed.withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).withColumn("_one", F.lit(1))
     return running_total(placed, "shard", "_bucket", ["doc_id", "text_crc32"], "_one", "slot").drop("_bucket", "_one")
 
