@@ -26,11 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import running_total, stage
+from .common import BUCKET_ROWS, buckets_for, running_total, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents in one bucket of a running total.
-BUCKET_ROWS = 5_000
 ROUNDS = 12
 #: Stretches of the drawn range, at most, and slots in one, at least.
 STRETCHES, STRETCH = 1 << 16, 4096
@@ -130,8 +128,7 @@ def mix(
     spark = docs.sparkSession
     sizes = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     sources = stage(sources_of(sizes, weights, max_repeats, block_words), "mix-sources")
-    count = sizes.count()
-    n_buckets = max(1, -(-count // BUCKET_ROWS))
+    n_buckets = buckets_for(sizes.count())
     names = sources.select("src", F.col("source").alias("_name"))
     rows = sizes.join(names, F.col("source").eqNullSafe(F.col("_name"))).drop("_name", "source")
     rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets)).cast("int"))
