@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import span_hashes, text_slices, words_of
+from .common import span_hashes, stage, text_slices, words_of
 
 STATISTICS = (
     "log_bytes", "log_words", "word_length", "short_words", "long_words", "upper", "digits", "bars", "bangs", "symbols",
@@ -207,7 +207,7 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: DataFrame | None = None, **
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fit) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document. Labels of held-out documents are not used."""
-    rows = with_statistics(docs).persist()
+    rows = stage(with_statistics(docs), "quality-statistics")
     scored = fitted(docs, labels, rows, **fit).score(rows)
     return scored.select(
         F.col("id").alias("doc_id"),
