@@ -117,6 +117,8 @@ def sort_suffixes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     with long common prefixes; a blind trie orders each.
     """
     n, width = rows.shape
+    if not width:
+        return np.arange(n), np.zeros(n, np.int64)
     padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
     padded[:, :width] = rows
     words = padded.view(">u8").astype(np.uint64)

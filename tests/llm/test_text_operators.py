@@ -68,27 +68,44 @@ def runs(gone: np.ndarray) -> int:
     return int((gone & ~np.append(False, gone[:-1])).sum())
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 3, 1])
-def test_suffix_array_dedup(docs, rows, empty, hot):
+@pytest.mark.parametrize(("hot", "length"), [(suffix_dedup.HOT, 100), (3, 100), (1, 100), (suffix_dedup.HOT, 24), (2, 24), (50, 255)])
+def test_suffix_array_dedup(docs, rows, empty, hot, length):
     first = {}
     for i, t, *_ in rows:
         b = (t or "").encode()
-        for s in range(len(b) - 99):
+        for s in range(len(b) - length + 1):
             at = (-1 if i is None else i, s)
-            first[b[s : s + 100]] = min(first.get(b[s : s + 100], at), at)
+            first[b[s : s + length]] = min(first.get(b[s : s + length], at), at)
     want = Counter()
     for i, t, *_ in rows:
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
-        for s in range(len(b) - 99):
-            if first[b[s : s + 100]] < (-1 if i is None else i, s):
-                gone[s : s + 100] = True
+        for s in range(len(b) - length + 1):
+            if first[b[s : s + length]] < (-1 if i is None else i, s):
+                gone[s : s + length] = True
         want[i, len(b), int(gone.sum()), runs(gone), bytes(np.frombuffer(b, np.uint8)[~gone])] += 1
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup.dedup(docs, hot=hot).collect())
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup.dedup(docs, length, hot).collect())
     assert got == want
     assert suffix_dedup.dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("length", [23, 256])
+def test_lengths_that_cannot_work_are_refused(docs, length):
+    with pytest.raises(ValueError):
+        suffix_dedup.dedup(docs, length)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), min_size=3, max_size=3), min_size=1, max_size=60), st.integers(1, 3))
+def test_multikey_quicksort(rows, depth):
+    words = np.array(rows, np.uint64)
+    order, tied, start = suffixes.multikey_quicksort(words, depth)
+    keys = [tuple(words[i, :depth].tolist()) for i in order]
+    assert keys == sorted(keys) and sorted(order.tolist()) == list(range(len(rows)))
+    assert tied.tolist() == [i for i, k in enumerate(keys) if keys.count(k) > 1]
+    assert all(start[i] == keys.index(keys[i]) for i in tied)
+
+
 def test_suffix_dedup_across_chunks(docs, monkeypatch):
     whole = {(r.doc_id, bytes(r.kept)) for r in suffix_dedup.dedup(docs).collect()}
     words = {(r.doc_id, r.text) for r in passages.dedup(docs).collect()}
