@@ -188,6 +188,27 @@ def running_total(df: DataFrame, key: str, bucket: str, order: list, value: str,
     )
 
 
+def added_up(parts: DataFrame, add, by: list[str], schema: str, fan: int, levels: int) -> DataFrame:
+    """``parts`` of all tasks, added up by the columns ``by``: ``add(table)`` of rows with equal ones gives their sum, a row.
+
+    Tasks are added up in groups of ``fan`` neighbours, these again, and so on: no
+    task reads more than ``fan`` rows, but the last, for ``fan`` to the power of
+    ``levels`` and one tasks.
+    """
+    names = ", ".join(f"{c} {parts.schema[c].dataType.simpleString()}" for c in by)
+    whole = f"{names}, task int, {schema}" if by else f"task int, {schema}"
+
+    def run(table):
+        keys = {c: table.column(c).slice(0, 1) for c in [*by, "task"]}
+        return pa.table(keys | add(table))
+
+    parts = parts.withColumn("task", F.spark_partition_id())
+    for _ in range(levels):
+        parts = parts.withColumn("task", F.expr(f"int(task div {fan})"))
+        parts = parts.groupBy(*by, "task").applyInArrow(run, whole)
+    return parts.withColumn("task", F.lit(0)).groupBy(*by, "task").applyInArrow(run, whole).drop("task")
+
+
 def salt(spread: str) -> Column:
     """One of ``SALTS`` numbers, by the column ``spread``."""
     return F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")

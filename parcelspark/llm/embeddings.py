@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stage, with_long
+from .common import added_up, connected_components, stage, with_long
 
 #: Bytes of coordinates in a tile, at most; tiles of small inputs are cut finer, for TILES of them.
 TILE_BYTES, TILES, LEAST_TILE = 16 << 20, 24, 512
@@ -63,8 +63,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 def principal_axes(vectors: DataFrame, size: int) -> np.ndarray:
     """Orthonormal axes, widest spread first, from the products of all unit vectors.
 
-    Tasks add up their own products and 64 groups add up those of tasks, so that
-    the driver gets 64 matrices at most, whatever the number of vectors.
+    Tasks add up their own products, and these are added up a few at a time; the
+    driver gets one matrix, whatever the number of vectors.
     """
 
     def products(batches):
@@ -75,15 +75,12 @@ def principal_axes(vectors: DataFrame, size: int) -> np.ndarray:
                 total += u.T @ u
                 n += 1
         if n:
-            part = np.array([int(abs(total[0, 0]) * 1e6) % 64], np.int32)
-            yield pa.RecordBatch.from_pydict({"part": part, "m": [total.ravel()]})
+            yield pa.RecordBatch.from_pydict({"m": [total.ravel()]})
 
-    def added(table):
-        return pa.table({"m": [_matrix(table.column("m")).sum(0)]})
-
-    parts = vectors.select("v").mapInArrow(products, "part int, m array<double>")
-    rows = parts.groupBy("part").applyInArrow(added, "m array<double>").collect()
-    total = np.sum([r.m for r in rows], axis=0).reshape(size, size) if rows else np.eye(size)
+    parts = vectors.select("v").mapInArrow(products, "m array<double>")
+    total = added_up(parts, lambda table: {"m": [_matrix(table.column("m")).sum(0)]}, [], "m array<double>", 16, 4)
+    row = total.first()
+    total = np.array(row.m).reshape(size, size) if row else np.eye(size)
     return np.linalg.eigh(total)[1][:, ::-1].copy()
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    blobs, connected_components, gram_hashes, join_groups, mix64, salts_of, slices, span_hashes, stage, text_slices, with_long, words_of,
+    added_up, blobs, connected_components, gram_hashes, join_groups, mix64, salts_of, slices, span_hashes, stage, text_slices, with_long, words_of,
 )
 
 SHINGLE = 5
@@ -49,7 +49,7 @@ RARE = 1000
 #: Documents of a bucket in one tile, about; one of more than LOAD shingles counts as several.
 TILE, LOAD = 128, 2048
 #: Cells of the first count: so many times the frequent shingles that there can be, and bounds.
-CELLS, LEAST_CELLS, MOST_CELLS, BLOCKS = 4, 1 << 16, 1 << 24, 64
+CELLS, LEAST_CELLS, MOST_CELLS, BLOCKS = 4, 1 << 16, 1 << 24, 128
 #: Documents that one task compares with one least document of a bucket.
 STAR = 2048
 #: Weights are whole multiples of 1 / UNIT.
@@ -134,8 +134,8 @@ def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def full_cells(docs: DataFrame, cells: int, least: float) -> np.ndarray:
     """Which cells, by the low bits of their hashes, have at least ``least`` shingles: a flag a cell.
 
-    Tasks add up tables of their own, and BLOCKS groups those of all tasks; the
-    driver gets a bit a cell.
+    Tasks add up tables of their own, and these are added up block by block, a few
+    at a time; the driver gets a bit a cell.
     """
     width = cells // BLOCKS
 
@@ -145,18 +145,24 @@ def full_cells(docs: DataFrame, cells: int, least: float) -> np.ndarray:
             _, h = _hashes(data, offsets)
             counts += np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
         if counts.any():
-            parts = [counts[i : i + width].tobytes() for i in range(0, cells, width)]
+            parts = [counts[i : i + width].astype(np.uint64).tobytes() for i in range(0, cells, width)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(parts, pa.binary())], ["block", "counts"])
 
-    def added(table):
+    def add(table):
         total = np.zeros(width, np.uint64)
         for part in table.column("counts").to_pylist():
-            total += np.frombuffer(part, np.uint32)
-        return pa.table({"block": table.column("block").slice(0, 1), "full": pa.array([np.packbits(total >= least).tobytes()], pa.binary())})
+            total += np.frombuffer(part, np.uint64)
+        return {"counts": pa.array([total.tobytes()], pa.binary())}
+
+    def flags(batches):
+        for batch in batches:
+            full = [np.packbits(np.frombuffer(c.as_py(), np.uint64) >= least).tobytes() for c in batch.column("counts")]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(full, pa.binary())], ["block", "full"])
 
     parts = docs.select("doc_id", "text").mapInArrow(run, "block int, counts binary")
+    total = added_up(parts, add, ["block"], "counts binary", 256, 2)
     out = np.zeros(cells, bool)
-    for r in parts.groupBy("block").applyInArrow(added, "block int, full binary").toLocalIterator():
+    for r in total.mapInArrow(flags, "block int, full binary").toLocalIterator():
         out[r.block * width : (r.block + 1) * width] = np.unpackbits(np.frombuffer(r.full, np.uint8))
     return out
 
