@@ -8,6 +8,33 @@ gone AS (SELECT DISTINCT doc_id, i + k AS i FROM hit, range({n}) r(k))"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TOKENS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+def _codes(rounds: int = 6) -> str:
+    """Product codes by exact distances to all entries; every round is two tables."""
+    nearest = """SELECT p.vec_id, p.part, min({{'d': CAST(list_sum(list_transform(list_zip(p.s, c.s), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'e': c.e}}) AS m
+  FROM p JOIN c{k} c USING (part) GROUP BY p.vec_id, p.part"""
+    entries = """SELECT c.part, c.e, coalesce(n.s, c.s) AS s FROM c{k} c LEFT JOIN (
+    SELECT part, e, list(CAST(floor(total / n) AS BIGINT) ORDER BY i) AS s
+    FROM (SELECT part, m.e AS e, i, sum(s[i]) AS total, count(*) AS n FROM a{k} JOIN p USING (vec_id, part), (SELECT unnest(range(1, width + 1)) AS i FROM size) GROUP BY 1, 2, 3)
+    GROUP BY part, e) n USING (part, e)"""
+    steps = [
+        """v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(4096 * x) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false))""",
+        "size AS (SELECT max(len(x)) // 8 AS width FROM v)",
+        "p AS MATERIALIZED (SELECT vec_id, part, x[part * width + 1:part * width + width] AS s FROM v, size, range(8) r(part))",
+        "c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, s FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 16))",
+    ]
+    for k in range(rounds):
+        steps += [f"a{k} AS MATERIALIZED ({nearest.format(k=k)})", f"c{k + 1} AS MATERIALIZED ({entries.format(k=k)})"]
+    steps.append(f"a AS MATERIALIZED ({nearest.format(k=rounds)})")
+    steps.append("coded AS (SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a GROUP BY vec_id)")
+    return f"""WITH {",\n".join(steps)}
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY part, e)) FROM c{rounds}) AS codebooks_sha256
+FROM coded JOIN v USING (vec_id)"""
+
+
 SQL = {
     # A byte is two hexadecimal digits here; hits no more than 100 bytes apart are one removed run.
     "op1_suffix_array_dedup": r"""WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
@@ -65,4 +92,5 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM t LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op13_segment_mean_codes": _codes(),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, licenses, minhash, mixing, oracles, passages, pii, quality, sharding, suffix_dedup
+from . import codes, decontamination, embeddings, licenses, minhash, mixing, oracles, passages, pii, quality, sharding, suffix_dedup, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,14 @@ def op10_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_residue_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_segment_mean_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +84,8 @@ QUERIES = {
         op8_diagonal_license_scan,
         op9_winnowing_decontamination,
         op10_quadratic_quality,
+        op11_residue_whitening,
+        op13_segment_mean_codes,
     )
 }
 
