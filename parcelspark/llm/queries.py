@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, decontamination, embeddings, licenses, minhash, mixing, oracles, passages, pii, quality, sharding, suffix_dedup, whitening
+from . import bpe, codes, decontamination, embeddings, licenses, minhash, mixing, oracles, passages, pii, quality, sharding, suffix_dedup, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,12 @@ def op11_residue_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = bpe.encode(docs, bpe.build(docs), decode=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op13_segment_mean_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compressed(table(spark, sf_dir, "embeddings"))
 
@@ -85,6 +91,7 @@ QUERIES = {
         op9_winnowing_decontamination,
         op10_quadratic_quality,
         op11_residue_whitening,
+        op12_transducer_bpe,
         op13_segment_mean_codes,
     )
 }
