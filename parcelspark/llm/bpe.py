@@ -170,7 +170,7 @@ def parts(column, limit: int = SLICE_BYTES):
         while low < high:
             end = min(low + limit, high)
             while end < high:
-                near = data[end - 1 : end + limit]
+                near = data[end - 1 : min(end + limit, high)]
                 at = np.flatnonzero(_WHITE[near[1:]] & ~_WHITE[near[:-1]] & (near[:-1] < 0x80))
                 if len(at):
                     end += int(at[0])
