@@ -145,6 +145,9 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, phrases=PHRASES, l
     if (templates.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > TEMPLATE_BYTES:
         raise ValueError(f"more than {TEMPLATE_BYTES} bytes of templates: scan the documents with a part of them at a time")
     known = [tuple(r) for r in templates.collect()]
+    short = [label for label, text in (*phrases, *known) if len(_text_tokens(text)[1]) < K]
+    if short:
+        raise ValueError(f"templates of fewer than {K} words have no gram: {short}")
     base, more = template_grams(phrases), template_grams(known)
     rows = stage(gram_hits(docs, base + more), "license-hits")
     hits = rows.where(F.size("hits") > 0)
