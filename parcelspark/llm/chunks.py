@@ -45,20 +45,22 @@ def by_number(rows: DataFrame, column: str, n: int) -> DataFrame:
     return rows.repartition(max(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), column)
 
 
-def bucket_edges(sorted_hashes: np.ndarray, n_buckets: int) -> np.ndarray:
-    """Where each bucket's hashes begin, and the end."""
-    edges = (np.arange(1, n_buckets, dtype=np.uint64) << np.uint64(32)) // np.uint64(n_buckets) << np.uint64(32)
-    return np.concatenate([[0], np.searchsorted(sorted_hashes, edges), [len(sorted_hashes)]])
+def buckets_of(sorted_hashes: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that have hashes, and where each one's begin, and the end: as many as there are hashes at most."""
+    # The bucket of a hash is its upper half times their number, by 2**32.
+    bucket = (sorted_hashes >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
+    first = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + np.uint64(1)))
+    return bucket[first].astype(np.int64), np.append(first, len(sorted_hashes))
 
 
 def to_buckets(chunk: int, turn: int, hashes: np.ndarray, n_buckets: int, width: int, **values: np.ndarray) -> pa.Table:
     """A row a bucket: the low ``width`` bytes of its hashes, and their values as bytes."""
-    edges = bucket_edges(hashes, n_buckets)
-    some = np.flatnonzero(np.diff(edges))
+    some, edges = buckets_of(hashes, n_buckets)
+    ranges = list(zip(edges, edges[1:], strict=False))
     low = hashes.view(np.uint8).reshape(-1, 8)[:, :width]
-    parts = {"keys": [low[edges[b] : edges[b + 1]].tobytes() for b in some]}
+    parts = {"keys": [low[a:b].tobytes() for a, b in ranges]}
     for name, v in values.items():
-        parts[name] = [v[edges[b] : edges[b + 1]].tobytes() for b in some]
+        parts[name] = [v[a:b].tobytes() for a, b in ranges]
     return pa.table(
         {"chunk": np.full(len(some), chunk, np.int32), "turn": np.full(len(some), turn, np.int32), "bucket": some.astype(np.int32)}
         | {k: pa.array(v, pa.binary()) for k, v in parts.items()}
@@ -96,12 +98,18 @@ def answer(table: pa.Table, edges: np.ndarray, bits: np.ndarray) -> pa.Table:
     return out.filter(pa.compute.is_valid(out.column("bits")))
 
 
+def answers_of(answers: pa.Table, turn: int, hashes: np.ndarray, n_buckets: int):
+    """(begin, end, bits) of what buckets answered about stretches of a chunk's sorted hashes."""
+    some, edges = buckets_of(hashes, n_buckets)
+    for t, b, bits in zip(*(answers.column(c).to_pylist() for c in ("turn", "bucket", "bits")), strict=True):
+        if t == turn:
+            k = int(np.searchsorted(some, b))
+            yield int(edges[k]), int(edges[k + 1]), np.frombuffer(bits, np.uint8)
+
+
 def read_answer(answers: pa.Table, turn: int, hashes: np.ndarray, n_buckets: int) -> np.ndarray:
     """For each of a chunk's sorted hashes, the bit that its bucket answered."""
-    edges = bucket_edges(hashes, n_buckets)
     out = np.zeros(len(hashes), bool)
-    for t, b, bits in zip(*(answers.column(c).to_pylist() for c in ("turn", "bucket", "bits")), strict=True):
-        if t == turn:
-            n = edges[b + 1] - edges[b]
-            out[edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(n))
+    for a, b, bits in answers_of(answers, turn, hashes, n_buckets):
+        out[a:b] = np.unpackbits(bits, count=b - a)
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from functools import reduce
 
@@ -15,9 +16,10 @@ from ..sources.shared import shared_dir
 
 #: 64-bit odd constants of the splitmix and murmur finishers (fixed values).
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Odd bases of the byte polynomial, modulo 2**64: the usual one, and that of the second half of 128-bit hashes.
+#: Odd base of the byte polynomial, modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15 | 1
-SECOND_BASE = 0xC2B2AE3D27D4EB4F
+#: Seed of the second half of 128-bit hashes.
+SECOND_SEED = 0xC2B2AE3D27D4EB4F
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Tasks, at most, that share the rows of one group.
@@ -100,16 +102,53 @@ def words_of(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE):
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
+#: Bytes of a span that are scrambled eight at a time; longer spans are digested whole.
+_SCRAMBLED = 512
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans: equal bytes give equal hashes wherever they stand; another ``seed`` gives unrelated ones.
+
+    Every eight bytes are followed by a scrambling of all bits, so that no pattern of
+    bytes collides more often than others; spans of more than 512 bytes are digested
+    by BLAKE2b.
+    """
+    size = ends - starts
+    out = mix64(np.uint64(seed) ^ size.astype(np.uint64) * _M1)
+    long = np.flatnonzero(size > _SCRAMBLED)
+    for i in long.tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little"))
+        out[i] = int.from_bytes(digest.digest(), "little")
+    live = np.flatnonzero((size > 0) & (size <= _SCRAMBLED))
+    if not len(live):
+        return out
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    at = 0
+    while len(live):
+        word = eight[starts[live] + at] & _FIRST_BYTES[np.minimum(size[live] - at, 8)]
+        out[live] = mix64(out[live] ^ word)
+        at += 8
+        live = live[size[live] > at]
+    return out
+
+
+def _powers(n: int) -> np.ndarray:
+    out = np.full(n, _BASE, np.uint64)
     if n:
         out[0] = 1
     return np.multiply.accumulate(out)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """64-bit hashes of byte spans: equal bytes give equal hashes wherever they stand; another odd ``base`` gives others."""
-    inverse = pow(base, -1, 1 << 64)
+def rolling_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans that overlap much, at a cost that their overlaps do not add to.
+
+    A polynomial modulo 2**64, which some patterns defeat: for sorting before bytes
+    are compared, never instead of that.
+    """
+    inverse = np.uint64(pow(_BASE, -1, 1 << 64))
     if not len(starts):
         return np.zeros(0, np.uint64)
     out = np.empty(len(starts), np.uint64)
@@ -120,9 +159,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
         low, high = int(starts[first]), int(ends[first:last].max())
         part = data[low:high].astype(np.uint64) + np.uint64(1)
         sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part * _powers(len(part), base), out=sums[1:])
+        np.cumsum(part * _powers(len(part)), out=sums[1:])
         s, e = starts[first:last] - low, ends[first:last] - low
-        out[first:last] = (sums[e] - sums[s]) * _powers(len(part) + 1, inverse)[s]
+        back = np.full(len(part) + 1, inverse, np.uint64)
+        back[0] = 1
+        out[first:last] = (sums[e] - sums[s]) * np.multiply.accumulate(back)[s]
         first = last
     return mix64(out ^ (ends - starts).astype(np.uint64))
 
@@ -134,6 +175,8 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     total = np.zeros(n, np.uint64)
     for i in range(k):
+        # The shift keeps the sum from being a polynomial, in which arrangements of few words cancel out.
+        total ^= total >> np.uint64(32)
         total *= np.uint64(0xD6E8FEB86659FD93)
         total += words[i : i + n]
     return mix64(total)

@@ -11,8 +11,9 @@ the maximal exact repeats.
 
 Both look-ups move compact rows between chunks and buckets (see ``chunks``).
 Blocks are matched by 40 bits and the bucket; that can only add candidates.
-Windows are equal if 128-bit hashes of their words, in order, are: two halves of
-different polynomials over all bytes.
+Windows are equal if 128-bit hashes of their words, in order, are: two halves with
+different seeds, in which all bits are scrambled after every eight bytes, so that
+texts can't be arranged to collide as they can under polynomials.
 
 Defined results: null and empty texts have no words; a document of fewer words
 than a window keeps all; rows with the same id are one document's, none smaller
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import ANSWERS, answer, by_number, chunked, groups_of, read_answer, read_keys, read_values, to_buckets
-from .common import SECOND_BASE, gram_hashes, span_hashes, text_bytes, words_of
+from .common import SECOND_SEED, gram_hashes, span_hashes, text_bytes, words_of
 
 _NO_ID = np.iinfo(np.int64).min
 
@@ -82,7 +83,7 @@ class _Words:
         np.add.at(edge, start + self.window, -1)
         some = np.cumsum(edge)[:-1] > 0
         second = np.zeros(len(self.of), np.uint64)
-        second[some] = span_hashes(self.data, self.starts[some], self.ends[some], SECOND_BASE)
+        second[some] = span_hashes(self.data, self.starts[some], self.ends[some], SECOND_SEED)
         return start, h[start], gram_hashes(second, self.window)[start]
 
 

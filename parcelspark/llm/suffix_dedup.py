@@ -29,8 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunks import answer, bucket_edges, by_number, chunked, groups_of, read_answer, read_keys, read_values, to_buckets
-from .common import SECOND_BASE, mix64, span_hashes, text_bytes
+from .chunks import answer, answers_of, by_number, chunked, groups_of, read_answer, read_keys, read_values, to_buckets
+from .common import SECOND_SEED, mix64, rolling_hashes, span_hashes, text_bytes
 from .suffixes import class_depths
 
 K = 24
@@ -101,7 +101,7 @@ class _Chunk:
         row = np.searchsorted(self.offsets, place, side="right") - 1
         left = np.minimum(place - self.offsets[row], self.side)
         right = np.minimum(self.offsets[row + 1] - place, self.length)
-        around = span_hashes(self.data, place - left, place + right) + mix64(left * 1000 + right)
+        around = rolling_hashes(self.data, place - left, place + right) + mix64(left * 1000 + right)
         start = place - self.offsets[row]
         while True:
             order = np.lexsort((start, self.ids[row], around, gram))
@@ -173,7 +173,7 @@ def _strings(chunk: _Chunk, x: dict) -> dict:
     begin = x["place"][f][i] - o
     by_place = np.argsort(begin, kind="stable")
     i, o, begin = i[by_place], o[by_place], begin[by_place]
-    h, check = (span_hashes(chunk.data, begin, begin + length, *base) for base in ((), (SECOND_BASE,)))
+    h, check = (span_hashes(chunk.data, begin, begin + length, seed) for seed in (0, SECOND_SEED))
     ids, start = x["id"][f][i], x["start"][f][i] - o
     order, new = _classes(h, check, ids, start)
     return {"anchor": i, "o": o, "hash": h[order][new], "check": check[order][new], "id": ids, "start": start, "order": order, "new": new}
@@ -305,11 +305,8 @@ def _remove(n_buckets: int, length: int):
 
         x = chunk.gathered(read_answer(answers, 1, chunk.different, n_buckets))
         found = np.zeros((len(x["first"]), side + 1), bool)
-        edges = bucket_edges(x["gram"][x["first"]], n_buckets)
-        for turn, b, bits in zip(*(answers.column(c).to_pylist() for c in ("turn", "bucket", "bits")), strict=True):
-            if turn == 2:
-                rows = np.frombuffer(bits, np.uint8).reshape(edges[b + 1] - edges[b], -1)
-                found[edges[b] : edges[b + 1]] = np.unpackbits(rows, axis=1, count=side + 1)
+        for a, b, bits in answers_of(answers, 2, x["gram"][x["first"]], n_buckets):
+            found[a:b] = np.unpackbits(bits.reshape(b - a, -1), axis=1, count=side + 1)
         removed(x, found)
         x = chunk.gathered(read_answer(answers, 3, chunk.different, n_buckets))
         s = _strings(chunk, x)
