@@ -8,7 +8,7 @@ library's own expressions, so that the Unicode version is the same. Added tokens
 are found first and stand between words.
 
 A first pass counts the words of all texts, and the most frequent ones, LEXICON at
-most of LONGEST bytes at most, become a minimal acyclic transducer whose outputs
+most, of LONGEST bytes at most, become a minimal acyclic transducer whose outputs
 lead to their ids (see ``lexicon``). It is written to the shared folder, handed to
 every machine by Spark and mapped into memory there. The second pass sends all
 words of a slice through the transducer; those it lacks are merged by the rules,
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_dir
-from .common import slices, text_bytes, with_long
+from .common import slices, stage, text_bytes, with_long
 from .lexicon import LONGEST, compiled, mapped, merged_words, places, read_vocabulary
 
 #: Words in the lexicon, at most.
@@ -204,9 +204,25 @@ def _counts(cutter: Cutter):
 
 
 def frequent_words(docs: DataFrame, cutter: Cutter, most: int = LEXICON) -> list[bytes]:
-    """The ``most`` frequent words of all texts; equally frequent ones by their bytes."""
+    """The frequent words of all texts, ``most`` at most, by falling frequency.
+
+    Frequencies are rounded down to eight significant bits, and words of a level come
+    all or none, so that the driver gets the number of words at each of some
+    thousand levels, and then the chosen words.
+    """
     counts = docs.select("text").mapInArrow(_counts(cutter), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counts = counts.where("n > 1").withColumn("bits", F.expr("greatest(0, length(bin(n)) - 8)"))
+    counts = stage(counts.select("word", "n", F.expr("shiftleft(shiftright(n, bits), bits)").alias("level")), "word-counts")
+    least, total = None, 0
+    for row in counts.groupBy("level").agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
+        total += row.words
+        if total > most:
+            break
+        least = row.level
+    if least is None:
+        return []
+    words = counts.where(F.col("level") >= least).select("word", "n").collect()
+    return [bytes(r.word) for r in sorted(words, key=lambda r: (-r.n, bytes(r.word)))]
 
 
 def hand_out(spark: SparkSession, content: bytes) -> str:
