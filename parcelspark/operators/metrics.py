@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rasters import eval_relabelled
 from ..schemas import METRICS, THRESHOLDS
-from .scoring import matched, objects
+from ..sources.shared import staged
+from .scoring import matched, measured
+from .selection import percentiles
 
 
 def ratio(n: Column, d: Column) -> Column:
@@ -89,51 +90,60 @@ def f1_grid(scored: DataFrame) -> DataFrame:
     return with_ratios(match_grid(scored)).groupBy("country").agg(F.avg("f1").alias("ap_5_95"))
 
 
+def _delta() -> Column:
+    return F.abs(F.col("n_pred") - F.col("n_gt"))
+
+
+def _distances(metres: float) -> Column:
+    """Boundary distances of a patch's pairs matched at 0.5."""
+    return F.transform(matched(F.col("pairs"), 0.5), lambda p: p["chamfer"] * metres)
+
+
 def count_delta(scored: DataFrame) -> DataFrame:
-    delta = F.abs(F.col("n_pred") - F.col("n_gt"))
-    return scored.groupBy("country").agg(
-        F.avg(delta).alias("polygon_count_delta_mean"), F.median(delta).cast("double").alias("polygon_count_delta_median")
-    )
+    """Per country: mean and median difference of the numbers of fields."""
+    each = staged(scored.select("country", _delta().alias("value"), F.lit(0.5).alias("share")), "count-deltas")
+    middle = percentiles(each, ["country"], out="polygon_count_delta_median")
+    return each.groupBy("country").agg(F.avg("value").alias("polygon_count_delta_mean")).join(middle, "country", "left")
 
 
 def boundary_error(scored: DataFrame, metres: float = 3.0) -> DataFrame:
     """Per country: mean and 95th percentile of matched pairs' boundary distance; null without pairs."""
-    far = scored.select("country", F.explode_outer(F.transform(matched(F.col("pairs"), 0.5), lambda p: p["chamfer"] * metres)).alias("d"))
-    return far.groupBy("country").agg(
-        F.avg("d").alias("boundary_error_m_mean"), F.percentile("d", F.lit(0.95)).alias("boundary_error_m_p95")
-    )
+    each = scored.select("country", F.explode_outer(_distances(metres)).alias("value"), F.lit(0.95).alias("share"))
+    each = staged(each, "boundary-distances")
+    high = percentiles(each, ["country"], out="boundary_error_m_p95")
+    return each.groupBy("country").agg(F.avg("value").alias("boundary_error_m_mean")).join(high, "country", "left")
 
 
 def object_metrics(scored: DataFrame, metres: float = 3.0) -> DataFrame:
-    """All object metrics of every country from one pass over ``scored`` (with chamfer).
+    """All object metrics of every country from the staged rows ``scored`` (with chamfer).
 
-    A patch gives one row of counts and a row for each matched pair's boundary
-    distance; one aggregation takes both. Without such a pair its error is NaN.
+    Counts are one aggregation of partial sums; the median and the 95th percentile
+    are selected together. Without a matched pair the boundary error is NaN.
     """
     pairs = matched(F.col("pairs"), 0.5)
     tp = lambda t: F.size(matched(F.col("pairs"), t / 100)).cast("long")
     quality = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["iou"].cast("double"))
-    none = F.lit(None)
-    counts = F.struct(
-        F.col("n_gt").cast("long").alias("n_gt"), F.col("n_pred").cast("long").alias("n_pred"), F.array(*(tp(t) for t in THRESHOLDS)).alias("tp"),
-        quality.alias("iou"), none.cast("double").alias("d"),
-    )
-    far = F.transform(
-        pairs,
-        lambda p: F.struct(
-            none.cast("long").alias("n_gt"), none.cast("long").alias("n_pred"), none.cast("array<bigint>").alias("tp"),
-            none.cast("double").alias("iou"), (p["chamfer"] * metres).alias("d"),
-        ),
-    )
-    each = scored.select("country", F.explode(F.concat(F.array(counts), far)).alias("x")).select("country", "x.*")
-    delta = F.abs(F.col("n_pred") - F.col("n_gt"))
-    nan = lambda c: F.coalesce(c, F.lit(float("nan")))
-    out = each.groupBy("country").agg(
-        F.count("n_gt").alias("n_patches"), F.sum("n_gt").alias("n_gt"), F.sum("n_pred").alias("n_pred"), F.sum("iou").alias("iou"),
-        *(F.sum(F.col("tp")[i]).alias(f"tp_{t}") for i, t in enumerate(THRESHOLDS)),
-        F.avg(delta).alias("polygon_count_delta_mean"), F.median(delta).cast("double").alias("polygon_count_delta_median"),
-        nan(F.avg("d")).alias("boundary_error_m_mean"), nan(F.percentile("d", F.lit(0.95))).alias("boundary_error_m_p95"),
+    distances = F.filter(_distances(metres), lambda d: d.isNotNull())
+    total = F.aggregate(distances, F.lit(0.0), lambda a, d: a + d)
+    out = scored.groupBy("country").agg(
+        F.count("*").alias("n_patches"), F.sum("n_gt").alias("n_gt"), F.sum("n_pred").alias("n_pred"), F.sum(quality).alias("iou"),
+        *(F.sum(tp(t)).alias(f"tp_{t}") for t in THRESHOLDS),
+        F.avg(_delta()).alias("polygon_count_delta_mean"), F.sum(total).alias("far"), F.sum(F.size(distances)).alias("n_far"),
     )
+    one = F.struct(F.lit("polygon_count_delta_median").alias("name"), _delta().cast("double").alias("value"), F.lit(0.5).alias("share"))
+    far = F.transform(distances, lambda d: F.struct(F.lit("boundary_error_m_p95").alias("name"), d.alias("value"), F.lit(0.95).alias("share")))
+    each = scored.select("country", F.explode(F.concat(F.array(one), far)).alias("x")).select("country", "x.*")
+    selected = percentiles(each, ["country", "name"])
+    names = ("polygon_count_delta_median", "boundary_error_m_p95")
+    selected = selected.groupBy("country").agg(*(F.max(F.when(F.col("name") == n, F.col("percentile"))).alias(n) for n in names))
+    out = out.join(selected, "country", "left")
+    nan = F.lit(float("nan"))
+    out = out.withColumns(
+        {
+            "boundary_error_m_mean": F.when(F.col("n_far") > 0, F.col("far") / F.col("n_far")).otherwise(nan),
+            "boundary_error_m_p95": F.coalesce("boundary_error_m_p95", nan),
+        }
+    )
     counts_at = lambda t: (F.col(f"tp_{t}"), F.col("n_pred") - F.col(f"tp_{t}"), F.col("n_gt") - F.col(f"tp_{t}"))
     hit, spare, missed = counts_at(THRESHOLDS[0])
     out = out.withColumns(
@@ -142,17 +152,31 @@ def object_metrics(scored: DataFrame, metres: float = 3.0) -> DataFrame:
             "pq_rq": f1(hit, spare, missed), "ap_5_95": sum((f1(*counts_at(t)) for t in THRESHOLDS), F.lit(0.0)) / len(THRESHOLDS),
         }
     )
-    return out.withColumn("pq", F.col("pq_sq") * F.col("pq_rq")).drop("iou", "n_gt", "n_pred", *(f"tp_{t}" for t in THRESHOLDS))
+    return out.withColumn("pq", F.col("pq_sq") * F.col("pq_rq")).drop("iou", "n_gt", "n_pred", "far", "n_far", *(f"tp_{t}" for t in THRESHOLDS))
 
 
 def country_metrics(rasters: DataFrame, watershed: bool = True, metres: float = 3.0, checkpoint: str = "", h: float = 2.0) -> DataFrame:
-    """The whole metrics row of every country. Without watershed its columns are null."""
-    scored = object_metrics(objects(rasters, watershed, True, h), metres)
-    pixels = pixel_confusion(rasters.withColumn("gt", eval_relabelled(F.col("gt"))), ["country"])
-    out = scored.join(pixels.select("country", *(F.col(c).alias(f"pixel_level_{c}") for c in ("iou", "precision", "recall"))), "country", "left")
+    """The whole metrics row of every country. Without watershed its columns are null.
+
+    ``rasters`` is read once: what its patches give is a table, from which all metrics come.
+    """
+    scored = staged(measured(rasters, watershed, h), "measured-patches")
+    return of_measured(scored, watershed, metres, checkpoint)
+
+
+def of_measured(scored: DataFrame, watershed: bool, metres: float, checkpoint: str) -> DataFrame:
+    """The metrics rows from the table of ``measured`` patches."""
+    out = object_metrics(scored, metres)
+    pixels = scored.groupBy("country").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    pixels = pixels.select(
+        "country", ratio(tp, tp + fp + fn).alias("pixel_level_iou"), ratio(tp, tp + fp).alias("pixel_level_precision"), ratio(tp, tp + fn).alias("pixel_level_recall")
+    )
+    out = out.join(pixels, "country", "left")
     names = ("precision", "recall", "f1")
     if watershed:
-        plain = with_ratios(match_counts(objects(rasters))).select("country", *(F.col(c).alias(f"object_pix_{c}") for c in names))
+        plain = scored.select("country", "n_gt", F.col("plain_n_pred").alias("n_pred"), F.col("plain_pairs").alias("pairs"))
+        plain = with_ratios(match_counts(plain)).select("country", *(F.col(c).alias(f"object_pix_{c}") for c in names))
         out = out.join(plain, "country", "left").withColumnsRenamed({c: f"object_ws_{c}" for c in names})
     else:
         out = out.withColumnsRenamed({c: f"object_pix_{c}" for c in names})

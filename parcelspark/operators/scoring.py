@@ -121,29 +121,62 @@ def objects(rasters: DataFrame, watershed: bool = False, chamfer: bool = False,
 
     def rows(grid):
         labels = [kernels.components(fields_of(grid, s, watershed, h)) for s in ("gt", "pred")]
-        gt, pred = (x.ravel() for x in labels)
-        size = len(gt)
-        areas = [np.bincount(x[x >= 0], minlength=size) for x in (gt, pred)]
-        both = (gt >= 0) & (pred >= 0)
-        key, inter = np.unique(gt[both] * size + pred[both], return_counts=True)
-        g, p = key // size, key % size
-        a, b = areas[0][g], areas[1][p]
-        iou = (inter / (a + b - inter)).astype(np.float32)
-        far = [None] * len(key)
-        if chamfer:
-            edges = [kernels.points_of(x, kernels.edges_of(x)) for x in labels]
-            for k in np.flatnonzero(iou > np.float32(0.5)):
-                one, other = edges[0].get(int(g[k])), edges[1].get(int(p[k]))
-                if one is not None and other is not None:
-                    far[k] = (kernels.mean_nearest(one, other) + kernels.mean_nearest(other, one)) / 2
-        columns = [g, p, inter, a, b, iou, far]
-        pairs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PAIRS.value_type, strict=True)], fields=list(_PAIRS.value_type))
-        n_gt, n_pred = (int((a > 0).sum()) for a in areas)
-        return {"n_gt": [n_gt], "n_pred": [n_pred], "pairs": pa.ListArray.from_arrays(pa.array([0, len(key)], pa.int32()), pairs)}
+        n_gt, n_pred, pairs = _overlapping(*labels, chamfer)
+        return {"n_gt": [n_gt], "n_pred": [n_pred], "pairs": pairs}
 
     return _rows(rasters, rows, f"{_KEYS}, n_gt int, n_pred int, pairs array<{_PAIR}>")
 
 
+def _overlapping(gt_label: np.ndarray, pred_label: np.ndarray, chamfer: bool) -> tuple[int, int, pa.ListArray]:
+    """Numbers of fields of both sides, and their overlapping pairs as a list of one row."""
+    gt, pred = gt_label.ravel(), pred_label.ravel()
+    size = len(gt)
+    areas = [np.bincount(x[x >= 0], minlength=size) for x in (gt, pred)]
+    both = (gt >= 0) & (pred >= 0)
+    key, inter = np.unique(gt[both] * size + pred[both], return_counts=True)
+    g, p = key // size, key % size
+    a, b = areas[0][g], areas[1][p]
+    iou = (inter / (a + b - inter)).astype(np.float32)
+    far = [None] * len(key)
+    if chamfer:
+        edges = [kernels.points_of(x, kernels.edges_of(x)) for x in (gt_label, pred_label)]
+        for k in np.flatnonzero(iou > np.float32(0.5)):
+            one, other = edges[0].get(int(g[k])), edges[1].get(int(p[k]))
+            if one is not None and other is not None:
+                far[k] = (kernels.mean_nearest(one, other) + kernels.mean_nearest(other, one)) / 2
+    columns = [g, p, inter, a, b, iou, far]
+    pairs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PAIRS.value_type, strict=True)], fields=list(_PAIRS.value_type))
+    n_gt, n_pred = (int((a > 0).sum()) for a in areas)
+    return n_gt, n_pred, pa.ListArray.from_arrays(pa.array([0, len(key)], pa.int32()), pairs)
+
+
+def measured(rasters: DataFrame, watershed: bool = True, h: float = 2.0, ignore: int = 3) -> DataFrame:
+    """All that the metrics of a country need of each patch, from one look at its pixels.
+
+    (country, patch_id, tp, fp, fn, n_gt, n_pred, pairs, plain_n_pred, plain_pairs):
+    pixel counts of the field class, with the truth's boundary as background and
+    without ignored pixels; objects with boundary distances, after a watershed if
+    asked; and, then, the objects of the prediction as it stands (else null).
+    """
+
+    def rows(grid):
+        gt, pred = grid("gt"), grid("pred")
+        valid = gt != ignore
+        truth, field = gt == 1, pred == 1
+        label = kernels.components(truth)
+        plain = kernels.components(field)
+        shown = kernels.components(fields_of(grid, "pred", True, h)) if watershed else plain
+        n_gt, n_pred, pairs = _overlapping(label, shown, True)
+        count = lambda m: [int((m & valid).sum())]
+        out = {"tp": count(truth & field), "fp": count(~truth & field), "fn": count(truth & ~field), "n_gt": [n_gt], "n_pred": [n_pred], "pairs": pairs}
+        if watershed:
+            _, n_plain, plain_pairs = _overlapping(label, plain, False)
+        return out | ({"plain_n_pred": [n_plain], "plain_pairs": plain_pairs} if watershed else {"plain_n_pred": [None], "plain_pairs": [None]})
+
+    objects_of = f"pairs array<{_PAIR}>"
+    return _rows(rasters, rows, f"{_KEYS}, tp long, fp long, fn long, n_gt int, n_pred int, {objects_of}, plain_n_pred int, plain_{objects_of}")
+
+
 def overlaps(scored: DataFrame) -> DataFrame:
     return scored.select("country", "patch_id", F.explode("pairs").alias("p")).select("country", "patch_id", "p.*")
 

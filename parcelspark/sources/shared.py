@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,3 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError(f"spark.checkpoint.dir names no folder that all machines of {master} share")
         path = f"file://{tempfile.gettempdir()}/checkpoints"
     return path.rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder, and read back: what it took is done once, whatever reads it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
