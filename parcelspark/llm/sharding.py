@@ -29,7 +29,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, running_total, stage
+from .common import buckets_for, join_groups, running_total, salts_of, stage
 
 #: Ranks of one size whose bins are looked up together.
 STRETCH = 256
@@ -163,7 +163,7 @@ def _rounded(size):
 
 
 def pack(items: DataFrame, capacity: int, bins: int | None = None) -> DataFrame:
-    """``items`` (key, bytes) with the bin of each; keys are distinct."""
+    """``items`` (key, bytes, salts) with the bin of each; keys are distinct."""
     spark = items.sparkSession
     items = items.withColumn("_size", _rounded(F.col("bytes")))
     n_buckets = buckets_for(items.count())
@@ -177,7 +177,12 @@ def pack(items: DataFrame, capacity: int, bins: int | None = None) -> DataFrame:
     plan = plan.groupBy("_size", "_stretch").agg(F.array_sort(F.collect_list(F.struct("_from", "_bin"))).alias("_runs"))
     ranked = ranked.withColumn("_stretch", F.expr(f"_rank div {STRETCH}")).join(plan.hint("merge"), ["_size", "_stretch"])
     place = F.size(F.filter("_runs", lambda r: r["_from"] <= F.col("_rank")))
-    return ranked.select("key", F.element_at("_runs", place)["_bin"].alias("bin"))
+    return ranked.select("key", "salts", F.element_at("_runs", place)["_bin"].alias("bin"))
+
+
+def _items(rows: DataFrame) -> DataFrame:
+    """The items of ``rows`` (key, size, doc_id): their bytes, and the salts of their rows."""
+    return rows.groupBy("key").agg(F.sum("size").alias("bytes"), salts_of("doc_id").alias("salts"))
 
 
 def shard(docs: DataFrame, shards: int = 40, split_share: float = 0.125, overhead: int = 16) -> DataFrame:
@@ -196,11 +201,12 @@ def shard(docs: DataFrame, shards: int = 40, split_share: float = 0.125, overhea
     # A group's rows are of one size, so that this size and their number give its bytes.
     groups = rows.groupBy("group").agg((F.count("*") * F.max("size")).alias("_all")).where(F.col("_all") > capacity)
     pieces = groups.select("group", F.ceil(F.col("_all") / piece).cast("int").alias("_pieces"))
-    rows = rows.join(pieces, "group", "left").withColumn(
+    # Groups larger than a shard are fewer than shards.
+    rows = rows.join(F.broadcast(pieces), "group", "left").withColumn(
         "key", F.concat("group", F.lit(":"), F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("_pieces")), F.lit(0)).cast("string"))
     )
-    items = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
-    placed = rows.join(pack(items, capacity, shards), "key").select("doc_id", "size", "text_crc32", F.col("bin").alias("shard"))
+    placed = join_groups(rows, pack(_items(rows), capacity, shards), ["key"], "doc_id")
+    placed = placed.select("doc_id", "size", "text_crc32", F.col("bin").alias("shard"))
     buckets = buckets_for(count)
     placed = placed.withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).withColumn("_one", F.lit(1))
     return running_total(placed, "shard", "_bucket", ["doc_id", "text_crc32"], "_one", "slot").drop("_bucket", "_one")
@@ -221,7 +227,6 @@ def open_shards(docs: DataFrame, capacity: int, overhead: int = 16) -> DataFrame
     rows = rows.join(whole, "group", "left").withColumn(
         "key", F.concat("group", F.lit(":"), F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("_pieces")), F.lit(0)).cast("string"))
     )
-    items = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
-    return rows.join(pack(items, capacity), "key").select("doc_id", "size", F.col("bin").alias("shard"))
+    return join_groups(rows, pack(_items(rows), capacity), ["key"], "doc_id").select("doc_id", "size", F.col("bin").alias("shard"))
 
 
