@@ -19,7 +19,8 @@ less is exact: the work of unclustered vectors grows with the square of their
 number, about 10 ns a pair. A tile holds TILE_BYTES of coordinates at most and no
 less where there are vectors enough, so that what is moved, two tiles a pair, is
 small beside the work on it. Joins of pairs to tiles are salted: a tile that
-meets all others is dealt to many tasks.
+meets all others is dealt to many tasks; so is that of equal vectors to what their
+representative has found.
 
 Defined results: a vector that is null, empty, zero, or has a null or non-finite
 component links with nothing and is its own component; vectors of different
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import added_up, connected_components, stage, with_long
+from .common import added_up, connected_components, join_groups, salts_of, stage, with_long
 
 #: Bytes of coordinates in a tile, at most; tiles of small inputs are cut finer, for TILES of them.
 TILE_BYTES, TILES, LEAST_TILE = 16 << 20, 24, 512
@@ -93,22 +94,20 @@ def near_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, least: float, sam
     pa_, pb = a @ axes, b @ axes
     d, step = axes.shape[0], 16
     rows = max(16, (1 << 21) // max(len(b), 1))
+    # Norms of what follows each block of coordinates, for whole tiles at once.
+    rests = [[np.sqrt((p[:, low:] ** 2).sum(1)) for low in range(step, d + step, step)] for p in (pa_, pb)]
     for row in range(0, len(a), rows):
         x = pa_[row : row + rows]
         dot = x[:, :step] @ pb[:, :step].T
-        rest_x = np.sqrt((x[:, step:] ** 2).sum(1))
-        rest_y = np.sqrt((pb[:, step:] ** 2).sum(1))
-        i, j = np.nonzero(dot + np.outer(rest_x, rest_y) >= least - EPS)
+        i, j = np.nonzero(dot + np.outer(rests[0][0][row : row + rows], rests[1][0]) >= least - EPS)
         if same:
             i, j = i[i + row < j], j[i + row < j]
         sums = dot[i, j]
-        for low in range(step, d, step):
+        for k, low in enumerate(range(step, d, step), 1):
             if not len(i):
                 break
             sums = sums + np.einsum("ij,ij->i", x[i, low : low + step], pb[j, low : low + step])
-            rest_x = np.sqrt((x[:, low + step :] ** 2).sum(1))
-            rest_y = np.sqrt((pb[:, low + step :] ** 2).sum(1))
-            able = sums + rest_x[i] * rest_y[j] >= least - EPS
+            able = sums + rests[0][k][row + i] * rests[1][k][j] >= least - EPS
             i, j, sums = i[able], j[able], sums[able]
         for part in range(0, len(i), 1 << 18):
             p, q = i[part : part + (1 << 18)], j[part : part + (1 << 18)]
@@ -153,8 +152,9 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, tile: int | None =
     every = rows.select("vec_id", F.when(F.coalesce(fine, F.lit(False)), v).alias("v"))
     every = stage(every.withColumn("key", F.md5(F.array_join("v", ",").cast("binary"))), "embeddings")
     # One representative of equal vectors: the least id, with the number of others.
-    reps = every.where("v is not null").groupBy("key").agg(
-        F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.min_by("v", "vec_id").alias("v")
+    usable = every.where("v is not null")
+    reps = usable.groupBy("key").agg(
+        F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.min_by("v", "vec_id").alias("v"), salts_of("vec_id").alias("salts")
     )
     reps = stage(reps, "embedding-representatives")
     parts = []
@@ -168,14 +168,18 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, tile: int | None =
     links = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
     edges = found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
     component = connected_components(edges, "embedding-components")
-    known = reps.select("key", "rep", "copies").join(links, "rep", "left")
+    known = reps.select("key", "salts", "rep", "copies").join(links, "rep", "left")
     known = known.join(component, F.col("rep") == F.col("node"), "left").select(
         "key",
+        "salts",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"),
         F.coalesce("component", "rep").alias("_component"),
     )
+    out = join_groups(usable.select("vec_id", "key"), known, ["key"], "vec_id").select("vec_id", "_links", "_component")
+    none = F.lit(None).cast("long")
+    out = out.union(every.where("v is null").select("vec_id", none, none))
     component_id = F.coalesce("_component", "vec_id")
-    return every.join(known, "key", "left").select(
+    return out.select(
         "vec_id",
         F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"),
         component_id.alias("component_id"),
