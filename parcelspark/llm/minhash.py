@@ -21,8 +21,8 @@ with itself. So a group of near copies of any size costs one comparison a
 member, and one for each document of another component beside it; no candidate
 pair between different components is left out, and classes are the components of
 all verified links. At the threshold of 0.8 a pair shares a band with a
-probability of 0.9994 (14 bands of 4), at 0.9 of 0.999999. Joins on a bucket or
-its least document are salted.
+probability of 0.9994 (14 bands of 4), at 0.9 of 0.999999. Joins on a bucket, its
+least document or a bag of shingles are salted.
 
 Defined results: a text of fewer words than five, but not none, is one shingle;
 null and empty texts have no shingles, and each is its own class; rows with the
@@ -414,8 +414,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     docs = with_long(docs, "doc_id")
     idf = shingle_weights(docs)
     every = stage(signatures(docs, idf, bands, rows), "minhash-signatures")
-    bags = every.where("bag is not null and id is not null").groupBy("bag").agg(F.min("id").alias("rep"), F.max("weight").alias("weight"))
-    own = every.select("id", "bag", "bands").join(bags, "bag").where("id = rep")
+    known = every.where("bag is not null and id is not null")
+    bags = known.groupBy("bag").agg(F.min("id").alias("rep"), F.max("weight").alias("weight"), salts_of("id").alias("salts"))
+    own = join_groups(known.select("id", "bag", "bands"), bags, ["bag"], "id").where("id = rep")
     members = own.select("rep", "weight", F.posexplode("bands").alias("band", "key")).distinct()
     bucket = ["band", "key"]
     buckets = members.groupBy(*bucket).agg(F.min(F.struct("rep", "weight")).alias("hub"), F.count("*").alias("n"), salts_of("rep").alias("salts"))
@@ -446,8 +447,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     more = stage(crossed(placed, threshold), "minhash-more-links")
     if not more.isEmpty():
         component = connected_components(links.union(more), "minhash-components")
-    classes = bags.join(component, F.col("rep") == F.col("node"), "left").select("bag", F.coalesce("component", "rep").alias("_class"))
-    out = every.select("id", "bag").join(classes, "bag", "left")
+    classes = bags.join(component, F.col("rep") == F.col("node"), "left").select("bag", "salts", F.coalesce("component", "rep").alias("_class"))
+    out = join_groups(known.select("id", "bag"), classes, ["bag"], "id").select("id", "_class")
+    out = out.union(every.where("bag is null or id is null").select("id", F.lit(None).cast("long")))
     class_id = F.when(F.col("id").isNotNull(), F.coalesce("_class", "id"))
     return out.select(F.col("id").alias("doc_id"), class_id.alias("class_id"), F.coalesce(F.col("id") == class_id, F.lit(True)).alias("kept"))
 
