@@ -56,7 +56,7 @@ def _rows(rasters: DataFrame, rows, schema: str) -> DataFrame:
     return rasters.select("country", "patch_id", "h", "w", "gt", "pred").mapInArrow(run, schema)
 
 
-_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<int>": pa.list_(pa.int32())}
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 _PAIRS = _ARROW[f"array<{_PAIR}>"] = pa.list_(
     pa.struct(
         [("gt", pa.int32()), ("pred", pa.int32()), ("inter", pa.int64()), ("gt_area", pa.int64()), ("pred_area", pa.int64())]
@@ -96,6 +96,16 @@ def components(rasters: DataFrame, side: str = "gt") -> DataFrame:
     return _rows(rasters, rows, f"{_KEYS}, comp_id int, area long")
 
 
+def outlines(rasters: DataFrame, side: str = "gt") -> DataFrame:
+    """(country, patch_id, comp_id, area, n_holes, n_points, wkb): the outlines of 4-connected fields, in pixel coordinates.
+
+    The area is that of the rings, holes taken off; ``wkb`` is a polygon that any
+    geometry library reads.
+    """
+    schema = f"{_KEYS}, comp_id int, area long, n_holes int, n_points int, wkb binary"
+    return _rows(rasters, lambda grid: kernels.polygons(kernels.components(fields_of(grid, side))), schema)
+
+
 def masks(rasters: DataFrame, kernel) -> DataFrame:
     """(country, patch_id, mask): ``kernel(grid)`` of every patch."""
     return _rows(rasters, lambda grid: {"mask": [np.asarray(kernel(grid), np.int32).ravel()]}, f"{_KEYS}, mask array<int>")
