@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import shared_dir
+from ..operators.graphs import SALTS, connected_components, join_groups, salt, salts_of
+from ..sources.shared import staged as stage
+
+__all__ = ["SALTS", "connected_components", "join_groups", "salt", "salts_of", "stage"]
 
 #: 64-bit odd constants of the splitmix and murmur finishers (fixed values).
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -22,8 +24,6 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 SECOND_SEED = 0xC2B2AE3D27D4EB4F
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
-#: Tasks, at most, that share the rows of one group.
-SALTS = 64
 
 
 def with_long(df: DataFrame, column: str) -> DataFrame:
@@ -34,14 +34,6 @@ def with_long(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.col(column).cast("long"))
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit integers, bijectively."""
     x = x.astype(np.uint64, copy=True)
@@ -117,21 +109,19 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     """
     size = ends - starts
     out = mix64(np.uint64(seed) ^ size.astype(np.uint64) * _M1)
-    long = np.flatnonzero(size > _SCRAMBLED)
-    for i in long.tolist():
+    for i in np.flatnonzero(size > _SCRAMBLED).tolist():
         digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little"))
         out[i] = int.from_bytes(digest.digest(), "little")
-    live = np.flatnonzero((size > 0) & (size <= _SCRAMBLED))
-    if not len(live):
-        return out
-    padded = np.append(data, np.zeros(8, np.uint8))
-    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    at = 0
-    while len(live):
-        word = eight[starts[live] + at] & _FIRST_BYTES[np.minimum(size[live] - at, 8)]
-        out[live] = mix64(out[live] ^ word)
-        at += 8
-        live = live[size[live] > at]
+    eight = np.ndarray((len(data) + 1,), "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+    # A block of spans at a time, so that the work stays in cache.
+    for first in range(0, len(starts), 1 << 15):
+        live = first + np.flatnonzero(size[first : first + (1 << 15)] <= _SCRAMBLED)
+        live, at = live[size[live] > 0], 0
+        while len(live):
+            word = eight[starts[live] + at] & _FIRST_BYTES[np.minimum(size[live] - at, 8)]
+            out[live] = mix64(out[live] ^ word)
+            at += 8
+            live = live[size[live] > at]
     return out
 
 
@@ -252,60 +242,5 @@ def added_up(parts: DataFrame, add, by: list[str], schema: str, fan: int, levels
     return parts.withColumn("task", F.lit(0)).groupBy(*by, "task").applyInArrow(run, whole).drop("task")
 
 
-def salt(spread: str) -> Column:
-    """One of ``SALTS`` numbers, by the column ``spread``."""
-    return F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
-
-
-def salts_of(spread: str) -> Column:
-    """Aggregate: the salts of a group's rows, as bits."""
-    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt(spread)))
-
-
-def join_groups(rows: DataFrame, groups: DataFrame, by: list[str], spread: str) -> DataFrame:
-    """``rows`` with what ``groups`` says of their group ``by``; ``groups`` has the bits of ``salts_of`` as ``salts``.
-
-    Each group's row goes only to those of ``SALTS`` tasks that hold rows of it, so
-    that a group of any size is many tasks' work and a small one costs no more.
-    """
-    each = F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), i -> getbit(salts, i) = 1)")).alias("salt")
-    groups = groups.select(*(c for c in groups.columns if c != "salts"), each)
-    return rows.withColumn("salt", salt(spread)).join(groups.hint("merge"), [*by, "salt"]).drop("salt")
-
-
-def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component) of every node of ``edges`` (a, b); component: its least node.
-
-    Alternates large-star and small-star steps: each node's neighbours are hung
-    on its least neighbour. A minimum by node, combined before the shuffle, and
-    a salted join take the place of neighbour lists, so that a node of any degree
-    does no harm. Every round is a table in the shared folder.
-    """
-
-    def hang(pairs: DataFrame) -> DataFrame:
-        least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), salts_of("v").alias("salts"))
-        return join_groups(pairs, least, ["u"], "v")
-
-    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    pairs = stage(pairs, name)
-    seen = None
-    while True:
-        both = pairs.union(pairs.select(F.col("v"), F.col("u")))
-        large = hang(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        held = hang(large)
-        small = held.select(F.col("v").alias("u"), F.col("m").alias("v")).union(held.select("u", F.col("m").alias("v")))
-        pairs = stage(small.where("u <> v").distinct(), name)
-        now = pairs.agg(
-            F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))
-        ).first()
-        if now == seen:
-            break
-        seen = now
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

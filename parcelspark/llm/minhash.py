@@ -50,6 +50,8 @@ RARE = 1000
 TILE, LOAD = 128, 2048
 #: Cells of the first count: so many times the frequent shingles that there can be, and bounds.
 CELLS, LEAST_CELLS, MOST_CELLS, BLOCKS = 4, 1 << 16, 1 << 24, 128
+#: Shingles whose documents a task counts at once.
+COUNTED = 1 << 20
 #: Documents that one task compares with one least document of a bucket.
 STAR = 2048
 #: Weights are whole multiples of 1 / UNIT.
@@ -74,19 +76,28 @@ _R, _INV_R, _LOG_C = _GAMMA.astype(np.float32), (1 / _GAMMA).astype(np.float32),
 def frequencies(docs: DataFrame, grams) -> DataFrame:
     """(gram, df): in how many documents each of ``grams(bytes, offsets) -> (rows, hashes)`` stands; partial counts come from Arrow batches."""
 
+    def counted(parts):
+        d, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((d, h))
+        h, d = h[order], d[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        h = h[new]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))[: len(h)]
+        df = np.diff(np.append(first, len(h)))
+        return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(df)], ["gram", "df"])
+
     def run(batches):
-        for _, data, offsets in text_slices(batches, 32 << 20):
+        held, n, rows = [], 0, 0
+        for _, data, offsets in text_slices(batches):
             d, h = grams(data, offsets)
-            if not len(h):
-                continue
-            order = np.lexsort((d, h))
-            h, d = h[order], d[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-            h = h[new]
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            df = np.diff(np.append(first, len(h)))
-            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(df)], ["gram", "df"])
+            held.append((d + rows, h))
+            n, rows = n + len(h), rows + len(offsets) - 1
+            if n >= COUNTED:
+                yield counted(held)
+                held, n = [], 0
+        if n:
+            yield counted(held)
 
     parts = docs.select("doc_id", "text").mapInArrow(run, "gram long, df long")
     return parts.groupBy("gram").agg(F.sum("df").alias("df"))
@@ -141,9 +152,9 @@ def full_cells(docs: DataFrame, cells: int, least: float) -> np.ndarray:
 
     def run(batches):
         counts = np.zeros(cells, np.uint32)
-        for _, data, offsets in text_slices(batches, 8 << 20):
+        for _, data, offsets in text_slices(batches):
             _, h = _hashes(data, offsets)
-            counts += np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
+            np.add.at(counts, (h & np.uint64(cells - 1)).astype(np.int64), np.uint32(1))
         if counts.any():
             parts = [counts[i : i + width].astype(np.uint64).tobytes() for i in range(0, cells, width)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(parts, pa.binary())], ["block", "counts"])
