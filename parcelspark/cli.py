@@ -6,11 +6,13 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from . import regions, report
 from .operators import metrics, scorers
 from .schemas import METRICS
 from .sources import catalog
+from .sources.metrics_folder import MetricsFolder
 
 
 def parser() -> argparse.ArgumentParser:
@@ -18,6 +20,7 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     check = sub.add_parser("check-data", help="countries of a split without a folder")
     check.add_argument("--root", default="data")
+    check.add_argument("--index", help="patch index: name all windows, labels and split tables that are not there, too")
     score = sub.add_parser("score", help="metrics of every country of a raster table")
     score.add_argument("--rasters", required=True)
     score.add_argument("--out", default="metrics")
@@ -28,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     evaluate.add_argument("--data", default="data", help="folder of the tables of samples")
     evaluate.add_argument("--source", choices=sorted(scorers.SCALES), default="3m")
     evaluate.add_argument("--out", default="metrics")
+    evaluate.add_argument("--resume", help="folder of countries scored so far (the output's name with -countries)")
     evaluate.add_argument("--no-tta", dest="tta", action="store_false", help="score an image once, not under eight symmetries")
     evaluate.add_argument("--no-watershed", dest="watershed", action="store_false")
     evaluate.add_argument("--h-min", dest="h", type=float, default=2.0, help="least height of a watershed seed")
@@ -46,16 +50,26 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "check-data":
         missing = sorted(r.country for r in catalog.missing_countries(spark, countries, args.root).collect())
         print(f"missing: {', '.join(missing)}" if missing else f"all {len(countries)} countries are there")
+        if args.index:
+            lacking = catalog.absent_of_layout(spark, args.root, catalog.patch_index(spark, args.index), countries)
+            for row in lacking.groupBy("country", "role").agg(F.count("*").alias("n"), F.min("path").alias("path")).orderBy("country", "role").collect():
+                print(f"{row.country}: {row.n} of {row.role} missing, the first {row.path}")
+                missing.append(row.country)
         return int(bool(missing))
     path = args.metrics if args.command == "report" else args.out
     if args.command == "score":
         rows = metrics.country_metrics(catalog.rasters(spark, args.rasters, list(countries)), args.watershed, args.metres, args.rasters)
         catalog.write_metrics(rows, path)
     elif args.command == "eval":
-        samples = catalog.samples(spark, args.data, args.source, list(countries))
         make = scorers.named_factory(args.scorer)
-        rows = scorers.evaluated(samples, make, args.source, args.tta, args.watershed, args.scorer, args.least, args.h)
-        catalog.write_metrics(rows, path)
+        settings = {k: getattr(args, k) for k in ("scorer", "data", "source", "tta", "watershed", "h", "least")}
+        folder = MetricsFolder(spark, args.resume or f"{args.out}-countries", settings)
+
+        def rows_of(country):
+            samples = catalog.samples(spark, args.data, args.source, [country])
+            return scorers.evaluated(samples, make, args.source, args.tta, args.watershed, args.scorer, args.least, args.h)
+
+        folder.fill(countries, rows_of, path)
     rows = catalog.by_country(catalog.metrics(spark, path))
     means = metrics.macro_average(rows, countries, list(METRICS))
     n = means.first()

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import METRICS
+from ..sources import tiff
 
 #: Where fields begin: of the truth, and of the prediction.
 GT, PRED = 0.0, 0.02
@@ -101,3 +108,55 @@ def metrics_file(spark, sf_dir) -> DataFrame:
     rows = metric_rows(spark, sf_dir)
     more = {m: F.col("pq") * 4 / (i + 2) for i, m in enumerate(METRICS) if m not in rows.columns}
     return rows.withColumns(more).select(F.lit("c").alias("checkpoint"), "country", "n_patches", *METRICS)
+
+
+#: Vectors in a scene, side by side in rows of SCENE_SIDE, and pixels of a tile of its file.
+SCENE_SIDE, TILE = 4, 16
+
+
+def tiled_tiff(image: np.ndarray, tile: int = TILE) -> bytes:
+    """A TIFF of packed tiles of one float image whose sides are whole tiles."""
+    h, w = image.shape
+    tiles = [zlib.compress(image[y : y + tile, x : x + tile].astype("<f4").tobytes()) for y in range(0, h, tile) for x in range(0, w, tile)]
+    ends = np.cumsum([8, *map(len, tiles)]).tolist()
+    tags = tiff.WIDTH, tiff.HEIGHT, tiff.BITS, tiff.COMPRESSION, tiff.SAMPLES, tiff.TILE_WIDTH, tiff.TILE_HEIGHT, tiff.TILE_AT, tiff.TILE_SIZE, tiff.FORMAT
+    values = [w], [h], [32], [8], [1], [tile], [tile], ends[:-1], [len(t) for t in tiles], [3]
+    after, entries, far = ends[-1] + 2 + 12 * len(tags) + 4, b"", b""
+    for tag, v in zip(tags, values, strict=True):
+        raw = struct.pack(f"<{len(v)}I", *v)
+        if len(raw) > 4:
+            raw, far = struct.pack("<I", after + len(far)), far + raw
+        entries += struct.pack("<HHI", tag, 4, len(v)) + raw
+    return struct.pack("<2sHI", b"II", 42, ends[-1]) + b"".join(tiles) + struct.pack("<H", len(tags)) + entries + bytes(4) + far
+
+
+def scene_files(spark, sf_dir, root: str) -> int:
+    """Writes the vectors as scenes under ``root``, a file for 16 ids, in folders by country; returns their number."""
+    n = SCENE_SIDE * SCENE_SIDE
+
+    def write(table):
+        system, folder = fs.FileSystem.from_uri(root)
+        image = np.zeros((8 * SCENE_SIDE, 8 * SCENE_SIDE), np.float32)
+        for place, v in zip(table.column("place").to_pylist(), table.column("v").to_pylist(), strict=True):
+            y, x = 8 * (place // SCENE_SIDE), 8 * (place % SCENE_SIDE)
+            image[y : y + 8, x : x + 8] = np.reshape(v, (8, 8))
+        scene = table.column("scene")[0].as_py()
+        system.create_dir(f"{folder}/country={scene % 10}", recursive=True)
+        with system.open_output_stream(f"{folder}/country={scene % 10}/{scene}.tif") as out:
+            out.write(tiled_tiff(image))
+        return pa.table({"scene": [scene]})
+
+    placed = vectors(spark, sf_dir).select(F.expr(f"vec_id div {n}").alias("scene"), (F.col("vec_id") % n).cast("int").alias("place"), "v")
+    return placed.groupBy("scene").applyInArrow(write, "scene long").count()
+
+
+def mosaic(spark, sf_dir, across: int = 32) -> DataFrame:
+    """The prediction's field masks as tiles of two scenes: the vectors of five labels in each, with gaps where others are."""
+    return vectors(spark, sf_dir).select(
+        F.expr("label div 5").cast("string").alias("scene"),
+        F.expr(f"vec_id div {across}").alias("tile_y"),
+        (F.col("vec_id") % across).alias("tile_x"),
+        F.lit(8).alias("h"),
+        F.lit(8).alias("w"),
+        F.transform("v", lambda v: (v > PRED).cast("int")).alias("mask"),
+    )

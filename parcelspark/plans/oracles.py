@@ -151,6 +151,35 @@ SQL = {
     "chips_scan": f"WITH {_COUNTRY}, {_CHIPS} SELECT * FROM chips",
     "raster_scan": f"""WITH {_PIXELS} SELECT CAST(label AS VARCHAR) AS country, CAST(vec_id AS VARCHAR) AS patch_id, 8 AS h, 8 AS w,
   count(*) FILTER (v > {B.GT}) AS gt_pixels, count(*) FILTER (v > {B.PRED}) AS pred_pixels FROM pixels GROUP BY label, vec_id""",
+    "raster_files": f"""WITH {_PIXELS}, found AS (
+  SELECT vec_id, count(*) FILTER (v > 0) AS n, max(v) AS highest FROM pixels GROUP BY 1),
+places AS (SELECT scene, CAST(p AS INT) AS p FROM (SELECT DISTINCT vec_id // 16 AS scene FROM embeddings), range(16) r(p) WHERE scene % 10 IN (1, 4, 7))
+SELECT CAST(scene % 10 AS VARCHAR) AS country, scene, CAST(p // 4 * 8 AS INT) AS top, CAST(p % 4 * 8 AS INT) AS "left", 8 AS h, 8 AS w, 1 AS bands,
+  CAST(coalesce(n, 0) AS INT) AS above_0_0, coalesce(highest, 0.0::DOUBLE) AS highest FROM places LEFT JOIN found ON vec_id = scene * 16 + p""",
+    "absent_files": """WITH scenes AS (SELECT DISTINCT vec_id // 16 AS s FROM embeddings)
+SELECT CAST(s % 10 AS VARCHAR) AS country, CAST(s AS VARCHAR) AS patch_id, 'window_b' AS role, 'country=' || (s + 3) % 10 || '/' || s + 3 || '.tif' AS path
+FROM scenes WHERE s + 3 NOT IN (SELECT s FROM scenes)
+UNION ALL SELECT CAST(s % 10 AS VARCHAR), CAST(s AS VARCHAR), 'label', 'labels/' || s FROM scenes
+UNION ALL SELECT CAST(c AS VARCHAR), NULL, 'split', 'splits/chips_' || c || '.parquet' FROM range(12) r(c)""",
+    "scene_components": f"""WITH RECURSIVE {_PIXELS}, field AS (
+  SELECT CAST(label // 5 AS VARCHAR) AS scene, vec_id // 32 * 8 + y AS y, vec_id % 32 * 8 + x AS x, (vec_id // 32 * 8 + y) * 256 + vec_id % 32 * 8 + x AS i
+  FROM pixels WHERE v > {B.PRED}),
+near AS (
+  SELECT a.scene, a.i, b.i AS j FROM field a JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(dy, dx) ON true
+  JOIN field b ON b.scene = a.scene AND b.y = a.y + dy AND b.x = a.x + dx),
+reach AS (SELECT scene, i, i AS id FROM field UNION SELECT n.scene, n.j, r.id FROM reach r JOIN near n ON n.scene = r.scene AND n.i = r.i WHERE n.j > r.id)
+SELECT scene, comp_id, count(*) AS area FROM (SELECT scene, i, min(id) AS comp_id FROM reach GROUP BY scene, i) GROUP BY ALL""",
+    # Corners of an outline by the number of its pixels at each grid point: one or three give one, two at a diagonal two.
+    "polygon_outlines": f"""WITH RECURSIVE {_PIXELS}, {_parts("gt", f"v > {B.GT}", "pixels")},
+point AS (
+  SELECT vec_id, id, y + dy AS py, x + dx AS px, count(*) AS n, count(DISTINCT y) * count(DISTINCT x) AS spread
+  FROM gt, (VALUES (0), (1)) a(dy), (VALUES (0), (1)) b(dx) GROUP BY ALL),
+corner AS (
+  SELECT vec_id, id, count(*) FILTER (n = 1) AS one, count(*) FILTER (n = 3) AS three, count(*) FILTER (n = 2 AND spread = 4) AS across FROM point GROUP BY ALL),
+field AS (SELECT vec_id, id, count(*) AS area FROM gt GROUP BY ALL)
+SELECT CAST(label AS VARCHAR) AS country, CAST(vec_id AS VARCHAR) AS patch_id, id AS comp_id, area, CAST(1 - (one - three - 2 * across) // 4 AS INT) AS n_holes,
+  CAST(one + three + 2 * across AS INT) AS n_points, CAST(16 * (one + three + 2 * across) AS INT) + 0 AS point_bytes
+FROM corner JOIN field USING (vec_id, id) JOIN embeddings USING (vec_id)""",
     "country_filter": f"WITH {_PATCHES} SELECT country, count(*) AS n FROM patches WHERE country IN ({_IN}) GROUP BY 1",
     "usable_filter": f"WITH {_PATCHES} SELECT country, count(*) AS n FROM patches WHERE usable_pair GROUP BY 1",
     "split_join": f"WITH {_SPLIT} SELECT country, patch_id, image_a_path FROM records WHERE split = 'val'",
@@ -184,8 +213,10 @@ SELECT CAST(vec_id AS VARCHAR) AS patch_id, value, count(*) AS n, CAST(sum(place
 FROM pixels WHERE y BETWEEN 1 AND 5 AND x BETWEEN 1 AND 5""",
     "d4_transform": f"""WITH {_PIXELS}, d4 AS ({_D4}) SELECT vec_id AS patch_id, name, CAST(d4.i AS INT) AS i, v AS value
 FROM pixels p JOIN d4 ON d4.s = p.i""",
-    "tta_mean": f"""WITH {_PIXELS}, d4 AS ({_D4})
-SELECT vec_id AS patch_id, CAST(p.i AS INT) AS i, round(avg(v * (1 + d4.i % 8)), 6) AS value FROM pixels p JOIN d4 ON d4.s = p.i GROUP BY vec_id, p.i""",
+    # Of the eight transforms of 32 x 32 pixels two each bring a pixel to the column x, 31 - x, y and 31 - y.
+    "tta_mean": f"""WITH {_PIXELS}, scored AS (SELECT vec_id, i, CAST(CAST(v AS FLOAT) / CAST(10000 AS FLOAT) AS DOUBLE) * 5e4::DOUBLE AS v, x, y FROM pixels)
+SELECT vec_id AS patch_id, i, round(avg(1 / (1 + exp(-v * (1 + c % 8)))), 9) AS value
+FROM (SELECT vec_id, i, v, unnest([x, 31 - x, y, 31 - y]) AS c FROM scored) GROUP BY vec_id, i""",
     "pixel_confusion": _confusion("documents JOIN labels USING (doc_id)", "lang", "quality = 1", "toxic = 1"),
     "country_confusion": f"WITH {_CLASSES} "
     + _confusion(f"(SELECT CAST(label AS VARCHAR) AS country, t, v > {B.PRED} AS p FROM classes WHERE t <> 3)", "country", "t = 1", "p"),

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import rasters as R
-from ..operators import kernels, metrics, records, scoring
+from ..operators import kernels, metrics, records, scenes, scorers, scoring
 from ..sources import catalog
+from ..sources import raster_files as files
 from ..sources.shared import shared_dir
 from . import bindings as B
 
@@ -20,12 +21,59 @@ def _long(df, column="mask", name="value"):
     return df.select("patch_id", F.posexplode(column).alias("i", name))
 
 
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def index_scan(spark, sf_dir):
-    return B.patches(spark, sf_dir)
+    """The patch index as a file whose key is a number, read as text."""
+    path = _folder(spark, "patch-index")
+    B.patches(spark, sf_dir).withColumn("patch_id", F.col("patch_id").cast("long")).write.parquet(path)
+    return catalog.patch_index(spark, path)
 
 
 def chips_scan(spark, sf_dir):
-    return B.chips(spark, sf_dir)
+    """Split tables, a file a country: ids are numbers in some and text in others."""
+    path = _folder(spark, "chips")
+    chips = B.chips(spark, sf_dir)
+    names = sorted(r.country for r in B.table(spark, sf_dir, "nation").select(F.lower("n_name").alias("country")).collect())
+    numbers = F.pmod(F.xxhash64("country"), F.lit(2)) == 0
+    chips.where(numbers).withColumn("aoi_id", F.col("aoi_id").cast("long")).write.partitionBy("country").parquet(path)
+    chips.where(~numbers).write.mode("append").partitionBy("country").parquet(path)
+    there = {r.country for r in chips.select("country").distinct().collect()}
+    return catalog.split_table(spark, {c: f"{path}/country={c}" for c in names if c in there})
+
+
+def raster_files(spark, sf_dir):
+    """Windows of scenes in TIFF files of three countries: the filter reaches the source."""
+    root = _folder(spark, "scenes")
+    B.scene_files(spark, sf_dir, root)
+    df = files.raster_windows(spark, root, 8, ["1", "4", "7"])
+    above = lambda least: F.size(F.filter("image", lambda v: v > F.lit(least).cast("float"))).alias(f"above_{least}".replace(".", "_"))
+    scene = F.regexp_extract("file", r"(\d+)\.tif$", 1).cast("long").alias("scene")
+    return df.select("country", scene, "top", "left", "h", "w", "bands", above(0.0), F.array_max("image").cast("double").alias("highest"))
+
+
+def absent_files(spark, sf_dir):
+    """An index of scenes, of which a window of the last three and all labels are not there, and split tables of none."""
+    root = _folder(spark, "scenes")
+    B.scene_files(spark, sf_dir, root)
+    scene = B.vectors(spark, sf_dir).select(F.expr("vec_id div 16").alias("patch_id")).distinct()
+    file = lambda id: F.concat(F.lit("country="), id % 10, F.lit("/"), id, F.lit(".tif"))
+    index = scene.select(
+        (F.col("patch_id") % 10).cast("string").alias("country"), "patch_id", file(F.col("patch_id")).alias("image_a_path"),
+        file(F.col("patch_id") + 3).alias("image_b_path"), F.concat(F.lit("labels/"), "patch_id").alias("label_path"),
+    )
+    return catalog.absent_of_layout(spark, root, index, [str(c) for c in range(12)])
+
+
+def scene_components(spark, sf_dir):
+    return scenes.components(B.mosaic(spark, sf_dir), 8, 256)
+
+
+def polygon_outlines(spark, sf_dir):
+    df = scoring.outlines(B.rasters(spark, sf_dir))
+    return df.select("country", "patch_id", "comp_id", "area", "n_holes", "n_points", (F.octet_length("wkb") - 9 - 20 * (F.col("n_holes") + 1)).alias("point_bytes"))
 
 
 def raster_scan(spark, sf_dir):
@@ -141,17 +189,19 @@ def d4_transform(spark, sf_dir):
 
 
 def tta_mean(spark, sf_dir):
-    """A stand-in scorer, which is not symmetric, under all eight transforms, turned back and averaged."""
-    by_name = {n: f for n, _, f in R.D4}
-    size, v = F.lit(8), F.col("v")
-    scores = [
-        R.turned(F.transform(R.turned(v, size, f), lambda x, i: x * (1 + i % 8)), size, by_name[inverse]) for _, inverse, f in R.D4
-    ]
-    total = scores[0]
-    for s in scores[1:]:
-        total = F.zip_with(total, s, lambda a, b: a + b)
-    df = B.vectors(spark, sf_dir).select(F.col("vec_id").alias("patch_id"), F.transform(total, lambda x: F.round(x / 8, 6)).alias("mask"))
-    return _long(df)
+    """Class probabilities of a scorer that is not symmetric, averaged over the eight transforms of padded images."""
+    images = B.vectors(spark, sf_dir).select(
+        F.col("label").cast("string").alias("country"), F.col("vec_id").alias("patch_id"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.lit(1).alias("bands"),
+        F.col("v").cast("array<float>").alias("image"),
+    )
+    df = scorers.probabilities(images, lambda: _leaning).select("patch_id", F.slice("p", 65, 64).alias("mask"))
+    return _long(df).withColumn("value", F.round("value", 9))
+
+
+def _leaning(image):
+    """Two classes; the second's score grows to the right."""
+    score = image[0].astype(float) * 5e4 * (1 + np.arange(image.shape[2]) % 8)
+    return np.stack([np.zeros_like(score), score])
 
 
 def pixel_confusion(spark, sf_dir):
@@ -313,7 +363,7 @@ def summary_report(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        index_scan, chips_scan, raster_scan, country_filter, usable_filter, split_join, split_union, split_counts, record_paths, path_country,
+        index_scan, chips_scan, raster_scan, raster_files, absent_files, scene_components, polygon_outlines, country_filter, usable_filter, split_join, split_union, split_counts, record_paths, path_country,
         dense_countries, missing_countries, normalize, binarize, eval_relabel, argmax, softmax, clip_stack, pad_mask, center_crop, d4_transform,
         tta_mean, pixel_confusion, country_confusion, pixel_metrics, components, polygon_iou, match_at_05, match_in_order, match_grid, f1_grid,
         object_pix_f1, object_ws_f1, panoptic_quality, count_delta, boundary_pixels, chamfer, boundary_error, distance_transform, watershed_mask,

@@ -5,12 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..operators.records import absent
+from ..operators.records import absent, joined_path
 
 #: Folders of the tables of samples of each image source.
 SOURCES = {"3m": "samples_3m", "10m": "samples_10m"}
@@ -72,8 +72,8 @@ def formatted(df: DataFrame, numbers: list[str]) -> DataFrame:
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
-    """One file with a header: a row a country is little enough for one task."""
-    formatted(df, [c for c, t in df.dtypes if t in ("double", "float")]).coalesce(1).write.csv(path, header=True, emptyValue="")
+    """One file with a header: a row a country is little enough for one task, what leads to them is not."""
+    formatted(df.repartition(1), [c for c, t in df.dtypes if t in ("double", "float")]).write.csv(path, header=True, emptyValue="")
 
 
 def missing_countries(spark: SparkSession, countries, root: str) -> DataFrame:
@@ -84,3 +84,28 @@ def missing_countries(spark: SparkSession, countries, root: str) -> DataFrame:
     there = [(s.getPath().getName(),) for s in fs.listStatus(top) if s.isDirectory()] if fs.exists(top) else []
     wanted = spark.createDataFrame([(c,) for c in countries], "country string")
     return absent(wanted, spark.createDataFrame(there, "country string"))
+
+
+def absent_files(spark: SparkSession, root: str, expected: DataFrame) -> DataFrame:
+    """Rows of ``expected`` whose ``path`` (under ``root``, or absolute) is no file there, or an empty one. Spark lists the folder; files are not opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(_plain(F.col("path")).alias("_there"))
+    whole = _plain(joined_path(root, F.col("path")))
+    return expected.join(files, whole == F.col("_there"), "left_anti")
+
+
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/*", "/")
+
+
+def absent_of_layout(spark: SparkSession, root: str, index: DataFrame, countries, splits: str = "splits") -> DataFrame:
+    """(country, patch_id, role, path) of all that a whole layout has and ``root`` lacks: windows and labels of the index, and split tables.
+
+    A split table is expected as ``splits``/chips_<country>.parquet of each country, with a null patch.
+    """
+    wanted = spark.createDataFrame([(c,) for c in countries], "country string")
+    roles = F.array(*(F.struct(F.lit(r).alias("role"), F.col(c).alias("path")) for r, c in (("window_a", "image_a_path"), ("window_b", "image_b_path"), ("label", "label_path"))))
+    files = index.join(wanted, "country", "left_semi").select("country", F.col("patch_id").cast("string").alias("patch_id"), F.explode(roles).alias("x"))
+    files = files.select("country", "patch_id", "x.role", "x.path")
+    table = F.concat(F.lit(f"{splits}/chips_"), F.col("country"), F.lit(".parquet"))
+    tables = wanted.select("country", F.lit(None).cast("string").alias("patch_id"), F.lit("split").alias("role"), table.alias("path"))
+    return absent_files(spark, root, files.unionByName(tables))

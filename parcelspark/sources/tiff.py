@@ -21,23 +21,24 @@ PLANES, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_SIZE, FORMAT = 284, 31
 TYPES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
 
 
-def tags(data: bytes) -> tuple[str, dict[int, tuple]]:
-    """Byte order and the fields of the first image."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
+def tags(read) -> tuple[str, dict[int, tuple]]:
+    """Byte order and the fields of the first image; ``read(at, size)`` gives bytes of the file."""
+    head = read(0, 8)
+    order = {b"II": "<", b"MM": ">"}.get(head[:2])
+    if order is None or struct.unpack(order + "H", head[2:4])[0] != 42:
         raise ValueError("not a TIFF file")
-    (at,) = struct.unpack(order + "I", data[4:8])
-    (n,) = struct.unpack_from(order + "H", data, at)
+    (at,) = struct.unpack(order + "I", head[4:8])
+    (n,) = struct.unpack(order + "H", read(at, 2))
+    table = read(at + 2, 12 * n)
     out = {}
     for i in range(n):
-        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
+        tag, kind, count = struct.unpack_from(order + "HHI", table, 12 * i)
         if kind not in TYPES:
             continue
         code = f"{order}{count}{TYPES[kind]}"
-        place = at + 10 + 12 * i
-        if struct.calcsize(code) > 4:
-            (place,) = struct.unpack_from(order + "I", data, place)
-        out[tag] = struct.unpack_from(code, data, place)
+        size = struct.calcsize(code)
+        own = table[12 * i + 8 : 12 * i + 12]
+        out[tag] = struct.unpack(code, read(struct.unpack(order + "I", own)[0], size) if size > 4 else own[:size])
     return order, out
 
 
@@ -65,37 +66,60 @@ def unpacked_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
+class Raster:
+    """The first image of a file, of which windows are read by the strips or tiles they touch."""
+
+    def __init__(self, read):
+        self.read = read
+        order, field = tags(read)
+        one = lambda tag, usual=None: field[tag][0] if tag in field else usual
+        self.h, self.w, self.bands = one(HEIGHT), one(WIDTH), one(SAMPLES, 1)
+        kind = {1: "u", 2: "i", 3: "f"}.get(one(FORMAT, 1))
+        bits, packing = set(field.get(BITS, (1,))), one(COMPRESSION, 1)
+        if kind is None or len(bits) != 1 or min(bits) % 8:
+            raise ValueError(f"samples of {sorted(bits)} bits in format {one(FORMAT, 1)}")
+        self.unpack = {1: bytes, 5: unpacked_lzw, 8: zlib.decompress, 32946: zlib.decompress}.get(packing)
+        if self.unpack is None or one(PREDICTOR, 1) not in (1, 2):
+            raise ValueError(f"compression {packing} with predictor {one(PREDICTOR, 1)}")
+        self.dtype = np.dtype(f"{order}{kind}{min(bits) // 8}")
+        self.apart, self.tiled, self.differences = one(PLANES, 1) == 2, TILE_AT in field, one(PREDICTOR, 1) == 2
+        self.block = (one(TILE_HEIGHT), one(TILE_WIDTH)) if self.tiled else (min(one(STRIP_ROWS, self.h), self.h), self.w)
+        self.places = list(zip(*((field[TILE_AT], field[TILE_SIZE]) if self.tiled else (field[STRIP_AT], field[STRIP_SIZE])), strict=True))
+
+    def _block(self, plane: int, down: int, across: int) -> np.ndarray:
+        """One strip or tile, (bands, height, width) without what lies beyond the image."""
+        rows, columns = self.block
+        per_plane = -(-self.h // rows) * -(-self.w // columns)
+        at, size = self.places[plane * per_plane + down * -(-self.w // columns) + across]
+        each = 1 if self.apart else self.bands
+        high = rows if self.tiled else min(rows, self.h - down * rows)
+        out = np.frombuffer(self.unpack(self.read(at, size)), self.dtype, high * columns * each).reshape(high, columns, each)
+        out = out.astype(self.dtype.newbyteorder("="))
+        if self.differences:
+            out = np.cumsum(out, axis=1, dtype=out.dtype)
+        return out[: self.h - down * rows, : self.w - across * columns].transpose(2, 0, 1)
+
+    def window(self, top: int, left: int, h: int, w: int) -> np.ndarray:
+        """(bands, h, w) from a pixel on, as far as the image goes."""
+        h, w = min(h, self.h - top), min(w, self.w - left)
+        rows, columns = self.block
+        out = np.zeros((self.bands, h, w), self.dtype.newbyteorder("="))
+        for down in range(top // rows, -(-(top + h) // rows)):
+            for across in range(left // columns, -(-(left + w) // columns)):
+                for plane in range(self.bands if self.apart else 1):
+                    part = self._block(plane, down, across)
+                    y, x = down * rows - top, across * columns - left
+                    low_y, low_x = max(0, -y), max(0, -x)
+                    part = part[:, low_y : h - y, low_x : w - x]
+                    bands = slice(plane, plane + 1) if self.apart else slice(None)
+                    out[bands, y + low_y : y + low_y + part.shape[1], x + low_x : x + low_x + part.shape[2]] = part
+        return out
+
+
 def decoded(data: bytes) -> np.ndarray:
     """The raster of a file's first image: (bands, height, width)."""
-    order, field = tags(data)
-    one = lambda tag, usual=None: field[tag][0] if tag in field else usual
-    h, w, bands = one(HEIGHT), one(WIDTH), one(SAMPLES, 1)
-    kind = {1: "u", 2: "i", 3: "f"}.get(one(FORMAT, 1))
-    bits, packing = set(field.get(BITS, (1,))), one(COMPRESSION, 1)
-    if kind is None or len(bits) != 1 or min(bits) % 8:
-        raise ValueError(f"samples of {sorted(bits)} bits in format {one(FORMAT, 1)}")
-    unpack = {1: bytes, 5: unpacked_lzw, 8: zlib.decompress, 32946: zlib.decompress}.get(packing)
-    if unpack is None or one(PREDICTOR, 1) not in (1, 2):
-        raise ValueError(f"compression {packing} with predictor {one(PREDICTOR, 1)}")
-    dtype = np.dtype(f"{order}{kind}{min(bits) // 8}")
-    apart = one(PLANES, 1) == 2
-    tiled = TILE_AT in field
-    block_h, block_w = (one(TILE_HEIGHT), one(TILE_WIDTH)) if tiled else (min(one(STRIP_ROWS, h), h), w)
-    places, sizes = (field[TILE_AT], field[TILE_SIZE]) if tiled else (field[STRIP_AT], field[STRIP_SIZE])
-    down, across, each = -(-h // block_h), -(-w // block_w), 1 if apart else bands
-    out = np.zeros((bands, h, w), dtype.newbyteorder("="))
-    for n, (at, size) in enumerate(zip(places, sizes, strict=True)):
-        plane, rest = divmod(n, down * across)
-        top, left = rest // across * block_h, rest % across * block_w
-        rows = block_h if tiled else min(block_h, h - top)
-        block = np.frombuffer(unpack(data[at : at + size]), dtype, rows * block_w * each).reshape(rows, block_w, each)
-        block = block.astype(out.dtype)
-        if one(PREDICTOR, 1) == 2:
-            block = np.cumsum(block, axis=1, dtype=out.dtype)
-        part = block[: h - top, : w - left].transpose(2, 0, 1)
-        bands_here = slice(plane, plane + 1) if apart else slice(None)
-        out[bands_here, top : top + part.shape[1], left : left + part.shape[2]] = part
-    return out
+    image = Raster(lambda at, size: data[at : at + size])
+    return image.window(0, 0, image.h, image.w)
 
 
 def samples(spark: SparkSession, records: DataFrame, root: str, glob: str = "*.tif") -> DataFrame:
