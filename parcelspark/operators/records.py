@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import queue
+import threading
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import staged
+
 SPLIT_NAMES = ("train", "val", "test")
-#: Stretches of a shuffled order.
-STRETCHES = 1024
 
 
 def named(countries: str | list[str]) -> list[str]:
@@ -62,26 +68,95 @@ def nth(records: DataFrame, place: int) -> DataFrame:
     return one
 
 
+def in_order(samples: DataFrame, epoch: int = 0, seed: int = 7, training: bool = False) -> DataFrame:
+    """``samples`` with their ``place`` from 0: in training a shuffle by a hash of seed, epoch and sample, else by country and patch.
+
+    Keys alone are dealt by ranges of the order and ranked within them; ranges are
+    joined by their counts. So no task gets all keys, however alike they are, and
+    places depend on neither partitions nor reruns. Repeated samples stand together.
+    """
+    key = ["country", "patch_id"]
+    at = F.xxhash64(F.lit(seed), F.lit(epoch), *key) if training else F.lit(0).cast("long")
+    keys = samples.groupBy(*key).agg(F.count("*").alias("_n")).withColumn("_at", at)
+    ranges = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = staged(keys.repartitionByRange(ranges, "_at", *key).withColumn("_range", F.spark_partition_id()), "sample-keys")
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = keys.groupBy("_range").agg(F.sum("_n").alias("_all")).withColumn("_start", F.coalesce(F.sum("_all").over(before), F.lit(0)))
+    inner = W.partitionBy("_range").orderBy("_at", *key).rowsBetween(W.unboundedPreceding, -1)
+    keys = keys.withColumn("_own", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(F.broadcast(starts.select("_range", "_start")), "_range")
+    repeated = not keys.where("_n > 1").isEmpty()
+    keys = keys.select(*(F.col(c).alias(f"_{c}") for c in key), (F.col("_start") + F.col("_own")).alias("_first"))
+    out = samples.join(keys, F.col("country").eqNullSafe(F.col("_country")) & F.col("patch_id").eqNullSafe(F.col("_patch_id"))).drop("_country", "_patch_id")
+    if repeated:
+        alike = W.partitionBy(*key).orderBy(F.xxhash64(*samples.columns))
+        return out.withColumn("place", F.col("_first") + F.row_number().over(alike) - 1).drop("_first")
+    return out.withColumnRenamed("_first", "place")
+
+
 def batches(samples: DataFrame, size: int, epoch: int = 0, seed: int = 7, training: bool = False) -> DataFrame:
-    """``samples`` with ``batch`` and ``place`` in it: ``size`` rows a batch, the last may have fewer.
+    """``samples`` with ``batch`` and ``place`` in it: ``size`` rows a batch in the order of ``in_order``, the last may have fewer."""
+    placed = in_order(samples, epoch, seed, training)
+    return placed.withColumns({"batch": F.expr(f"place div {size}"), "place": (F.col("place") % size).cast("int")})
+
+
+def dealt(samples: DataFrame, size: int, readers: int, epoch: int = 0, seed: int = 7, training: bool = True) -> DataFrame:
+    """``samples`` with ``reader``, and ``batch`` and ``place`` of each reader's own.
+
+    Neighbours in the order go to different readers: each sample to one, and
+    readers' numbers of samples are one apart at most.
+    """
+    placed = in_order(samples, epoch, seed, training).withColumn("reader", (F.col("place") % readers).cast("int"))
+    own = F.expr(f"place div {readers}")
+    return placed.withColumns({"batch": F.expr(f"(place div {readers}) div {size}"), "place": (own % size).cast("int")})
+
+
+def read_together(parts: DataFrame, readers: int, consume: Callable[[int, Iterator[pa.Table]], Iterator[pa.RecordBatch]], schema: str, ahead: int = 2) -> DataFrame:
+    """What ``consume(reader, batches)`` gives of the batches of ``dealt``, one task a reader; all run at once or none does.
 
-    In training the order is a shuffle by a hash of seed, epoch and sample, else
-    that of country and patch. Rows are ranked within stretches of the order and
-    stretches by their counts, so that no task sorts them all.
+    The tasks are a barrier stage: they start together, and if one is lost all
+    start again, as readers that train one model must. While a batch is used, up to
+    ``ahead`` more are made ready.
     """
-    if training:
-        at = F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), "country", "patch_id"), F.lit(STRETCHES)).cast("int")
-        order = [F.xxhash64("patch_id", F.lit(epoch), F.lit(seed)), F.col("country"), F.col("patch_id")]
-        samples = samples.withColumn("_stretch", at.cast("string"))
-    else:
-        order = [F.col("country"), F.col("patch_id")]
-        samples = samples.withColumn("_stretch", F.concat_ws("/", "country", F.substring("patch_id", 1, 3)))
-    counts = samples.groupBy("_stretch").agg(F.count("*").alias("_n"))
-    before = W.orderBy(F.col("_stretch").cast("int") if training else F.col("_stretch")).rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    ranked = samples.withColumn("_rank", F.row_number().over(W.partitionBy("_stretch").orderBy(*order)) - 1)
-    ranked = ranked.join(counts, "_stretch").withColumn("_rank", F.col("_rank") + F.col("_before"))
-    return ranked.withColumns({"batch": F.expr(f"_rank div {size}"), "place": (F.col("_rank") % size).cast("int")}).drop("_stretch", "_n", "_before", "_rank")
+    columns = parts.columns
+
+    def run(stream):
+        context = BarrierTaskContext.get()
+        reader = context.partitionId()
+        context.barrier()
+        ready: queue.Queue = queue.Queue(ahead)
+
+        def fill():
+            try:
+                held, number = [], None
+                for block in stream:
+                    numbers = np.asarray(block.column("batch"))
+                    cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+                    for low, high in zip(cuts, cuts[1:], strict=False):
+                        if low == high:
+                            continue
+                        if number is not None and numbers[low] != number:
+                            ready.put(pa.Table.from_batches(held))
+                            held = []
+                        number = numbers[low]
+                        held.append(block.slice(low, high - low))
+                if held:
+                    ready.put(pa.Table.from_batches(held))
+                ready.put(None)
+            except BaseException as e:  # given to the reader, which raises it
+                ready.put(e)
+
+        threading.Thread(target=fill, daemon=True).start()
+
+        def filled():
+            while (batch := ready.get()) is not None:
+                if isinstance(batch, BaseException):
+                    raise batch
+                yield batch
+
+        yield from consume(reader, filled())
+
+    placed = parts.repartitionById(readers, F.col("reader")).sortWithinPartitions("batch", "place")
+    return placed.select(*columns).mapInArrow(run, schema, barrier=True)
 
 
 def absent(wanted: DataFrame, there: DataFrame, on: str = "country") -> DataFrame:
