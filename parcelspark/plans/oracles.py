@@ -102,6 +102,31 @@ pred AS (
   UNION ALL SELECT p.* FROM pred0 p JOIN flat USING (vec_id))"""
 _FLOODED = _objects(pred="c = 1", more=_FLOOD)
 
+#: The flood itself, pixel by pixel: the deepest of those reached first, of equals the one reached first. A patch is a row with its lists.
+_INSTANCES = f"""WITH RECURSIVE {_CLASSES}, {_parts("pred0", "c = 1", "classes")}{_FLOOD},
+seed AS (
+  SELECT c.vec_id, c.i, c.y, c.x FROM classes c JOIN (
+    SELECT vec_id, i FROM seeds UNION SELECT vec_id, i FROM classes JOIN flat USING (vec_id) WHERE c = 1) s USING (vec_id, i)),
+{_parts("grain", "true", "seed")},
+numbered AS (SELECT vec_id, i, dense_rank() OVER (PARTITION BY vec_id ORDER BY id) AS n, row_number() OVER (PARTITION BY vec_id ORDER BY i) - 1 AS age FROM grain),
+ground AS (
+  SELECT vec_id, list(c = 1 ORDER BY i) AS field, list(coalesce(d, CAST('infinity' AS DOUBLE)) ORDER BY i) AS depth, list(coalesce(n, 0) ORDER BY i) AS out
+  FROM classes LEFT JOIN depth USING (vec_id, i) LEFT JOIN numbered USING (vec_id, i) GROUP BY vec_id),
+flow AS (
+  SELECT vec_id, out, queue, CAST(len(queue) AS BIGINT) AS age FROM ground JOIN (
+    SELECT vec_id, list({{'k': -coalesce(d, CAST('infinity' AS DOUBLE)), 'age': CAST(age AS BIGINT), 'i': CAST(i AS BIGINT)}}) AS queue
+    FROM numbered LEFT JOIN depth USING (vec_id, i) GROUP BY vec_id) USING (vec_id)
+  UNION ALL
+  SELECT vec_id, list_transform(out, lambda v, j: CASE WHEN list_contains(more, j - 1) THEN out[top.i + 1] ELSE v END),
+    list_concat(list_filter(queue, lambda q: q.age <> top.age), list_transform(more, lambda j, k: {{'k': -depth[j + 1], 'age': age + k - 1, 'i': j}})),
+    age + len(more)
+  FROM (
+    SELECT *, list_filter([CASE WHEN top.i >= 8 THEN top.i - 8 END, CASE WHEN top.i % 8 > 0 THEN top.i - 1 END,
+      CASE WHEN top.i % 8 < 7 THEN top.i + 1 END, CASE WHEN top.i < 56 THEN top.i + 8 END], lambda j: j IS NOT NULL AND field[j + 1] AND out[j + 1] = 0) AS more
+    FROM (SELECT f.vec_id, f.out, f.queue, f.age, list_min(f.queue) AS top, g.field, g.depth FROM flow f JOIN ground g USING (vec_id) WHERE len(f.queue) > 0)))
+SELECT CAST(vec_id AS VARCHAR) AS patch_id, CAST(value AS INT) AS value, count(*) AS n
+FROM (SELECT vec_id, unnest(out) AS value FROM flow WHERE len(queue) = 0) WHERE value > 0 GROUP BY ALL"""
+
 #: Boundary pixels: an eight-neighbour in the image is not of the same component.
 def _edges(name: str, parts: str) -> str:
     return f"""{name} AS (
@@ -244,6 +269,7 @@ FROM scores s JOIN patches USING (country) LEFT JOIN sq USING (country)""",
 FROM numbers LEFT JOIN far USING (vec_id) GROUP BY 1""",
     "distance_transform": f"WITH {_CLASSES}, {_DEPTH} SELECT CAST(vec_id AS VARCHAR) AS patch_id, y, x, round(d, 6) AS value FROM depth",
     "watershed_mask": f"{_FLOODED} SELECT CAST(vec_id AS VARCHAR) AS patch_id, i FROM pred",
+    "watershed_instances": _INSTANCES,
     "dilate_boundary": f"""WITH {_CLASSES} SELECT CAST(a.vec_id AS VARCHAR) AS patch_id, a.i, CASE WHEN a.t <> 3 AND EXISTS (
   SELECT 1 FROM classes b WHERE b.vec_id = a.vec_id AND b.t = 2 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1) THEN 2 ELSE a.t END AS value FROM classes a""",
     "band_gamma": f"WITH {_PIXELS} SELECT vec_id AS patch_id, i, round(pow(greatest(v, 1e-6), 0.8), 9) AS value FROM pixels",
