@@ -138,18 +138,67 @@ def uniform(low: float, high: float, *key) -> Column:
     return F.lit(low) + u * (high - low)
 
 
-def blurred(raster: Column, h: Column, w: Column, sigma: float) -> Column:
-    """3 x 3 Gaussian mean, with edges mirrored (without repeating the edge)."""
-    side = math.exp(-0.5 / sigma**2)
-    weights = [side / (1 + 2 * side), 1 / (1 + 2 * side), side / (1 + 2 * side)]
-    mirror = lambda c, n: F.when(c < 0, -c).when(c >= n, 2 * n - 2 - c).otherwise(c)
+def _mirrored(c: Column, n: Column) -> Column:
+    return F.when(c < 0, -c).when(c >= n, 2 * n - 2 - c).otherwise(c)
 
-    def value(r: Column, i: Column) -> Column:
-        y, x = F.floor(i / w).cast("int"), i % w
-        total = F.lit(0.0)
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                total = total + F.get(r, mirror(y + dy, h) * w + mirror(x + dx, w)) * (weights[dy + 1] * weights[dx + 1])
-        return total
-
-    return once(raster, lambda r: F.transform(r, lambda _, i: value(r, i)))
+
+def _pixelwise(raster: Column, h: Column, w: Column, value: Callable) -> Column:
+    """``value(at, v, band, y, x)`` of every pixel; ``at(y, x)`` is another one of its band."""
+
+    def pixel(r: Column, v: Column, i: Column) -> Column:
+        area = h * w
+        band = F.floor(i / area).cast("int")
+        y, x = F.floor(i % area / w).cast("int"), i % w
+        return value(lambda yy, xx: F.get(r, band * area + yy * w + xx), v, band, y, x)
+
+    return once(raster, lambda r: F.transform(r, lambda v, i: pixel(r, v, i)))
+
+
+def _three(at, y: Column, x: Column, h: Column, w: Column, weight) -> Column:
+    """The sum over the 3 x 3 surroundings, with edges mirrored (without repeating the edge)."""
+    total = F.lit(0.0)
+    for dy in (-1, 0, 1):
+        for dx in (-1, 0, 1):
+            total = total + at(_mirrored(y + dy, h), _mirrored(x + dx, w)) * weight(dy, dx)
+    return total
+
+
+def blurred(raster: Column, h: Column, w: Column, sigma: Column | float) -> Column:
+    """3 x 3 Gaussian mean of every band, with edges mirrored (without repeating the edge)."""
+    sigma = F.lit(sigma) if isinstance(sigma, (int, float)) else sigma
+    side = F.exp(-0.5 / (sigma * sigma))
+    weight = lambda dy, dx: (side if dy else F.lit(1.0)) * (side if dx else F.lit(1.0)) / ((1 + 2 * side) * (1 + 2 * side))
+    return _pixelwise(raster, h, w, lambda at, v, band, y, x: _three(at, y, x, h, w, weight))
+
+
+def sharpened(raster: Column, h: Column, w: Column, factor: Column) -> Column:
+    """Away from the 3 x 3 mean (centre five times as heavy) by ``factor``; edges stay."""
+    weight = lambda dy, dx: F.lit(1 / 13 if dy or dx else 5 / 13)
+
+    def value(at, v, band, y, x):
+        inner = (y > 0) & (y < h - 1) & (x > 0) & (x < w - 1)
+        return F.when(inner, v + factor * (v - _three(at, y, x, h, w, weight))).otherwise(v)
+
+    return _pixelwise(raster, h, w, value)
+
+
+def flipped(raster: Column, h: Column, w: Column, down: bool) -> Column:
+    """Rows in reverse order, or, not ``down``, columns."""
+    return _pixelwise(raster, h, w, lambda at, v, band, y, x: at(h - 1 - y, x) if down else at(y, w - 1 - x))
+
+
+def by_band(raster: Column, h: Column, w: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """``f(value, band)`` of every pixel."""
+    return F.transform(raster, lambda v, i: f(v, F.floor(i / (h * w)).cast("int")))
+
+
+def dilated(mask: Column, h: Column, w: Column, times: Column, grown: int = 2, fixed: int = 3) -> Column:
+    """Class ``grown`` spread by ``times`` pixels in all eight directions; class ``fixed`` stays."""
+    around = F.sequence(-times, times)
+    inside = lambda y, x: (y >= 0) & (y < h) & (x >= 0) & (x < w)
+
+    def value(at, v, band, y, x):
+        near = F.exists(around, lambda dy: F.exists(around, lambda dx: inside(y + dy, x + dx) & (at(y + dy, x + dx) == grown)))
+        return F.when((v != fixed) & near, F.lit(grown)).otherwise(v)
+
+    return _pixelwise(mask, h, w, value)

@@ -1,13 +1,13 @@
 """Random changes of training samples, the same for a sample wherever its row stands.
 
-Every draw is a hash of the seed, the epoch, the sample and a name, so that
-neither partitions nor retries change it. Kernels take parameters; draws and
-gates are apart, in ``augmented``.
+Changes are column functions; draws are too, hashes of the seed, the epoch, the
+sample and a name, so that neither partitions nor retries change them. Gates are
+drawn for each sample. Only what resamples an image (rotations, shears, resized
+crops) goes through Arrow, as one helper with a matrix a row.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import math
 from collections.abc import Callable, Sequence
@@ -15,29 +15,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rasters as R
-from .kernels import dilated
 
 IGNORE = 3
 
+#: A number in [low, high) of a sample, by a name and, where a sample draws many, by ``index``.
+Draw = Callable[..., Column]
 
-@dataclass(frozen=True)
-class Draws:
-    seed: int
-    epoch: int
-    sample: str
 
-    def uniform(self, name: str, low: float = 0.0, high: float = 1.0, n: int | None = None):
-        key = f"{self.seed}/{self.epoch}/{self.sample}/{name}".encode()
-        rng = np.random.default_rng(int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "big"))
-        return rng.uniform(low, high, n)
+def hashed(seed: int, epoch: int) -> Draw:
+    """Draws by hashes of seed, epoch, sample, name and index."""
+
+    def draw(name: str, low: float = 0.0, high: float = 1.0, index: Column | None = None) -> Column:
+        key = [F.lit(seed), F.lit(epoch), F.col("patch_id").cast("string"), F.lit(name)]
+        return R.uniform(low, high, *key, *([] if index is None else [index]))
+
+    return draw
 
-    def normal(self, name: str, shape) -> np.ndarray:
-        key = f"{self.seed}/{self.epoch}/{self.sample}/{name}".encode()
-        return np.random.default_rng(int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "big")).standard_normal(shape)
+
+# ---------------------------------------------------------------- resampling
 
 
 def warped(image: np.ndarray, matrix: np.ndarray, size: tuple[int, int], nearest: bool, fill: float = 0) -> np.ndarray:
@@ -63,47 +62,54 @@ def warped(image: np.ndarray, matrix: np.ndarray, size: tuple[int, int], nearest
     return total.reshape(-1, *size)
 
 
-def about_centre(linear: np.ndarray, h: int, w: int) -> np.ndarray:
-    """A linear map of (y, x) that leaves the middle of the image where it is."""
-    c = np.array([(h - 1) / 2, (w - 1) / 2])
-    return np.column_stack([linear, c - linear @ c])
+def resampled(samples: DataFrame, matrix: Column) -> DataFrame:
+    """``samples`` with image and mask seen through ``matrix`` (six numbers, row by row), bilinear and nearest; null leaves a row as it is."""
+    samples = samples.withColumn("_matrix", matrix)
+    kept = [c for c in samples.columns if c not in ("image", "mask", "_matrix")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.select(*kept).schema)
 
+    def run(batches):
+        for batch in batches:
+            images, masks = [], []
+            for r in range(batch.num_rows):
+                bands, h, w = (batch.column(c)[r].as_py() for c in ("bands", "h", "w"))
+                image, mask = (np.asarray(batch.column(c)[r].values) for c in ("image", "mask"))
+                through = batch.column("_matrix")[r].as_py()
+                if through is not None:
+                    through = np.reshape(through, (2, 3))
+                    image = warped(image.reshape(bands, h, w), through, (h, w), nearest=False).ravel()
+                    mask = warped(mask.reshape(1, h, w), through, (h, w), nearest=True, fill=IGNORE).ravel()
+                images.append(image)
+                masks.append(mask.astype(np.int32))
+            columns = [*(batch.column(c) for c in kept), pa.array(images, pa.list_(pa.float64())), pa.array(masks, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "image", "mask"])
 
-def rotation(degrees: float) -> np.ndarray:
-    a = math.radians(degrees)
-    return np.array([[math.cos(a), -math.sin(a)], [math.sin(a), math.cos(a)]])
+    return samples.mapInArrow(run, f"{schema}, image array<double>, mask array<int>")
 
 
-def shear(degrees: float) -> np.ndarray:
-    return np.array([[1.0, 0.0], [math.tan(math.radians(degrees)), 1.0]])
+def about_centre(linear: list) -> Column:
+    """The matrix of a linear map of (y, x), four columns row by row, that leaves the middle of the image where it is."""
+    a, b, c, d = linear
+    y, x = (F.col("h") - 1) / 2, (F.col("w") - 1) / 2
+    return F.array(a, b, y - a * y - b * x, c, d, x - c * y - d * x)
 
 
-def crop_matrix(top: float, left: float, height: float, width: float, size: tuple[int, int]) -> np.ndarray:
-    """The part of an image, resized to ``size``."""
-    a, b = height / size[0], width / size[1]
-    return np.array([[a, 0, top + (a - 1) / 2], [0, b, left + (b - 1) / 2]])
+def rotation(degrees: Column) -> Column:
+    angle = F.radians(degrees)
+    return about_centre([F.cos(angle), -F.sin(angle), F.sin(angle), F.cos(angle)])
 
 
-def mean3(image: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """3 x 3 weighted mean with mirrored edges."""
-    p = np.pad(image, ((0, 0), (1, 1), (1, 1)), mode="reflect")
-    h, w = image.shape[-2:]
-    return sum(weights[dy, dx] * p[:, dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3))
+def shear(degrees: Column) -> Column:
+    return about_centre([F.lit(1.0), F.lit(0.0), F.tan(F.radians(degrees)), F.lit(1.0)])
 
 
-def gaussian(sigma: float) -> np.ndarray:
-    side = math.exp(-0.5 / sigma**2)
-    one = np.array([side, 1, side]) / (1 + 2 * side)
-    return np.outer(one, one)
+def crop_resized(top: Column, left: Column, height: Column, width: Column) -> Column:
+    """The matrix that shows a part of an image at the size of the whole."""
+    a, b = height / F.col("h"), width / F.col("w")
+    return F.array(a, F.lit(0.0), top + (a - 1) / 2, F.lit(0.0), b, left + (b - 1) / 2)
 
 
-def sharpened(image: np.ndarray, factor: float) -> np.ndarray:
-    """Away from the 3 x 3 mean (centre five times as heavy) by ``factor``; edges stay."""
-    smooth = image.copy()
-    weights = np.ones((3, 3))
-    weights[1, 1] = 5
-    smooth[:, 1:-1, 1:-1] = mean3(image, weights / 13)[:, 1:-1, 1:-1]
-    return image + factor * (image - smooth)
+# ---------------------------------------------------------------- the plan
 
 
 @dataclass(frozen=True)
@@ -133,90 +139,72 @@ class Plan:
         return cls(**json.loads(text))
 
 
-def augment(image: np.ndarray, mask: np.ndarray, draws: Draws, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """One sample: image (bands, h, w) and mask (h, w). A gate is drawn for each change."""
-    u = draws.uniform
-    on = lambda name, p: p > 0 and u(f"{name} gate") < p
-    h, w = mask.shape
-    x = image / (plan.scale * (u("scale", 0.5, 1.5) if plan.random_scale else 1.0))
-
-    def through(matrix):
-        nonlocal x, mask
-        x = warped(x, matrix, (h, w), nearest=False)
-        mask = warped(mask[None], matrix, (h, w), nearest=True, fill=IGNORE)[0].astype(mask.dtype)
-
-    if on("rotate", plan.rotate):
-        through(about_centre(rotation(u("angle", -90, 90)), h, w))
-    if on("flip x", plan.flip):
-        x, mask = x[..., ::-1], mask[..., ::-1]
-    if on("flip y", plan.flip):
-        x, mask = x[..., ::-1, :], mask[..., ::-1, :]
-    if on("sharpen", plan.sharpen):
-        x = sharpened(np.ascontiguousarray(x), u("sharpness", 0.0, 0.5))
-    if on("small rotate", plan.small_rotate):
-        through(about_centre(rotation(u("small angle", -30, 30)), h, w))
-    if on("shear", plan.shear):
-        through(about_centre(shear(u("shear", -5, 5)), h, w))
-    if on("gamma", plan.gamma):
-        x = np.maximum(x, 1e-6) ** u("exponents", 0.8, 1.2, len(x))[:, None, None]
-    if on("affine", plan.affine):
-        x = x * u("factors", 0.9, 1.1, len(x))[:, None, None] + u("offsets", -0.02, 0.02, len(x))[:, None, None]
-    if on("blur", plan.blur):
-        x = mean3(x, gaussian(u("sigma", 0.5, 1.5)))
-    if on("noise", plan.noise):
-        x = x + 0.015 * draws.normal("noise", x.shape)
-    if on("resized crop", plan.resized_crop):
-        area, shape = u("area", 0.3, 0.9) * h * w, math.exp(u("shape", math.log(0.75), math.log(1.33)))
-        height, width = min(h, math.sqrt(area / shape)), min(w, math.sqrt(area * shape))
-        through(crop_matrix(u("top") * (h - height), u("left") * (w - width), height, width, (h, w)))
-    if on("drop window", plan.drop_window):
-        x = x.copy()
-        half = len(x) // 2
-        x[half:] = 0 if u("which window") < 0.5 else x[half:]
-        x[:half] = 0 if u("which window") >= 0.5 else x[:half]
-    if on("jitter", plan.jitter):
-        mask = dilated(np.ascontiguousarray(mask), int(u("pixels", 0, plan.jitter_pixels + 1)))
-    return x, mask
-
-
-#: A change of one's own: image (bands, h, w), mask (h, w) and the sample's draws to both.
-Change = Callable[[np.ndarray, np.ndarray, Draws], tuple[np.ndarray, np.ndarray]]
+#: A change of one's own: samples and their draws to changed samples with the same columns.
+Change = Callable[[DataFrame, Draw], DataFrame]
+
+
+def _crop(draw: Draw) -> Column:
+    h, w = F.col("h"), F.col("w")
+    area, shape = draw("area", 0.3, 0.9) * h * w, F.exp(draw("shape", math.log(0.75), math.log(1.33)))
+    height, width = F.least(h.cast("double"), F.sqrt(area / shape)), F.least(w.cast("double"), F.sqrt(area * shape))
+    return crop_resized(draw("top") * (h - height), draw("left") * (w - width), height, width)
+
+
+def noisy(image: Column, draw: Draw, deviation: float = 0.015) -> Column:
+    """Normal noise, by the polar form of two draws a value."""
+    far = lambda i: F.sqrt(-2 * F.log(1 - draw("noise far", index=i)))
+    return F.transform(image, lambda v, i: v + deviation * far(i) * F.cos(2 * math.pi * draw("noise turn", index=i)))
 
 
 def augmented(
-    rasters: DataFrame, epoch: int, seed: int = 7, plan: Plan | None = None, training: bool = True, changes: Sequence[Change] = ()
+    rasters: DataFrame, epoch: int, seed: int = 7, plan: Plan | None = None, training: bool = True, changes: Sequence[Change] = (), draw: Draw | None = None
 ) -> DataFrame:
     """``rasters`` (patch_id, h, w, bands, image, mask, ...) changed for training; else only scaled.
 
     ``changes`` come after those of the plan, in their order, in training; they
-    keep the sizes of image and mask.
+    keep the sizes of image and mask. ``draw`` takes the place of hashed draws.
     """
-    plan = plan or Plan()
-    kept = [c for c in rasters.columns if c not in ("image", "mask")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rasters.select(*kept).schema)
-
-    def run(batches):
-        for batch in batches:
-            images, masks = [], []
-            for r in range(batch.num_rows):
-                bands, h, w = (batch.column(c)[r].as_py() for c in ("bands", "h", "w"))
-                image = np.asarray(batch.column("image")[r].values, float).reshape(bands, h, w)
-                mask = np.asarray(batch.column("mask")[r].values, np.int32).reshape(h, w)
-                if training:
-                    draws = Draws(seed, epoch, str(batch.column("patch_id")[r].as_py()))
-                    image, mask = augment(image, mask, draws, plan)
-                    for change in changes:
-                        image, mask = change(image, mask, draws)
-                else:
-                    image = image / plan.scale
-                images.append(image.ravel().astype(np.float32))
-                masks.append(mask.ravel().astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(images, pa.list_(pa.float32())), pa.array(masks, pa.list_(pa.int32()))],
-                [*kept, "image", "mask"],
-            )
-
-    return rasters.select(*kept, "image", "mask").mapInArrow(run, f"{schema}, image array<float>, mask array<int>")
+    plan, draw = plan or Plan(), draw or hashed(seed, epoch)
+    h, w, image, mask = (F.col(c) for c in ("h", "w", "image", "mask"))
+    out = rasters.withColumn("image", R.scaled(image, plan.scale))
+    if training:
+        out = _changed(out, plan, draw, h, w, image, mask)
+        for change in changes:
+            out = change(out, draw)
+    return out.withColumns({"image": image.cast("array<float>"), "mask": mask.cast("array<int>")})
+
+
+def _changed(out: DataFrame, plan: Plan, draw: Draw, h: Column, w: Column, image: Column, mask: Column) -> DataFrame:
+    on = lambda name, p: draw(f"{name} gate") < p
+
+    def change(likely: float, name: str, new: Column, what: str = "image") -> None:
+        nonlocal out
+        if likely > 0:
+            out = out.withColumn(what, F.when(on(name, likely), new).otherwise(F.col(what)))
+
+    def through(likely: float, name: str, matrix: Column) -> None:
+        nonlocal out
+        if likely > 0:
+            out = resampled(out, F.when(on(name, likely), matrix))
+
+    if plan.random_scale:
+        out = out.withColumn("image", R.affine(image, 1 / draw("scale", 0.5, 1.5), 0.0))
+    through(plan.rotate, "rotate", rotation(draw("angle", -90, 90)))
+    for name, down in (("flip x", False), ("flip y", True)):
+        change(plan.flip, name, R.flipped(image, h, w, down))
+        change(plan.flip, name, R.flipped(mask, h, w, down), "mask")
+    change(plan.sharpen, "sharpen", R.sharpened(image, h, w, draw("sharpness", 0.0, 0.5)))
+    through(plan.small_rotate, "small rotate", rotation(draw("small angle", -30, 30)))
+    through(plan.shear, "shear", shear(draw("shear", -5, 5)))
+    change(plan.gamma, "gamma", R.by_band(image, h, w, lambda v, b: F.pow(F.greatest(v, F.lit(1e-6)), draw("exponents", 0.8, 1.2, b))))
+    change(plan.affine, "affine", R.by_band(image, h, w, lambda v, b: v * draw("factors", 0.9, 1.1, b) + draw("offsets", -0.02, 0.02, b)))
+    change(plan.blur, "blur", R.blurred(image, h, w, draw("sigma", 0.5, 1.5)))
+    change(plan.noise, "noise", noisy(image, draw))
+    through(plan.resized_crop, "resized crop", _crop(draw))
+    change(plan.drop_window, "drop window", R.window_dropped(image, draw("which window") < 0.5))
+    times = F.floor(draw("pixels", 0, plan.jitter_pixels + 1)).cast("int")
+    change(plan.jitter, "jitter", R.dilated(mask, h, w, times), "mask")
+    return out
 
 
 def stacked(windows: DataFrame, bands: int, epoch: int, seed: int = 7, swap_order: bool = False) -> DataFrame:

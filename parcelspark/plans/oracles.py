@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from ..operators.records import named
 from ..schemas import METRICS
 from . import bindings as B
@@ -171,7 +173,69 @@ _D4 = " UNION ALL ".join(
 )
 _MIRROR = "CASE WHEN {c} < 0 THEN -({c}) WHEN {c} >= 8 THEN 14 - ({c}) ELSE {c} END"
 
+
+
+def _u(name: str, low: float = 0, high: float = 1, index: str = "0") -> str:
+    """The draw of a name for a sample, as in the queries."""
+    return f"({low}::DOUBLE + ((vec_id * 7 + {13 * len(name)} + ({index}) * 31) % 97 + 0.5::DOUBLE) / 97 * ({high - low})::DOUBLE)"
+
+
+def _seen(matrix: tuple[str, str, str, str, str, str], gate: str, likely: float) -> str:
+    """Images and classes seen through a matrix, target to source, where the gate is open."""
+    a, b, down, c, d, right = matrix
+    return f"""WITH {_CLASSES}, moved AS (
+  SELECT vec_id, i, CASE WHEN goes THEN ({a}) * y + ({b}) * x + ({down}) ELSE y END AS sy, CASE WHEN goes THEN ({c}) * y + ({d}) * x + ({right}) ELSE x END AS sx
+  FROM (SELECT *, {_u(gate + " gate")} < {likely} AS goes FROM classes)),
+near AS (SELECT *, floor(sy + 1e-9) AS fy, floor(sx + 1e-9) AS fx FROM moved),
+mixed AS (
+  SELECT m.vec_id, m.i, sum(coalesce(p.v, 0) * CASE WHEN oy = 0 THEN 1 - (sy - fy) ELSE sy - fy END * CASE WHEN ox = 0 THEN 1 - (sx - fx) ELSE sx - fx END) AS v
+  FROM near m CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(oy, ox) LEFT JOIN classes p ON p.vec_id = m.vec_id AND p.y = fy + oy AND p.x = fx + ox GROUP BY ALL)
+SELECT m.vec_id AS patch_id, m.i, round(CAST(CAST(mixed.v AS FLOAT) AS DOUBLE), 6) AS value, coalesce(n.c, 3) AS class
+FROM near m JOIN mixed USING (vec_id, i) LEFT JOIN classes n ON n.vec_id = m.vec_id AND n.y = round(sy) AND n.x = round(sx)"""
+
+
+def _about(a: str, b: str, c: str, d: str) -> tuple[str, str, str, str, str, str]:
+    return a, b, f"3.5 - ({a}) * 3.5 - ({b}) * 3.5", c, d, f"3.5 - ({c}) * 3.5 - ({d}) * 3.5"
+
+
+def _turned(name: str, most: int, gate: str) -> str:
+    angle = f"radians({_u(name, -most, most)})"
+    return _seen(_about(f"cos({angle})", f"-sin({angle})", f"sin({angle})", f"cos({angle})"), gate, 0.5)
+
+
+def _cropped() -> str:
+    area, shape = f"({_u('area', 0.3, 0.9)} * 64)", f"exp({_u('shape', math.log(0.75), math.log(1.33))})"
+    height, width = f"least(8, sqrt({area} / {shape}))", f"least(8, sqrt({area} * {shape}))"
+    place = lambda name, size: f"{_u(name)} * (8 - {size}) + ({size} / 8 - 1) / 2"
+    return _seen((f"{height} / 8", "0", place("top", height), "0", f"{width} / 8", place("left", width)), "resized crop", 0.5)
+
+
 SQL = {
+    "random_divisor": f"""WITH {_PIXELS} SELECT vec_id AS patch_id, i, round(CAST(CAST(v / 3.0::DOUBLE * (1 / {_u("scale", 0.5, 1.5)}) AS FLOAT) AS DOUBLE), 6) AS value FROM pixels""",
+    "rotate_image": _turned("angle", 90, "rotate"),
+    "small_rotate_image": _turned("small angle", 30, "small rotate"),
+    "shear_image": _seen(_about("1", "0", f"tan(radians({_u('shear', -5, 5)}))", "1"), "shear", 0.3),
+    "resized_crop_image": _cropped(),
+    "sharpen_image": f"""WITH {_PIXELS}, mean AS (
+  SELECT a.vec_id, a.i, sum(b.v * CASE WHEN a.i = b.i THEN 5 ELSE 1 END) / 13 AS m FROM pixels a JOIN pixels b
+  ON b.vec_id = a.vec_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 WHERE a.y BETWEEN 1 AND 6 AND a.x BETWEEN 1 AND 6 GROUP BY ALL)
+SELECT vec_id AS patch_id, i, round(CAST(CAST(CASE WHEN m IS NOT NULL AND {_u("sharpen gate")} < 0.5 THEN v + {_u("sharpness", 0, 0.5)} * (v - m) ELSE v END AS FLOAT) AS DOUBLE), 6) AS value
+FROM pixels LEFT JOIN mean USING (vec_id, i)""",
+    "noise_image": f"""WITH {_PIXELS} SELECT vec_id AS patch_id, i, round(CAST(CAST(CASE WHEN {_u("noise gate")} < 0.3
+  THEN v + 0.015::DOUBLE * sqrt(-2 * ln(1 - {_u("noise far", index="i")})) * cos(2 * pi() * {_u("noise turn", index="i")}) ELSE v END AS FLOAT) AS DOUBLE), 6) AS value FROM pixels""",
+    "jitter_boundary": f"""WITH {_CLASSES} SELECT a.vec_id AS patch_id, a.i, CASE WHEN {_u("jitter gate").replace("vec_id", "a.vec_id")} < 0.5 AND EXISTS (
+  SELECT 1 FROM classes b WHERE b.vec_id = a.vec_id AND b.c = 2 AND greatest(abs(a.y - b.y), abs(a.x - b.x)) <= floor({_u("pixels", 0, 3).replace("vec_id", "a.vec_id")}))
+  THEN 2 ELSE a.c END AS value FROM classes a""",
+    # Bands of 4 x 4: a flip is a change of the source pixel.
+    "training_changes": f"""WITH {_PIXELS}, placed AS (
+  SELECT vec_id, i, i // 16 AS b, CASE WHEN {_u("flip y gate")} < 0.5 THEN 3 - i % 16 // 4 ELSE i % 16 // 4 END AS sy,
+    CASE WHEN {_u("flip x gate")} < 0.5 THEN 3 - i % 4 ELSE i % 4 END AS sx FROM pixels),
+taken AS (SELECT p.vec_id, p.i, p.b, s.v / 2 AS v FROM placed p JOIN pixels s ON s.vec_id = p.vec_id AND s.i = p.b * 16 + sy * 4 + sx),
+risen AS (SELECT *, CASE WHEN {_u("gamma gate")} < 0.3 THEN pow(greatest(v, 1e-6), {_u("exponents", 0.8, 1.2, "b")}) ELSE v END AS g FROM taken),
+moved AS (SELECT *, CASE WHEN {_u("affine gate")} < 0.3 THEN g * {_u("factors", 0.9, 1.1, "b")} + {_u("offsets", -0.02, 0.02, "b")} ELSE g END AS f FROM risen)
+SELECT vec_id AS patch_id, i, true AS training, round(CAST(CAST(
+  CASE WHEN {_u("drop window gate")} < 0.5 AND (i >= 32) = ({_u("which window")} < 0.5) THEN 0 ELSE f END AS FLOAT) AS DOUBLE), 6) AS value FROM moved
+UNION ALL SELECT vec_id, i, false, round(CAST(CAST(v / 2 AS FLOAT) AS DOUBLE), 6) FROM pixels""",
     "index_scan": f"WITH {_PATCHES} SELECT * FROM patches",
     "chips_scan": f"WITH {_COUNTRY}, {_CHIPS} SELECT * FROM chips",
     "raster_scan": f"""WITH {_PIXELS} SELECT CAST(label AS VARCHAR) AS country, CAST(vec_id AS VARCHAR) AS patch_id, 8 AS h, 8 AS w,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import rasters as R
-from ..operators import kernels, metrics, records, scenes, scorers, scoring
+from ..operators import augment, kernels, metrics, records, scenes, scorers, scoring
 from ..sources import catalog
 from ..sources import raster_files as files
 from ..sources.shared import shared_dir
@@ -335,6 +335,73 @@ def gaussian_blur(spark, sf_dir):
     return _long(df.select(F.col("vec_id").alias("patch_id"), blurred.alias("mask"))).withColumn("value", F.round("value", 9))
 
 
+#: A plan without changes.
+STILL = {"scale": 1.0, "rotate": 0.0, "flip": 0.0, "sharpen": 0.0, "resized_crop": 0.0}
+
+
+def _drawn(name, low=0.0, high=1.0, index=None):
+    """Draws that SQL can repeat: of the number of a sample and the length of the name."""
+    at = F.col("patch_id") * 7 + 13 * len(name)
+    at = at if index is None else at + index * 31
+    return F.lit(low) + (F.pmod(at, F.lit(97)) + 0.5) / 97 * (high - low)
+
+
+def _changed(spark, sf_dir, bands=1, training=True, **plan):
+    side = 8 if bands == 1 else 4
+    df = B.vectors(spark, sf_dir).select(
+        F.col("vec_id").alias("patch_id"), F.lit(side).alias("h"), F.lit(side).alias("w"), F.lit(bands).alias("bands"), F.col("v").alias("image"),
+        F.slice(F.transform("v", B.three_classes), 1, side * side).alias("mask"),
+    )
+    return augment.augmented(df, 0, plan=augment.Plan(**STILL | plan), training=training, draw=_drawn)
+
+
+def _values(df):
+    return df.select("patch_id", F.posexplode("image").alias("i", "value")).withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
+def _values_and_classes(df):
+    each = df.select("patch_id", F.posexplode(F.arrays_zip(F.col("image").alias("v"), F.col("mask").alias("c"))).alias("i", "z"))
+    return each.select("patch_id", "i", F.round(F.col("z.v").cast("double"), 6).alias("value"), F.col("z.c").alias("class"))
+
+
+def random_divisor(spark, sf_dir):
+    return _values(_changed(spark, sf_dir, random_scale=True, scale=3.0))
+
+
+def rotate_image(spark, sf_dir):
+    return _values_and_classes(_changed(spark, sf_dir, rotate=0.5))
+
+
+def small_rotate_image(spark, sf_dir):
+    return _values_and_classes(_changed(spark, sf_dir, small_rotate=0.5))
+
+
+def shear_image(spark, sf_dir):
+    return _values_and_classes(_changed(spark, sf_dir, shear=0.3))
+
+
+def resized_crop_image(spark, sf_dir):
+    return _values_and_classes(_changed(spark, sf_dir, resized_crop=0.5))
+
+
+def sharpen_image(spark, sf_dir):
+    return _values(_changed(spark, sf_dir, sharpen=0.5))
+
+
+def noise_image(spark, sf_dir):
+    return _values(_changed(spark, sf_dir, noise=0.3))
+
+
+def jitter_boundary(spark, sf_dir):
+    return _long(_changed(spark, sf_dir, jitter=0.5))
+
+
+def training_changes(spark, sf_dir):
+    """Four bands under flips, exponents, factors and a dropped window for training, and only scaled else."""
+    parts = [_values(_changed(spark, sf_dir, 4, t, scale=2.0, flip=0.5, gamma=0.3, affine=0.3, drop_window=0.5)).withColumn("training", F.lit(t)) for t in (True, False)]
+    return parts[0].unionByName(parts[1])
+
+
 def metrics_scan(spark, sf_dir):
     """Rows written as a metrics file and read again: six decimals, nan and empty."""
     path = f"{shared_dir(spark)}/metrics-{uuid.uuid4().hex}"
@@ -367,7 +434,9 @@ QUERIES = {
         dense_countries, missing_countries, normalize, binarize, eval_relabel, argmax, softmax, clip_stack, pad_mask, center_crop, d4_transform,
         tta_mean, pixel_confusion, country_confusion, pixel_metrics, components, polygon_iou, match_at_05, match_in_order, match_grid, f1_grid,
         object_pix_f1, object_ws_f1, panoptic_quality, count_delta, boundary_pixels, chamfer, boundary_error, distance_transform, watershed_mask,
-        watershed_instances, dilate_boundary, band_gamma, band_affine, window_dropout, gaussian_blur, metrics_scan, metrics_format, macro_average,
+        watershed_instances, dilate_boundary, band_gamma, band_affine, window_dropout, gaussian_blur,
+        random_divisor, rotate_image, small_rotate_image, shear_image, resized_crop_image, sharpen_image, noise_image, jitter_boundary, training_changes,
+        metrics_scan, metrics_format, macro_average,
         summary_report,
     )
 }
