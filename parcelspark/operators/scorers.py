@@ -178,3 +178,8 @@ def threshold_scorer(threshold: float, band: int = 0) -> Callable[[], Scorer]:
 
 #: A factory by name, for trying the commands without a model.
 bright = threshold_scorer(0.5)
+
+
+def bright_by_weights(weights: bytes) -> Scorer:
+    """The same with its threshold, as text, for weights."""
+    return threshold_scorer(float(weights))()

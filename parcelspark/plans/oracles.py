@@ -211,6 +211,24 @@ def _cropped() -> str:
 
 
 SQL = {
+    "eval_batches": f"""WITH {_PATCHES} SELECT country, patch_id, k // 64 AS batch, CAST(k % 64 AS INT) AS place
+FROM (SELECT country, patch_id, row_number() OVER (ORDER BY country, patch_id) - 1 AS k FROM patches)""",
+    "reader_shares": f"""WITH {_PATCHES}, dealt AS (
+  SELECT patch_id, CAST(k % 7 AS INT) AS reader, k // 7 // 32 AS batch, CAST(k // 7 % 32 AS INT) AS place
+  FROM (SELECT patch_id, row_number() OVER (ORDER BY country, patch_id) - 1 AS k FROM patches))
+SELECT reader, batch, count(*) AS n, min(place) AS first, max(place) AS last, min(patch_id) AS least FROM dealt GROUP BY reader, batch""",
+    "record_at": f"""WITH {_PATCHES}, ordered AS (SELECT country, patch_id, CAST(row_number() OVER (ORDER BY country, patch_id) - 1 AS INT) AS nth FROM patches)
+SELECT country, patch_id, nth FROM ordered WHERE nth IN (0, 100)""",
+    "epoch_means": "SELECT l_linenumber AS epoch, round(avg(l_discount), 6) AS rate FROM lineitem GROUP BY 1",
+    "epochs_kept": """SELECT 'best' AS kind, o_orderkey AS epoch, o_totalprice AS loss FROM (SELECT * FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1)
+UNION ALL SELECT 'last', o_orderkey, o_totalprice FROM (SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 1)""",
+    "evaluate_scorer": f"""{_objects()}, {_counts()}, patches AS (SELECT country, count(*) AS n_patches, avg(abs(n_pred - n_gt)) AS delta FROM numbers GROUP BY 1),
+sq AS (SELECT country, avg(CAST(iou AS DOUBLE)) AS sq FROM numbers JOIN pairs USING (vec_id) WHERE iou > CAST(0.5 AS FLOAT) GROUP BY 1),
+pixel AS (
+  SELECT CAST(label AS VARCHAR) AS country, count(*) FILTER (v > {B.GT} AND v > {B.PRED}) / count(*) FILTER (v > {B.GT} OR v > {B.PRED}) AS iou FROM pixels GROUP BY 1)
+SELECT s.country, n_patches, round(iou, 6) AS pixel_level_iou, CAST(round(f, 6) AS DOUBLE) AS object_pix_f1, round(coalesce(sq, 0), 6) AS pq_sq,
+  CAST(round(f, 6) AS DOUBLE) AS pq_rq, round(coalesce(sq, 0) * f, 6) AS pq, round(delta, 6) AS polygon_count_delta_mean
+FROM scores s JOIN patches USING (country) LEFT JOIN sq USING (country) JOIN pixel USING (country)""",
     "random_divisor": f"""WITH {_PIXELS} SELECT vec_id AS patch_id, i, round(CAST(CAST(v / 3.0::DOUBLE * (1 / {_u("scale", 0.5, 1.5)}) AS FLOAT) AS DOUBLE), 6) AS value FROM pixels""",
     "rotate_image": _turned("angle", 90, "rotate"),
     "small_rotate_image": _turned("small angle", 30, "small rotate"),

@@ -397,11 +397,59 @@ def jitter_boundary(spark, sf_dir):
 
 
 def training_changes(spark, sf_dir):
-    """Four bands under flips, exponents, factors and a dropped window for training, and only scaled else."""
-    parts = [_values(_changed(spark, sf_dir, 4, t, scale=2.0, flip=0.5, gamma=0.3, affine=0.3, drop_window=0.5)).withColumn("training", F.lit(t)) for t in (True, False)]
+    """Four bands under flips, exponents, factors and a dropped window for training, and only scaled else; the plan is read from a file."""
+    path = _folder(spark, "plan")
+    spark.createDataFrame([('{"scale": 2.0, "flip": 0.5, "gamma": 0.3, "affine": 0.3, "drop_window": 0.5}',)], "value string").coalesce(1).write.text(path)
+    plan = {k: v for k, v in vars(augment.Plan.read(spark, path)).items() if k in ("scale", "flip", "gamma", "affine", "drop_window")}
+    parts = [_values(_changed(spark, sf_dir, 4, t, **plan)).withColumn("training", F.lit(t)) for t in (True, False)]
     return parts[0].unionByName(parts[1])
 
 
+def eval_batches(spark, sf_dir):
+    df = records.batches(B.patches(spark, sf_dir), 64)
+    return df.select("country", "patch_id", "batch", "place")
+
+
+def reader_shares(spark, sf_dir):
+    """Patches dealt to seven readers in the order of country and patch."""
+    df = records.dealt(B.patches(spark, sf_dir), 32, 7, training=False)
+    return df.groupBy("reader", "batch").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"), F.min("patch_id").alias("least"))
+
+
+def record_at(spark, sf_dir):
+    parts = [records.nth(B.patches(spark, sf_dir), k).select("country", "patch_id").withColumn("nth", F.lit(k)) for k in (0, 100)]
+    return parts[0].unionByName(parts[1])
+
+
+def epoch_means(spark, sf_dir):
+    log = B.table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("epoch"), F.col("l_discount").alias("rate"))
+    return _rounded(metrics.epoch_means(log, ["rate"]))
+
+
+def epochs_kept(spark, sf_dir):
+    log = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("epoch"), F.col("o_totalprice").alias("loss"))
+    return metrics.best_and_last(log)
+
+
+def _no_weights():
+    raise KeyError("weights of another kind")
+
+
+def _above():
+    """A scorer of field where a 10 m image is above PRED."""
+    return lambda image: np.stack([np.zeros(image.shape[1:]), (image[0].astype(float) * 3000 - B.PRED) * 1e3])
+
+
+def evaluate_scorer(spark, sf_dir):
+    """From images of the 10 m source, through a scorer that is the second choice, to metrics rows."""
+    images = B.rasters(spark, sf_dir).drop("pred").join(
+        B.vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("patch_id"), F.lit(1).alias("bands"), F.col("v").cast("array<float>").alias("image")), "patch_id"
+    )
+    rows = scorers.evaluated(images, scorers.first_that_works(_no_weights, _above), "10m", watershed=False, least=32)
+    rows = rows.select("country", "n_patches", "pixel_level_iou", "object_pix_f1", "pq_sq", "pq_rq", "pq", "polygon_count_delta_mean")
+    return _rounded(rows)
+
+
 def metrics_scan(spark, sf_dir):
     """Rows written as a metrics file and read again: six decimals, nan and empty."""
     path = f"{shared_dir(spark)}/metrics-{uuid.uuid4().hex}"
@@ -436,6 +484,7 @@ QUERIES = {
         object_pix_f1, object_ws_f1, panoptic_quality, count_delta, boundary_pixels, chamfer, boundary_error, distance_transform, watershed_mask,
         watershed_instances, dilate_boundary, band_gamma, band_affine, window_dropout, gaussian_blur,
         random_divisor, rotate_image, small_rotate_image, shear_image, resized_crop_image, sharpen_image, noise_image, jitter_boundary, training_changes,
+        eval_batches, reader_shares, record_at, epoch_means, epochs_kept, evaluate_scorer,
         metrics_scan, metrics_format, macro_average,
         summary_report,
     )

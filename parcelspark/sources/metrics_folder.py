@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,14 +61,27 @@ class MetricsFolder:
         places = [self._place(c) for c in self.committed()]
         return self.spark.read.schema(schemas.METRICS_CSV).parquet(*places) if places else self.spark.createDataFrame([], schemas.METRICS_CSV)
 
-    def fill(self, countries: Iterable[str], rows_of: Callable[[str], DataFrame], out: str | None = None) -> list[str]:
-        """Score and commit what is lacking of ``countries``, in their order, and write all as a metrics file; returns what was scored."""
+    def fill(self, countries: Iterable[str], rows_of: Callable[[str], DataFrame], out: str | None = None, at_once: int = 1) -> list[str]:
+        """Score and commit what is lacking of ``countries`` and write all as a metrics file; returns what was scored.
+
+        Countries come in their order, ``at_once`` of them at a time, so that small
+        ones share the cluster. After a failure no further one is begun.
+        """
         wanted = list(dict.fromkeys(countries))
-        done, scored = set(self.committed()), []
-        for country in wanted:
-            if country not in done:
+        done = set(self.committed())
+        lacking = [c for c in wanted if c not in done]
+        if at_once == 1:
+            for country in lacking:
                 self.add(country, rows_of(country))
-                scored.append(country)
+        else:
+            with ThreadPoolExecutor(at_once) as pool:
+                jobs = [pool.submit(lambda c=c: self.add(c, rows_of(c))) for c in lacking]
+                try:
+                    for job in jobs:
+                        job.result()
+                except BaseException:
+                    pool.shutdown(wait=False, cancel_futures=True)
+                    raise
         if out:
             write_metrics(self.rows().where(F.col("country").isin(wanted)), out)
-        return scored
+        return lacking

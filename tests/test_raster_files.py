@@ -191,3 +191,23 @@ def test_a_scorer_is_made_once_a_worker_and_sees_stacks(spark, samples, tmp_path
     assert len(made) == len(set(made)) <= 8  # 12 tasks, no worker made it twice
     one = scorers.classified(many.coalesce(1), factory, symmetries=True).collect()
     assert {r.patch_id: r.pred for r in one} == got
+
+
+def trained():
+    return os.environ["TRAINED_WEIGHTS"]
+
+
+def test_reproduce_trains_evaluates_and_reports(spark, samples, tmp_path, monkeypatch, capsys):
+    from parcelspark import cli, regions
+    from parcelspark.operators import scorers
+
+    names = list(regions.SPLITS["dense10"])[:3]
+    (tmp_path / "weights").write_text("0.5")
+    monkeypatch.setenv("TRAINED_WEIGHTS", str(tmp_path / "weights"))
+    samples.replace(dict(zip("xyz", names, strict=True)), subset="country").write.parquet(str(tmp_path / "data" / "samples_3m"))
+    options = ["--data", str(tmp_path / "data"), "--min-pad", "32", "--no-tta", "--no-watershed"]
+    plain = scorers.evaluated(samples, scorers.threshold_scorer(0.5), symmetries=False, watershed=False, least=32).agg(F.avg("pq")).first()[0]
+    argv = ["reproduce", "--train", "test_raster_files:trained", "--scorer", "parcelspark.operators.scorers:bright_by_weights", "--out", str(tmp_path / "one"), *options]
+    assert cli.main(argv) == 0
+    shown = capsys.readouterr().out
+    assert "macro average over 3/10" in shown and "published" in shown and f"{plain:.4f}" in shown
