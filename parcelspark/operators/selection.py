@@ -3,8 +3,9 @@
 Equal values are counted first, in a shuffle by group and value. The ranks that a
 percentile lies between are then looked for in every group at once: the values
 that can hold a rank are counted by RANGES equal ranges, and the range with the
-rank becomes the next to be looked at, until it holds one value. No task gets the
-values of a group; what meets are its RANGES counts.
+rank becomes the next to be looked at, until it holds FEW different values. No task
+gets the values of a group; what meets are its RANGES counts, and FEW values in the
+end.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from ..sources.shared import staged
 
 #: Ranges a step; a step makes what is left so many times narrower.
 RANGES = 1024
+#: Different values that are looked through in one task.
+FEW = 4096
 #: Groups whose bounds are sent to all tasks; more are joined by a shuffle.
 SENT = 10_000
 
@@ -29,25 +32,34 @@ def percentiles(values: DataFrame, by: list[str], value: str = "value", share: s
     v = F.col(value).cast("double")
     counted = values.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by, v.alias("_v")).agg(F.count("*").alias("_n"), F.first(share).alias("_share"))
     counted = staged(counted, "value-counts")
-    groups = counted.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_all"), F.first("_share").alias("_share"))
+    groups = counted.groupBy(*by).agg(
+        F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_values"), F.sum("_n").alias("_all"), F.first("_share").alias("_share")
+    )
     place = F.col("_share") * (F.col("_all") - 1)
     ranks = F.array(*(F.struct(F.lit(i).alias("_which"), r.cast("long").alias("_rank")) for i, r in enumerate((F.floor(place), F.ceil(place)))))
-    bounds = groups.select(*by, "_low", "_high", (place - F.floor(place)).alias("_part"), F.explode(ranks).alias("_r"), F.lit(0).cast("long").alias("_before"))
-    bounds = staged(bounds.select(*by, "_low", "_high", "_part", "_r.*", "_before"), "value-bounds")
-    few = bounds.count() <= 2 * SENT
+    bounds = groups.select(*by, "_low", "_high", "_values", (place - F.floor(place)).alias("_part"), F.explode(ranks).alias("_r"), F.lit(0).cast("long").alias("_before"))
+    bounds = staged(bounds.select(*by, "_low", "_high", "_values", "_part", "_r.*", "_before"), "value-bounds")
     keys = [*by, "_which"]
-    while not bounds.where("_low < _high").isEmpty():
-        open_ = bounds.where("_low < _high")
-        inside = counted.drop("_share").join(F.broadcast(open_) if few else open_, by).where("_v between _low and _high")
+    own = [*keys, "_part", "_rank", "_before"]
+    while True:
+        n, most = bounds.agg(F.count("*"), F.coalesce(F.max("_values"), F.lit(0))).first()
+        inside = counted.drop("_share").join(F.broadcast(bounds) if n <= 2 * SENT else bounds, by).where("_v between _low and _high")
+        if most <= FEW:
+            break
         # Halves first, so that the difference of two large values can't overflow.
-        along = (F.col("_v") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)
+        along = F.when(F.col("_low") < F.col("_high"), (F.col("_v") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)).otherwise(0.0)
         step = F.least(F.floor(along * RANGES), F.lit(RANGES - 1))
-        ranged = inside.groupBy(*keys, "_part", "_rank", "_before", step.alias("_step")).agg(
-            F.sum("_n").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+        ranged = inside.groupBy(*own, step.alias("_step")).agg(
+            F.sum("_n").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_values")
         )
-        upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*keys).orderBy("_step"))
-        found = ranged.withColumn("_upto", upto).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n")))
-        found = found.select(*by, "_low", "_high", "_part", "_which", "_rank", (F.col("_upto") - F.col("_n")).alias("_before"))
-        bounds = staged(bounds.where("_low = _high").select(*found.columns).union(found), "value-bounds")
-    at = lambda i: F.max(F.when(F.col("_which") == i, F.col("_low")))
-    return bounds.groupBy(*by).agg((at(0) + (at(1) - at(0)) * F.first("_part")).alias(out))
+        found = _holding(ranged, keys, "_step")
+        bounds = staged(found.select(*by, "_low", "_high", "_values", "_part", "_which", "_rank", (F.col("_upto") - F.col("_n")).alias("_before")), "value-bounds")
+    found = _holding(inside, keys, "_v")
+    at = lambda i: F.max(F.when(F.col("_which") == i, F.col("_v")))
+    return found.groupBy(*by).agg((at(0) + (at(1) - at(0)) * F.first("_part")).alias(out))
+
+
+def _holding(parts: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of parts with numbers ``_n`` of values, in ``order``, the one of each key that holds its rank, with the number of values up to its end."""
+    upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*keys).orderBy(order))
+    return parts.withColumn("_upto", upto).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n")))

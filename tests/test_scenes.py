@@ -130,7 +130,9 @@ def test_seeds_that_touch_at_a_corner_are_two():
     assert kernels.watershed_instances(classes, depth).max() == 2
 
 
-def test_percentiles_are_exact(spark):
+@pytest.mark.parametrize("few", [1, 100, 4096])
+def test_percentiles_are_exact(spark, monkeypatch, few):
+    monkeypatch.setattr(selection, "FEW", few)
     rng = np.random.default_rng(5)
     groups = {
         "normal": rng.normal(size=5001), "ties": rng.integers(0, 3, 4000).astype(float), "one": np.array([7.0]), "two": np.array([1.0, 2.0]),
