@@ -13,7 +13,8 @@ their words and item ids, before they are broadcast; above ``BROADCAST_ROWS`` or
 
 Defined results: null and empty texts have no words, no hits and are not
 contaminated; a null or empty item has no windows; an item of fewer words than
-``window`` is one window; rows with the same id are judged together where
+``window`` is one window; an item without id hits words as others do, but has no
+name to be listed or counted by; rows with the same id are judged together where
 their texts differ (their hits are united) and each returns a row; an empty
 benchmark hits nothing. Extra columns are dropped.
 """

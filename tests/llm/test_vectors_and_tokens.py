@@ -370,3 +370,12 @@ def test_templates_too_short_for_a_gram_are_refused(spark):
     for text in ("public domain", "", "!"):
         with pytest.raises(ValueError, match="fewer than 3 words"):
             licenses.scan(docs, spark.createDataFrame([("pd", text)], "label string, text string"))
+
+
+def test_an_item_without_id_hits_and_is_not_listed(spark):
+    words = " ".join(f"w{k}" for k in range(15))
+    docs = spark.createDataFrame([(1, words), (2, "other words")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, words), (7, "x " + words)], "item_id long, text string")
+    for bench, names in ((items, ["7"]), (items.where("item_id is null"), [])):
+        got = {r.doc_id: (r.n_hit, r.n_items, r.items, r.contaminated) for r in decontamination.decontaminate(docs, bench).collect()}
+        assert got[1] == (15, len(names), names, True) and got[2][0] == 0
