@@ -2,20 +2,21 @@
 
 A scorer maps an image (bands, height, width) to class scores (classes, height,
 width). It is made by its factory once in every Python worker, and kept there for
-later tasks of the same call. Weights that come with a broadcast (``with_weights``)
+later tasks of the same factory, whichever frame they score. Weights that come with a broadcast (``with_weights``)
 are sent to a machine once. A scorer with ``batched = True`` gets stacks of images
 of one size, (n, bands, height, width), and gives stacks of scores.
 """
 
 from __future__ import annotations
 
+import hashlib
 import importlib
-import uuid
 from collections.abc import Callable
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from . import metrics
@@ -29,7 +30,7 @@ METRES = {"3m": 3.0, "10m": 10.0}
 
 #: Images of a stack, at most.
 STACK = 8
-#: The scorer of the last call that this worker has worked for, by the call's name.
+#: The scorer of the last factory that this worker has worked for, by the factory's digest.
 _MADE: dict[str, Scorer] = {}
 
 
@@ -38,12 +39,12 @@ def softmax(scores: np.ndarray, classes: int = 0) -> np.ndarray:
     return powers / powers.sum(classes, keepdims=True)
 
 
-def made_once(call: str, factory: Callable[[], Scorer]) -> Scorer:
-    """The scorer of a call, made if this worker has not made it yet."""
-    if call not in _MADE:
+def made_once(digest: str, factory: Callable[[], Scorer]) -> Scorer:
+    """The scorer of a factory, made if this worker has not made it yet."""
+    if digest not in _MADE:
         _MADE.clear()
-        _MADE[call] = factory()
-    return _MADE[call]
+        _MADE[digest] = factory()
+    return _MADE[digest]
 
 
 def with_weights(spark: SparkSession, make: Callable[[object], Scorer], weights) -> Callable[[], Scorer]:
@@ -95,10 +96,10 @@ def _scored(rasters: DataFrame, factory: Callable[[], Scorer], source: str, symm
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rasters.select(*kept).schema) + f", `{out}` array<{kind}>"
     arrow = {"int": pa.int32(), "double": pa.float64()}[kind]
 
-    call = uuid.uuid4().hex
+    digest = hashlib.blake2b(cloudpickle.dumps(factory), digest_size=16).hexdigest()
 
     def run(batches):
-        scorer = stacked(made_once(call, factory))
+        scorer = stacked(made_once(digest, factory))
         for batch in batches:
             sizes = list(zip(*(batch.column(c).to_pylist() for c in ("bands", "h", "w")), strict=True))
             # Images of one padded size go together, a few at a time.

@@ -185,12 +185,13 @@ def test_a_scorer_is_made_once_a_worker_and_sees_stacks(spark, samples, tmp_path
     many = samples.repartition(12)
     factory = scorers.with_weights(spark, make, {"threshold": 0.5})
     got = {r.patch_id: r.pred for r in scorers.classified(many, factory, symmetries=False).collect()}
-    assert got == {r.patch_id: r.pred for r in scorers.classified(many, scorers.threshold_scorer(0.5), symmetries=False).collect()}
     made, stacks = ([int(f.name.split("-")[1]) for f in tmp_path.glob(f"{what}-*")] for what in ("made", "stack"))
     assert sum(stacks) == 30 > len(stacks)
-    assert len(made) == len(set(made)) <= 8  # 12 tasks, no worker made it twice
-    one = scorers.classified(many.coalesce(1), factory, symmetries=True).collect()
-    assert {r.patch_id: r.pred for r in one} == got
+    # Another frame, the same factory: a worker that has made the scorer keeps it.
+    assert {r.patch_id: r.pred for r in scorers.classified(many.repartition(9), factory, symmetries=True).collect()} == got
+    made = [int(f.name.split("-")[1]) for f in tmp_path.glob("made-*")]
+    assert len(made) == len(set(made)) <= 8  # 21 tasks, no worker made it twice
+    assert got == {r.patch_id: r.pred for r in scorers.classified(many, scorers.threshold_scorer(0.5), symmetries=False).collect()}
 
 
 def trained():
