@@ -5,13 +5,12 @@ size enter, each, the bin with the tightest remaining capacity that still holds
 it, found in a balanced tree of the bins by remaining capacity.
 
 Best-fit decreasing looks at sizes only, so the packing is computed from the
-number of items of each size: Spark counts them, one pass over the sizes packs
-them, a run of items of one size at a time, and Spark deals the items of each
-size to the bins by their rank. The driver holds the table of sizes alone: up to
-2**16 every size has its own row, and above, sizes are rounded up to 16
-significant bits, so that it has at most 65,536 + 32,768 * 48 rows, whatever the
-input, and the runs, which are no more than sizes and bins together. It never
-holds items.
+number of items of each size: Spark counts them and sorts the sizes, one pass over
+them packs them, a run of items of one size at a time, and Spark deals the items of
+each size to the bins by their rank. Sizes are exact. The driver reads them a
+stretch of ``SIZES`` at a time, largest first, and writes what it has packed to a
+table, so that it holds the bins, one stretch of sizes and one of runs, whatever
+the input. It never holds items.
 
 A group larger than a bin can't stay whole: it is dealt, by a hash of its
 document ids, to pieces of about ``split_share`` of the capacity. All other
@@ -24,15 +23,18 @@ an empty table gives an empty result. Extra columns are dropped.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, join_groups, running_total, salts_of, stage
+from .common import buckets_for, join_groups, running_total, salts_of, stage, union_all
 
 #: Ranks of one size whose bins are looked up together.
 STRETCH = 256
+#: Sizes that the driver reads, and runs that it writes, together.
+SIZES = 1 << 16
 
 
 class CapacityTree:
@@ -124,20 +126,24 @@ class CapacityTree:
 
 
 def best_fit_decreasing(sizes: dict[int, int], capacity: int, bins: int | None = None) -> list[tuple[int, int, int, int]]:
-    """Runs (size, first rank, last rank + 1, bin) for ``sizes``: size -> number of items.
+    """The runs of ``fitted`` for ``sizes``: size -> number of items."""
+    return list(fitted(sorted(sizes.items(), reverse=True), capacity, bins))
+
+
+def fitted(falling: Iterable[tuple[int, int]], capacity: int, bins: int | None = None) -> Iterator[tuple[int, int, int, int]]:
+    """Runs (size, first rank, last rank + 1, bin) for (size, number of items), largest sizes first.
 
     With ``bins``, so many bins are there from the start, and an item that none
     of them can hold goes to the one with most room; else bins are opened as
     they are needed, for few of fixed capacity.
     """
-    tree, opened, over = CapacityTree(), 0, defaultdict(int)
-    runs = []
+    tree, opened = CapacityTree(), 0
     if bins:
         for b in range(bins):
             tree.add(capacity, b)
         opened = bins
-    for size in sorted(sizes, reverse=True):
-        rank, left = 0, sizes[size]
+    for size, left in falling:
+        rank = 0
         while left:
             room = tree.tightest(size)
             if room is None and bins:
@@ -149,31 +155,33 @@ def best_fit_decreasing(sizes: dict[int, int], capacity: int, bins: int | None =
             else:
                 n = min(left, room // size) if size else left
             b = tree.take(room)
-            runs.append((size, rank, rank + n, b))
+            yield size, rank, rank + n, b
             tree.add(room - n * size, b)
             rank, left = rank + n, left - n
-    return runs
 
 
-def _rounded(size):
-    """``size``, above 2**16 rounded up to 16 significant bits."""
-    unit = F.shiftright(size, 16)
-    unit = F.when(size < (1 << 16), F.lit(1)).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(unit.cast("double"))) + 1)).cast("long")
-    return (F.ceil(size / unit) * unit).cast("long")
+def _plan(items: DataFrame, capacity: int, bins: int | None) -> DataFrame:
+    """The runs (_size, _from, _to, _bin) for ``items`` by their bytes."""
+    spark = items.sparkSession
+    sizes = stage(items.groupBy(F.col("bytes").alias("_size")).agg(F.count("*").alias("_n")), "shard-sizes")
+    # Ranges of sizes with so many of them each: the driver reads one after the other.
+    falling = sizes.repartitionByRange(-(-sizes.count() // SIZES) or 1, F.desc("_size")).sortWithinPartitions(F.desc("_size"))
+    runs = fitted(((r["_size"], r["_n"]) for r in falling.toLocalIterator()), capacity, bins)
+    parts = []
+    while (part := list(islice(runs, SIZES))) or not parts:
+        part = spark.createDataFrame(part, "_size long, _from long, _to long, _bin int")
+        parts.append(stage(part, "shard-runs"))
+    return union_all(parts)
 
 
 def pack(items: DataFrame, capacity: int, bins: int | None = None) -> DataFrame:
     """``items`` (key, bytes, salts) with the bin of each; keys are distinct."""
-    spark = items.sparkSession
-    items = items.withColumn("_size", _rounded(F.col("bytes")))
+    items = items.withColumn("_size", F.col("bytes"))
     n_buckets = buckets_for(items.count())
     items = items.withColumn("_bucket", F.pmod(F.xxhash64("key"), F.lit(n_buckets)).cast("int")).withColumn("_one", F.lit(1))
     ranked = running_total(items, "_size", "_bucket", ["key"], "_one", "_rank")
-    sizes = {r["_size"]: r["n"] for r in items.groupBy("_size").agg(F.count("*").alias("n")).toLocalIterator()}
-    runs = best_fit_decreasing(sizes, capacity, bins)
-    plan = spark.createDataFrame(runs, "_size long, _from long, _to long, _bin int")
     # A rank finds its run among those of its stretch: STRETCH at most, however many bins a size is dealt to.
-    plan = plan.withColumn("_stretch", F.explode(F.expr(f"sequence(_from div {STRETCH}, (_to - 1) div {STRETCH})")))
+    plan = _plan(items, capacity, bins).withColumn("_stretch", F.explode(F.expr(f"sequence(_from div {STRETCH}, (_to - 1) div {STRETCH})")))
     plan = plan.groupBy("_size", "_stretch").agg(F.array_sort(F.collect_list(F.struct("_from", "_bin"))).alias("_runs"))
     ranked = ranked.withColumn("_stretch", F.expr(f"_rank div {STRETCH}")).join(plan.hint("merge"), ["_size", "_stretch"])
     place = F.size(F.filter("_runs", lambda r: r["_from"] <= F.col("_rank")))

@@ -199,6 +199,23 @@ def test_shards_against_plain_best_fit(spark, docs, rows):
     assert sharding.open_shards(docs.limit(0), 1000).count() == 0 and not shards
 
 
+def test_large_sizes_are_packed_exactly(spark, monkeypatch):
+    """Sizes beyond 2**16 that differ by single bytes, read and packed a few at a time."""
+    monkeypatch.setattr(sharding, "SIZES", 7)
+    many = [(i, f"{i:02d}" + "z" * (70_000 + i * 37 % 101)) for i in range(60)]
+    frame = spark.createDataFrame(many, "doc_id long, text string")
+    sizes = [len(t) + 16 for _, t in many]
+    for capacity in (2 * max(sizes), sorted(sizes)[30] + sorted(sizes)[29]):
+        loads = Counter()
+        for r in sharding.open_shards(frame, capacity).collect():
+            loads[r.shard] += r.size
+        assert sorted(loads.values()) == best_fit(sizes, capacity)
+    loads = Counter()
+    for r in sharding.shard(frame, shards=9).collect():
+        loads[r.shard] += r.size
+    assert sorted(loads.values()) == best_fit(sizes, -(-sum(sizes) // 9), 9)
+
+
 def test_pipeline_on_awkward_rows(spark, docs, rows, tmp_path):
     """Every stage against its plain form, on what the one before kept: nulls, repeated ids, clashing names."""
     labels = [(i, int(i not in (7, 11, 12)), 0) for i in range(20)] + [(100 + i, 1, 0) for i in range(12)] + [(900 + i, i % 2, 0) for i in range(60)]
