@@ -13,7 +13,9 @@ trusted patterns is right. Strings that no fixed pattern finds, but that score
 high, are spans of that kind too.
 
 The pattern-instance graph is a table of Spark; sums are combined before every
-shuffle, and every round cuts the lineage. A pattern needs several different
+shuffle, and every round cuts the lineage. A pattern of very many strings, and a
+string of very many patterns or places, are dealt by salts to many tasks, and
+neither is broadcast. A pattern needs several different
 seeds to be trusted. Contexts of all texts count, and words of any length.
 
 Defined results: null and empty texts have no spans; positions are code points;
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import join_groups, salts_of, stage
 
 #: Normal quantile of a pattern's lower bound, and what an unknown instance counts against a pattern.
 Z, UNKNOWN = 1.64, 0.5
@@ -199,26 +201,30 @@ def bootstrap(found: DataFrame, rounds: int = 3, least_seeds: int = 5, trust: fl
     """
     edges = found.select("value", F.explode("patterns").alias("pattern")).distinct()
     edges = stage(edges, "pii-edges")
+    # A string of many patterns, and a pattern of many strings, are many tasks' work.
+    held = stage(edges.groupBy("value").agg(salts_of("pattern").alias("salts")), "pii-held")
+    around = lambda strings: join_groups(edges, strings.join(held.hint("merge"), "value"), ["value"], "pattern")
     seeds = found.where("kind >= 0").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
     scores = seeds = stage(seeds, "pii-seeds")
     # Patterns without enough seeds of a kind are never trusted: they are left out once and for all.
-    able = edges.join(seeds, "value").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_seeds)
-    able = stage(able, "pii-able")
-    edges = stage(edges.join(able.select("pattern").distinct(), "pattern", "left_semi"), "pii-edges")
-    is_seed = seeds.select("value", F.lit(1).alias("seed")).distinct()
-    size = edges.join(is_seed, "value", "left").groupBy("pattern").agg(F.count("*").alias("n"), F.count("seed").alias("n_seeds"))
-    able = stage(able.join(size, "pattern"), "pii-able")
+    able = around(seeds).groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_seeds)
+    size = edges.groupBy("pattern").agg(F.count("*").alias("n"), salts_of("value").alias("salts"))
+    able = stage(able.join(size.hint("merge"), "pattern"), "pii-able")
+    edges = stage(join_groups(edges, able.select("pattern", "salts").distinct(), ["pattern"], "value"), "pii-edges")
+    n_seeds = around(seeds.select("value").distinct()).groupBy("pattern").agg(F.count("*").alias("n_seeds"))
+    able = stage(able.join(n_seeds.hint("merge"), "pattern"), "pii-able")
     for _ in range(rounds):
-        got = edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("got"))
-        worth = got.join(able, ["pattern", "kind"])
+        got = around(scores).groupBy("pattern", "kind").agg(F.sum("score").alias("got"))
+        worth = got.join(able.hint("merge"), ["pattern", "kind"])
         unknown = F.col("n") - F.col("n_seeds") - (F.col("got") - F.col("seeds"))
         judged = F.col("n_seeds") + (F.col("got") - F.col("seeds")) + UNKNOWN * unknown
         worth = worth.withColumn("worth", lower_bound(F.col("got") / judged, judged)).where(F.col("worth") >= trust)
-        doubt = edges.join(worth, "pattern").groupBy("value", "kind").agg(F.sum(F.log1p(-F.col("worth"))).alias("doubt"))
+        doubts = join_groups(edges, worth.select("pattern", "kind", "worth", "salts"), ["pattern"], "value")
+        doubt = doubts.groupBy("value", "kind").agg(F.sum(F.log1p(-F.col("worth"))).alias("doubt"))
         new = doubt.select("value", "kind", F.round(1 - F.exp("doubt"), 9).alias("score"))
         scores = stage(new.union(seeds).groupBy("value", "kind").agg(F.max("score").alias("score")), "pii-scores")
     best = scores.where(F.col("score") >= least_score).groupBy("value").agg(F.min_by("kind", F.struct(-F.col("score"), F.col("kind"))).alias("kind"))
-    return best.join(seeds.select("value").distinct(), "value", "left_anti")
+    return best.join(seeds.select("value").distinct().hint("merge"), "value", "left_anti")
 
 
 def scan(docs: DataFrame, **options) -> DataFrame:
@@ -226,7 +232,9 @@ def scan(docs: DataFrame, **options) -> DataFrame:
     rows = stage(entities(docs), "pii-entities")
     each = rows.where(F.size("found") > 0).select("doc_id", "text_hash", F.explode("found").alias("x")).select("doc_id", "text_hash", "x.*")
     named = bootstrap(each, **options).withColumnRenamed("kind", "new_kind")
-    more = each.where("kind < 0").join(named, "value").distinct()
+    strings = each.where("kind < 0")
+    stands = strings.groupBy("value").agg(salts_of("doc_id").alias("salts"))
+    more = join_groups(strings, named.join(stands.hint("merge"), "value"), ["value"], "doc_id").distinct()
     more = more.groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_set(F.struct(F.col("new_kind").alias("kind"), "start", "end"))).alias("more")
     )
