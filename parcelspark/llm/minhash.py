@@ -49,7 +49,7 @@ RARE = 1000
 #: Documents of a bucket in one tile, about; one of more than LOAD shingles counts as several.
 TILE, LOAD = 128, 2048
 #: Cells of the first count: so many times the frequent shingles that there can be, and bounds.
-CELLS, LEAST_CELLS, MOST_CELLS, BLOCKS = 4, 1 << 16, 1 << 24, 128
+CELLS, LEAST_CELLS, MOST_CELLS, BLOCKS = 4, 1 << 16, 1 << 24, 256
 #: Shingles whose documents a task counts at once.
 COUNTED = 1 << 20
 #: Documents that one task compares with one least document of a bucket.
@@ -156,13 +156,15 @@ def full_cells(docs: DataFrame, cells: int, least: float) -> np.ndarray:
             _, h = _hashes(data, offsets)
             np.add.at(counts, (h & np.uint64(cells - 1)).astype(np.int64), np.uint32(1))
         if counts.any():
-            parts = [counts[i : i + width].astype(np.uint64).tobytes() for i in range(0, cells, width)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(parts, pa.binary())], ["block", "counts"])
+            # A block at a time: the whole table, as one batch, would stand in memory three times over.
+            for block in range(BLOCKS):
+                part = counts[block * width : (block + 1) * width].astype(np.uint64).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.binary())], ["block", "counts"])
 
     def add(table):
         total = np.zeros(width, np.uint64)
-        for part in table.column("counts").to_pylist():
-            total += np.frombuffer(part, np.uint64)
+        for part in table.column("counts"):
+            total += np.frombuffer(part.as_buffer(), np.uint64)
         return {"counts": pa.array([total.tobytes()], pa.binary())}
 
     def flags(batches):

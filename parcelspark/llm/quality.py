@@ -224,7 +224,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, *
     def run(batches):
         for batch in batches:
             pair = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], ["at", "text"])
-            scores = [model.scores(statistics(data, offsets)) for _, data, offsets in text_slices([pair])]
+            scores = [model.scores(statistics(data, offsets)) for _, data, offsets in text_slices([pair], 512 << 10)]
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) >= threshold))
 
