@@ -221,12 +221,14 @@ def running_total(df: DataFrame, key: str, bucket: str, order: list, value: str,
     )
 
 
-def added_up(parts: DataFrame, add, by: list[str], schema: str, fan: int, levels: int) -> DataFrame:
+def added_up(parts: DataFrame, add, by: list[str], schema: str, fan: int, levels: int, last=None) -> DataFrame:
     """``parts`` of all tasks, added up by the columns ``by``: ``add(table)`` of rows with equal ones gives their sum, a row.
 
     Tasks are added up in groups of ``fan`` neighbours, these again, and so on: no
     task reads more than ``fan`` rows, but the last, for ``fan`` to the power of
     ``levels`` and one tasks.
+    ``last(columns)``, if given, is made of each sum in the task that has it: a step
+    of its own would be a Python worker more for every task.
     """
     names = ", ".join(f"{c} {parts.schema[c].dataType.simpleString()}" for c in by)
     whole = f"{names}, task int, {schema}" if by else f"task int, {schema}"
@@ -239,7 +241,12 @@ def added_up(parts: DataFrame, add, by: list[str], schema: str, fan: int, levels
     for _ in range(levels):
         parts = parts.withColumn("task", F.expr(f"int(task div {fan})"))
         parts = parts.groupBy(*by, "task").applyInArrow(run, whole)
-    return parts.withColumn("task", F.lit(0)).groupBy(*by, "task").applyInArrow(run, whole).drop("task")
+
+    def end(table):
+        total = run(table)
+        return pa.table({c: total.column(c) for c in [*by, "task"]} | last(total)) if last else total
+
+    return parts.withColumn("task", F.lit(0)).groupBy(*by, "task").applyInArrow(end, whole).drop("task")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

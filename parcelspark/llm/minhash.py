@@ -51,7 +51,7 @@ TILE, LOAD = 128, 2048
 #: Cells of the first count: so many times the frequent shingles that there can be, and bounds.
 CELLS, LEAST_CELLS, MOST_CELLS, BLOCKS = 4, 1 << 16, 1 << 24, 256
 #: Shingles whose documents a task counts at once.
-COUNTED = 1 << 20
+COUNTED = 1 << 19
 #: Documents that one task compares with one least document of a bucket.
 STAR = 2048
 #: Weights are whole multiples of 1 / UNIT.
@@ -158,25 +158,22 @@ def full_cells(docs: DataFrame, cells: int, least: float) -> np.ndarray:
         if counts.any():
             # A block at a time: the whole table, as one batch, would stand in memory three times over.
             for block in range(BLOCKS):
-                part = counts[block * width : (block + 1) * width].astype(np.uint64).tobytes()
+                part = counts[block * width : (block + 1) * width].tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.binary())], ["block", "counts"])
 
     def add(table):
         total = np.zeros(width, np.uint64)
         for part in table.column("counts"):
-            total += np.frombuffer(part.as_buffer(), np.uint64)
+            total += np.frombuffer(part.as_buffer(), f"u{len(part.as_buffer()) // width}")  # of a task 4 bytes, of sums 8
         return {"counts": pa.array([total.tobytes()], pa.binary())}
 
-    def flags(batches):
-        for batch in batches:
-            full = [np.packbits(np.frombuffer(c.as_py(), np.uint64) >= least).tobytes() for c in batch.column("counts")]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(full, pa.binary())], ["block", "full"])
+    def flags(total):
+        return {"counts": pa.array([np.packbits(np.frombuffer(c.as_buffer(), np.uint64) >= least).tobytes() for c in total.column("counts")], pa.binary())}
 
     parts = docs.select("doc_id", "text").mapInArrow(run, "block int, counts binary")
-    total = added_up(parts, add, ["block"], "counts binary", 256, 2)
     out = np.zeros(cells, bool)
-    for r in total.mapInArrow(flags, "block int, full binary").toLocalIterator():
-        out[r.block * width : (r.block + 1) * width] = np.unpackbits(np.frombuffer(r.full, np.uint8))
+    for r in added_up(parts, add, ["block"], "counts binary", 256, 2, flags).toLocalIterator():
+        out[r.block * width : (r.block + 1) * width] = np.unpackbits(np.frombuffer(r.counts, np.uint8))
     return out
 
 
