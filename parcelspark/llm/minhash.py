@@ -183,11 +183,13 @@ def shingle_weights(docs: DataFrame, rare: int = RARE) -> tuple[np.ndarray, np.n
     least = max(2.0, n / rare)
     # Words of six bytes, about: a wrong guess costs time only.
     wanted = int(CELLS * min(rare * size / 6 / max(n, 1), size / 6)) + 1
-    full = full_cells(docs, min(MOST_CELLS, max(LEAST_CELLS, 1 << wanted.bit_length())), least)
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << wanted.bit_length()))
+    full = np.packbits(full_cells(docs, cells, least))  # every task gets it: a bit a cell
 
     def able(data, offsets):
         row, h = _hashes(data, offsets)
-        some = full[(h & np.uint64(len(full) - 1)).astype(np.int64)]
+        cell = (h & np.uint64(cells - 1)).astype(np.int32)
+        some = (full[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
         return row[some], h[some]
 
     rows = frequencies(docs, able).where(F.col("df") >= least).toPandas()
