@@ -25,8 +25,8 @@ def _patches(batch):
         yield r, grid
 
 
-#: Rows of one batch that leave a task, about.
-BATCH_ROWS = 1 << 16
+#: Rows of one batch that leave a task, about, and patches whose rows it holds, at most: each is kilobytes, however few its rows.
+BATCH_ROWS, BATCH_PATCHES = 1 << 16, 256
 
 
 def _rows(rasters: DataFrame, rows, schema: str) -> DataFrame:
@@ -47,7 +47,7 @@ def _rows(rasters: DataFrame, rows, schema: str) -> DataFrame:
                 keys = [pa.repeat(batch.column(c)[r].cast(pa.string()), size) for c in ("country", "patch_id")]
                 ready.append(pa.RecordBatch.from_arrays([*keys, *(pa.array(found[f.name], f.type) for f in list(arrow)[2:])], schema=arrow))
                 n += size
-                if n >= BATCH_ROWS:
+                if n >= BATCH_ROWS or len(ready) >= BATCH_PATCHES:
                     yield from pa.Table.from_batches(ready).combine_chunks().to_batches(max_chunksize=BATCH_ROWS)
                     ready, n = [], 0
         if ready:

@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -532,3 +533,26 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_few_patches_are_held_before_they_leave():
+    """A task's rows leave after BATCH_PATCHES patches, however few rows these have, and all of them leave."""
+
+    class Frame:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    n, read = 3 * scoring.BATCH_PATCHES + 7, []
+
+    def batches():
+        for k in range(n):
+            read.append(k)
+            columns = {"country": ["x"], "patch_id": [str(k)], "h": [1], "w": [2], "gt": [[1, 0]], "pred": [[1, 1]]}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    held, ids = 0, []
+    for batch in scoring.objects(Frame())(batches()):
+        held = max(held, len(read) - len(ids))
+        ids += batch.column("patch_id").to_pylist()
+    assert held <= scoring.BATCH_PATCHES
+    assert ids == [str(k) for k in range(n)]
