@@ -142,37 +142,64 @@ def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([row, short]), np.concatenate([h, total])
 
 
+def packed_counts(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """(places, counts) of a block of counts: all of them without places, or those above 0 if that is shorter; in the least width that holds the largest."""
+    width = np.min_scalar_type(counts.max(initial=0))
+    at = np.flatnonzero(counts)
+    if len(at) * (2 + width.itemsize) < len(counts) * width.itemsize:
+        return at.astype(np.uint16).tobytes(), counts[at].astype(width).tobytes()
+    return b"", counts.astype(width).tobytes()
+
+
+def add_packed(total: np.ndarray, places: bytes, counts: bytes) -> None:
+    """Adds a block of ``packed_counts`` to ``total``, whose length is the block's."""
+    at = np.frombuffer(places, np.uint16)
+    values = np.frombuffer(counts, f"u{len(counts) // (len(at) or len(total))}") if counts else np.zeros(0, np.uint8)
+    if len(at):
+        total[at] += values
+    elif len(values):
+        total += values
+
+
 def full_cells(docs: DataFrame, cells: int, least: float) -> np.ndarray:
     """Which cells, by the low bits of their hashes, have at least ``least`` shingles: a flag a cell.
 
     Tasks add up tables of their own, and these are added up block by block, a few
-    at a time; the driver gets a bit a cell.
+    at a time; the driver gets a bit a cell. A task of few shingles sends its cells
+    with their places, so that what is sent grows with the texts, not with tasks.
     """
-    width = cells // BLOCKS
+    width = cells // BLOCKS  # at most 65,536, so that a place takes two bytes
 
     def run(batches):
         counts = np.zeros(cells, np.uint32)
         for _, data, offsets in text_slices(batches):
             _, h = _hashes(data, offsets)
             np.add.at(counts, (h & np.uint64(cells - 1)).astype(np.int64), np.uint32(1))
-        if counts.any():
-            # A block at a time: the whole table, as one batch, would stand in memory three times over.
-            for block in range(BLOCKS):
-                part = counts[block * width : (block + 1) * width].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.binary())], ["block", "counts"])
+        # A block at a time: the whole table, as one batch, would stand in memory three times over.
+        for block in range(BLOCKS):
+            part = counts[block * width : (block + 1) * width]
+            if part.any():
+                places, values = packed_counts(part)
+                row = [pa.array([block], pa.int32()), pa.array([places], pa.binary()), pa.array([values], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, ["block", "places", "counts"])
+
+    def total_of(places, counts):
+        total = np.zeros(width, np.uint64)
+        for at, part in zip(places, counts, strict=True):
+            add_packed(total, at.as_buffer(), part.as_buffer())
+        return total
 
     def add(table):
-        total = np.zeros(width, np.uint64)
-        for part in table.column("counts"):
-            total += np.frombuffer(part.as_buffer(), f"u{len(part.as_buffer()) // width}")  # of a task 4 bytes, of sums 8
-        return {"counts": pa.array([total.tobytes()], pa.binary())}
+        places, counts = packed_counts(total_of(table.column("places"), table.column("counts")))
+        return {"places": pa.array([places], pa.binary()), "counts": pa.array([counts], pa.binary())}
 
     def flags(total):
-        return {"counts": pa.array([np.packbits(np.frombuffer(c.as_buffer(), np.uint64) >= least).tobytes() for c in total.column("counts")], pa.binary())}
+        full = np.packbits(total_of(total.column("places"), total.column("counts")) >= least)
+        return {"places": pa.array([b""], pa.binary()), "counts": pa.array([full.tobytes()], pa.binary())}
 
-    parts = docs.select("doc_id", "text").mapInArrow(run, "block int, counts binary")
+    parts = docs.select("doc_id", "text").mapInArrow(run, "block int, places binary, counts binary")
     out = np.zeros(cells, bool)
-    for r in added_up(parts, add, ["block"], "counts binary", 256, 2, flags).toLocalIterator():
+    for r in added_up(parts, add, ["block"], "places binary, counts binary", 256, 2, flags).toLocalIterator():
         out[r.block * width : (r.block + 1) * width] = np.unpackbits(np.frombuffer(r.counts, np.uint8))
     return out
 
@@ -429,7 +456,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     known = every.where("bag is not null and id is not null")
     bags = known.groupBy("bag").agg(F.min("id").alias("rep"), F.max("weight").alias("weight"), salts_of("id").alias("salts"))
     own = join_groups(known.select("id", "bag", "bands"), bags, ["bag"], "id").where("id = rep")
-    members = own.select("rep", "weight", F.posexplode("bands").alias("band", "key")).distinct()
+    own = stage(own.select("rep", "weight", "bands").dropDuplicates(["rep"]), "minhash-bags")
+    members = own.select("rep", "weight", F.posexplode("bands").alias("band", "key"))
     bucket = ["band", "key"]
     buckets = members.groupBy(*bucket).agg(F.min(F.struct("rep", "weight")).alias("hub"), F.count("*").alias("n"), salts_of("rep").alias("salts"))
     members = stage(join_groups(members, buckets.where("n > 1"), bucket, "rep"), "minhash-members")
@@ -458,7 +486,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     placed = placed.join(own.select("rep", "bands"), "rep").join(sets, F.col("rep") == F.col("id"))
     more = stage(crossed(placed, threshold), "minhash-more-links")
     if not more.isEmpty():
-        component = connected_components(links.union(more), "minhash-components")
+        component = connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "minhash-components")
     classes = bags.join(component, F.col("rep") == F.col("node"), "left").select("bag", "salts", F.coalesce("component", "rep").alias("_class"))
     out = join_groups(known.select("id", "bag"), classes, ["bag"], "id").select("id", "_class")
     out = out.union(every.where("bag is null or id is null").select("id", F.lit(None).cast("long")))

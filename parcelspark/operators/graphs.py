@@ -32,13 +32,27 @@ def join_groups(rows: DataFrame, groups: DataFrame, by: list[str], spread: str)
     return rows.withColumn("salt", salt(spread)).join(groups.hint("merge"), [*by, "salt"]).drop("salt")
 
 
+def _each(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(u, v): for every row one of each of ``pairs`` of columns, in one pass."""
+    each = [F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs]
+    return rows.select(F.explode(F.array(*each)).alias("_pair")).select("_pair.*")
+
+
+def _stars(pairs: DataFrame) -> bool:
+    """Whether every ``u`` of different pairs (u, v) has one ``v`` only, which is no ``u``."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("_end"))
+    of = ends.select("_end.*").groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+    return of.where("up > 1 or (up = 1 and n > 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b); component: its least node. Nodes are of any type with an order.
 
     Alternates large-star and small-star steps: each node's neighbours are hung
     on its least neighbour. A minimum by node, combined before the shuffle, and
     a salted join take the place of neighbour lists, so that a node of any degree
-    does no harm. Every round is a table in the shared folder.
+    does no harm. Every round is a table in the shared folder; the rounds end when
+    all components are stars, which one count by node shows.
     """
 
     def hang(pairs: DataFrame) -> DataFrame:
@@ -47,20 +61,10 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
 
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     pairs = staged(pairs, name)
-    seen = None
-    while True:
-        both = pairs.union(pairs.select(F.col("v"), F.col("u")))
-        large = hang(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        held = hang(large)
-        small = held.select(F.col("v").alias("u"), F.col("m").alias("v")).union(held.select("u", F.col("m").alias("v")))
+    while not _stars(pairs):
+        large = hang(_each(pairs, ("u", "v"), ("v", "u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _each(hang(large.where("u <> v")), ("v", "m"), ("u", "m"))
         pairs = staged(small.where("u <> v").distinct(), name)
-        now = pairs.agg(
-            F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))
-        ).first()
-        if now == seen:
-            break
-        seen = now
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

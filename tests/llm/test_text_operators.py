@@ -587,6 +587,31 @@ def test_minhash_pair_recall_on_documents(spark):
     assert all(find(i) == find(got[i]) for i in bags if i not in edge and got[i] not in edge)
 
 
+@pytest.mark.parametrize(("filled", "most"), [(0, 1), (3, 1), (3, 70_000), (65_536, 1), (65_536, 300), (40_000, 1 << 20)])
+def test_packed_counts_are_short_and_add_up(filled, most):
+    """A block of few counts is as short as these; what is added up is what was packed."""
+    rng = np.random.default_rng(5)
+    block = np.zeros(1 << 16, np.uint32)
+    block[rng.choice(len(block), filled, replace=False)] = rng.integers(1, most, filled, endpoint=True)
+    places, counts = minhash.packed_counts(block)
+    assert len(places) + len(counts) <= min(filled * 6, len(block) * np.min_scalar_type(block.max()).itemsize)
+    total = np.full(len(block), 2, np.uint64)
+    minhash.add_packed(total, places, counts)
+    assert (total == block + np.uint64(2)).all()
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_cells_are_flagged_whatever_the_partitions(docs, parts):
+    """A task sends its cells, not a table of its own, and flags are those of all shingles' counts."""
+    texts = docs.select("doc_id", "text").repartition(parts)
+    data = [(r.text or "").encode() for r in texts.collect()]
+    _, h = minhash._hashes(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]))
+    cells = minhash.LEAST_CELLS
+    counts = np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    for least in (2, 10):
+        assert (minhash.full_cells(texts, cells, least) == (counts >= least)).all()
+
+
 def test_stray_documents_beside_one_component(spark):
     """Members of one large component are compared with strays and not with one another, and no link is lost."""
     rng = np.random.default_rng(8)

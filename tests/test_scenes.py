@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parcelspark.operators import kernels, metrics, scorers, scoring, selection
+from parcelspark.operators import graphs, kernels, metrics, scorers, scoring, selection
 
 
 def plain_distance(mask):
@@ -222,3 +222,29 @@ def test_scenes_with_gaps_and_wrong_tiles(spark):
         scenes.components(df.union(df), 2, 6)
     with pytest.raises(ValueError, match="width"):
         scenes.components(df, 2, 5)
+
+
+def test_components_that_are_stars_take_no_round(spark, monkeypatch):
+    """One table for links that are stars already, and one more for each round of others."""
+    tables = []
+    monkeypatch.setattr(graphs, "staged", lambda df, name, staged=graphs.staged: tables.append(name) or staged(df, name))
+    links = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    got = graphs.connected_components(links([(1, k) for k in range(2, 20)] + [(k, 30) for k in range(31, 35)] + [(2, 1), (7, 7)])).collect()
+    assert len(tables) == 1
+    assert {r.node: r.component for r in got} == {k: 1 for k in range(1, 20)} | {k: 30 for k in range(30, 35)}
+    assert len(got) == 24
+    chain = graphs.connected_components(links([(k, k + 1) for k in range(40)])).collect()
+    assert len(tables) > 2
+    assert sorted((r.node, r.component) for r in chain) == [(k, 0) for k in range(41)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_links(spark, seed):
+    rng = np.random.default_rng(seed)
+    pairs = rng.integers(0, 60, (45, 2)).tolist()
+    label = list(range(60))
+    for _ in range(60):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    got = graphs.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted((r.node, r.component) for r in got) == sorted({(x, label[x]) for a, b in pairs if a != b for x in (a, b)})
